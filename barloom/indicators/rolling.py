@@ -91,7 +91,7 @@ def amihud(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def high_low_ratio(df: DataFrame) -> DataFrame:
-    return df.withColumn("high_low_ratio", F.when(c > 0, (h - _c(l)) / c).otherwise(lit(0)))
+    return df.withColumn("high_low_ratio", F.when(c > 0, (h - _c(l)) / _c(c)).otherwise(lit(0)))
 
 
 def obv_zero(df: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def donchian(df: DataFrame, n: int = 20) -> DataFrame:
 
 def williams_r(df: DataFrame, n: int = 14) -> DataFrame:
     hi, lo = R.max("high", n), R.min("low", n)
-    return df.withColumn("williams_r", F.when(hi > lo, (hi - c) / (hi - lo) * lit(-100)))
+    return df.withColumn("williams_r", F.when(hi > lo, (hi - _c(c)) / (hi - lo) * lit(-100)))
 
 
 def stoch_rsi(df: DataFrame, n: int = 14, k: int = 3, d: int = 3) -> DataFrame:
@@ -235,7 +235,7 @@ def pivot_points(df: DataFrame) -> DataFrame:
     p = (ph + pl + pc) / lit(3)
     return df.withColumns(
         {
-            "pivot": p,
+            "pivot_pp": p,
             "pivot_r1": lit(2) * p - pl,
             "pivot_s1": lit(2) * p - ph,
             "pivot_r2": p + (ph - pl),
@@ -303,13 +303,13 @@ def ulcer(df: DataFrame, n: int = 14) -> DataFrame:
     """Root mean square drawdown from the window's single maximum, with the window sums expanded."""
     m = R.max("close", n)
     q = R.sum(c * _c(c), n) / (m * m) - lit(2) * R.sum("close", n) / m + lit(n)
-    return df.withColumn("ulcer", F.sqrt(F.greatest(q, lit(0)) * lit(10000) / lit(n)))
+    return df.withColumn("ulcer", F.when(m.isNotNull(), F.sqrt(F.greatest(q, lit(0)) * lit(10000) / lit(n))))
 
 
 def amplitude(df: DataFrame, spans: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """Average amplitude: the bar's own column where present, else (high - low) / open."""
     own = F.col("amplitude") if "amplitude" in df.columns else F.lit(None).cast("double")
-    df = df.withColumn("_a", F.coalesce(own, F.when(o > 0, (h - _c(l)) / o * lit(100))))
+    df = df.withColumn("_a", F.coalesce(own, F.when(o > 0, (h - _c(l)) / _c(o) * lit(100))))
     return df.withColumns({f"amplitude{n}": R.mean("_a", n) for n in spans}).drop("_a")
 
 

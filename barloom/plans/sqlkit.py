@@ -86,3 +86,80 @@ def wma(x: str, n: int) -> str:
 
 def ctes(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
+
+
+# --- recurrences as recursive SQL ---------------------------------------------------------------
+
+
+def recursive(inputs: str, fields: list[tuple[str, str, str]], select: str, before: str = BARS, final: str = "") -> str:
+    """Row-by-row state machine per code.
+
+    `inputs` selects code, day, bn and input columns; a field is (name, initial, step) where
+    the step reads inputs as b.x, the previous row as p_name and earlier fields of its own
+    row by name.
+    """
+    init = ", ".join(f"CAST({i} AS DOUBLE) AS {n}" for n, i, _ in fields)
+    prev = ", ".join(f"{n} AS p_{n}" for n, _, _ in fields)
+    step = ", ".join(f"CAST({s} AS DOUBLE) AS {n}" for n, _, s in fields)
+    names = ", ".join(n for n, _, _ in fields)
+    return (
+        ctes(
+            before,
+            f"b AS MATERIALIZED ({inputs})",
+            f"""rec AS (
+  SELECT DISTINCT code, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS bn, {init} FROM b
+  UNION ALL
+  SELECT code, day, bn, {names} FROM (
+    SELECT b.code, b.day, b.bn, {step}
+    FROM (SELECT code AS p_code, bn AS p_at, {prev} FROM rec) r JOIN b ON b.code = r.p_code AND b.bn = r.p_at + 1))""",
+            *( [final] if final else [] ),
+            recursive=True,
+        )
+        + select
+    )
+
+
+def f_ema(n: str, x: str, p: int, leading: bool = False) -> list[tuple[str, str, str]]:
+    k = repr(2.0 / (p + 1))
+    gap = "0" if not leading else f"p_{n}_c"
+    gap_s = "0" if not leading else f"p_{n}_s"
+    return [
+        (f"{n}_c", "0", f"CASE WHEN ({x}) IS NULL THEN {gap} ELSE p_{n}_c + 1 END"),
+        (f"{n}_s", "0", f"CASE WHEN ({x}) IS NULL THEN {gap_s} ELSE p_{n}_s + ({x}) END"),
+        (
+            f"{n}_v",
+            "NULL",
+            f"CASE WHEN ({x}) IS NULL THEN p_{n}_v WHEN p_{n}_v IS NOT NULL THEN ({x}) * {k} + p_{n}_v * (1 - {k})"
+            f" WHEN {n}_c = {p} THEN {n}_s / {p} END",
+        ),
+        (n, "NULL", f"CASE WHEN ({x}) IS NULL THEN NULL ELSE {n}_v END"),
+    ]
+
+
+def f_rma(n: str, x: str, p: int) -> list[tuple[str, str, str]]:
+    return [
+        (f"{n}_c", "0", f"CASE WHEN ({x}) IS NULL THEN p_{n}_c ELSE p_{n}_c + 1 END"),
+        (f"{n}_s", "0", f"CASE WHEN ({x}) IS NULL THEN p_{n}_s ELSE p_{n}_s + ({x}) END"),
+        (
+            n,
+            "NULL",
+            f"CASE WHEN ({x}) IS NULL THEN p_{n} WHEN p_{n} IS NOT NULL THEN (p_{n} * {p - 1} + ({x})) / {p}"
+            f" WHEN {n}_c = {p} THEN {n}_s / {p} END",
+        ),
+    ]
+
+
+def f_sum(n: str, x: str, p: int) -> list[tuple[str, str, str]]:
+    return [
+        (f"{n}_c", "0", f"p_{n}_c + 1"),
+        (f"{n}_s", "0", f"p_{n}_s + ({x})"),
+        (n, "NULL", f"CASE WHEN p_{n} IS NOT NULL THEN p_{n} - p_{n} / {p} + ({x}) WHEN {n}_c = {p} THEN {n}_s END"),
+    ]
+
+
+TR = (
+    f"CASE WHEN {lag('close')} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {lag('close')}), "
+    f"abs(low - {lag('close')})) END"
+)
+MFM = "CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) ELSE 0 END"
+AT = f"row_number() OVER {W} AS bn"
