@@ -208,38 +208,6 @@ def _ttm(s):
     return {"ttm_momentum": combine(lambda a, b: a - b, s["tp"], ema(s["tp"], 20))}
 
 
-# name -> (recipe, inputs, outputs)
-RECIPES = {
-    "ema": (
-        lambda s: {"ema12": ema(s["close"], 12), "ema21": ema(s["close"], 21)},
-        ["close"],
-        ["ema12", "ema21"],
-    ),
-    "rsi6": (_rsi(6), ["gain", "loss"], ["rsi6_wilder"]),
-    "rsi12": (_rsi(12), ["gain", "loss"], ["rsi12_wilder"]),
-    "rsi14": (_rsi(14), ["gain", "loss"], ["rsi14_wilder"]),
-    "macd_x0": (_macd_x0, ["close"], ["macd_x0"]),
-    "kdj": (_kdj, ["rsv"], ["kdj_k", "kdj_d", "kdj_j"]),
-    "macd_sma": (_macd_sma, ["close"], ["macd_dif", "macd_dea", "macd_hist"]),
-    "atr_wilder": (lambda s: {"atr_wilder": rma(s["tr"], 14)}, ["tr"], ["atr_wilder"]),
-    "kama": (_kama, ["close", "er10"], ["kama"]),
-    "keltner": (_keltner, ["close", "tr"], ["keltner_mid", "keltner_upper", "keltner_lower"]),
-    "supertrend": (_supertrend, ["high", "low", "close", "tr"], ["supertrend", "supertrend_dir"]),
-    "sar": (_sar, ["high", "low", "close"], ["sar", "sar_dir"]),
-    "adx": (_adx, ["tr", "plus_dm", "minus_dm"], ["di_plus", "di_minus", "adx"]),
-    "force": (lambda s: {"force_index": ema(s["force_raw"], 13)}, ["force_raw"], ["force_index"]),
-    "dema": (_dema, ["close"], ["dema"]),
-    "dema_biased": (_dema_biased, ["close"], ["dema_biased"]),
-    "tema": (_tema, ["close"], ["tema"]),
-    "trix": (_trix, ["close"], ["trix", "trix_slope", "trix_signal"]),
-    "elder": (_elder, ["close", "high", "low"], ["bull_power", "bear_power"]),
-    "chaikin": (_chaikin, ["ad_line"], ["chaikin"]),
-    "mass": (_mass, ["hl_range"], ["mass_ratio"]),
-    "smi": (_smi, ["smi_raw"], ["smi", "smi_signal"]),
-    "ttm": (_ttm, ["tp"], ["ttm_momentum"]),
-}
-
-
 def run(df: DataFrame, names: Sequence[str], carry: Sequence[str] = (), prepared: bool = False) -> DataFrame:
     """Run the named recipes over bars in one pass per instrument."""
     chosen = [RECIPES[n] for n in names]
@@ -445,11 +413,38 @@ def structure_breaks(df: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def _mitigation(s):
+    """Bar number of the first later bar that crosses each zone."""
+    hs, ls, out = s["high"], s["low"], []
+    for i, (bull, top, bottom) in enumerate(zip(s["zone_bull"], s["zone_top"], s["zone_bottom"])):
+        later = range(i + 1, len(hs)) if bull is not None else ()
+        hit = next((k for k in later if (ls[k] <= bottom if bull > 0 else hs[k] >= top)), None)
+        out.append(None if hit is None else hit + 1)
+    return {"mitigated_idx": out}
+
+
+def zones(df: DataFrame) -> DataFrame:
+    """One row per zone with the bar that first mitigates it: low to the bottom, or high to the top."""
+    cols = ("idx", "zone_bull", "zone_top", "zone_bottom")
+    inputs = ("high", "low", "zone_bull", "zone_top", "zone_bottom")
+    out = scan(df, _mitigation, inputs, ("mitigated_idx",), carry=cols).filter(F.col("zone_bull").isNotNull())
+    return out.select(
+        "code",
+        "day",
+        "idx",
+        F.col("zone_top").alias("top"),
+        F.col("zone_bottom").alias("bottom"),
+        (F.col("zone_bull") > 0).alias("bull"),
+        F.col("mitigated_idx").cast("long").alias("mitigated_idx"),
+    )
+
+
 def _zigzag(s, pct=5.0):
     """Repaints: the newest point moves until the opposite swing is `pct` percent away."""
     hs, ls = s["high"], s["low"]
     n = len(hs)
     marks: dict[int, tuple[float, int]] = {}
+    known = [0] * n
     if n >= 3:
         points = [(0, hs[0], 1)]
         side, at, level = 1, 0, hs[0]
@@ -461,10 +456,45 @@ def _zigzag(s, pct=5.0):
             elif (level - y) * side >= level * pct / 100:
                 points.append((at, level, side))
                 side, at, level = -side, i, y
+            known[i] = points[-1][2] if i >= 2 else 0
         marks = {i: (v, d) for i, v, d in points}
     got = [marks.get(i, (None, 0)) for i in range(n)]
-    return {"zigzag": [v for v, _ in got], "zigzag_dir": [d for _, d in got]}
+    return {"zigzag": [v for v, _ in got], "zigzag_dir": [d for _, d in got], "zigzag_known": known}
 
 
 def zigzag(df: DataFrame) -> DataFrame:
-    return scan(by_instrument(df), _zigzag, ["high", "low"], ["zigzag", "zigzag_dir"])
+    """Pivots of the whole series, and in zigzag_known the side of the newest pivot as each bar knew it."""
+    return scan(by_instrument(df), _zigzag, ["high", "low"], ["zigzag", "zigzag_dir", "zigzag_known"])
+
+
+# name -> (recipe, inputs, outputs)
+RECIPES = {
+    "ema": (
+        lambda s: {"ema12": ema(s["close"], 12), "ema21": ema(s["close"], 21)},
+        ["close"],
+        ["ema12", "ema21"],
+    ),
+    "rsi6": (_rsi(6), ["gain", "loss"], ["rsi6_wilder"]),
+    "rsi12": (_rsi(12), ["gain", "loss"], ["rsi12_wilder"]),
+    "rsi14": (_rsi(14), ["gain", "loss"], ["rsi14_wilder"]),
+    "macd_x0": (_macd_x0, ["close"], ["macd_x0"]),
+    "kdj": (_kdj, ["rsv"], ["kdj_k", "kdj_d", "kdj_j"]),
+    "macd_sma": (_macd_sma, ["close"], ["macd_dif", "macd_dea", "macd_hist"]),
+    "atr_wilder": (lambda s: {"atr_wilder": rma(s["tr"], 14)}, ["tr"], ["atr_wilder"]),
+    "kama": (_kama, ["close", "er10"], ["kama"]),
+    "keltner": (_keltner, ["close", "tr"], ["keltner_mid", "keltner_upper", "keltner_lower"]),
+    "supertrend": (_supertrend, ["high", "low", "close", "tr"], ["supertrend", "supertrend_dir"]),
+    "sar": (_sar, ["high", "low", "close"], ["sar", "sar_dir"]),
+    "adx": (_adx, ["tr", "plus_dm", "minus_dm"], ["di_plus", "di_minus", "adx"]),
+    "force": (lambda s: {"force_index": ema(s["force_raw"], 13)}, ["force_raw"], ["force_index"]),
+    "dema": (_dema, ["close"], ["dema"]),
+    "dema_biased": (_dema_biased, ["close"], ["dema_biased"]),
+    "tema": (_tema, ["close"], ["tema"]),
+    "trix": (_trix, ["close"], ["trix", "trix_slope", "trix_signal"]),
+    "elder": (_elder, ["close", "high", "low"], ["bull_power", "bear_power"]),
+    "chaikin": (_chaikin, ["ad_line"], ["chaikin"]),
+    "mass": (_mass, ["hl_range"], ["mass_ratio"]),
+    "smi": (_smi, ["smi_raw"], ["smi", "smi_signal"]),
+    "zigzag": (_zigzag, ["high", "low"], ["zigzag", "zigzag_dir", "zigzag_known"]),
+    "ttm": (_ttm, ["tp"], ["ttm_momentum"]),
+}

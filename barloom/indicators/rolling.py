@@ -321,63 +321,36 @@ def ma_map(df: DataFrame, periods: Sequence[int] = (5, 10, 20, 30, 60), digits:
 
 
 def fair_value_gaps(df: DataFrame) -> DataFrame:
-    """Three-bar gaps, one row per gap with its bounds."""
-    i = R.at().cast("long")
-    h2, l2 = R.lag("high", 2), R.lag("low", 2)
-    df = df.withColumns({"_i": i, "_h2": h2, "_l2": l2})
-    gap = (
-        F.when(l > F.col("_h2"), F.struct(_c(l).alias("top"), F.col("_h2").alias("bottom"), F.lit(True).alias("bull")))
-        .when(h < F.col("_l2"), F.struct(F.col("_l2").alias("top"), _c(h).alias("bottom"), F.lit(False).alias("bull")))
-    )
-    return (
-        df.withColumn("_g", gap)
-        .filter(F.col("_g").isNotNull())
-        .select("code", F.col("_i").alias("end_idx"), "day", "_g.top", "_g.bottom", "_g.bull")
-    )
+    """Bars with the zone columns of a three-bar gap that ends on them (null elsewhere)."""
+    df = df.withColumns({"_h2": R.lag("high", 2), "_l2": R.lag("low", 2), "idx": R.at().cast("long")})
+    h2, l2 = F.col("_h2"), F.col("_l2")
+    return df.withColumns(
+        {
+            "zone_bull": F.when(l > h2, lit(1)).when(h < l2, lit(-1)),
+            "zone_top": F.when(l > h2, _c(l)).when(h < l2, l2),
+            "zone_bottom": F.when(l > h2, h2).when(h < l2, _c(h)),
+        }
+    ).drop("_h2", "_l2")
 
 
-def order_blocks(df: DataFrame, n: int = 14, max_atr: float = 3.0) -> DataFrame:
-    """Reversal candles taken out by the next bar and no taller than max_atr ATR.
+def order_blocks(df: DataFrame, max_atr: float = 3.0) -> DataFrame:
+    """Bars with the zone of the reversal candle before them that they take out.
 
-    Needs the column atr_wilder; `idx` is the block's bar number.
+    Needs the column atr_wilder; a block is at most max_atr ATR tall. `idx` is the
+    block's own bar, one before the row's.
     """
-    po, ph, pl, pc = (R.lag(x) for x in ("open", "high", "low", "close"))
-    df = df.withColumns({"_i": R.at().cast("long"), "_po": po, "_ph": ph, "_pl": pl, "_pc": pc})
-    po, ph, pl, pc = (F.col(x) for x in ("_po", "_ph", "_pl", "_pc"))
-    atr = F.coalesce(F.col("atr_wilder"), lit(0))
-    bull = (c > ph) & (pc < po)
-    bear = (c < pl) & (pc > po)
+    df = df.withColumns({f"_p{x}": R.lag(x) for x in ("open", "high", "low", "close")})
+    df = df.withColumn("idx", R.at().cast("long") - 1)
+    po, ph, pl, pc = (F.col(f"_p{x}") for x in ("open", "high", "low", "close"))
+    bull, bear = (c > ph) & (pc < po), (c < pl) & (pc > po)
     top = F.when(bull, F.greatest(po, pc)).when(bear, ph)
     bottom = F.when(bull, pl).when(bear, F.least(po, pc))
-    return (
-        df.withColumns({"_t": top, "_b": bottom, "_bull": bull})
-        .filter((bull | bear) & ((F.col("_t") - F.col("_b") <= lit(max_atr) * atr) | (atr == 0)))
-        .select(
-            "code",
-            (F.col("_i") - 1).alias("idx"),
-            (F.col("_i") + 1).alias("watch_from"),
-            F.col("_t").alias("top"),
-            F.col("_b").alias("bottom"),
-            F.col("_bull").alias("bull"),
-        )
-    )
-
-
-def first_mitigation(zones: DataFrame, df: DataFrame, start: str, idx: str) -> DataFrame:
-    """First later bar that crosses a zone: low to its bottom for bull zones, high to its top for bear zones.
-
-    Zones and bars meet in one array per code (bounded by the calendar), so there is no
-    zones x bars row product.
-    """
-    rows = df.select("code", R.at().cast("long").alias("i"), "high", "low").groupBy("code").agg(
-        F.array_sort(F.collect_list(F.struct("i", "high", "low"))).alias("_bars")
-    )
-
-    def hit(bar: Column) -> Column:
-        return (bar["i"] >= F.col(start)) & F.when(F.col("bull"), bar["low"] <= F.col("bottom")).otherwise(
-            bar["high"] >= F.col("top")
-        )
-
-    joined = zones.join(rows, "code", "left")
-    at = F.filter("_bars", hit)
-    return joined.withColumn("mitigated_idx", F.get(at, F.lit(0))["i"]).drop("_bars")
+    atr = F.coalesce(F.col("atr_wilder"), lit(0))
+    keep = (top - bottom <= lit(max_atr) * atr) | (atr == 0)
+    return df.withColumns(
+        {
+            "zone_bull": F.when(keep & bull, lit(1)).when(keep & bear, lit(-1)),
+            "zone_top": F.when(keep, top),
+            "zone_bottom": F.when(keep, bottom),
+        }
+    ).drop("_popen", "_phigh", "_plow", "_pclose")

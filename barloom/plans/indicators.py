@@ -431,6 +431,15 @@ def ind_sats(spark, sf):
     return shaped(rc.sats(views.bars(spark, sf)), {"sats_dir": 0, "sats_line": P, "sats_quality": Q})
 
 
+ZIGZAG = [
+    ("side", "1", "CASE WHEN b.bn = 1 THEN 1 WHEN NOT (CASE WHEN p_side = 1 THEN b.high >= p_lvl ELSE b.low <= p_lvl END) AND (CASE WHEN p_side = 1 THEN p_lvl - b.low ELSE b.high - p_lvl END) >= p_lvl * 5 / 100 THEN -p_side ELSE p_side END"),
+    ("mark", "1", "CASE WHEN b.bn = 1 THEN 1 WHEN (CASE WHEN p_side = 1 THEN b.high >= p_lvl ELSE b.low <= p_lvl END) THEN p_side WHEN side <> p_side THEN p_side ELSE p_mark END"),
+    ("lvl", "NULL", "CASE WHEN b.bn = 1 THEN b.high WHEN side <> p_side THEN CASE WHEN p_side = 1 THEN b.low ELSE b.high END WHEN p_side = 1 THEN greatest(b.high, p_lvl) ELSE least(b.low, p_lvl) END"),
+    ("zigzag_known", "0", "CASE WHEN b.bn >= 3 THEN mark ELSE 0 END"),
+]
+recurrent("ind_zigzag_known", ["zigzag"], {"zigzag_known": 0}, "high, low", ZIGZAG)
+
+
 @query("ind_zigzag")
 def ind_zigzag(spark, sf):
     return shaped(rc.zigzag(views.bars(spark, sf)), {"zigzag": P, "zigzag_dir": 0})
@@ -478,10 +487,8 @@ _I = f"i AS MATERIALIZED (SELECT *, {AT} FROM bars)"
          AND ((z.bull AND i.low <= z.bottom) OR (NOT z.bull AND i.high >= z.top)) GROUP BY z.code, z.day, z.end_idx, z.bull""",
 )
 def ind_fair_value_gaps(spark, sf):
-    b = by_instrument(views.bars(spark, sf))
-    z = ro.fair_value_gaps(b).withColumn("watch_from", F.col("end_idx") + 1)
-    m = ro.first_mitigation(z, b, "watch_from", "end_idx")
-    return m.select("code", day_text("day").alias("day"), "end_idx", rnd("top", P).alias("top"), rnd("bottom", P).alias("bottom"), "bull", "mitigated_idx")
+    z = rc.zones(ro.fair_value_gaps(by_instrument(views.bars(spark, sf))))
+    return z.select("code", day_text("day").alias("day"), F.col("idx").alias("end_idx"), rnd("top", P).alias("top"), rnd("bottom", P).alias("bottom"), "bull", "mitigated_idx")
 
 
 @query(
@@ -501,7 +508,5 @@ def ind_fair_value_gaps(spark, sf):
     ),
 )
 def ind_order_blocks(spark, sf):
-    b = rc.run(views.bars(spark, sf), ["atr_wilder"], carry=("open", "high", "low", "close"))
-    z = ro.order_blocks(b)
-    m = ro.first_mitigation(z, b, "watch_from", "idx")
-    return m.select("code", "idx", rnd("top", P).alias("top"), rnd("bottom", P).alias("bottom"), "bull", "mitigated_idx")
+    z = rc.zones(ro.order_blocks(rc.run(views.bars(spark, sf), ["atr_wilder"], carry=("open", "high", "low", "close"))))
+    return z.select("code", "idx", rnd("top", P).alias("top"), rnd("bottom", P).alias("bottom"), "bull", "mitigated_idx")
