@@ -33,236 +33,330 @@ def true_range(first_bar: bool = True) -> Column:
     return F.when(pc.isNull(), (h - _c(l)) if first_bar else None).otherwise(full)
 
 
+class Staged:
+    """An indicator as levels of columns: each level may read the levels before it.
+
+    Calling it adds its columns to a frame. `together` merges many indicators level by
+    level, so that a table of dozens of them is planned as a handful of window nodes.
+    Columns named with a leading underscore are dropped at the end.
+    """
+
+    def __init__(self, levels):
+        self.levels = levels
+        self.__doc__ = levels.__doc__
+
+    def __call__(self, df: DataFrame, *args, **kwargs) -> DataFrame:
+        return together(df, self.levels(*args, **kwargs))
+
+
+def together(df: DataFrame, *indicators: list[dict[str, Column]]) -> DataFrame:
+    keep = [c for c in df.columns]
+    depth = max(len(levels) for levels in indicators)
+    for i in range(depth):
+        step: dict[str, Column] = {}
+        for levels in indicators:
+            if i < len(levels):
+                step.update({n: x for n, x in levels[i].items() if n not in step})
+        df = df.withColumns({n: x for n, x in step.items() if n not in keep})
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in keep])
+
+
 # --- feature-row family ---------------------------------------------------------------------
 
 
-def moving_averages(df: DataFrame, periods: Sequence[int] = (5, 10, 20, 60)) -> DataFrame:
-    return df.withColumns({f"ma{p}": R.mean("close", p) for p in periods})
+@Staged
+def moving_averages(periods: Sequence[int] = (5, 10, 20, 60)):
+    return [{f"ma{p}": R.mean("close", p) for p in periods}]
 
 
-def bollinger_pop(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
+@Staged
+def bollinger_pop(n: int = 20, k: float = 2.0):
     mid, sd = R.mean("close", n), R.std("close", n)
-    return df.withColumns({"boll_mid": mid, "boll_upper": mid + lit(k) * sd, "boll_lower": mid - lit(k) * sd})
+    return [{"boll_mid": mid, "_boll_sd": sd}, {f"boll_{s}": F.col("boll_mid") + lit(x) * F.col("_boll_sd") for s, x in (("upper", k), ("lower", -k))}]
 
 
-def volume_ratio(df: DataFrame, n: int = 5) -> DataFrame:
+@Staged
+def volume_ratio(n: int = 5):
     """Volume over the mean of the previous n; 1 without a full history or a positive mean."""
     past = R.base.rowsBetween(-n, -1)
     m = F.avg("volume").over(past)
     ready = (F.count("volume").over(past) == n) & (m > 0)
-    return df.withColumn("volume_ratio", F.when(ready, v / m).otherwise(lit(1)))
+    return [{"volume_ratio": F.when(ready, v / m).otherwise(lit(1))}]
 
 
-def volume_ratio_display(df: DataFrame, n: int = 5) -> DataFrame:
+@Staged
+def volume_ratio_display(n: int = 5):
     """Chart variant: non-positive volumes are skipped, two decimals, null without history."""
     past = R.base.rowsBetween(-n, -1)
     m = F.avg(F.when(v > 0, _c(v))).over(past)
     ready = F.count(F.lit(1)).over(past) == n
-    return df.withColumn("volume_ratio_display", F.when(ready & (m > 0), rnd(v / m, 2)))
+    return [{"volume_ratio_display": F.when(ready & (m > 0), rnd(v / m, 2))}]
 
 
-def atr_simple(df: DataFrame, n: int = 14) -> DataFrame:
-    return df.withColumn("_tr", true_range(False)).withColumn("atr_sma", R.mean("_tr", n)).drop("_tr")
+@Staged
+def atr_simple(n: int = 14):
+    return [{"_tr0": true_range(False)}, {"atr_sma": R.mean("_tr0", n)}]
 
 
-def change_rates(df: DataFrame, spans: Sequence[int] = (5, 20, 60, 120)) -> DataFrame:
+@Staged
+def change_rates(spans: Sequence[int] = (5, 20, 60, 120)):
     def rate(n: int) -> Column:
         base = R.lag("close", n)
         return F.when(base == 0, lit(0)).otherwise(c / base - lit(1))
 
-    return df.withColumns({f"change_rate{n}": rate(n) for n in spans})
+    return [{f"change_rate{n}": rate(n) for n in spans}]
 
 
-def log_volatility(df: DataFrame, spans: Sequence[int] = (20, 60)) -> DataFrame:
+@Staged
+def log_volatility(spans: Sequence[int] = (20, 60)):
     """Population deviation of log returns, annualised; null if a base in the window is not positive."""
     pc = R.lag("close")
-    staged = df.withColumn("_lr", F.when((pc > 0) & (c > 0), F.log(c / pc)))
-    out = {f"volatility{n}": R.std("_lr", n) * lit(252**0.5) for n in spans}
-    return staged.withColumns(out).drop("_lr")
+    return [
+        {"_lr": F.when((pc > 0) & (c > 0), F.log(c / pc))},
+        {f"volatility{n}": R.std("_lr", n) * lit(252**0.5) for n in spans},
+    ]
 
 
-def amihud(df: DataFrame, n: int = 5) -> DataFrame:
+@Staged
+def amihud(n: int = 5):
     """Illiquidity: sum over the last n of |return| per traded value, always divided by n."""
     pc = R.lag("close")
     usable = (pc > 0) & (c > 0) & (v > 0)
-    staged = df.withColumn("_il", F.when(usable, F.abs(c / pc - lit(1)) / (c * _c(v) * lit(100)) * lit(1e10)))
-    s = F.coalesce(F.sum("_il").over(R.frame(n)), lit(0)) / lit(n)
-    return staged.withColumn("amihud", F.when(R.at() > n, s)).drop("_il")
+    one = F.when(usable, F.abs(c / pc - lit(1)) / (c * _c(v) * lit(100)) * lit(1e10))
+    total = F.coalesce(F.sum("_il").over(R.frame(n)), lit(0)) / lit(n)
+    return [{"_il": one}, {"amihud": F.when(R.at() > n, total)}]
 
 
-def high_low_ratio(df: DataFrame) -> DataFrame:
-    return df.withColumn("high_low_ratio", F.when(c > 0, (h - _c(l)) / _c(c)).otherwise(lit(0)))
+@Staged
+def high_low_ratio():
+    return [{"high_low_ratio": F.when(c > 0, (h - _c(l)) / _c(c)).otherwise(lit(0))}]
 
 
-def obv_zero(df: DataFrame) -> DataFrame:
+@Staged
+def obv_zero():
     """On-balance volume starting at 0."""
-    step = F.coalesce(F.signum(c - R.lag("close")) * _c(v), lit(0))
-    return df.withColumn("_s", step).withColumn("obv_zero", R.cum("_s")).drop("_s")
+    return [{"_ob0": F.coalesce(F.signum(c - R.lag("close")) * _c(v), lit(0))}, {"obv_zero": R.cum("_ob0")}]
 
 
-def obv_vol0(df: DataFrame) -> DataFrame:
+@Staged
+def obv_vol0():
     """On-balance volume starting at the first bar's volume."""
-    step = F.coalesce(F.signum(c - R.lag("close")) * _c(v), _c(v))
-    return df.withColumn("_s", step).withColumn("obv_vol0", R.cum("_s")).drop("_s")
+    return [{"_obv": F.coalesce(F.signum(c - R.lag("close")) * _c(v), _c(v))}, {"obv_vol0": R.cum("_obv")}]
 
 
-def fund_flow(df: DataFrame, spans: Sequence[int] = (5, 20)) -> DataFrame:
+@Staged
+def fund_flow(spans: Sequence[int] = (5, 20)):
     """Rolling net inflow; partial windows count."""
-    return df.withColumns({f"fund_flow{n}": F.sum("net_inflow").over(R.frame(n)) for n in spans})
+    return [{f"fund_flow{n}": F.sum("net_inflow").over(R.frame(n)) for n in spans}]
 
 
 # --- chart family ---------------------------------------------------------------------------
 
 
-def wma(df: DataFrame, n: int = 20) -> DataFrame:
-    return df.withColumn("wma", R.wma("close", n))
+@Staged
+def wma(n: int = 20):
+    return [{"wma": R.wma("close", n)}]
+
 
+def delta() -> Column:
+    return c - R.lag("close")
 
-def rsi_cutler(df: DataFrame, n: int = 14) -> DataFrame:
-    df = df.withColumn("_d", c - R.lag("close"))
-    up, down = R.sum(F.greatest(F.col("_d"), lit(0)), n), R.sum(F.greatest(-F.col("_d"), lit(0)), n)
+
+@Staged
+def rsi_cutler(n: int = 14):
+    x = F.col("_delta")
+    up, down = F.col("_rsi_up"), F.col("_rsi_dn")
     rs = F.when(down == 0, lit(100)).otherwise(lit(100) - lit(100) / (lit(1) + up / down))
-    ready = F.count("_d").over(R.frame(n)) == n
-    return df.withColumn("rsi_cutler", F.when(ready, rs)).drop("_d")
+    return [
+        {"_delta": delta()},
+        {
+            "_rsi_up": R.sum(F.when(x.isNotNull(), F.greatest(x, lit(0))), n),
+            "_rsi_dn": R.sum(F.when(x.isNotNull(), F.greatest(-x, lit(0))), n),
+        },
+        {"rsi_cutler": F.when(down.isNotNull(), rs)},
+    ]
 
 
-def vwap(df: DataFrame, n: int = 20) -> DataFrame:
-    sv = R.sum("volume", n)
-    return df.withColumn("vwap", F.when(sv > 0, R.sum(typical() * _c(v), n) / sv))
+@Staged
+def vwap(n: int = 20):
+    return [
+        {"_tp": typical(), "_vw_v": R.sum("volume", n), "_vw_pv": R.sum(typical() * _c(v), n)},
+        {"vwap": F.when(F.col("_vw_v") > 0, F.col("_vw_pv") / F.col("_vw_v"))},
+    ]
 
 
-def vwap_bands(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
+@Staged
+def vwap_bands(n: int = 20, k: float = 2.0):
     """Volume-weighted deviation around the current VWAP, expanded into three window sums.
 
-    Prices are centred on the bar's own VWAP of n bars ago only through the algebra
-    E[x^2] - 2mE[x] + m^2; a zero volume weighs 1.
+    E[x^2] - 2mE[x] + m^2 instead of a second pass; a zero volume weighs 1.
     """
-    df = vwap(df, n).withColumn("_w", F.when(_c(v) == 0, lit(1)).otherwise(_c(v))).withColumn("_tp", typical())
-    sw = R.sum("_w", n)
-    m = F.col("vwap")
-    ss = R.sum(F.col("_w") * F.col("_tp") * F.col("_tp"), n) - lit(2) * m * R.sum(F.col("_w") * F.col("_tp"), n)
-    sd = F.sqrt(F.greatest(ss / sw + m * m, lit(0)))
-    return df.withColumns({"vwap_upper": m + lit(k) * sd, "vwap_lower": m - lit(k) * sd}).drop("_w", "_tp")
-
-
-def mfi(df: DataFrame, n: int = 14) -> DataFrame:
-    df = df.withColumn("_tp", typical()).withColumn("_p", R.lag("_tp"))
-    tp, p = F.col("_tp"), F.col("_p")
-    pos = R.sum(F.when(tp > p, tp * _c(v)).when(p.isNotNull(), lit(0)), n)
-    neg = R.sum(F.when(tp < p, tp * _c(v)).when(p.isNotNull(), lit(0)), n)
+    w = F.when(_c(v) == 0, lit(1)).otherwise(_c(v))
+    m, sd = F.col("vwap"), F.col("_vb_sd")
+    var = (F.col("_vb_2") - lit(2) * m * F.col("_vb_1")) / F.col("_vb_0") + m * m
+    first, second = vwap.levels(n)
+    first = {**first, "_vb_0": R.sum(w, n), "_vb_1": R.sum(w * typical(), n), "_vb_2": R.sum(w * typical() * typical(), n)}
+    return [
+        first,
+        second,
+        {"_vb_sd": F.sqrt(F.greatest(var, lit(0)))},
+        {"vwap_upper": m + lit(k) * sd, "vwap_lower": m - lit(k) * sd},
+    ]
+
+
+@Staged
+def mfi(n: int = 14):
+    tp, p = F.col("_tp"), F.col("_tp1")
+    neg, pos = F.col("_mf_dn"), F.col("_mf_up")
     val = F.when(neg == 0, lit(100)).otherwise(lit(100) - lit(100) / (lit(1) + pos / neg))
-    return df.withColumn("mfi", F.when(neg.isNotNull(), val)).drop("_tp", "_p")
+    return [
+        {"_tp": typical(), "_tp1": R.lag(typical())},
+        {
+            "_mf_up": R.sum(F.when(tp > p, tp * _c(v)).when(p.isNotNull(), lit(0)), n),
+            "_mf_dn": R.sum(F.when(tp < p, tp * _c(v)).when(p.isNotNull(), lit(0)), n),
+        },
+        {"mfi": F.when(neg.isNotNull(), val)},
+    ]
 
 
-def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, span_b: int = 52) -> DataFrame:
+@Staged
+def ichimoku(tenkan: int = 9, kijun: int = 26, span_b: int = 52):
     """Chikou reads the close `kijun` bars ahead: a look-ahead column."""
 
     def mid(n: int) -> Column:
         return (R.max("high", n) + R.min("low", n)) / lit(2)
 
-    return df.withColumns(
-        {
-            "tenkan": mid(tenkan),
-            "kijun": mid(kijun),
-            "span_a": (mid(tenkan) + mid(kijun)) / lit(2),
-            "span_b": mid(span_b),
-            "chikou": R.lead("close", kijun),
-        }
-    )
+    return [
+        {"tenkan": mid(tenkan), "kijun": mid(kijun), "span_b": mid(span_b), "chikou": R.lead("close", kijun)},
+        {"span_a": (F.col("tenkan") + F.col("kijun")) / lit(2)},
+    ]
 
 
-def cci(df: DataFrame, n: int = 20) -> DataFrame:
+@Staged
+def cci(n: int = 20):
     """Mean absolute deviation is about the current mean, so the window's values are kept."""
-    df = df.withColumn("_tp", typical()).withColumn("_m", R.mean("_tp", n))
-    df = df.withColumn("_w", F.collect_list("_tp").over(R.frame(n)))
-    dev = F.aggregate("_w", lit(0), lambda a, x: a + F.abs(x - F.col("_m"))) / lit(n)
-    df = df.withColumn("_d", dev)
-    val = F.when(F.col("_d") > 0, (F.col("_tp") - F.col("_m")) / (lit(0.015) * F.col("_d")))
-    return df.withColumn("cci", val).drop("_tp", "_m", "_w", "_d")
-
-
-def donchian(df: DataFrame, n: int = 20) -> DataFrame:
-    up, lo = R.max("high", n), R.min("low", n)
-    return df.withColumns({"donchian_upper": up, "donchian_lower": lo, "donchian_mid": (up + lo) / lit(2)})
-
-
-def williams_r(df: DataFrame, n: int = 14) -> DataFrame:
-    hi, lo = R.max("high", n), R.min("low", n)
-    return df.withColumn("williams_r", F.when(hi > lo, (hi - _c(c)) / (hi - lo) * lit(-100)))
-
-
-def stoch_rsi(df: DataFrame, n: int = 14, k: int = 3, d: int = 3) -> DataFrame:
-    df = rsi_cutler(df, n)
-    hi, lo = R.max("rsi_cutler", n), R.min("rsi_cutler", n)
-    raw = F.when(hi == lo, lit(0)).otherwise((F.col("rsi_cutler") - lo) / (hi - lo) * lit(100))
-    df = df.withColumn("_sr", F.when(hi.isNotNull(), raw))
-    df = df.withColumn("stoch_k", R.mean("_sr", k))
-    return df.withColumn("stoch_d", R.mean("stoch_k", d)).drop("_sr", "rsi_cutler")
+    m = F.col("_cci_m")
+    dev = F.aggregate("_cci_w", lit(0), lambda a, x: a + F.abs(x - m)) / lit(n)
+    val = F.when(F.col("_cci_d") > 0, (typical() - m) / (lit(0.015) * F.col("_cci_d")))
+    return [
+        {"_cci_m": R.mean(typical(), n), "_cci_w": F.collect_list(typical()).over(R.frame(n))},
+        {"_cci_d": dev},
+        {"cci": val},
+    ]
+
+
+@Staged
+def donchian(n: int = 20):
+    return [
+        {"donchian_upper": R.max("high", n), "donchian_lower": R.min("low", n)},
+        {"donchian_mid": (F.col("donchian_upper") + F.col("donchian_lower")) / lit(2)},
+    ]
+
+
+@Staged
+def williams_r(n: int = 14):
+    hi, lo = F.col("_hi14"), F.col("_lo14")
+    return [
+        {"_hi14": R.max("high", n), "_lo14": R.min("low", n)},
+        {"williams_r": F.when(hi > lo, (hi - _c(c)) / (hi - lo) * lit(-100))},
+    ]
+
+
+@Staged
+def stoch_rsi(n: int = 14, k: int = 3, d: int = 3):
+    rsi = [dict(level) for level in rsi_cutler.levels(n)]
+    rsi[2]["_srsi"] = rsi[2].pop("rsi_cutler")
+    hi, lo = F.col("_sr_hi"), F.col("_sr_lo")
+    raw = F.when(hi == lo, lit(0)).otherwise((F.col("_srsi") - lo) / (hi - lo) * lit(100))
+    return [
+        *rsi,
+        {"_sr_hi": R.max("_srsi", n), "_sr_lo": R.min("_srsi", n)},
+        {"_sr": F.when(hi.isNotNull(), raw)},
+        {"stoch_k": R.mean("_sr", k)},
+        {"stoch_d": R.mean("stoch_k", d)},
+    ]
 
 
 def money_flow_multiplier() -> Column:
     return F.when(h > l, ((c - _c(l)) - (h - _c(c))) / (h - _c(l))).otherwise(lit(0))
 
 
-def cmf(df: DataFrame, n: int = 20) -> DataFrame:
-    sv = R.sum("volume", n)
-    return df.withColumn("cmf", F.when(sv > 0, R.sum(money_flow_multiplier() * _c(v), n) / sv))
+@Staged
+def cmf(n: int = 20):
+    return [
+        {"_cmf_v": R.sum("volume", n), "_cmf_m": R.sum(money_flow_multiplier() * _c(v), n)},
+        {"cmf": F.when(F.col("_cmf_v") > 0, F.col("_cmf_m") / F.col("_cmf_v"))},
+    ]
 
 
-def aroon(df: DataFrame, n: int = 25) -> DataFrame:
+@Staged
+def aroon(n: int = 25):
     """Bars since the extreme of the last n; ties take the most recent bar."""
-    df = df.withColumn("_i", R.at().cast("double"))
-    ready = F.col("_i") >= n
-    top = F.max(F.struct("high", "_i")).over(R.frame(n))["_i"]
-    low = F.max(F.struct((-l).alias("x"), "_i")).over(R.frame(n))["_i"]
+    i = F.col("_i")
 
-    def score(at: Column) -> Column:
-        return F.when(ready, (lit(n - 1) - (F.col("_i") - at)) / lit(n - 1) * lit(100))
+    def score(at: str) -> Column:
+        return F.when(i >= n, (lit(n - 1) - (i - F.col(at)["_i"])) / lit(n - 1) * lit(100))
 
-    return df.withColumns({"aroon_up": score(top), "aroon_down": score(low)}).drop("_i")
+    return [
+        {"_i": R.at().cast("double")},
+        {
+            "_ar_t": F.max(F.struct("high", "_i")).over(R.frame(n)),
+            "_ar_b": F.max(F.struct((-l).alias("x"), "_i")).over(R.frame(n)),
+        },
+        {"aroon_up": score("_ar_t"), "aroon_down": score("_ar_b")},
+    ]
 
 
-def cmo(df: DataFrame, n: int = 14) -> DataFrame:
-    df = df.withColumn("_d", c - R.lag("close"))
-    up = R.sum(F.when(F.col("_d") > 0, F.col("_d")).when(F.col("_d").isNotNull(), lit(0)), n)
-    dn = R.sum(F.when(F.col("_d") > 0, lit(0)).when(F.col("_d").isNotNull(), -F.col("_d")), n)
+@Staged
+def cmo(n: int = 14):
+    x, up, dn = F.col("_delta"), F.col("_cmo_up"), F.col("_cmo_dn")
     val = F.when(up + dn > 0, (up - dn) / (up + dn) * lit(100)).otherwise(lit(0))
-    return df.withColumn("cmo", F.when(up.isNotNull(), val)).drop("_d")
-
-
-def pivot_points(df: DataFrame) -> DataFrame:
-    ph, pl, pc = R.lag("high"), R.lag("low"), R.lag("close")
-    p = (ph + pl + pc) / lit(3)
-    return df.withColumns(
+    return [
+        {"_delta": delta()},
+        {
+            "_cmo_up": R.sum(F.when(x > 0, x).when(x.isNotNull(), lit(0)), n),
+            "_cmo_dn": R.sum(F.when(x > 0, lit(0)).when(x.isNotNull(), -x), n),
+        },
+        {"cmo": F.when(up.isNotNull(), val)},
+    ]
+
+
+@Staged
+def pivot_points():
+    ph, pl, p = F.col("_h1"), F.col("_l1"), F.col("pivot_pp")
+    return [
+        {"_h1": R.lag("high"), "_l1": R.lag("low"), "pivot_pp": R.lag(typical())},
         {
-            "pivot_pp": p,
             "pivot_r1": lit(2) * p - pl,
             "pivot_s1": lit(2) * p - ph,
             "pivot_r2": p + (ph - pl),
             "pivot_s2": p - (ph - pl),
-        }
-    )
+        },
+    ]
 
 
-def alligator(df: DataFrame, lens=(13, 8, 5), shifts=(8, 5, 3)) -> DataFrame:
-    df = df.withColumn("_hl", middle())
-    df = df.withColumns({f"_a{i}": R.mean("_hl", n) for i, n in enumerate(lens)})
+@Staged
+def alligator(lens=(13, 8, 5), shifts=(8, 5, 3)):
     names = ("jaw", "teeth", "lips")
-    df = df.withColumns({names[i]: R.lag(f"_a{i}", s) for i, s in enumerate(shifts)})
-    return df.drop("_hl", "_a0", "_a1", "_a2")
+    return [
+        {f"_al{i}": R.mean(middle(), n) for i, n in enumerate(lens)},
+        {names[i]: R.lag(f"_al{i}", s) for i, s in enumerate(shifts)},
+    ]
 
 
-def awesome(df: DataFrame, fast: int = 5, slow: int = 34) -> DataFrame:
-    return df.withColumn("ao", R.mean(middle(), fast) - R.mean(middle(), slow))
+@Staged
+def awesome(fast: int = 5, slow: int = 34):
+    return [{"ao": R.mean(middle(), fast) - R.mean(middle(), slow)}]
 
 
-def hull(df: DataFrame, n: int = 9) -> DataFrame:
-    df = df.withColumn("_x", lit(2) * R.wma("close", n // 2) - R.wma("close", n))
-    return df.withColumn("hull", R.wma("_x", int(n**0.5))).drop("_x")
+@Staged
+def hull(n: int = 9):
+    return [{"_hull": lit(2) * R.wma("close", n // 2) - R.wma("close", n)}, {"hull": R.wma("_hull", int(n**0.5))}]
 
 
-def accumulation(df: DataFrame) -> DataFrame:
-    return df.withColumn("_x", money_flow_multiplier() * _c(v)).withColumn("ad", R.cum("_x")).drop("_x")
+@Staged
+def accumulation():
+    return [{"ad": R.cum(money_flow_multiplier() * _c(v))}]
 
 
 def _roc(n: int) -> Column:
@@ -270,47 +364,57 @@ def _roc(n: int) -> Column:
     return F.when(base != 0, (c - base) / base * lit(100))
 
 
-def roc(df: DataFrame, n: int = 12) -> DataFrame:
-    return df.withColumn("roc", _roc(n))
+@Staged
+def roc(n: int = 12):
+    return [{"roc": _roc(n)}]
 
 
-def coppock(df: DataFrame, n: int = 10, long: int = 14, short: int = 11) -> DataFrame:
-    df = df.withColumn("_x", _roc(long) + _roc(short))
-    return df.withColumn("coppock", R.wma("_x", n)).drop("_x")
+@Staged
+def coppock(n: int = 10, long: int = 14, short: int = 11):
+    return [{"_cop": _roc(long) + _roc(short)}, {"coppock": R.wma("_cop", n)}]
 
 
-def swing_points(df: DataFrame, n: int, high_name: str, low_name: str) -> DataFrame:
+@Staged
+def swing_points(n: int, high_name: str, low_name: str):
     """Strict local extremes over n bars on both sides: look-ahead by n bars."""
     before, after = R.base.rowsBetween(-n, -1), R.base.rowsBetween(1, n)
     inside = (F.count(F.lit(1)).over(before) == n) & (F.count(F.lit(1)).over(after) == n)
     top = inside & (h > F.max("high").over(before)) & (h > F.max("high").over(after))
     low = inside & (l < F.min("low").over(before)) & (l < F.min("low").over(after))
-    return df.withColumns({high_name: F.when(top, _c(h)), low_name: F.when(low, _c(l))})
+    return [{high_name: F.when(top, _c(h)), low_name: F.when(low, _c(l))}]
 
 
 def fractals(df: DataFrame, n: int = 2) -> DataFrame:
     return swing_points(df, n, "fractal_high", "fractal_low")
 
 
-def choppiness(df: DataFrame, n: int = 14) -> DataFrame:
-    df = df.withColumn("_tr", true_range(True))
-    hi, lo, tr = R.max("high", n), R.min("low", n), R.sum("_tr", n)
-    ok = (h - R.lag("low", n - 1) > 0) & (hi > lo)
-    return df.withColumn("chop", F.when(ok, lit(100) * F.log(tr / (hi - lo)) / F.log(lit(n)))).drop("_tr")
+@Staged
+def choppiness(n: int = 14):
+    hi, lo = F.col("_ch_hi"), F.col("_ch_lo")
+    ok = (h - F.col("_ch_l") > 0) & (hi > lo)
+    return [
+        {"_tr1": true_range(True)},
+        {"_ch_hi": R.max("high", n), "_ch_lo": R.min("low", n), "_ch_tr": R.sum("_tr1", n), "_ch_l": R.lag("low", n - 1)},
+        {"chop": F.when(ok, lit(100) * F.log(F.col("_ch_tr") / (hi - lo)) / F.log(lit(n)))},
+    ]
 
 
-def ulcer(df: DataFrame, n: int = 14) -> DataFrame:
+@Staged
+def ulcer(n: int = 14):
     """Root mean square drawdown from the window's single maximum, with the window sums expanded."""
-    m = R.max("close", n)
-    q = R.sum(c * _c(c), n) / (m * m) - lit(2) * R.sum("close", n) / m + lit(n)
-    return df.withColumn("ulcer", F.when(m.isNotNull(), F.sqrt(F.greatest(q, lit(0)) * lit(10000) / lit(n))))
+    m = F.col("_ul_m")
+    q = F.col("_ul_2") / (m * m) - lit(2) * F.col("_ul_1") / m + lit(n)
+    return [
+        {"_ul_m": R.max("close", n), "_ul_1": R.sum("close", n), "_ul_2": R.sum(c * _c(c), n)},
+        {"ulcer": F.when(m.isNotNull(), F.sqrt(F.greatest(q, lit(0)) * lit(10000) / lit(n)))},
+    ]
 
 
 def amplitude(df: DataFrame, spans: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """Average amplitude: the bar's own column where present, else (high - low) / open."""
     own = F.col("amplitude") if "amplitude" in df.columns else F.lit(None).cast("double")
-    df = df.withColumn("_a", F.coalesce(own, F.when(o > 0, (h - _c(l)) / _c(o) * lit(100))))
-    return df.withColumns({f"amplitude{n}": R.mean("_a", n) for n in spans}).drop("_a")
+    one = F.coalesce(own, F.when(o > 0, (h - _c(l)) / _c(o) * lit(100)))
+    return together(df, [{"_amp": one}, {f"amplitude{n}": R.mean("_amp", n) for n in spans}])
 
 
 def ma_map(df: DataFrame, periods: Sequence[int] = (5, 10, 20, 30, 60), digits: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import lit
+from barloom.functions.numeric import lit, rnd
 from barloom.indicators import recurrent as rc
 from barloom.indicators import rolling as ro
 from barloom.operators.recurrence import by_instrument, scan
@@ -203,44 +203,30 @@ def indicator_table(df: DataFrame) -> DataFrame:
     extra = [c for c in df.columns if c not in ("code", "day", *base)]
     df = scan(rc.sats_inputs(df), rc.sats_recipe, rc.SATS_INPUTS, rc.SATS_OUTPUTS, carry=(*base, *extra))
     steps = (
-        ro.moving_averages,
-        ro.bollinger_pop,
-        ro.vwap_bands,
-        ro.hull,
-        ro.ichimoku,
-        ro.donchian,
-        ro.alligator,
-        ro.pivot_points,
-        ro.cci,
-        ro.williams_r,
-        ro.stoch_rsi,
-        ro.rsi_cutler,
-        ro.aroon,
-        ro.cmo,
-        ro.roc,
-        ro.coppock,
-        ro.awesome,
-        ro.obv_vol0,
-        ro.mfi,
-        ro.cmf,
-        ro.accumulation,
-        ro.choppiness,
-        ro.ulcer,
-    )
-    for step in steps:
-        df = step(df)
-    df = df.withColumn("mass_index", ro.R.sum("mass_ratio", 25)).withColumn("squeeze", rc.squeeze_on())
-    return df
+        ro.moving_averages, ro.bollinger_pop, ro.vwap_bands, ro.hull, ro.ichimoku, ro.donchian, ro.alligator,
+        ro.pivot_points, ro.cci, ro.williams_r, ro.stoch_rsi, ro.rsi_cutler, ro.aroon, ro.cmo, ro.roc, ro.coppock,
+        ro.awesome, ro.obv_vol0, ro.mfi, ro.cmf, ro.accumulation, ro.choppiness, ro.ulcer,
+    )
+    mass = [{"mass_index": ro.R.sum("mass_ratio", 25)}]
+    df = ro.together(df, mass, *[s.levels() for s in steps])
+    return df.withColumn("squeeze", rc.squeeze_on())
 
 
 def vote(df: DataFrame) -> DataFrame:
     """code, day and an array of (name, side) for the indicators that vote on the bar."""
     df = indicator_table(df)
     back = Window.partitionBy("code").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in FILLED})
+    df = df.withColumns(
+        {
+            **{c: F.last(c, ignorenulls=True).over(back) for c in FILLED},
+            # sums that differ only in the last bits are the same level
+            "ad": rnd("ad", 6),
+            "_n": ro.R.at(),
+        }
+    )
     df = df.withColumns({f"p_{c}": ro.R.lag(c) for c in COMPARED})
     votes = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(t).alias("side")) for n, t in RULES.items()])
-    return df.withColumn("_n", ro.R.at()).filter(F.col("_n") >= 2).select(
+    return df.filter(F.col("_n") >= 2).select(
         "code", "day", F.filter(votes, lambda v: v["side"].isNotNull()).alias("votes")
     )
 

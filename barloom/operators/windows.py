@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +21,26 @@ class Roll:
 
     def __init__(self, keys: Sequence[str] = ("code",), order: Sequence[str] = ("day",)):
         self.keys, self.order = tuple(keys), tuple(order)
+        self._specs: dict = {}
+
+    def _spec(self, lo: int | None = None, hi: int = 0):
+        """Window specs are built once per session: each costs several calls into the JVM."""
+        context = SparkContext._active_spark_context
+        if self._specs.get("context") is not context:
+            base = Window.partitionBy(*self.keys).orderBy(*self.order)
+            self._specs = {"context": context, None: base}
+        if lo is None:
+            return self._specs[None]
+        if (lo, hi) not in self._specs:
+            self._specs[(lo, hi)] = self._specs[None].rowsBetween(lo, hi)
+        return self._specs[(lo, hi)]
 
     @property
     def base(self):
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
+        return self._spec()
 
     def frame(self, n: int):
-        return self.base.rowsBetween(-(n - 1), 0)
+        return self._spec(-(n - 1), 0)
 
     def at(self) -> Column:
         return F.row_number().over(self.base)
@@ -60,7 +74,7 @@ class Roll:
         return self.agg(F.stddev_pop, x, n)
 
     def cum(self, x) -> Column:
-        return F.sum(_c(x)).over(self.base.rowsBetween(Window.unboundedPreceding, 0))
+        return F.sum(_c(x)).over(self._spec(Window.unboundedPreceding, 0))
 
     def wma(self, x, n: int) -> Column:
         """Linear weights 1..n, newest heaviest; null while any term is missing."""

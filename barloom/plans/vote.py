@@ -8,7 +8,7 @@ from barloom.functions.dates import day_text
 from barloom.indicators import vote
 from barloom.plans import indicators as qi
 from barloom.plans.registry import query
-from barloom.plans.sqlkit import AT, BARS, MFM, TR, W, d, f_ema, f_rma, lag, recursive, roll
+from barloom.plans.sqlkit import AT, BARS, MFM, TR, W, d, f_ema, f_rma, lag, r, recursive, roll
 from barloom.sources import views
 
 _FIELDS = [
@@ -105,7 +105,8 @@ def _sql() -> str:
     lags = ", ".join(f"lag({c}) OVER {W} AS p_{c}" for c in vote.COMPARED)
     fills = ", ".join(f"last_value({c} IGNORE NULLS) OVER {qi._cum} AS {c}" for c in vote.FILLED)
     rest = [c for c in _REC_COLS if c not in vote.FILLED]
-    others = "code day close ma5 ma10 ma20 ma60 boll_upper boll_lower boll_mid hull tenkan kijun span_a span_b donchian_upper donchian_lower jaw teeth lips pivot_pp pivot_r1 pivot_s1 rsi_cutler stoch_k stoch_d aroon_up aroon_down cmo roc coppock ao obv_vol0 mfi ad ulcer bn sats_dir".split()
+    lags = lags.replace("lag(ad)", f"lag({r('ad', 6)})")
+    others = "code day close ma5 ma10 ma20 ma60 boll_upper boll_lower boll_mid hull tenkan kijun span_a span_b donchian_upper donchian_lower jaw teeth lips pivot_pp pivot_r1 pivot_s1 rsi_cutler stoch_k stoch_d aroon_up aroon_down cmo roc coppock ao obv_vol0 mfi ulcer bn sats_dir".split()
     votes = ",\n ".join(f"{t} AS v{i}" for i, t in enumerate(vote.RULES.values()))
     listed = "[" + ",".join(f"v{i}" for i in range(len(vote.RULES))) + "]"
     counts = ", ".join(f"CAST(len(list_filter(vs, lambda x: x = '{s}')) AS BIGINT) AS {s}" for s in vote.SIDES)
@@ -115,7 +116,7 @@ def _sql() -> str:
 j0 AS (SELECT v.*, {', '.join('rec.' + c for c in _REC_COLS)}, recs.dir AS sats_dir, rec.keltner_lower AS kl, rec.keltner_upper AS ku
        FROM v{_LAST} v JOIN rec ON rec.code = v.code AND rec.day = v.day JOIN recs ON recs.code = v.code AND recs.day = v.day),
 j1 AS (SELECT *, {roll('sum', 'mass_ratio', 25)} AS mass_index, coalesce(boll_lower >= kl AND boll_upper <= ku, false) AS squeeze FROM j0),
-j2 AS (SELECT {', '.join(others)}, {', '.join(rest)}, mass_index, squeeze, {fills}, {lags} FROM j1),
+j2 AS (SELECT {', '.join(others)}, {r('ad', 6)} AS ad, {', '.join(rest)}, mass_index, squeeze, {fills}, {lags} FROM j1),
 j3 AS (SELECT code, day, {votes} FROM j2 WHERE bn >= 2),
 j4 AS (SELECT code, day, list_filter({listed}, lambda x: x IS NOT NULL) AS vs FROM j3),
 j5 AS (SELECT code, day, CAST(len(vs) AS BIGINT) AS total, {counts} FROM j4)"""

@@ -16,6 +16,7 @@ def local_session(app: str = "barloom", cpus: str | int | None = None, shuffle:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BARLOOM_DRIVER_MEMORY", "6g"))
     )
