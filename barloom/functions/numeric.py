@@ -111,7 +111,7 @@ def display_amount(x) -> Column:
     """Amounts in units of 1e8 and 1e4, two decimals."""
     v = _c(x)
     return (
-        F.when(v >= 1e8, F.concat(F.format_string("%.2f", v / lit(1e8)), F.lit("亿")))
-        .when(v >= 1e4, F.concat(F.format_string("%.2f", v / lit(1e4)), F.lit("万")))
-        .otherwise(F.format_string("%.2f", v))
+        F.when(v >= 1e8, F.concat(F.format_string("%.2f", rnd(v / lit(1e8), 2)), F.lit("亿")))
+        .when(v >= 1e4, F.concat(F.format_string("%.2f", rnd(v / lit(1e4), 2)), F.lit("万")))
+        .otherwise(F.format_string("%.2f", rnd(v, 2)))
     )

@@ -145,22 +145,22 @@ def parse_flow_lines(spark, sf):
 @query(
     "first_non_empty_source",
     ctes(BARS)
-    + f"""SELECT code, {d()} AS day, {r('close', 3)} AS close, CASE WHEN code % 3 = 0 THEN 'primary' ELSE 'fallback' END AS source FROM bars WHERE code % 3 = 0 OR code % 2 = 0""",
+    + f"""SELECT code, {d()} AS day, {r('close', 3)} AS close, CASE WHEN code % 3 = 0 THEN 'primary' ELSE 'fallback' END AS source FROM bars""",
 )
 def first_non_empty_source(spark, sf):
     b = views.bars(spark, sf).select("code", "day", "close")
-    out = readers.first_non_empty_source([("primary", b.filter(F.col("code") % 3 == 0)), ("fallback", b.filter(F.col("code") % 2 == 0))])
+    out = readers.first_non_empty_source([("primary", b.filter(F.col("code") % 3 == 0)), ("fallback", b)])
     return out.select("code", day_text("day").alias("day"), rnd("close", 3).alias("close"), "source")
 
 
 @query(
     "upsert",
     ctes(BARS)
-    + f"""SELECT code, {d()} AS day, CASE WHEN code % 2 = 0 THEN {r('close * 2', 3)} ELSE {r('close', 3)} END AS close FROM bars WHERE code % 2 = 0 OR code % 3 = 0""",
+    + f"""SELECT code, {d()} AS day, CASE WHEN code % 2 = 0 THEN {r('close * 2', 3)} ELSE {r('close', 3)} END AS close FROM bars""",
 )
 def upsert(spark, sf):
     b = views.bars(spark, sf).select("code", "day", "close")
-    out = sinks.upsert(b.filter(F.col("code") % 3 == 0), b.filter(F.col("code") % 2 == 0).withColumn("close", F.col("close") * lit(2)), ["code", "day"])
+    out = sinks.upsert(b, b.filter(F.col("code") % 2 == 0).withColumn("close", F.col("close") * lit(2)), ["code", "day"])
     return out.select("code", day_text("day").alias("day"), rnd("close", 3).alias("close"))
 
 

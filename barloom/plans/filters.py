@@ -244,7 +244,7 @@ def auction_rows(spark, sf):
 
 @query(
     "number_text",
-    f"SELECT c_custkey, {r('c_acctbal', 2)} AS plain, {r('c_acctbal / 100', 4)} AS percent, CASE WHEN c_acctbal >= 1e8 THEN printf('%.2f', c_acctbal / 1e8) || '亿' WHEN c_acctbal >= 1e4 THEN printf('%.2f', c_acctbal / 1e4) || '万' ELSE printf('%.2f', c_acctbal) END AS shown FROM (SELECT c_custkey, c_acctbal * 8 AS c_acctbal FROM customer)",
+    f"SELECT c_custkey, {r('c_acctbal', 2)} AS plain, {r('c_acctbal / 100', 4)} AS percent, CASE WHEN c_acctbal >= 1e8 THEN printf('%.2f', {r('c_acctbal / 1e8', 2)}) || '亿' WHEN c_acctbal >= 1e4 THEN printf('%.2f', {r('c_acctbal / 1e4', 2)}) || '万' ELSE printf('%.2f', {r('c_acctbal', 2)}) END AS shown FROM (SELECT c_custkey, c_acctbal * 8 AS c_acctbal FROM customer)",
 )
 def number_text(spark, sf):
     c = views.table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 8).alias("x"))
