@@ -30,32 +30,45 @@ def _two_level(df: DataFrame, value: Column, name: str, keys: Sequence[str] = ("
 
 
 def consume(trades: DataFrame) -> DataFrame:
-    """Adds what each sell really consumes when inventory cannot go below zero.
+    """Adds cumulative purchases (bought_to), what a sell consumes, and cumulative consumption (used_to).
 
     With the running signed volume S and its floor M = min(0, running minimum of S), the
-    inventory is S - M and a sell consumes its volume less the drop of M.
+    inventory is S - M, a sell consumes its volume less the drop of M, and total consumption is
+    total sales + M. Running sums and minima are taken inside a (code, day) and carried over
+    days from one row per day, so a code that holds a third of all rows is spread over its days.
     """
-    signed = F.when(F.col("side") == "buy", F.col("volume")).otherwise(-F.col("volume"))
-    df = _two_level(trades.withColumn("_s", signed), F.col("_s"), "_S")
+    buy = F.when(F.col("side") == "buy", F.col("volume")).otherwise(lit(0))
+    width = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = trades.withColumns({"_b": buy, "_s": F.when(F.col("side") == "buy", F.col("volume")).otherwise(-F.col("volume"))})
+    df = df.repartition(width, "code", "day")
     inside = Window.partitionBy("code", "day").orderBy("k")
-    low = df.groupBy("code", "day").agg(F.min("_S").alias("_m"))
+    upto, before = inside.rowsBetween(*_UPTO), inside.rowsBetween(*_BEFORE)
+    df = df.withColumns({"_rs": F.sum("_s").over(upto), "_rb": F.sum("_b").over(upto)})
+    df = df.withColumns({"_low": F.min("_rs").over(upto), "_low0": F.min("_rs").over(before)})
+    days = df.groupBy("code", "day").agg(F.sum("_s").alias("_ts"), F.sum("_b").alias("_tb"), F.min("_rs").alias("_m"))
     w = Window.partitionBy("code").orderBy("day").rowsBetween(*_BEFORE)
-    low = low.select("code", "day", F.least(F.coalesce(F.min("_m").over(w), lit(0)), lit(0)).alias("_floor"))
-    df = df.join(low, ["code", "day"])
-    df = df.withColumn("_M", F.least(F.min("_S").over(inside.rowsBetween(*_UPTO)), F.col("_floor")))
-    before = F.coalesce(F.least(F.min("_S").over(inside.rowsBetween(*_BEFORE)), F.col("_floor")), F.col("_floor"))
-    df = df.withColumn("consumed", F.when(F.col("side") == "sell", F.col("volume") - (before - F.col("_M"))).otherwise(lit(0)))
-    return df.drop("_s", "_S", "_M", "_floor")
+    days = days.withColumns({"_s0": F.coalesce(F.sum("_ts").over(w), lit(0)), "_b0": F.coalesce(F.sum("_tb").over(w), lit(0))})
+    floor = F.least(F.coalesce(F.min(F.col("_s0") + F.col("_m")).over(w), lit(0)), lit(0))
+    days = days.select("code", "day", "_s0", "_b0", floor.alias("_floor"))
+    df = df.join(days, ["code", "day"])
+    low = F.least(F.col("_s0") + F.col("_low"), F.col("_floor"))
+    low0 = F.least(F.coalesce(F.col("_s0") + F.col("_low0"), F.col("_floor")), F.col("_floor"))
+    bought = F.col("_b0") + F.col("_rb")
+    sold = bought - (F.col("_s0") + F.col("_rs"))
+    sell = F.col("side") == "sell"
+    return df.select(
+        *trades.columns,
+        F.when(sell, F.col("volume") - (low0 - low)).otherwise(lit(0)).alias("consumed"),
+        bought.alias("bought_to"),
+        (sold + low).alias("used_to"),
+    )
 
 
 def lots(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buy lots with their range of cumulative purchases, sells with their range of cumulative consumption."""
     df = consume(trades)
-    buy = F.when(F.col("side") == "buy", F.col("volume")).otherwise(lit(0))
-    df = _two_level(df, buy, "_b1")
-    df = _two_level(df, F.col("consumed"), "_c1")
-    b = df.filter("side = 'buy'").select("code", "day", "k", "price", "volume", (F.col("_b1") - F.col("volume")).alias("lo"), F.col("_b1").alias("hi"))
-    s = df.filter("side = 'sell'").select("code", "day", "k", "price", "volume", "consumed", (F.col("_c1") - F.col("consumed")).alias("lo"), F.col("_c1").alias("hi"))
+    b = df.filter("side = 'buy'").select("code", "day", "k", "price", "volume", (F.col("bought_to") - F.col("volume")).alias("lo"), F.col("bought_to").alias("hi"))
+    s = df.filter("side = 'sell'").select("code", "day", "k", "price", "volume", "consumed", (F.col("used_to") - F.col("consumed")).alias("lo"), F.col("used_to").alias("hi"))
     return b, s
 
 
@@ -68,15 +81,16 @@ def sell_costs(b: DataFrame, s: DataFrame, bucket: float = 1024.0) -> DataFrame:
 
     def cut(df: DataFrame) -> DataFrame:
         first, last = F.floor(F.col("lo") / bucket), F.ceil(F.col("hi") / bucket) - 1
-        each = df.filter("hi > lo").withColumn("_q", F.explode(F.sequence(first, F.greatest(first, last))))
+        each = df.filter("hi > lo").select("code", "price", "lo", "hi", F.col("lo").alias("from"), F.col("hi").alias("to"), F.explode(F.sequence(first, F.greatest(first, last))).alias("_q"))
         return each.withColumns({"lo": F.greatest("lo", F.col("_q") * bucket), "hi": F.least("hi", (F.col("_q") + 1) * bucket)})
 
     lot = cut(b).select("code", "_q", F.col("lo").alias("b0"), F.col("hi").alias("b1"), F.col("price").alias("lot_price"))
-    sell = cut(s).select("code", "day", "k", "_q", F.col("lo").alias("c0"), F.col("hi").alias("c1"))
+    # a consumption range identifies its sell, even among identical trades
+    sell = cut(s).select("code", "from", "to", "_q", F.col("lo").alias("c0"), F.col("hi").alias("c1"))
     part = F.least("b1", "c1") - F.greatest("b0", "c0")
     j = sell.join(lot, ["code", "_q"]).filter((F.col("b0") < F.col("c1")) & (F.col("c0") < F.col("b1")))
-    cost = j.groupBy("code", "day", "k").agg(F.sum(part * F.col("lot_price")).alias("cost"))
-    out = s.join(cost, ["code", "day", "k"], "left").withColumn("cost", F.coalesce("cost", lit(0)))
+    cost = j.groupBy("code", F.col("from").alias("lo"), F.col("to").alias("hi")).agg(F.sum(part * F.col("lot_price")).alias("cost"))
+    out = s.join(cost, ["code", "lo", "hi"], "left").withColumn("cost", F.coalesce("cost", lit(0)))
     full = F.col("consumed") >= F.col("volume")
     return out.withColumns({"covered": full, "profit": F.when(full, F.col("price") * F.col("volume") - F.col("cost"))})
 
