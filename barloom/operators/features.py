@@ -33,9 +33,6 @@ def feature_table(bars: DataFrame, source: str = "kline", warm_up: int = WARM_UP
 
     One exchange by code serves the windows, the Arrow pass and the grouping inside it.
     """
-    base = ["open", "high", "low", "close", "volume", "amount"]
-    flow = ["net_inflow"] if "net_inflow" in bars.columns else []
-    df = rc.run(rc.with_inputs(by_instrument(bars)), RECIPES, carry=[*base, *flow], prepared=True)
     parts = [
         ro.moving_averages.levels(),
         ro.bollinger_pop.levels(),
@@ -48,9 +45,12 @@ def feature_table(bars: DataFrame, source: str = "kline", warm_up: int = WARM_UP
         ro.obv_zero.levels(),
         [{"bar_no": Roll().at()}],
     ]
-    if flow:
+    if "net_inflow" in bars.columns:
         parts.append(ro.fund_flow.levels())
-    df = ro.together(df, *parts).withColumnsRenamed(RENAME)
+    # windows first: the Arrow pass only carries their columns, and nothing after it needs an exchange
+    df = ro.together(by_instrument(bars), *parts)
+    carry = [c for c in df.columns if c not in ("code", "day", "turnover", "net_inflow")]
+    df = rc.run(rc.with_inputs(df), RECIPES, carry=carry, prepared=True).withColumnsRenamed(RENAME)
     as_of = F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(15), mins=F.lit(10))
     return df.filter(F.col("bar_no") > warm_up).drop("kdj_d", "kdj_j").withColumns(
         {
