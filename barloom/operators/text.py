@@ -36,18 +36,25 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, transitions: Sequence[str], t
     d = d.withColumn("_cut", F.coalesce(first, F.lit(0).cast("long")))
     cut = F.col("_cut")
 
-    def near(i: Column, step: int) -> Column:
-        """The neighbour within the same side of the transition."""
-        at = i + step
-        return F.when((at >= 1) & (at <= F.size("_t")) & ((cut == 0) | (at != cut)), F.get("_t", (at - 1).cast("int")))
-
-    row = F.transform(
-        F.sequence(F.lit(1), F.size("_t")),
-        lambda i: F.struct(
-            F.get("_t", i - 1).alias("w"), near(i, -1).alias("p"), near(i, 1).alias("n"), F.when((cut > 0) & (i > cut), lit(1.5)).otherwise(lit(1)).alias("m"), ((cut > 0) & (i == cut)).alias("x")
-        ),
+    n = F.size("_t")
+    none = F.array(F.lit(None).cast("string"))
+    # neighbours as shifted copies of the array: built-in array functions, no per-token lambda
+    d = d.filter(n > 0).select(
+        key,
+        "_cut",
+        F.col("_t").alias("w"),
+        F.concat(none, F.slice("_t", F.lit(1), n - 1)).alias("p"),
+        F.concat(F.slice("_t", F.lit(2), n - 1), none).alias("n"),
+    )
+    one = d.select(key, "_cut", F.posexplode(F.arrays_zip("w", "p", "n")).alias("_i", "_r")).select(key, "_cut", (F.col("_i") + 1).alias("_i"), "_r.*")
+    i, split = F.col("_i"), cut > 0
+    one = one.filter(~(split & (i == cut))).select(
+        key,
+        "w",
+        F.when(~(split & (i - 1 == cut)), F.col("p")).alias("p"),
+        F.when(~(split & (i + 1 == cut)), F.col("n")).alias("n"),
+        F.when(split & (i > cut), lit(1.5)).otherwise(lit(1)).alias("m"),
     )
-    one = d.filter(F.size("_t") > 0).select(key, F.explode(row).alias("r")).select(key, "r.*").filter("NOT x")
     lex = lexicon.select("word", "kind", "weight")
 
     def side(col: str, tag: str) -> DataFrame:

@@ -12,10 +12,11 @@ from barloom.operators import backtest as bt
 from barloom.operators import decisions as de
 from barloom.operators import features as of
 from barloom.operators import filters as fl
-from barloom.plans.features import RULE, feature_sql, features, rule_sql
+from barloom.plans.features import RULE, feature_sql, features, rule_sql, stored_features
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, SECTORS, W, ctes, d, lag, r
 from barloom.sources import views
+from barloom.sources.sinks import materialized
 
 H = RULE["max_hold"]
 CASH = 1e8
@@ -78,7 +79,7 @@ fd AS (SELECT fold, x.day AS sd, y.day AS ed FROM fp JOIN di x ON x.i = a JOIN d
 
 @query("walk_forward_folds", feature_sql(f"SELECT fold, {d('sd')} AS start_day, {d('ed')} AS end_day, count(code) AS trades, {r('coalesce(avg(return_rate), 0)', 6)} AS avg_return FROM fd LEFT JOIN trr ON buy_day BETWEEN sd AND ed GROUP BY fold, sd, ed", *TRADES_SQL, _FOLDS))
 def walk_forward_folds(spark, sf):
-    f = features(spark, sf)
+    f = stored_features(spark, sf)
     out = bt.fold_trades(trades(spark, sf, f=f), bt.folds(f))
     return out.select("fold", day_text("start_day").alias("start_day"), day_text("end_day").alias("end_day"), "trades", rnd("avg_return", 6).alias("avg_return"))
 
@@ -208,8 +209,8 @@ def bootstrap_interval(spark, sf):
 
 
 def _evidence(spark, sf):
-    """One row per supplier-strategy: its trade metrics and made-up gates from its own bars."""
-    t = trades(spark, sf)
+    """One row per supplier-strategy: its trade metrics, benchmark and later trades."""
+    t = materialized(trades(spark, sf))
     m = bt.trade_metrics(t, ["code"])
     b = bt.benchmark_return(views.closes(spark, sf))
     late = t.filter("buy_day >= '1999-01-01'").groupBy("code").agg(F.count(F.lit(1)).alias("out_trades"), F.avg("return_rate").alias("out_avg_return"))
@@ -274,7 +275,7 @@ _DEC_SQL = [
 
 
 def _decisions(spark, sf):
-    f = features(spark, sf)
+    f = stored_features(spark, sf)
     matched, trs = [], []
     for name, rule in _RULES.items():
         matched.append(of.match_rule(f, rule).select("code", "day", F.lit(name).alias("rule"), "entry_matched", "exit_matched"))

@@ -8,10 +8,11 @@ from barloom.functions.dates import day_text
 from barloom.functions.numeric import rnd
 from barloom.operators import factors as fa
 from barloom.operators import joins as oj
-from barloom.plans.features import feature_sql, features
+from barloom.plans.features import feature_sql, features, stored_features
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import SECTORS, W, d, r
 from barloom.sources import views
+from barloom.sources.sinks import materialized
 
 FACTORS = ("volume_ratio", "change_rate20", "volatility20", "rsi14", "amihud", "macd", "fund_flow5")
 _LONG = " UNION ALL ".join(f"SELECT '{n}' AS factor, code, day, sector, {n} AS x, y FROM ob WHERE {n} IS NOT NULL{' AND ' + n + ' <> 0' if 'flow' in n or 'volume' in n else ''}" for n in FACTORS)
@@ -52,7 +53,7 @@ _IC_OUT = {"avg_return": 5, "ic": 6, "rank_ic": 6, "ic_std": 6, "hit_rate": 6, "
     feature_sql(f"SELECT factor, n, ic_days, {', '.join(f'{r(c, k)} AS {c}' for c, k in _IC_OUT.items())}, {r('t', 4)} AS t_stat, {r('p', 5)} AS p_value, CASE WHEN abs(recent_ic) < abs(ic) * 0.75 THEN 'decaying' ELSE 'stable' END AS decay FROM summ", OBS, SUMMARY),
 )
 def factor_ic(spark, sf):
-    s = fa.ic_summary(obs(spark, sf))
+    s = fa.ic_summary(materialized(obs(spark, sf)))
     return s.select("factor", "n", "ic_days", *[rnd(c, k).alias(c) for c, k in _IC_OUT.items()], rnd("t_stat", 4).alias("t_stat"), rnd("p_value", 5).alias("p_value"), "decay")
 
 
@@ -102,8 +103,8 @@ LIMIT = 0.15  # the test factors are nearly independent; the default limit of 0.
     ),
 )
 def factor_selection(spark, sf):
-    f = features(spark, sf)
-    s = fa.ic_summary(fa.observations(f, views.sectors(spark, sf), FACTORS))
+    f = stored_features(spark, sf)
+    s = fa.ic_summary(materialized(fa.observations(f, views.sectors(spark, sf), FACTORS)))
     r_ = fa.Roll()
     live = f.withColumn("_future", r_.lead("close", 5)).filter("close > 0 AND _future > 0")
     red = fa.redundant_pairs(oj.pair_correlations(live, FACTORS), s, LIMIT)
@@ -120,5 +121,5 @@ def factor_selection(spark, sf):
     ),
 )
 def factor_layers(spark, sf):
-    l = fa.layer_returns(obs(spark, sf))
+    l = fa.layer_returns(materialized(obs(spark, sf)))
     return l.select("factor", "layer", rnd("avg_return", 5).alias("avg_return"), rnd("hit_rate", 6).alias("hit_rate"), "n")

@@ -12,6 +12,7 @@ from barloom.plans import indicators as qi
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import AT, BARS, CHANGES, DOWN, TR, BULL, d, lag, r, recursive, roll, w
 from barloom.sources import views
+from barloom.sources.sinks import materialized
 
 DIGITS = {
     **{c: 3 for c in ("open", "high", "low", "close", "ma5", "ma10", "ma20", "ma60", "boll_upper", "boll_mid", "boll_lower", "atr", "macd")},
@@ -25,6 +26,11 @@ def features(spark, sf):
     return of.feature_table(views.bars_flows(spark, sf))
 
 
+def stored_features(spark, sf):
+    """Features for queries that read them more than once."""
+    return materialized(features(spark, sf))
+
+
 _PAST = qi._past5
 _ADDED = ", ".join(
     [
@@ -65,7 +71,7 @@ def _out(cols=DIGITS):
 
 @query("feature_table", feature_sql(f"SELECT code, {d()} AS day, {_out()}, strftime(day + INTERVAL 910 MINUTE, '%Y-%m-%d %H:%M') AS data_as_of, 'kline' AS source, 'daily_v3_qfq' AS feature_version FROM feat"))
 def feature_table(spark, sf):
-    f = features(spark, sf)
+    f = stored_features(spark, sf)
     return f.select("code", day_text("day").alias("day"), *[rnd(c, k).alias(c) for c, k in DIGITS.items()], F.date_format("data_as_of", "yyyy-MM-dd HH:mm").alias("data_as_of"), "source", "feature_version")
 
 
@@ -81,7 +87,7 @@ sc AS MATERIALIZED (SELECT *, CASE WHEN has THEN 1 ELSE 0.5 END::DOUBLE AS cover
 
 @query("screening_facts", feature_sql(f"SELECT code, {d()} AS day, {', '.join(_FLAGS)}, coverage, coalesce(array_to_string(cs, '|'), '') AS conditions, CAST(len(cs) AS INTEGER) AS pattern_count FROM sc", SCREEN))
 def screening_facts(spark, sf):
-    s = of.screening_facts(features(spark, sf))
+    s = of.screening_facts(stored_features(spark, sf))
     return s.select("code", day_text("day").alias("day"), *_FLAGS, "coverage", F.array_join("conditions", "|").alias("conditions"), "pattern_count")
 
 
@@ -151,7 +157,7 @@ def candidate_sources(spark, sf, f):
 def candidate_sources_query(spark, sf):
     from functools import reduce
 
-    parts = candidate_sources(spark, sf, features(spark, sf))
+    parts = candidate_sources(spark, sf, stored_features(spark, sf))
     u = reduce(lambda a, b: a.unionByName(b), parts)
     return u.select("code", day_text("day").alias("day"), "source", rnd("score", 4).alias("score"))
 
@@ -164,7 +170,7 @@ def captured_candidates(spark, sf):
 
 @query("candidate_scores", feature_sql(f"SELECT code, {d()} AS day, k AS source_count, {r('ss', 4)} AS source_score, {r('short_score', 4)} AS short_score, {r('swing_score', 4)} AS swing_score, {r('trend_score', 4)} AS trend_score, best_scene FROM mg", SCREEN, CHANGES, _CANDS, _MERGE))
 def candidate_scores(spark, sf):
-    f = features(spark, sf)
+    f = stored_features(spark, sf)
     m = of.merge_candidates(candidate_sources(spark, sf, f), f)
     return m.select("code", day_text("day").alias("day"), F.col("source_count").cast("long").alias("source_count"), *[rnd(c, 4).alias(c) for c in ("source_score", "short_score", "swing_score", "trend_score")], "best_scene")
 
@@ -185,7 +191,7 @@ _ADV = "CASE best_scene WHEN '短线爆发' THEN {} WHEN '波段反弹' THEN {}
     ),
 )
 def candidate_advice(spark, sf):
-    f = features(spark, sf)
+    f = stored_features(spark, sf)
     a = of.advice_bands(of.merge_candidates(candidate_sources(spark, sf, f), f))
     return a.select("code", day_text("day").alias("day"), *[rnd(c, 3).alias(c) for c in ("buy_min", "buy_max", "no_chase", "stop_price", "target_price")], "max_hold_days", "position_cap", "status")
 

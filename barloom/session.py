@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,4 +21,8 @@ def local_session(app: str = "barloom", cpus: str | int | None = None, shuffle:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BARLOOM_DRIVER_MEMORY", "6g"))
     )
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        # a local run has no shared storage; a cluster names its own folder
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+    return spark

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Store a frame that several branches read, as a table in the shared checkpoint folder.
+
+    A session without spark.checkpoint.dir gets the frame back unchanged, to be recomputed.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return df
+    path = f"{shared}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def retention(df: DataFrame, day: str, cutoff) -> DataFrame:
     """Rows on or after the cutoff; on a day-partitioned table this prunes whole partitions."""
     return df.filter(F.col(day) >= F.lit(cutoff))
