@@ -83,8 +83,9 @@ def moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 
 def pearson(x: Column, y: Column, min_rows: int = 3) -> Column:
-    ok = (F.count(F.lit(1)) >= min_rows) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(ok, F.corr(x, y)).otherwise(lit(0))
+    """Correlation; 0 below min_rows or without variance. Built from its parts: the built-in one divides by zero there."""
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), lit(0))
+    return F.when(F.count(F.lit(1)) >= min_rows, F.coalesce(F.covar_pop(x, y) / spread, lit(0))).otherwise(lit(0))
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str], min_rows: int = 3) -> DataFrame:

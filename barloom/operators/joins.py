@@ -166,8 +166,8 @@ def pair_correlations(wide: DataFrame, columns: Sequence[str], min_rows: int = 3
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        ok = (F.count(x) >= min_rows) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.when(ok, F.corr(x, y)).otherwise(lit(0)).alias("rho")).alias(f"p{i}"))
+        spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), lit(0))
+        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.when(F.count(x) >= min_rows, F.coalesce(F.covar_pop(x, y) / spread, lit(0))).otherwise(lit(0)).alias("rho")).alias(f"p{i}"))
     one = wide.agg(*aggs)
     return one.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
 

@@ -316,7 +316,8 @@ flag AS (SELECT day, isodow(day) < 6 AND strftime(day, '%m-%d') NOT IN ('01-01',
 
 def _calendar(spark, sf):
     days = views.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
-    hol = days.filter(F.date_format("day", "MM-dd").isin("01-01", "05-01", "10-01")).distinct()
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    hol = span.filter(F.date_format("day", "MM-dd").isin("01-01", "05-01", "10-01"))
     return ob.trading_calendar(days, hol)
 
 
