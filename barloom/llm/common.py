@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 # fixed values: the contract's character classes
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,19 +82,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def by_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, one: Callable[..., tuple], chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Apply one(*row) -> output row to every row; emits a batch at latest after so many input characters."""
-    for batch in batches:
-        out: list[tuple] = []
-        seen = 0
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out.append(one(*row))
-            seen += sum(len(v) for v in row if isinstance(v, str))
-            if seen >= chars:
-                yield to_batch(out, schema)
-                out, seen = [], 0
-        if out:
-            yield to_batch(out, schema)
+def per_text(docs: DataFrame, text_col: str, schema: pa.Schema, make: Callable[[], Callable[[list[str | None]], list[tuple]]]) -> DataFrame:
+    """(row, scan): every input row as a struct with what make()'s function returns for its text.
+
+    make runs once per task; its function gets the texts of one Arrow batch and returns one tuple per text.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = make()
+        for batch in batches:
+            row = batch.column("row")
+            done = to_batch(scan(row.field(place).to_pylist()), schema)
+            yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(done.columns, fields=list(schema))], names=["row", "scan"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("scan", from_arrow_schema(schema))]))
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
