@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, language_id, license_scan, line_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
+from barloom.llm import decontamination, language_id, license_scan, line_dedup, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
 from barloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": _documents(language_id.digest),
     "op2_packing": _documents(packing.digest),
     "op3_decontamination": _decontamination,
+    "op4_near_dedup": _documents(near_dedup.digest),
     "op5_suffix_dedup": _documents(suffix_dedup.digest),
     "op6_line_dedup": _documents(line_dedup.digest),
     "op7_quality_rules": _documents(quality_rules.digest),

@@ -173,18 +173,20 @@ class Suffixes:
     def __init__(self, data: np.ndarray, depth: int):
         self.data, self.depth = data, depth
         self.hash = Rolling(data, BASES[0])
+        self.whole = self.hash.all(depth)
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, at most depth: a binary search over prefix hashes."""
-        low, high = np.zeros(len(a), dtype=np.int64), np.full(len(a), self.depth)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        out = np.full(len(a), self.depth)
+        left = np.flatnonzero(self.whole[a] != self.whole[b])  # the first probe: equal to the full depth
+        a, b = a[left], b[left]
+        low, high = np.zeros(len(a), dtype=np.int64), np.full(len(a), self.depth - 1)
+        while (low < high).any():
             mid = (low + high + 1) // 2
             same = self.hash.of(a, mid) == self.hash.of(b, mid)
-            low = np.where(open_ & same, mid, low)
-            high = np.where(open_ & ~same, mid - 1, high)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        out[left] = low
+        return out
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether suffix a sorts before suffix b; equal ones as `ties` says."""
