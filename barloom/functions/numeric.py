@@ -51,13 +51,15 @@ def lit(v) -> Column:
 
 
 def rnd(x, digits: int) -> Column:
-    """Round half up on the binary value.
+    """Round half away from zero; NaN and infinities stay, and nothing saturates, since all of it is double arithmetic.
 
-    The 1e-6 nudge moves the decision point off exact ties, so that engines which
-    sum in another order agree on values such as x.xx5.
+    What is closer to a tie than float noise counts as the tie, so sums taken in another order round alike: the nudge is
+    1e-8 of the last kept digit, and grows with the value's own noise to at most 1e-6.
     """
-    scale = float(10**digits)
-    return F.floor(_c(x) * lit(scale) + lit(0.500001)).cast("double") / lit(scale)
+    scale = lit(10**digits)
+    y = F.abs(_c(x)) * scale
+    # the added 0 turns -0.0 into 0.0
+    return F.signum(_c(x)) * F.rint(y + lit(1e-8) + F.least(lit(1e-6), y * lit(1e-14))) / scale + lit(0)
 
 
 def clamp(x, lo: float, hi: float) -> Column:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -414,12 +416,16 @@ def structure_breaks(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _mitigation(s):
-    """Bar number of the first later bar that crosses each zone."""
-    hs, ls, out = s["high"], s["low"], []
-    for i, (bull, top, bottom) in enumerate(zip(s["zone_bull"], s["zone_top"], s["zone_bottom"])):
-        later = range(i + 1, len(hs)) if bull is not None else ()
-        hit = next((k for k in later if (ls[k] <= bottom if bull > 0 else hs[k] >= top)), None)
-        out.append(None if hit is None else hit + 1)
+    """Bar number of the first later bar that crosses each zone: open zones wait in two heaps, nearest edge first."""
+    out = [None] * len(s["high"])
+    rising, falling = [], []
+    for i, (hi, lo, bull, top, bottom) in enumerate(zip(s["high"], s["low"], s["zone_bull"], s["zone_top"], s["zone_bottom"])):
+        while rising and lo <= -rising[0][0]:
+            out[heappop(rising)[1]] = i + 1
+        while falling and hi >= falling[0][0]:
+            out[heappop(falling)[1]] = i + 1
+        if bull is not None:
+            heappush(rising, (-bottom, i)) if bull > 0 else heappush(falling, (top, i))
     return {"mitigated_idx": out}
 
 

@@ -6,6 +6,8 @@ does not vote.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from barloom.indicators import recurrent as rc
 from barloom.indicators import rolling as ro
 from barloom.operators.recurrence import by_instrument, scan
 
+PRECISION = 6
 SIDES = ("bullish", "bearish", "neutral", "oscillating")
 
 
@@ -209,21 +212,21 @@ def indicator_table(df: DataFrame) -> DataFrame:
     )
     mass = [{"mass_index": ro.R.sum("mass_ratio", 25)}]
     df = ro.together(df, mass, *[s.levels() for s in steps])
-    return df.withColumn("squeeze", rc.squeeze_on())
+    return df
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Every number that a rule compares, at one precision: sums that differ only in the last bits are the same level."""
+    read = set(re.findall(r"[a-z_][a-z0-9_]*", " ".join(RULES.values()))) | {"keltner_lower", "keltner_upper", "boll_lower", "boll_upper"}
+    return df.withColumns({c: rnd(c, PRECISION) for c in df.columns if c in read})
 
 
 def vote(df: DataFrame) -> DataFrame:
     """code, day and an array of (name, side) for the indicators that vote on the bar."""
     df = indicator_table(df)
     back = Window.partitionBy("code").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns(
-        {
-            **{c: F.last(c, ignorenulls=True).over(back) for c in FILLED},
-            # sums that differ only in the last bits are the same level
-            "ad": rnd("ad", 6),
-            "_n": ro.R.at(),
-        }
-    )
+    df = df.withColumns({**{c: F.last(c, ignorenulls=True).over(back) for c in FILLED}, "_n": ro.R.at()})
+    df = _settled(df).withColumn("squeeze", rc.squeeze_on())
     df = df.withColumns({f"p_{c}": ro.R.lag(c) for c in COMPARED})
     votes = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(t).alias("side")) for n, t in RULES.items()])
     return df.filter(F.col("_n") >= 2).select(

@@ -64,22 +64,22 @@ def stock_day_events(changes: DataFrame) -> DataFrame:
 def moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Count, mean, both deviations, skewness and excess kurtosis with the sample deviation in the denominator.
 
-    Two passes: the deviations are taken from the group mean, not from raw power sums.
+    One pass of partial central moments, which Spark merges without power sums; a hot key is reduced in every task.
     """
     base = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std_pop"),
         F.coalesce(F.stddev_samp(value), lit(0)).alias("std"),
+        F.skewness(value).alias("_s"),
+        F.kurtosis(value).alias("_k"),
     )
-    # group statistics are one row per key; each task only ever sees partial sums of a hot key
-    z = df.select(*keys, value).join(base, list(keys))
-    u = (F.col(value) - F.col("mean")) / F.col("std")
+    shape = (F.col("std_pop") / F.col("std"))
     ok = F.col("std") > 1e-10
-    return z.groupBy(*keys, "n", "mean", "std_pop", "std").agg(
-        F.coalesce(F.avg(F.when(ok, u * u * u)), lit(0)).alias("skewness"),
-        F.coalesce(F.avg(F.when(ok, u * u * u * u)) - lit(3), lit(0)).alias("kurtosis"),
-    )
+    skew = F.when(ok, F.col("_s") * shape * shape * shape)
+    kurt = F.when(ok, (F.col("_k") + lit(3)) * shape * shape * shape * shape - lit(3))
+    # without variance the cubes are 0 and so is their mean; the fourth powers' mean less 3 is 0 by definition here
+    return base.withColumns({"skewness": F.coalesce(skew, lit(0)), "kurtosis": F.coalesce(kurt, lit(0))}).drop("_s", "_k")
 
 
 def pearson(x: Column, y: Column, min_rows: int = 3) -> Column:
@@ -94,12 +94,22 @@ def rank_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str], min_row
     return ranked.groupBy(*keys).agg(pearson(F.col("_x"), F.col("_y"), min_rows).alias("rank_corr"))
 
 
-def hit_rate(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Share of rows where x and y lie on the same side of their group means."""
+def hit_rate(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), salts: int = 16) -> DataFrame:
+    """Share of rows where x and y lie on the same side of their group means.
+
+    The means are one row per key, repeated for every salt, so a hot key's rows meet them in many tasks and are
+    counted there before the counts of a key come together.
+    """
     means = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    j = df.join(means, list(keys)) if keys else df.crossJoin(F.broadcast(means))
     same = (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_my")) > 0
-    return j.groupBy(*keys).agg((count_if(same) / F.count(F.lit(1))).alias("hit_rate"))
+    if keys:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(x, y), F.lit(salts)).cast("int"))
+        means = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = salted.join(means, [*keys, "_salt"]).groupBy(*keys, "_salt")
+    else:
+        j = df.crossJoin(F.broadcast(means)).groupBy()
+    part = j.agg(count_if(same).alias("_same"), F.count(F.lit(1)).alias("_all"))
+    return part.groupBy(*keys).agg((F.sum("_same") / F.sum("_all")).alias("hit_rate"))
 
 
 def coverage(features: DataFrame, days: DataFrame | None = None) -> DataFrame:

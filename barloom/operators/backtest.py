@@ -237,7 +237,7 @@ def cost_stress(trades: DataFrame, cash: float, base: float = COSTS["slippage"])
 def bootstrap(trades: DataFrame, sims: int = 1000, seed: int = 7, value: str = "return_rate") -> DataFrame:
     """Resample with replacement: `sims` runs of n draws; one row per run.
 
-    Draw k of run s takes the row numbered hash(seed, s, k) mod n, so the result is the same
+    Draw k of run s takes the row numbered mix(seed, s, k) mod n, so the result is the same
     on any cluster. Runs x draws is spread over tasks by a range; each run then needs only
     its own draws. Path measures use block sums of log returns, so a long run splits over tasks.
     """
@@ -249,11 +249,19 @@ def bootstrap(trades: DataFrame, sims: int = 1000, seed: int = 7, value: str = "
     n = trades.agg(F.count(F.lit(1)).alias("n")).filter("n >= 10")
     runs = spark.range(sims).withColumnRenamed("id", "sim").crossJoin(F.broadcast(n))
     draws = runs.select("sim", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    draws = draws.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "sim", "k"), F.col("n")))
+    draws = draws.withColumn("pick", mixed_draw(seed, "sim", "k") % F.col("n"))
     got = draws.join(rows, "pick").select("sim", "k", "x")
     return simulate_paths(got)
 
 
+def mixed_draw(seed: int, sim: str, k: str) -> Column:
+    """A pseudo-random number below 2**31 - 1 from integers: two quadratic steps modulo that prime."""
+    p = F.lit((1 << 31) - 1).cast("long")
+    x = (F.lit(seed * 104_729 + 12_345).cast("long") + F.col(sim) * 1_000_003 + F.col(k) * 7_919) % p
+    x = (x * x % p + x * 48_271) % p
+    return (x * x % p + x * 40_692 + F.col(sim)) % p
+
+
 def simulate_paths(draws: DataFrame, block: int = 4096) -> DataFrame:
     """Per run: summed and compounded return, maximum drawdown, Sharpe and win rate.
 

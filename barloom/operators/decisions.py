@@ -177,7 +177,8 @@ def hypothesis_stats(signals: DataFrame) -> DataFrame:
 def unique_samples(trades: DataFrame) -> DataFrame:
     """Distinct (code, buy, sell) samples per code, and of the whole pool."""
     one = trades.select("code", "buy_day", "sell_day").distinct()
-    return one.groupBy("code").agg(F.count(F.lit(1)).alias("stock_samples")).withColumn("pool_samples", F.sum("stock_samples").over(Window.partitionBy(F.lit(0))))
+    pool = one.agg(F.count(F.lit(1)).alias("pool_samples"))  # one row
+    return one.groupBy("code").agg(F.count(F.lit(1)).alias("stock_samples")).crossJoin(F.broadcast(pool))
 
 
 def quality_rows(bars: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import lit, two_sided_p
 from barloom.functions.ranks import count_if
 from barloom.operators.aggregates import pearson
+from barloom.operators.features import column_of
+from barloom.operators.joins import point_in_time, unified_view
 from barloom.operators.windows import Roll, average_rank, cumulative_counts
 
 LAYERS = ("bottom", "low", "middle", "high", "top")
@@ -34,6 +36,24 @@ def observations(features: DataFrame, sectors: DataFrame | None, factors: Sequen
     return long.filter(~(F.col("factor").isin(*sparse) & (F.col("x") == 0))) if sparse else long
 
 
+def external_observations(features: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
+    """Observations of `namespace.column` factors.
+
+    Facts with an `available_at` column count only as far as they are known at the decision time (the day's end unless
+    given); facts without a code hold for the whole market of their day.
+    """
+    at = decision if decision is not None else F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(24))
+    base = features.withColumn("decision_as_of", at)
+    known = {}
+    for space in {i.partition(".")[0] for i in ids} - {"stock_feature"}:
+        columns = list(dict.fromkeys(i.partition(".")[2] for i in ids if i.startswith(f"{space}.")))
+        f = facts[space]
+        if "available_at" in f.columns:
+            f = point_in_time(base.select("code", "day", "decision_as_of"), f, columns).select("code", "day", *columns)
+        known[space] = f
+    return observations(unified_view(base, known, ids), sectors, [column_of(i) for i in ids], horizon)
+
+
 def daily_ic(obs: DataFrame, min_rows: int = 3) -> DataFrame:
     """IC and rank IC of every (factor, day) cross-section; a cross-section has one row per instrument."""
     keys = ["factor", "day"]

@@ -13,6 +13,7 @@ from barloom.functions.numeric import clamp, first_non_zero, lit
 from barloom.functions.ranks import all_of, any_of
 from barloom.indicators import recurrent as rc
 from barloom.indicators import rolling as ro
+from barloom.operators.joins import unified_view
 from barloom.operators.recurrence import by_instrument
 from barloom.operators.windows import Roll
 
@@ -74,6 +75,39 @@ INDICATORS: dict[str, tuple[str, bool]] = {
     "macd": ("momentum", False),
     **{n: ("price", True) for n in ("chikou", "zigzag", "fractal_high", "fractal_low", "swing_high", "swing_low")},
 }
+# ids of facts outside the feature table: unit and status; candidates are rejected unless a caller admits them
+EXTERNAL: dict[str, tuple[str, str]] = {
+    **{f"money_flow.{n}": ("amount", "candidate") for n in ("net_inflow", "net_inflow5")},
+    **{f"market.{n}": (u, "candidate") for n, u in (("sentiment_score", "score"), ("up_ratio", "ratio"), ("up_count", "count"), ("advance_decline", "count"))},
+    "sector.net_inflow": ("amount", "candidate"),
+    **{f"event.{n}": (u, "candidate") for n, u in (("change_count", "count"), ("has_large_buy", "boolean"), ("has_rapid_rise", "boolean"), ("has_limit_up", "boolean"))},
+    **{f"limitup.{n}": (u, "candidate") for n, u in (("keep_times", "count"), ("seal_ratio", "ratio"), ("exploded_count", "count"), ("plate_heat", "score"))},
+    **{f"screening.{n}": (u, "candidate") for n, u in (("pattern_count", "count"), ("macd_golden", "boolean"), ("ma_bullish", "boolean"))},
+    **{f"recommendation.{n}": ("count", "candidate") for n in ("model_count", "count")},
+    "candidate.score": ("score", "candidate"),
+}
+CROSSING_UNITS = ("price", "momentum")
+
+
+def column_of(name: str) -> str:
+    """The column that holds an indicator: bare names and stock_feature ones are feature columns."""
+    space, dot, column = name.rpartition(".")
+    return column if not dot or space == "stock_feature" else f"{space}_{column}"
+
+
+def registry() -> dict[str, dict]:
+    """Every indicator id with its unit, allowed operators and status."""
+    plain, cross = sorted(COMPARE), sorted([*COMPARE, *CROSS])
+    own = {f"stock_feature.{n}": (u, "look_ahead" if ahead else "active") for n, (u, ahead) in INDICATORS.items()}
+    return {i: {"unit": u, "status": s, "operators": cross if u in CROSSING_UNITS else plain} for i, (u, s) in {**own, **EXTERNAL}.items()}
+
+
+def mentioned(rule: Mapping) -> list[str]:
+    """Namespaced ids of a rule, each once."""
+    names = [n for c in (*rule.get("entry", ()), *rule.get("exit", ())) for n in (c.get("indicator"), c.get("ref")) if n and "." in n]
+    return list(dict.fromkeys(names))
+
+
 COMPARE = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
@@ -85,17 +119,23 @@ COMPARE = {
 CROSS = {"cross_up": ("<=", ">"), "crosses_above": ("<=", ">"), "cross_down": (">=", "<"), "crosses_below": (">=", "<")}
 
 
-def validate_rule(rule: Mapping) -> list[str]:
-    """Problems of a rule: unknown or look-ahead indicators, units, lags, operators, limits."""
+def validate_rule(rule: Mapping, candidates: bool = False) -> list[str]:
+    """Problems of a rule: unknown, look-ahead or candidate indicators, units, lags, operators, limits."""
+    known = registry()
     errors = [] if rule.get("entry") else ["at least one entry condition is required"]
     for i, c in enumerate([*rule.get("entry", ()), *rule.get("exit", ())]):
         names = [n for n in (c.get("indicator"), c.get("ref")) if n]
-        for n in names:
-            if n not in INDICATORS:
+        found = {n: known.get(n if "." in n else f"stock_feature.{n}") for n in names}
+        for n, k in found.items():
+            if k is None:
                 errors.append(f"condition {i}: indicator is not registered: {n}")
-            elif INDICATORS[n][1]:
+            elif k["status"] == "look_ahead":
                 errors.append(f"condition {i}: indicator looks ahead: {n}")
-        units = {INDICATORS[n][0] for n in names if n in INDICATORS}
+            elif k["status"] == "candidate" and not candidates:
+                errors.append(f"condition {i}: indicator is a candidate: {n}")
+            elif "." in n and c.get("op") in CROSS and c["op"] not in k["operators"]:
+                errors.append(f"condition {i}: operator is not allowed for {n}: {c['op']}")
+        units = {k["unit"] for k in found.values() if k}
         if len(names) == 2 and len(units) == 2:
             errors.append(f"condition {i}: unit mismatch")
         if not {c.get("lag", 0), c.get("ref_lag", 0)} <= {0, 1}:
@@ -121,7 +161,7 @@ def expand_cross(conditions: Sequence[Mapping]) -> list[dict]:
 
 
 def _operand(r: Roll, name: str, lag: int) -> Column:
-    return r.lag(name) if lag == 1 else F.col(name)
+    return r.lag(column_of(name)) if lag == 1 else F.col(column_of(name))
 
 
 def condition(c: Mapping, scale: float = 1.0) -> Column:
@@ -135,15 +175,16 @@ def condition(c: Mapping, scale: float = 1.0) -> Column:
         before, now = CROSS[c["op"]]
         if c.get("lag", 0) != 0:
             return F.lit(False)
-        hit = COMPARE[before](r.lag(c["indicator"]), right(1)) & COMPARE[now](F.col(c["indicator"]), right(0))
+        own = column_of(c["indicator"])
+        hit = COMPARE[before](r.lag(own), right(1)) & COMPARE[now](F.col(own), right(0))
     else:
         hit = COMPARE[c["op"]](_operand(r, c["indicator"], c.get("lag", 0)), right(c.get("ref_lag", 0)))
     return F.coalesce(hit, F.lit(False))
 
 
-def match_rule(df: DataFrame, rule: Mapping, scale: float = 1.0) -> DataFrame:
+def match_rule(df: DataFrame, rule: Mapping, scale: float = 1.0, candidates: bool = False) -> DataFrame:
     """Adds entry_matched (ALL of entry) and exit_matched (ANY of exit); an empty list never matches."""
-    problems = validate_rule(rule)
+    problems = validate_rule(rule, candidates)
     if problems:
         raise ValueError("; ".join(problems))
     entry = [condition(c, scale) for c in rule["entry"]]
@@ -156,6 +197,11 @@ def match_rule(df: DataFrame, rule: Mapping, scale: float = 1.0) -> DataFrame:
     )
 
 
+def match_namespaced(features: DataFrame, facts: Mapping[str, DataFrame], rule: Mapping) -> DataFrame:
+    """match_rule over the features and only those facts that the rule mentions; a missing fact fails its condition."""
+    return match_rule(unified_view(features, facts, mentioned(rule)), rule, candidates=True)
+
+
 def signal_score(df: DataFrame, n_conditions: int) -> DataFrame:
     """10 per condition, up to 10 for low ATR, up to 10 for volume, 5 for inflow, 3 for rising momentum."""
     r = Roll()

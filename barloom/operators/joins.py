@@ -28,11 +28,13 @@ def asof_latest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     r = right.select(key, F.col(right_ts).alias("_ts"), value.alias("_v"), F.lit(0).alias("_side"))
     l = left.select(key, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_side"))
     rows = l.unionByName(r, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, F.col("_ts")))
-    newest = rows.groupBy(key, "_b").agg(F.max("_v").alias("_newest"))
+    inside = Window.partitionBy(key, "_b").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    every = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(inside))
+    # the newest value of a bucket comes from the filled rows, which already stand together
+    newest = every.groupBy(key, "_b").agg(F.max("_v").alias("_newest"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select(key, "_b", F.last("_newest", ignorenulls=True).over(before).alias("_carry"))
-    inside = Window.partitionBy(key, "_b").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
+    filled = every.filter(F.col("_side") == 1)
     out = filled.join(carried, [key, "_b"]).withColumn("_v", F.coalesce("_v", "_carry"))
     return out.select("_l.*", *[F.col(f"_v.{c}").alias(c) for c in columns])
 
@@ -57,8 +59,10 @@ def nth_trading_day(df: DataFrame, days: DataFrame, n: int, day: str = "day") ->
 def point_in_time(base: DataFrame, facts: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("code", "day"), decision: str = "decision_as_of") -> DataFrame:
     """Newest fact known by the decision time, per key; never a later one.
 
-    Base rows have one decision time per key. The newest fact is a pre-aggregated maximum.
+    Base rows have one decision time per key. Facts shrink to one per key and time in every task before they are joined,
+    and the newest fact is a maximum again.
     """
+    facts = facts.groupBy(*keys, "available_at").agg(F.max(F.struct(*columns)).alias("_c")).select(*keys, "available_at", "_c.*")
     known = facts.join(base.select(*keys, decision), list(keys)).filter(F.col("available_at") <= F.col(decision))
     best = known.groupBy(*keys).agg(F.max(F.struct("available_at", *columns)).alias("_f"))
     out = base.join(best, list(keys), "left")
@@ -77,8 +81,9 @@ def unified_view(base: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[
             continue
         if space not in facts:
             raise ValueError(f"unknown namespace {space}")
-        f = facts[space].select(*keys, *[F.col(c).alias(f"{space}_{c}") for c in columns])
-        out = out.join(f, list(keys), "left")
+        by = [k for k in keys if k in facts[space].columns]  # market facts have a day and no code
+        f = facts[space].select(*by, *[F.col(c).alias(f"{space}_{c}") for c in columns])
+        out = out.join(f, by, "left")
     return out
 
 

@@ -190,19 +190,29 @@ def chip_summary(chips: DataFrame, bars: DataFrame) -> DataFrame:
 # --- guards and tracking --------------------------------------------------------------------------------
 
 
-def frequency_guard(buys: DataFrame, ts: str = "ts", tie: str = "event_id", week_limit: int = 5) -> DataFrame:
+def frequency_guard(buys: DataFrame, ts: str = "ts", week_limit: int = 5) -> DataFrame:
     """Per buy: was there another buy of the code in 24 hours, and at least five in the 7 days up to it.
 
-    Counts are differences of a two-level running count, read 7 days back by the as-of join.
+    A buy adds one when it is made and takes one off when it leaves the window, so both counts are running sums:
+    inside a (code, day) by one window, over days from one row of totals per day. The table is read once.
     """
-    df = buys.withColumns({"_d": F.col(ts).cast("date"), "k": F.struct(ts, tie)})
-    df = _two_level(df, lit(1), "_run", bucket="_d").drop("k", "_d")
-    for name, hours in (("day", 24), ("week", 168)):
-        back = F.col(ts) - F.make_interval(hours=F.lit(hours))
-        ref = df.select("code", F.col(ts).alias("_rt"), F.col("_run").alias(f"_{name}"))
-        df = asof_latest(df.withColumn("_back", back), ref, "_back", "_rt", [f"_{name}"]).drop("_back")
-        df = df.withColumn(f"buys_{name}", (F.col("_run") - F.coalesce(f"_{name}", lit(0))).cast("long")).drop(f"_{name}")
-    return df.drop("_run").withColumns({"repeat_in_day": F.col("buys_day") > 1, "too_frequent": F.col("buys_week") >= week_limit})
+    at = F.col(ts)
+    left = lambda hours: at + F.make_interval(hours=F.lit(hours))
+    marks = F.array(
+        F.struct(at.alias("t"), F.lit(1).alias("d"), F.lit(1).alias("w"), F.lit(True).alias("own")),
+        F.struct(left(24).alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("w"), F.lit(False).alias("own")),
+        F.struct(left(168).alias("t"), F.lit(0).alias("d"), F.lit(-1).alias("w"), F.lit(False).alias("own")),
+    )
+    rows = buys.withColumn("_m", F.explode(marks)).withColumn("_b", F.col("_m.t").cast("date"))
+    inside = Window.partitionBy("code", "_b").orderBy("_m.t").rangeBetween(*_UPTO)  # equal times count together
+    rows = rows.withColumns({"_d": F.sum("_m.d").over(inside), "_w": F.sum("_m.w").over(inside)})
+    totals = rows.groupBy("code", "_b").agg(F.sum("_m.d").alias("_td"), F.sum("_m.w").alias("_tw"))
+    before = Window.partitionBy("code").orderBy("_b").rowsBetween(*_BEFORE)
+    totals = totals.select("code", "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_td", "_tw")])
+    own = rows.filter("_m.own").join(totals, ["code", "_b"])
+    out = own.withColumns({"buys_day": F.col("_d") + F.col("_td"), "buys_week": F.col("_w") + F.col("_tw")})
+    out = out.select(*buys.columns, "buys_day", "buys_week")
+    return out.withColumns({"repeat_in_day": F.col("buys_day") > 1, "too_frequent": F.col("buys_week") >= week_limit})
 
 
 def limit_up_summary(rows: DataFrame) -> DataFrame:

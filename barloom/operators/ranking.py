@@ -55,22 +55,53 @@ def daily_sector_rank(snapshots: DataFrame, n: int = 100) -> DataFrame:
 
 
 def limit_up_ladder(rows: DataFrame) -> DataFrame:
-    """One row per stock and day (highest streak, earliest time), grouped by streak with stocks in time order.
+    """One row per stock and day (highest streak, earliest time) with its place in the ladder step and the step's size.
 
-    A step of the ladder lists the day's limit-up stocks of one streak, at most one entry per instrument.
+    A step is the day's limit-up stocks of one streak in time order. Rows stay rows: nothing is gathered into a list.
     """
     best = rows.groupBy("day", "code").agg(F.min(F.struct((-F.col("streak")).alias("s"), "limit_time", "name", "plate")).alias("x"))
     one = best.select("day", "code", (-F.col("x.s")).alias("streak"), "x.limit_time", "x.name", "x.plate")
-    step = one.groupBy("day", "streak").agg(
-        F.array_sort(F.collect_list(F.struct("limit_time", "code", "name"))).alias("_s"), F.count(F.lit(1)).alias("stocks")
-    )
-    return step.select("day", "streak", "stocks", F.transform("_s", lambda s: s["name"]).alias("names"))
+    step = Window.partitionBy("day", "streak")
+    place = F.row_number().over(step.orderBy("limit_time", "code"))
+    return one.withColumns({"place": place, "stocks": F.count(F.lit(1)).over(step)})
+
+
+def exploded_list(rows: DataFrame) -> DataFrame:
+    """Stocks that touched the limit on a day but did not hold it: newest row per stock, by fall from the limit."""
+    newest = rows.groupBy("day", "code").agg(F.max_by(F.struct("name", "plate", "held", "limit_price", "close"), "limit_time").alias("x"))
+    out = newest.filter(~F.col("x.held")).select("day", "code", "x.name", "x.plate", ((F.col("x.close") / F.col("x.limit_price") - lit(1)) * lit(100)).alias("fall"))
+    return out
+
+
+def plate_heat(rows: DataFrame) -> DataFrame:
+    """Limit-up stocks per day and plate: how many, the highest streak, and the plate's place by (count, streak, name)."""
+    one = rows.groupBy("day", "plate", "code").agg(F.max("streak").alias("streak"))
+    heat = one.groupBy("day", "plate").agg(F.count(F.lit(1)).alias("stocks"), F.max("streak").alias("top_streak"))
+    return rank_within(heat, ["day"], [F.desc("stocks"), F.desc("top_streak"), F.col("plate")], "place")
+
+
+def boards(rows: DataFrame, value: str, key: str, n: int = 10) -> DataFrame:
+    """The n best of the bull side (value above 0) and of the bear side (below 0), each with its place."""
+    both = top_and_bottom(rows, value, key, n)
+    side = F.when(F.col("side") == "in", "bull").otherwise("bear")
+    return both.withColumn("side", side).withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy(F.desc(F.abs(value)), key)))
+
+
+def sector_series(flows: DataFrame, sectors: DataFrame, by: str = "sector_name", value: str = "net_inflow") -> DataFrame:
+    """Daily flow of each chosen sector with its running total."""
+    chosen = flows.join(sectors.select(by).distinct(), by, "left_semi").groupBy(by, "day").agg(F.sum(value).alias(value))
+    return chosen.withColumn("total", F.sum(value).over(Window.partitionBy(by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def consensus(sources: Sequence[tuple[str, DataFrame]], k: int) -> DataFrame:
     """Codes found by at least k of the sources, with the sources' names; k = all is the intersection."""
     tagged = [df.select("code", F.lit(name).alias("source")) for name, df in sources]
-    both = reduce(lambda a, b: a.unionByName(b), tagged).distinct()
+    return consensus_of(reduce(lambda a, b: a.unionByName(b), tagged), k)
+
+
+def consensus_of(facts: DataFrame, k: int) -> DataFrame:
+    """The same for rows (code, source) of one table, read once."""
+    both = facts.select("code", "source").distinct()
     g = both.groupBy("code").agg(F.count(F.lit(1)).alias("source_count"), F.array_sort(F.collect_set("source")).alias("sources"))
     return g.filter(F.col("source_count") >= k)
 

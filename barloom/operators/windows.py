@@ -101,12 +101,16 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 def value_bucket(x) -> Column:
     """A monotone, data-independent bucket of a double: sign and 4096 steps per octave.
 
-    Used to split a global order into independent ranges without sampling.
+    Used to split a global order into independent ranges without sampling. The infinities have end buckets of their
+    own; NaN sorts after everything, as Spark's order has it.
     """
     v = _c(x)
+    top = F.lit(1 << 40)
+    inf = lit(float("inf"))
     mag = F.floor(F.log2(F.abs(v)) * lit(4096)).cast("long")
     shifted = mag + F.lit(4096 * 1100)
-    return F.when(v > 0, shifted).when(v < 0, -shifted).otherwise(F.lit(0).cast("long"))
+    ends = F.when(F.isnan(v), top + 1).when(v == inf, top).when(v == -inf, -top)
+    return ends.when(v > 0, shifted).when(v < 0, -shifted).otherwise(F.lit(0).cast("long"))
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -134,7 +138,7 @@ def pick_at_rank(counted: DataFrame, value: str, ranks: dict[str, Column], keys:
     `ranks` maps an output name to a rank Column over the total row count `total`.
     """
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joined = counted.join(F.broadcast(totals), list(keys)) if keys else counted.crossJoin(F.broadcast(totals))
+    joined = counted.join(totals, list(keys)) if keys else counted.crossJoin(F.broadcast(totals))
     picks = [
         F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("n")), F.col(value))).alias(name)
         for name, r in ranks.items()

@@ -200,12 +200,32 @@ def industry_concentration(spark, sf):
     return c.select("industry", "trades", rnd("weight", 6).alias("weight"), "risk")
 
 
-@query("bootstrap_interval")
+_MEASURES = {"sum_return": 6, "compound_return": 6, "max_drawdown": 6, "sharpe": 5, "win_rate": 6}
+_BOOT = [
+    "op AS MATERIALIZED (SELECT row_number() OVER (ORDER BY day) - 1 AS pick, x, count(*) OVER () AS n FROM (SELECT day, avg(ret) / 1000 AS x FROM rt GROUP BY day))",
+    "b0 AS (SELECT s AS sim, pick AS k, n, (7 * 104729 + 12345 + s * 1000003 + pick * 7919) % 2147483647 AS z FROM op, range(1000) t(s))",
+    "b1 AS (SELECT sim, k, n, (z * z % 2147483647 + z * 48271) % 2147483647 AS z FROM b0)",
+    "b2 AS (SELECT sim, k, ((z * z % 2147483647 + z * 40692 + sim) % 2147483647) % n AS pick FROM b1)",
+    "b3 AS (SELECT sim, k, x, sum(ln(1 + x)) OVER (PARTITION BY sim ORDER BY k) AS lv FROM b2 JOIN op USING (pick))",
+    "b4 AS (SELECT *, 1 - exp(lv - greatest(0, max(lv) OVER (PARTITION BY sim ORDER BY k))) AS dd FROM b3)",
+    "b5 AS MATERIALIZED (SELECT sim, sum(x) AS sum_return, exp(sum(ln(1 + x))) - 1 AS compound_return, greatest(0, max(dd)) AS max_drawdown, CASE WHEN stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) * sqrt(252) ELSE 0 END AS sharpe, count(CASE WHEN x > 0 THEN 1 END) / count(*) AS win_rate FROM b4 GROUP BY sim)",
+]
+
+
+def _interval_sql() -> str:
+    at = {"median": "500", **{f"p{int(p * 1000):03d}": f"floor(999 * {p}::DOUBLE)" for p in (0.025, 0.05, 0.25, 0.75, 0.95, 0.975)}}
+    one = lambda m, k: f"SELECT '{m}' AS measure, {r('avg(v)', k)} AS mean, {r('stddev_pop(v)', k)} AS std, " + ", ".join(f"{r(f'max(CASE WHEN i = {e} THEN v END)', k)} AS {n}" for n, e in at.items()) + f" FROM (SELECT {m} AS v, row_number() OVER (ORDER BY {m}) - 1 AS i FROM b5)"
+    return " UNION ALL ".join(one(m, k) for m, k in _MEASURES.items())
+
+
+@query("bootstrap_interval", ctes(NAV, RET, *_BOOT) + _interval_sql())
 def bootstrap_interval(spark, sf):
     t = bt.returns(nav(spark, sf)).groupBy("day").agg(F.avg("ret").alias("return_rate")).withColumn("code", F.lit("all"))
-    s = bt.bootstrap(t.withColumn("return_rate", F.col("return_rate") / lit(100)), sims=200)
-    i = bt.interval(s, ["sum_return", "compound_return", "max_drawdown", "sharpe", "win_rate"])
-    return i.select("measure", *[rnd(c, 6).alias(c) for c in i.columns if c != "measure"])
+    # the synthetic account moves by whole multiples a day; read per mille its paths stay finite
+    s = bt.bootstrap(t.withColumn("return_rate", F.col("return_rate") / lit(1000)))
+    i = bt.interval(s, list(_MEASURES))
+    digits = lambda c: F.coalesce(*[F.when(F.col("measure") == m, rnd(c, k)) for m, k in _MEASURES.items()])
+    return i.select("measure", *[digits(c).alias(c) for c in i.columns if c != "measure"])
 
 
 def _evidence(spark, sf):

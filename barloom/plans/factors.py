@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.dates import day_text
 from barloom.functions.numeric import rnd
 from barloom.operators import factors as fa
+from barloom.operators import features as of
 from barloom.operators import joins as oj
 from barloom.plans.features import feature_sql, features, stored_features
 from barloom.plans.registry import query
@@ -57,6 +59,72 @@ def factor_ic(spark, sf):
     return s.select("factor", "n", "ic_days", *[rnd(c, k).alias(c) for c, k in _IC_OUT.items()], rnd("t_stat", 4).alias("t_stat"), rnd("p_value", 5).alias("p_value"), "decay")
 
 
+EXTERNAL = ("money_flow.net_inflow", "market.up_count", "sector.net_inflow", "event.change_count", "limitup.keep_times", "screening.pattern_count", "recommendation.count", "candidate.score")
+_EX = [
+    "xm AS (SELECT day, count(CASE WHEN close > p THEN 1 END)::DOUBLE AS v FROM (SELECT code, day, close, lag(close) OVER (PARTITION BY code ORDER BY day) AS p FROM bars) GROUP BY day)",
+    "xs AS (SELECT industry, day, sum(net_inflow) AS v FROM bars JOIN sectors USING (code) GROUP BY 1, 2)",
+    "xe AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS day, max(CASE WHEN l_linenumber <= 4 THEN l_linenumber END)::DOUBLE AS v FROM lineitem GROUP BY 1, 2)",
+    "xl AS (SELECT code, day, max(l_tax) AS v FROM (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS day, l_tax FROM lineitem) GROUP BY 1, 2)",
+    "xr AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS day, count(DISTINCT l_returnflag)::DOUBLE AS v FROM lineitem GROUP BY 1, 2)",
+    """xo AS MATERIALIZED (SELECT o.code, o.day, o.y, nullif(o.net_inflow, 0) AS money_flow_net_inflow, xm.v AS market_up_count, nullif(xs.v, 0) AS sector_net_inflow, xe.v AS event_change_count, xl.v AS limitup_keep_times,
+  ((o.volume_ratio > 1.5)::INT + (o.close > o.ma20)::INT)::DOUBLE AS screening_pattern_count, xr.v AS recommendation_count, o.rsi14 AS candidate_score
+  FROM ob o LEFT JOIN xm USING (day) LEFT JOIN xs ON xs.industry = o.sector AND xs.day = o.day LEFT JOIN xe ON xe.code = o.code AND xe.day = o.day LEFT JOIN xl ON xl.code = o.code AND xl.day = o.day LEFT JOIN xr ON xr.code = o.code AND xr.day = o.day)""",
+    "xob AS (" + " UNION ALL ".join(f"SELECT '{i.replace('.', '_')}' AS factor, code, day, {i.replace('.', '_')} AS x, y FROM xo WHERE {i.replace('.', '_')} IS NOT NULL{' AND ' + i.replace('.', '_') + ' <> 0' if 'flow' in i else ''}" for i in EXTERNAL) + ")",
+]
+
+
+def external_facts(spark, sf, f):
+    """Facts of eight namespaces derived from the tables; those with available_at follow the point-in-time rule."""
+    b = views.bars_flows(spark, sf)
+    prev = F.lag("close").over(Window.partitionBy("code").orderBy("day"))
+    up = b.withColumn("up", (F.col("close") > prev).cast("double")).groupBy("day").agg(F.coalesce(F.sum("up"), F.lit(0.0)).alias("up_count"))
+    s = views.sectors(spark, sf).select("code", "industry")
+    per = b.join(s, "code").groupBy("industry", "day").agg(F.sum("net_inflow").alias("net_inflow"))
+    li = views.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_shipdate").cast("date").alias("day"), "l_linenumber", "l_tax", "l_returnflag")
+    at = F.col("day").cast("timestamp") + F.make_interval(hours=F.col("l_linenumber"))
+    return {
+        "money_flow": b.select("code", "day", "net_inflow"),
+        "market": up,
+        "sector": f.select("code", "day").join(s, "code").join(per, ["industry", "day"]).select("code", "day", "net_inflow"),
+        "event": li.select("code", "day", at.alias("available_at"), F.col("l_linenumber").cast("double").alias("change_count")),
+        "limitup": li.groupBy("code", "day").agg(F.max("l_tax").alias("keep_times")),
+        "screening": f.select("code", "day", (F.coalesce((F.col("volume_ratio") > 1.5).cast("double"), F.lit(None)) + (F.col("close") > F.col("ma20")).cast("double")).alias("pattern_count")),
+        "recommendation": li.groupBy("code", "day").agg(F.countDistinct("l_returnflag").cast("double").alias("count")),
+        "candidate": f.select("code", "day", F.col("rsi14").alias("score")),
+    }
+
+
+@query("factor_external", feature_sql(f"SELECT factor, {d()} AS day, n, {r('ic', 6)} AS ic, {r('rank_ic', 6)} AS rank_ic FROM icx", OBS, *_EX, IC.format("xob", "icx").replace("rk AS", "rkx AS").replace("FROM rk ", "FROM rkx ")))
+def factor_external(spark, sf):
+    f = stored_features(spark, sf)
+    # facts of the day's first four hours are known at the decision
+    at = F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(4))
+    o = fa.external_observations(f, external_facts(spark, sf, f), EXTERNAL, views.sectors(spark, sf), decision=at)
+    return fa.daily_ic(o).select("factor", day_text("day").alias("day"), "n", rnd("ic", 6).alias("ic"), rnd("rank_ic", 6).alias("rank_ic"))
+
+
+NAMED_RULE = {
+    "entry": [{"indicator": "close", "op": ">", "ref": "ma20"}, {"indicator": "market.up_count", "op": ">=", "value": 2.0}, {"indicator": "money_flow.net_inflow", "op": ">", "value": 0.0}],
+    "exit": [{"indicator": "stock_feature.rsi14", "op": ">", "value": 60.0}, {"indicator": "event.change_count", "op": "<", "value": 2.0}],
+}
+
+
+@query(
+    "rule_namespaced",
+    feature_sql(
+        f"SELECT f.code, {d('f.day')} AS day, coalesce(f.close > f.ma20 AND xm.v >= 2 AND f.net_inflow > 0, false) AS entry_matched, coalesce(f.rsi14 > 60, false) OR coalesce(z.v < 2, false) AS exit_matched FROM feat f LEFT JOIN xm USING (day) LEFT JOIN z ON z.code = f.code AND z.day = f.day",
+        _EX[0],
+        "z AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS day, max(l_linenumber) AS v FROM lineitem GROUP BY 1, 2)",
+    ),
+)
+def rule_namespaced(spark, sf):
+    f = stored_features(spark, sf)
+    facts = external_facts(spark, sf, f)
+    facts["event"] = facts["event"].groupBy("code", "day").agg(F.max("change_count").alias("change_count"))
+    m = of.match_namespaced(f, facts, NAMED_RULE)
+    return m.select("code", day_text("day").alias("day"), "entry_matched", "exit_matched")
+
+
 PREP = """pp0 AS (SELECT *, count(*) OVER (PARTITION BY factor, day) AS n, row_number() OVER (PARTITION BY factor, day ORDER BY x, code) - 1 AS i FROM obs),
 pp1 AS (SELECT *, max(CASE WHEN i = floor((n - 1) * 0.01::DOUBLE) THEN x END) OVER (PARTITION BY factor, day) AS lo, max(CASE WHEN i = floor((n - 1) * 0.99::DOUBLE) THEN x END) OVER (PARTITION BY factor, day) AS hi FROM pp0 WHERE n >= 3),
 pp2 AS (SELECT *, CASE WHEN n < 10 THEN x ELSE greatest(least(x, hi), lo) END AS wz FROM pp1),

@@ -440,7 +440,27 @@ ZIGZAG = [
 recurrent("ind_zigzag_known", ["zigzag"], {"zigzag_known": 0}, "high, low", ZIGZAG)
 
 
-@query("ind_zigzag")
+_EXT = "(CASE WHEN p_side = 1 THEN b.high >= p_lvl ELSE b.low <= p_lvl END)"
+# a turn opens a new slot that first repeats the pivot before it; the last content of a slot is a pivot
+_SLOTS = [
+    ("ext_at", "1", f"CASE WHEN b.bn = 1 THEN 1 WHEN {_EXT} OR side <> p_side THEN b.bn ELSE p_ext_at END"),
+    ("slot", "0", "CASE WHEN side <> p_side THEN p_slot + 1 ELSE p_slot END"),
+    ("pi", "1", f"CASE WHEN b.bn = 1 THEN 1 WHEN {_EXT} THEN b.bn WHEN side <> p_side THEN p_ext_at ELSE p_pi END"),
+    ("pv", "NULL", f"CASE WHEN b.bn = 1 THEN b.high WHEN {_EXT} THEN CASE WHEN p_side = 1 THEN b.high ELSE b.low END WHEN side <> p_side THEN p_lvl ELSE p_pv END"),
+]
+_PIVOTS = """pl AS (SELECT code, slot, pi, pv, mark, row_number() OVER (PARTITION BY code, slot ORDER BY bn DESC) AS rn FROM rec WHERE bn > 0),
+pz AS (SELECT code, pi, arg_max(pv, slot) AS v, arg_max(mark, slot) AS d FROM pl WHERE rn = 1 GROUP BY code, pi), pn AS (SELECT code, max(bn) AS n FROM rec GROUP BY code)"""
+
+
+@query(
+    "ind_zigzag",
+    recursive(
+        f"SELECT code, day, {AT}, high, low FROM bars",
+        [*ZIGZAG[:3], *_SLOTS],
+        f"SELECT rec.code, {d('rec.day')} AS day, {r('CASE WHEN n >= 3 THEN v END', P)} AS zigzag, {r('CASE WHEN n >= 3 THEN coalesce(pz.d, 0) ELSE 0 END', 0)} AS zigzag_dir FROM rec JOIN pn ON pn.code = rec.code LEFT JOIN pz ON pz.code = rec.code AND pz.pi = rec.bn WHERE bn > 0",
+        final=_PIVOTS,
+    ),
+)
 def ind_zigzag(spark, sf):
     return shaped(rc.zigzag(views.bars(spark, sf)), {"zigzag": P, "zigzag_dir": 0})
 

@@ -137,7 +137,7 @@ def sector_net_median(spark, sf):
     return oj.sector_net(stocks, flows).select("code", day_text("day").alias("day"), rnd("sector_net", 1).alias("sector_net"))
 
 
-_RECS = "rec AS (SELECT event_id, user_id AS code, CAST(ts AS DATE) AS event_day, event_type AS model, value FROM events WHERE event_type IN ('click', 'purchase', 'error'))"
+_RECS = "rec AS (SELECT event_id, user_id AS code, CAST(ts AS DATE) AS event_day, event_type AS model, value FROM events)"
 
 
 @query(
@@ -148,7 +148,7 @@ _RECS = "rec AS (SELECT event_id, user_id AS code, CAST(ts AS DATE) AS event_day
 def lookback_recommendations(spark, sf):
     e = views.table(spark, sf, "events").select(F.col("user_id").alias("code"), F.col("ts").cast("date").alias("day"), "event_type", "value")
     base = e.select("code", "day").distinct()
-    rec = e.filter(F.col("event_type").isin("click", "purchase", "error")).groupBy("code", F.col("day").alias("event_day"), F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best"))
+    rec = e.groupBy("code", F.col("day").alias("event_day"), F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best"))
     out = oj.lookback_counts(base, rec, 14, [F.countDistinct("model").alias("models"), F.sum("n").alias("recommendations"), F.max("best").alias("best")])
     return out.select("code", day_text("day").alias("day"), F.coalesce("models", F.lit(0)).alias("models"), F.coalesce("recommendations", F.lit(0)).alias("recommendations"), rnd(F.coalesce("best", lit(0)), 3).alias("best"))
 
@@ -380,22 +380,21 @@ def change_rank_concepts(spark, sf):
     return oa.concept_counts(views.changes(spark, sf)).orderBy(F.desc("total_count"), "concept").limit(7)
 
 
-@query("latest_snapshot_top", ctes(BARS) + f"SELECT code, net_inflow FROM bars WHERE day = (SELECT max(day) FROM bars WHERE day <= DATE '2001-06-01') ORDER BY net_inflow DESC, code LIMIT 10")
+@query("latest_snapshot_top", ctes(BARS) + f"SELECT code, net_inflow FROM bars WHERE day = (SELECT max(day) FROM bars) ORDER BY net_inflow DESC, code LIMIT 10")
 def latest_snapshot_top(spark, sf):
-    b = views.flows(spark, sf).filter("day <= '2001-06-01'")
-    return rk.latest_snapshot(b, "day").orderBy(F.desc("net_inflow"), "code").limit(10).select("code", "net_inflow")
+    return rk.latest_snapshot(views.flows(spark, sf), "day").orderBy(F.desc("net_inflow"), "code").limit(10).select("code", "net_inflow")
 
 
 @query(
     "flow_top_bottom_series",
     ctes(BARS, "t AS (SELECT code, sum(net_inflow) AS s FROM bars GROUP BY code)", "p AS ((SELECT code, 'in' AS side FROM t WHERE s > 0 ORDER BY s DESC, code LIMIT 20) UNION ALL (SELECT code, 'out' FROM t WHERE s < 0 ORDER BY s, code LIMIT 20))")
-    + f"SELECT side, code, {d()} AS day, net_inflow FROM bars JOIN p USING (code) WHERE day >= DATE '2001-01-01'",
+    + f"SELECT side, code, {d()} AS day, net_inflow FROM bars JOIN p USING (code)",
 )
 def flow_top_bottom_series(spark, sf):
     f = views.flows(spark, sf)
     total = f.groupBy("code").agg(F.sum("net_inflow").alias("s"))
     p = rk.top_and_bottom(total, "s", "code").select("code", "side")
-    return f.filter("day >= '2001-01-01'").join(F.broadcast(p), "code").select("side", "code", day_text("day").alias("day"), "net_inflow")
+    return f.join(F.broadcast(p), "code").select("side", "code", day_text("day").alias("day"), "net_inflow")
 
 
 @query("series_page", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -414,19 +413,64 @@ def daily_sector_rank(spark, sf):
     return rk.daily_sector_rank(s, 10).select("sector_name", day_text("day").alias("day"), "net_inflow", "rank")
 
 
-_LADDER = "lu AS (SELECT CAST(ts AS DATE) AS day, user_id AS code, user_id % 5 + 1 AS streak, strftime(ts, '%H:%M:%S') AS limit_time, 'U' || user_id AS name, event_type AS plate FROM events WHERE event_type IN ('click', 'view'))"
+_LADDER = "lu AS (SELECT CAST(ts AS DATE) AS day, user_id AS code, user_id % 5 + 1 AS streak, strftime(ts, '%H:%M:%S') AS limit_time, 'U' || user_id AS name, event_type AS plate FROM events)"
 
 
 @query(
     "limit_up_ladder",
     ctes(_LADDER, "b AS (SELECT day, code, max(streak) AS streak, min(limit_time) AS t, any_value(name) AS name FROM lu GROUP BY day, code)")
-    + f"SELECT {d()} AS day, streak, count(*) AS stocks, list_aggregate(list_transform(list_sort(list(ROW(t, code, name))), lambda x: x[3]), 'string_agg', ',') AS names FROM b GROUP BY day, streak",
+    + f"SELECT {d()} AS day, streak, code, name, CAST(row_number() OVER (PARTITION BY day, streak ORDER BY t, code) AS INTEGER) AS place, count(*) OVER (PARTITION BY day, streak) AS stocks FROM b",
 )
 def limit_up_ladder(spark, sf):
-    e = views.table(spark, sf, "events").filter(F.col("event_type").isin("click", "view"))
+    e = views.table(spark, sf, "events")
     rows = e.select(F.col("ts").cast("date").alias("day"), F.col("user_id").alias("code"), (F.col("user_id") % 5 + 1).alias("streak"), F.date_format("ts", "HH:mm:ss").alias("limit_time"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("plate"))
     l = rk.limit_up_ladder(rows)
-    return l.select(day_text("day").alias("day"), "streak", "stocks", F.array_join("names", ",").alias("names"))
+    return l.select(day_text("day").alias("day"), "streak", "code", "name", "place", "stocks")
+
+
+def _touched(spark, sf):
+    e = views.table(spark, sf, "events")
+    return e.select(
+        F.col("ts").cast("date").alias("day"),
+        F.col("user_id").alias("code"),
+        (F.col("event_id") % 4 + 1).alias("streak"),
+        F.struct("ts", "event_id").alias("limit_time"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("name"),
+        F.concat(F.col("event_type"), F.lit("_"), (F.col("user_id") % 6).cast("string")).alias("plate"),
+        (F.col("event_id") % 3 != 0).alias("held"),
+        (F.col("value") + lit(1)).alias("limit_price"),
+        (F.col("value") * lit(0.97) + lit(0.5)).alias("close"),
+    )
+
+
+_TOUCHED = "tc AS (SELECT CAST(ts AS DATE) AS day, user_id AS code, event_id % 4 + 1 AS streak, ts, event_id, 'U' || user_id AS name, event_type || '_' || (user_id % 6) AS plate, event_id % 3 <> 0 AS held, value + 1 AS lp, value * 0.97::DOUBLE + 0.5 AS cl FROM events)"
+
+
+@query("limit_up_exploded", ctes(_TOUCHED) + f"SELECT {d()} AS day, code, name, plate, {r('(cl / lp - 1) * 100', 4)} AS fall FROM (SELECT *, row_number() OVER (PARTITION BY day, code ORDER BY ts DESC, event_id DESC) AS n FROM tc) WHERE n = 1 AND NOT held")
+def limit_up_exploded(spark, sf):
+    x = rk.exploded_list(_touched(spark, sf))
+    return x.select(day_text("day").alias("day"), "code", "name", "plate", rnd("fall", 4).alias("fall"))
+
+
+@query("limit_up_plates", ctes(_TOUCHED) + f"SELECT {d()} AS day, plate, stocks, top_streak, CAST(row_number() OVER (PARTITION BY day ORDER BY stocks DESC, top_streak DESC, plate) AS INTEGER) AS place FROM (SELECT day, plate, count(DISTINCT code) AS stocks, max(streak) AS top_streak FROM tc GROUP BY 1, 2)")
+def limit_up_plates(spark, sf):
+    h = rk.plate_heat(_touched(spark, sf))
+    return h.select(day_text("day").alias("day"), "plate", "stocks", "top_streak", "place")
+
+
+@query("bull_bear_boards", ctes(BARS, "t AS (SELECT code, sum(net_inflow) AS s FROM bars GROUP BY code)") + "SELECT * FROM (SELECT CASE WHEN s > 0 THEN 'bull' ELSE 'bear' END AS side, code, CAST(row_number() OVER (PARTITION BY s > 0 ORDER BY abs(s) DESC, code) AS INTEGER) AS place FROM t WHERE s <> 0) WHERE place <= 10")
+def bull_bear_boards(spark, sf):
+    total = views.flows(spark, sf).groupBy("code").agg(F.sum("net_inflow").alias("s"))
+    return rk.boards(total, "s", "code").select("side", "code", "place")
+
+
+@query("sector_flow_series", ctes(BARS, SECTORS, "f AS (SELECT industry AS sector_name, day, sum(net_inflow) AS x FROM bars JOIN sectors USING (code) WHERE concept IN ('ASIA', 'EUROPE') GROUP BY 1, 2)") + f"SELECT sector_name, {d()} AS day, {r('x', 2)} AS net_inflow, {r('sum(x) OVER (PARTITION BY sector_name ORDER BY day)', 2)} AS total FROM f")
+def sector_flow_series(spark, sf):
+    s = views.sectors(spark, sf)
+    flows = views.flows(spark, sf).join(s, "code").withColumnRenamed("industry", "sector_name")
+    chosen = s.filter(F.col("concept").isin("ASIA", "EUROPE")).select(F.col("industry").alias("sector_name"))
+    out = rk.sector_series(flows, chosen)
+    return out.select("sector_name", day_text("day").alias("day"), rnd("net_inflow", 2).alias("net_inflow"), rnd("total", 2).alias("total"))
 
 
 @query(
@@ -438,18 +482,17 @@ def rank_within_source(spark, sf):
     return rk.rank_within(g, ["source"], [F.desc("n"), F.col("code")])
 
 
-_SRC = "src AS (SELECT DISTINCT user_id AS code, event_type AS source FROM events WHERE value > 30)"
+_SRC = "src AS (SELECT DISTINCT user_id AS code, event_type || '_' || (event_id % 3) AS source FROM events)"
 
 
 def _sources(spark, sf):
-    e = views.table(spark, sf, "events").filter("value > 30")
-    return e.select(F.col("user_id").alias("code"), F.col("event_type").alias("source"))
+    e = views.table(spark, sf, "events")
+    return e.select(F.col("user_id").alias("code"), F.concat("event_type", F.lit("_"), (F.col("event_id") % 3).cast("string")).alias("source"))
 
 
 @query("source_consensus", ctes(_SRC) + "SELECT code, count(*) AS source_count, array_to_string(list_sort(list(source)), '|') AS sources FROM src GROUP BY code HAVING count(*) >= 3")
 def source_consensus(spark, sf):
-    s = _sources(spark, sf)
-    c = rk.consensus([(n, s.filter(F.col("source") == n)) for n in ("click", "view", "purchase", "error", "signup", "login", "logout", "search")], 3)
+    c = rk.consensus_of(_sources(spark, sf), 3)
     return c.select("code", "source_count", F.array_join("sources", "|").alias("sources"))
 
 
@@ -465,10 +508,12 @@ def source_ablation(spark, sf):
 
 @query(
     "missing_weekdays",
-    f"WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), e AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM s), (SELECT max(day) FROM s), INTERVAL 1 DAY)) AS DATE) AS day) SELECT {d()} AS day FROM e WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM s)",
+    f"WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + CASE WHEN dayofyear(o_orderdate) % 3 = 0 THEN 1 ELSE 0 END AS day FROM orders), e AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM s), (SELECT max(day) FROM s), INTERVAL 1 DAY)) AS DATE) AS day) SELECT {d()} AS day FROM e WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM s)",
 )
 def missing_weekdays(spark, sf):
-    o = views.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_orderdate").cast("date").alias("day"))
+    # every third day of the year moves on by one, which leaves gaps
+    day = F.col("o_orderdate").cast("date")
+    o = views.table(spark, sf, "orders").select(F.date_add(day, F.when(F.dayofyear(day) % 3 == 0, 1).otherwise(0)).alias("day"))
     return rk.missing_weekdays(o).select(day_text("day").alias("day"))
 
 

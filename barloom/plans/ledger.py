@@ -100,12 +100,12 @@ def limit_up_summary(spark, sf):
 
 @query(
     "recommendation_tracking",
-    "WITH p AS (SELECT p_partkey AS code, p_retailprice AS price FROM part WHERE p_size > 10), q AS (SELECT o_orderkey, o_custkey AS code, o_totalprice / 200 AS x FROM orders) SELECT o_orderkey, CASE WHEN price IS NULL THEN 'no_price' WHEN price <= x * 0.7 THEN 'loss' WHEN price >= x * 1.6 THEN 'profit' WHEN price BETWEEN x * 0.9 AND x * 1.1 THEN 'buy' ELSE 'between' END AS zone FROM q LEFT JOIN p USING (code)",
+    "WITH p AS (SELECT p_partkey AS code, p_retailprice AS price FROM part), q AS (SELECT o_orderkey, o_custkey AS code, o_totalprice / 200 AS x FROM orders) SELECT o_orderkey, CASE WHEN price IS NULL THEN 'no_price' WHEN price <= x * 0.7 THEN 'loss' WHEN price >= x * 1.6 THEN 'profit' WHEN price BETWEEN x * 0.9 AND x * 1.1 THEN 'buy' ELSE 'between' END AS zone FROM q LEFT JOIN p USING (code)",
 )
 def recommendation_tracking(spark, sf):
     x = F.col("o_totalprice") / 200
     rec = views.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("code"), (x * lit(0.7)).alias("stop_price"), (x * lit(1.6)).alias("profit_price"), (x * lit(0.9)).alias("buy_min"), (x * lit(1.1)).alias("buy_max"))
-    price = views.table(spark, sf, "part").filter("p_size > 10").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price"))
+    price = views.table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price"))
     return ol.track_recommendations(rec, price).select("o_orderkey", "zone")
 
 

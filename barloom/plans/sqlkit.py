@@ -7,8 +7,10 @@ from barloom.sources.views import CHANGE_CODE_ORDER
 
 
 def r(expr: str, digits: int) -> str:
+    """Half away from zero by the engine's own round(); float noise next to a tie counts as the tie."""
     s = f"{10.0**digits:.1f}::DOUBLE"
-    return f"(floor(({expr})*{s}+0.500001::DOUBLE)/{s})"
+    y = f"abs(({expr})*{s})"
+    return f"(sign({expr})*round({y} + 1e-8::DOUBLE + least(1e-6::DOUBLE, {y}*1e-14::DOUBLE))/{s}+0.0::DOUBLE)"
 
 
 def d(expr: str = "day") -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.dates import day_text
 from barloom.functions.numeric import lit, rnd
+from barloom.operators import text as ot
+from barloom.plans import ledger as ql
 from barloom.plans.joins import _MOOD
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BULL, CHANGES, DOWN, TICKS, UP, ctes, r
@@ -91,6 +93,54 @@ def stream_decision_alerts(spark, sf):
     return st.run_to_table(st.decision_alerts(q, thresholds), mode="append").select("code", "reason", "event_id", "status")
 
 
+_RECS = """recs AS (SELECT DISTINCT user_id AS code, k::BIGINT AS rec FROM events, (VALUES (1), (2)) t(k)),
+zn AS (SELECT code, rec, 'buy' AS zone, 1 AS sg, (4 + code % 5 + rec)::DOUBLE AS bound FROM recs UNION ALL SELECT code, rec, 'profit', -1, (40 + code % 30 * rec)::DOUBLE FROM recs
+  UNION ALL SELECT code, rec, 'loss', 1, (code % 3 * rec)::DOUBLE FROM recs UNION ALL SELECT code, rec, 'cost', 1, (20 + code % 7)::DOUBLE FROM recs)"""
+
+
+@query(
+    "stream_zone_alerts",
+    f"""WITH RECURSIVE {_RECS},
+b AS MATERIALIZED (SELECT zn.code, rec, zone, sg, sg * bound AS bd, event_id, epoch(ts) AS s, value AS pr, row_number() OVER (PARTITION BY zn.code, rec, zone ORDER BY ts, event_id) AS n FROM events JOIN zn ON zn.code = user_id WHERE bound > 0 AND value > 0),
+st AS (SELECT DISTINCT code, rec, zone, 0::BIGINT AS n, -1::BIGINT AS event_id, 0::DOUBLE AS last, 0::DOUBLE AS sent, false AS hit FROM b
+  UNION ALL SELECT code, rec, zone, n, event_id, CASE WHEN f THEN pr WHEN i AND e THEN last WHEN i THEN pr WHEN last = 0 OR (CASE WHEN zone = 'cost' THEN sg * pr < sg * last ELSE sg * pr > sg * last END) THEN pr ELSE last END, CASE WHEN f THEN s ELSE sent END, f
+  FROM (SELECT *, i AND e AND (sent = 0 OR s - sent >= 300) AS f FROM (SELECT b.*, st.last, st.sent, CASE WHEN b.zone = 'cost' THEN b.sg * b.pr < b.bd ELSE b.sg * b.pr <= b.bd END AS i, st.last = 0 OR (CASE WHEN b.zone = 'cost' THEN b.sg * st.last >= b.bd ELSE b.sg * st.last > b.bd END) AS e
+    FROM st JOIN b ON b.code = st.code AND b.rec = st.rec AND b.zone = st.zone AND b.n = st.n + 1)))
+SELECT code, rec, zone, event_id FROM st WHERE hit""",
+)
+def stream_zone_alerts(spark, sf):
+    c = F.col("code")
+    codes = views.table(spark, sf, "events").select(F.col("user_id").alias("code")).distinct()
+    recs = codes.select("code", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("rec"))
+    recs = recs.select("code", "rec", (c % 5 + F.col("rec") + 4).alias("buy"), (c % 30 * F.col("rec") + 40).alias("profit"), (c % 3 * F.col("rec")).alias("loss"), (c % 7 + 20).alias("cost"))
+    ticks = st.events_stream(spark, sf).select("event_id", "ts", F.col("user_id").alias("code"), F.col("value").alias("price"))
+    return st.run_to_table(st.zone_alerts(ticks, recs), mode="append").select("code", "rec", "zone", "event_id")
+
+
+@query(
+    "stream_advice_changes",
+    """WITH a AS (SELECT user_id AS code, event_id, ts, CASE event_id % 5 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'HOLD' WHEN 3 THEN 'ADD' ELSE 'HOLD' END AS action, user_id % 4 = 0 AS watch FROM events),
+p AS (SELECT *, lag(action) OVER (PARTITION BY code ORDER BY ts, event_id) AS previous FROM a)
+SELECT code, event_id, previous, CASE WHEN watch THEN 'WATCH' ELSE action END AS action, CASE WHEN watch THEN 'low' WHEN action = 'SELL' THEN 'high' WHEN action IN ('BUY', 'ADD') THEN 'low' ELSE 'medium' END AS level FROM p WHERE previous <> action""",
+)
+def stream_advice_changes(spark, sf):
+    k = F.col("event_id") % 5
+    action = F.when(k == 0, " buy").when(k == 1, "SELL").when(k == 3, "add ").otherwise("hold")
+    d = st.events_stream(spark, sf).select(F.col("user_id").alias("code"), "event_id", "ts", action.alias("action"), F.when(F.col("user_id") % 4 == 0, "watch").otherwise("hold").alias("mode"))
+    return st.run_to_table(st.advice_changes(d), mode="append").select("code", "event_id", "previous", "action", "level")
+
+
+@query("stream_news", ctes(ql._LEX, ql._TOK) + f"SELECT label, count(*) AS news FROM (SELECT DISTINCT text, {ql._LAB.format(r('s', 4))} AS label FROM sn JOIN documents USING (doc_id)) GROUP BY label")
+def stream_news(spark, sf):
+    def labelled(batch):
+        s = ot.sentiment(batch.dropDuplicates(["text"]), ql._lexicon(batch.sparkSession), ql.TRANSITIONS)
+        label = F.when(rnd("score", 4) > 1, "positive").when(rnd("score", 4) < -1, "negative").otherwise("neutral")
+        return batch.join(s.select("doc_id", label.alias("label")), "doc_id").select("text", "label")
+
+    n = st.ingest_unique(st.news_stream(spark, sf), ["text"], labelled)
+    return n.groupBy("label").agg(F.count(F.lit(1)).alias("news"))
+
+
 @query("recent_window", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def recent_window(spark, sf):
     e = views.table(spark, sf, "events").select("event_id", "ts")

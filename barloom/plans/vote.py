@@ -96,27 +96,97 @@ _REC_COLS = (
 ).split()
 
 
+# the 44 votes, written for the SQL side alone
+_UP_DOWN = "CASE WHEN {n} THEN NULL WHEN {u} THEN 'bullish' WHEN {d} THEN 'bearish' ELSE '{o}' END"
+
+
+def _v(known: str, up: str, down: str, other: str) -> str:
+    missing = f"NOT ({' AND '.join(f'{c} IS NOT NULL' for c in known.split())})"
+    return _UP_DOWN.format(n=missing, u=up, d=down, o=other)
+
+
+_VOTES = [
+    """CASE WHEN ma60 IS NULL THEN NULL WHEN ma60 < ma20 AND ma20 < ma10 AND ma10 < ma5 THEN 'bullish'
+       WHEN ma60 > ma20 AND ma20 > ma10 AND ma10 > ma5 THEN 'bearish'
+       WHEN (ma20 < ma5 AND ma60 > ma10) OR (ma20 > ma5 AND ma60 < ma10) THEN 'oscillating' ELSE 'neutral' END""",
+    _v("ema12 ema21", "ema21 < ema12", "ema21 > ema12", "neutral"),
+    """CASE WHEN boll_upper IS NULL THEN NULL WHEN boll_upper < close THEN 'bullish' WHEN boll_lower > close THEN 'bearish'
+       WHEN boll_mid < close THEN 'oscillating' ELSE 'neutral' END""",
+    _v("vwap", "vwap < close", "vwap > close", "neutral"),
+    _v("dema_biased", "dema_biased < close", "dema_biased > close", "neutral"),
+    _v("tema", "tema < close", "tema > close", "neutral"),
+    _v("kama p_kama", "kama < close AND p_kama < kama", "kama > close AND p_kama > kama", "neutral"),
+    _v("hull p_hull", "p_hull < hull", "p_hull > hull", "neutral"),
+    _v("keltner_upper keltner_lower", "keltner_upper < close", "keltner_lower > close", "oscillating"),
+    _v("supertrend_dir", "supertrend_dir > 0", "supertrend_dir < 0", "neutral"),
+    """CASE WHEN tenkan IS NULL OR kijun IS NULL OR span_a IS NULL OR span_b IS NULL THEN NULL
+       WHEN span_a < close AND span_b < close AND kijun < tenkan THEN 'bullish'
+       WHEN span_a > close AND span_b > close AND kijun > tenkan THEN 'bearish'
+       WHEN (close BETWEEN span_a AND span_b) OR (close BETWEEN span_b AND span_a) THEN 'oscillating' ELSE 'neutral' END""",
+    _v("sar_dir", "sar_dir > 0", "sar_dir < 0", "neutral"),
+    _v("donchian_upper", "donchian_upper <= close", "donchian_lower >= close", "oscillating"),
+    _v("jaw teeth lips", "jaw < teeth AND teeth < lips", "jaw > teeth AND teeth > lips", "oscillating"),
+    _v("zigzag_known", "zigzag_known < 0", "zigzag_known > 0", "neutral"),
+    _v("sats_dir", "sats_dir > 0", "sats_dir < 0", "neutral"),
+    """CASE WHEN pivot_pp IS NULL THEN NULL WHEN pivot_r1 < close THEN 'bullish' WHEN pivot_s1 > close THEN 'bearish'
+       WHEN pivot_pp < close THEN 'oscillating' ELSE 'neutral' END""",
+    _v("vwap_upper vwap_lower", "vwap_upper < close", "vwap_lower > close", "oscillating"),
+    """CASE WHEN macd_hist IS NULL THEN NULL WHEN macd_dea < macd_dif AND macd_hist > 0 THEN 'bullish'
+       WHEN macd_dea > macd_dif AND macd_hist < 0 THEN 'bearish' WHEN sign(macd_dif) * sign(macd_hist) < 0 THEN 'oscillating' ELSE 'neutral' END""",
+    """CASE WHEN rsi_cutler IS NULL THEN NULL WHEN rsi_cutler NOT BETWEEN 30 AND 70 THEN 'oscillating' WHEN rsi_cutler > 50 THEN 'bullish' ELSE 'bearish' END""",
+    """CASE WHEN kdj_j IS NULL THEN NULL WHEN kdj_d < kdj_k AND kdj_k < kdj_j AND kdj_k < 80 THEN 'bullish'
+       WHEN kdj_d > kdj_k AND kdj_k > kdj_j AND kdj_k > 20 THEN 'bearish' WHEN kdj_k > 80 THEN 'bearish' WHEN kdj_k < 20 THEN 'bullish' ELSE 'oscillating' END""",
+    _v("cci", "cci > 100", "cci < -100", "oscillating"),
+    _v("williams_r", "williams_r < -80", "williams_r > -20", "oscillating"),
+    _v("stoch_k stoch_d", "greatest(stoch_k, stoch_d) < 20 AND stoch_d < stoch_k", "least(stoch_k, stoch_d) > 80 AND stoch_d > stoch_k", "oscillating"),
+    _v("adx di_plus di_minus", "adx > 25 AND di_minus < di_plus", "adx > 25 AND di_minus > di_plus", "oscillating"),
+    _v("aroon_up aroon_down", "aroon_up > 70 AND aroon_down < 30", "aroon_up < 30 AND aroon_down > 70", "oscillating"),
+    _v("cmo", "cmo > 50", "cmo < -50", "oscillating"),
+    _v("trix trix_signal", "trix_signal < trix", "trix_signal > trix", "neutral"),
+    _v("roc", "roc > 0", "roc < 0", "neutral"),
+    _v("coppock p_coppock", "coppock > 0 AND NOT p_coppock > 0", "coppock < 0", "neutral"),
+    _v("smi smi_signal", "smi > greatest(0, smi_signal)", "smi < least(0, smi_signal)", "oscillating"),
+    """CASE WHEN ao IS NULL OR p_ao IS NULL THEN NULL WHEN ao > greatest(0, p_ao) THEN 'bullish' WHEN ao < least(0, p_ao) THEN 'bearish'
+       WHEN ao > 0 AND ao < p_ao THEN 'oscillating' ELSE 'neutral' END""",
+    _v("obv_vol0 p_obv_vol0", "p_obv_vol0 < obv_vol0", "p_obv_vol0 > obv_vol0", "neutral"),
+    """CASE WHEN mfi IS NULL THEN NULL WHEN mfi NOT BETWEEN 20 AND 80 THEN 'oscillating' WHEN mfi > 50 THEN 'bullish' ELSE 'bearish' END""",
+    _v("cmf", "cmf > 0.05", "cmf < -0.05", "oscillating"),
+    _v("ad p_ad", "p_ad < ad", "p_ad > ad", "neutral"),
+    _v("force_index", "force_index > 0", "force_index < 0", "neutral"),
+    _v("chaikin p_chaikin", "chaikin > greatest(0, p_chaikin)", "chaikin < least(0, p_chaikin)", "oscillating"),
+    "CASE WHEN atr_wilder > p_atr_wilder THEN 'oscillating' WHEN atr_wilder IS NOT NULL AND p_atr_wilder IS NOT NULL THEN 'neutral' END",
+    "CASE WHEN chop > 61.8 THEN 'oscillating' WHEN chop IS NOT NULL THEN 'neutral' END",
+    "CASE WHEN mass_index IS NULL OR p_mass_index IS NULL THEN NULL WHEN mass_index < 27 AND p_mass_index > 27 THEN 'bullish' ELSE 'neutral' END",
+    _v("ulcer", "ulcer < 5", "ulcer > 15", "neutral"),
+    "CASE WHEN ttm_momentum IS NULL THEN NULL WHEN squeeze THEN 'oscillating' WHEN ttm_momentum > 0 THEN 'bullish' WHEN ttm_momentum < 0 THEN 'bearish' ELSE 'neutral' END",
+    _v("bull_power", "bull_power > greatest(0, bear_power)", "bear_power < least(0, bull_power)", "oscillating"),
+]
+assert len(_VOTES) == 44
+
+
 def _sql() -> str:
     sats = qi.SATS_SQL.strip()
     cut = sats.index("b0 AS MATERIALIZED")
     body, tail = sats[cut:].rsplit("SELECT code, strftime(day", 1)
     body = body.replace("b AS MATERIALIZED (SELECT code, day, bn, high", "bs AS MATERIALIZED (SELECT code, day, bn, high").replace("JOIN b ON", "JOIN bs b ON").replace("FROM b\n  UNION ALL\n  SELECT code, day, bn, sa2", "FROM bs\n  UNION ALL\n  SELECT code, day, bn, sa2")
     body = body.replace("rec AS (", "recs AS (").replace("FROM rec r JOIN bs", "FROM recs r JOIN bs")
+    # one precision for everything that is compared, as the operator does
     lags = ", ".join(f"lag({c}) OVER {W} AS p_{c}" for c in vote.COMPARED)
     fills = ", ".join(f"last_value({c} IGNORE NULLS) OVER {qi._cum} AS {c}" for c in vote.FILLED)
     rest = [c for c in _REC_COLS if c not in vote.FILLED]
-    lags = lags.replace("lag(ad)", f"lag({r('ad', 6)})")
-    others = "code day close ma5 ma10 ma20 ma60 boll_upper boll_lower boll_mid hull tenkan kijun span_a span_b donchian_upper donchian_lower jaw teeth lips pivot_pp pivot_r1 pivot_s1 rsi_cutler stoch_k stoch_d aroon_up aroon_down cmo roc coppock ao obv_vol0 mfi ulcer bn sats_dir".split()
-    votes = ",\n ".join(f"{t} AS v{i}" for i, t in enumerate(vote.RULES.values()))
-    listed = "[" + ",".join(f"v{i}" for i in range(len(vote.RULES))) + "]"
+    others = "close ma5 ma10 ma20 ma60 boll_upper boll_lower boll_mid hull tenkan kijun span_a span_b donchian_upper donchian_lower jaw teeth lips pivot_pp pivot_r1 pivot_s1 rsi_cutler stoch_k stoch_d aroon_up aroon_down cmo roc coppock ao obv_vol0 mfi ulcer sats_dir".split()
+    votes = ",\n ".join(f"{t} AS v{i}" for i, t in enumerate(_VOTES))
+    listed = "[" + ",".join(f"v{i}" for i in range(len(_VOTES))) + "]"
+    level = ", ".join(f"{r(c, 6)} AS {c}" for c in dict.fromkeys([*others, *rest, *vote.FILLED, "ad", "mass_index"]) if c != "mass_ratio")
     counts = ", ".join(f"CAST(len(list_filter(vs, lambda x: x = '{s}')) AS BIGINT) AS {s}" for s in vote.SIDES)
     pcts = ", ".join(f"CAST(CASE WHEN total > 0 THEN floor({s} * 100.0 / total + 0.5) ELSE 0 END AS BIGINT) AS {s}_pct" for s in vote.SIDES)
     final = f"""{_stages()},
 {body.rstrip().rstrip(',')},
-j0 AS (SELECT v.*, {', '.join('rec.' + c for c in _REC_COLS)}, recs.dir AS sats_dir, rec.keltner_lower AS kl, rec.keltner_upper AS ku
+j0 AS (SELECT v.*, {', '.join('rec.' + c for c in _REC_COLS)}, recs.dir AS sats_dir
        FROM v{_LAST} v JOIN rec ON rec.code = v.code AND rec.day = v.day JOIN recs ON recs.code = v.code AND recs.day = v.day),
-j1 AS (SELECT *, {roll('sum', 'mass_ratio', 25)} AS mass_index, coalesce(boll_lower >= kl AND boll_upper <= ku, false) AS squeeze FROM j0),
-j2 AS (SELECT {', '.join(others)}, {r('ad', 6)} AS ad, {', '.join(rest)}, mass_index, squeeze, {fills}, {lags} FROM j1),
+j1 AS (SELECT * REPLACE ({fills}), {roll('sum', 'mass_ratio', 25)} AS mass_index FROM j0),
+j1r AS (SELECT code, day, bn, {level} FROM j1),
+j2 AS (SELECT *, coalesce(boll_lower >= keltner_lower AND boll_upper <= keltner_upper, false) AS squeeze, {lags} FROM j1r),
 j3 AS (SELECT code, day, {votes} FROM j2 WHERE bn >= 2),
 j4 AS (SELECT code, day, list_filter({listed}, lambda x: x IS NOT NULL) AS vs FROM j3),
 j5 AS (SELECT code, day, CAST(len(vs) AS BIGINT) AS total, {counts} FROM j4)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -21,8 +22,7 @@ def local_session(app: str = "barloom", cpus: str | int | None = None, shuffle:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BARLOOM_DRIVER_MEMORY", "6g"))
     )
-    spark = builder.getOrCreate()
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
+    if "spark.checkpoint.dir" not in SparkConf().toDebugString():
         # a local run has no shared storage; a cluster names its own folder
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
-    return spark
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+    return builder.getOrCreate()

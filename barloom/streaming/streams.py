@@ -6,7 +6,6 @@ key is the answer, so the state stays bounded by the watermark and nothing is re
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,12 +22,23 @@ from barloom.operators.windows import first_row
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
-    """Events as a file stream with an event-time column."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def _pattern(folder: str, table: str) -> str:
+    """A pattern that matches the table alone; only patterns may name a single file in a file stream."""
+    return f"{folder}/{table[:-1]}[{table[-1]}]"
+
+
+def events_stream(spark: SparkSession, folder: str, table: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
+    """Events as a file stream with an event-time column; the table is one file or a folder of part files."""
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger).parquet(_pattern(folder, table))
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def news_stream(spark: SparkSession, folder: str, table: str = "documents.parquet", per_trigger: int = 1) -> DataFrame:
+    """News texts as a file stream."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(_pattern(folder, table))
+
+
 def dedup(events: DataFrame, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:
     """First event per key within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
@@ -131,6 +141,87 @@ def price_alerts(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+# zones of a recommendation and the side from which the price enters them
+ZONES = {"buy": 1.0, "profit": -1.0, "loss": 1.0, "cost": 1.0}
+
+
+def zone_step(state: tuple[float, float], seconds: float, price: float, bound: float, zone: str) -> tuple[tuple[float, float], bool]:
+    """One tick against one zone; prices are mirrored for take-profit, so every zone lies below its bound.
+
+    Buy, loss and profit zones hold their bound, the cost zone does not; entering from the bound counts only there.
+    Outside, the re-arming price moves away from the zone, for the cost price towards it.
+    """
+    side = ZONES[zone]
+    p, b, last, sent = side * price, side * bound, side * state[0], state[1]
+    cost = zone == "cost"
+    if p < b or (p == b and not cost):
+        if last == 0 or last > b or (cost and last == b):
+            if sent == 0 or seconds - sent >= COOLDOWN:
+                return (price, seconds), True
+            return state, False
+        return (price, sent), False
+    moved = p < last if cost else p > last
+    return ((price, sent) if last == 0 or moved else state), False
+
+
+def _zone_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    now = state.get if state.exists else (0.0, 0.0)
+    fired = []
+    for event_id, ts, price, bound in zip(rows["event_id"], rows["ts"], rows["price"], rows["bound"]):
+        now, hit = zone_step(now, ts.timestamp(), price, bound, key[2])
+        if hit:
+            fired.append((*key, event_id, ts, price))
+    state.update(now)
+    yield pd.DataFrame(fired, columns=["code", "rec", "zone", "event_id", "ts", "price"])
+
+
+def zone_alerts(ticks: DataFrame, recommendations: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Alerts per (instrument, recommendation, zone) of a tick stream against static bounds; a bound of 0 is no zone.
+
+    The key is as fine as the state, so one trigger brings a key the ticks of one instrument only.
+    """
+    bounds = F.array(*[F.struct(F.lit(z).alias("zone"), F.col(z).cast("double").alias("bound")) for z in ZONES])
+    static = recommendations.select("code", "rec", F.explode(bounds).alias("b")).select("code", "rec", "b.*").filter("bound > 0")
+    rows = ticks.withWatermark("ts", delay).filter("price > 0").join(static, "code").select("code", "rec", "zone", "event_id", "ts", "price", "bound")
+    return rows.groupBy("code", "rec", "zone").applyInPandasWithState(
+        _zone_rows, "code long, rec long, zone string, event_id long, ts timestamp, price double", "last double, sent double", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def advice_changes(decisions: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """A row whenever the action of an instrument changes: level by the new action, low under watch."""
+    return (
+        decisions.withWatermark("ts", delay)
+        .select("code", "event_id", "ts", F.upper(F.trim("action")).alias("action"), "mode")
+        .filter("action <> ''")
+        .groupBy("code")
+        .applyInPandasWithState(
+            _advice_rows, "code long, event_id long, ts timestamp, previous string, action string, level string", "action string", "append", GroupStateTimeout.NoTimeout
+        )
+    )
+
+
+def advice_step(previous: str, action: str, mode: str) -> tuple[str, str, str] | None:
+    """(previous, suggested action, level) of a change of advice, else None."""
+    if not previous or previous == action:
+        return None
+    level = {"SELL": "high", "BUY": "low", "ADD": "low"}.get(action, "medium")
+    return (previous, "WATCH", "low") if mode == "watch" else (previous, action, level)
+
+
+def _advice_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    now = state.get[0] if state.exists else ""
+    out = []
+    for event_id, ts, action, mode in zip(rows["event_id"], rows["ts"], rows["action"], rows["mode"]):
+        if change := advice_step(now, action, mode):
+            out.append((key[0], event_id, ts, *change))
+        now = action
+    state.update((now,))
+    yield pd.DataFrame(out, columns=["code", "event_id", "ts", "previous", "action", "level"])
+
+
 REALERT = 30 * 60.0
 
 
@@ -185,9 +276,16 @@ def decision_alerts(quotes: DataFrame, thresholds: DataFrame, delay: str = "10 m
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint space; a local one only where none is set."""
+    """A new folder in the cluster's shared checkpoint space."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    if shared is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+def store_batch(batch: DataFrame, folder: str, number: int) -> None:
+    """A batch has a folder of its own and replaces it, so a batch that is run again leaves its rows once."""
+    batch.write.mode("overwrite").parquet(f"{folder}/rows/_batch={number}")
 
 
 def run_to_table(stream: DataFrame, keys: Sequence[str] | None = None, mode: str = "update", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -199,8 +297,7 @@ def run_to_table(stream: DataFrame, keys: Sequence[str] | None = None, mode: str
     folder = work_folder(spark)
 
     def store(batch: DataFrame, number: int) -> None:
-        out = each(batch) if each else batch
-        out.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
+        store_batch(each(batch) if each else batch, folder, number)
 
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(store).start()
     q.awaitTermination()

@@ -158,3 +158,24 @@ def test_bootstrap_is_seed_stable(spark):
     one = backtest.bootstrap(t, 20).orderBy("sim").collect()
     assert one == backtest.bootstrap(t.repartition(5), 20).orderBy("sim").collect() and len(one) == 20
     assert backtest.bootstrap(t.limit(5), 20).count() == 0
+
+
+def test_rounding_is_half_away_and_never_saturates(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.numeric import rnd
+
+    inf, nan = float("inf"), float("nan")
+    cases = [(2.5, 0, 3.0), (-2.5, 0, -3.0), (2.4999995, 0, 2.0), (-0.125, 2, -0.13), (1e18, 2, 1e18), (9.3e12, 6, 9.3e12), (inf, 2, inf), (-inf, 2, -inf), (nan, 2, nan), (0.0, 2, 0.0), (1.005, 2, 1.01)]
+    df = spark.createDataFrame([(i, x, d) for i, (x, d, _) in enumerate(cases)], "i int, x double, d int")
+    out = df.select("i", F.coalesce(*[F.when(F.col("d") == d, rnd("x", d)) for d in (0, 2, 6)]).alias("y")).orderBy("i").collect()
+    for row, (x, _, want) in zip(out, cases, strict=True):
+        assert row.y == want or (want != want and row.y != row.y), (x, row.y, want)
+
+
+def test_value_buckets_order_the_ends(spark):
+    from barloom.operators.windows import value_bucket
+
+    xs = [float("-inf"), -1e300, -2.0, 0.0, 1.0, 2.0, 1e300, float("inf"), float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(value_bucket("x")).collect()]
+    assert got == sorted(got) and len(set(got)) == len(got)

@@ -10,22 +10,23 @@ from barloom.streaming import streams as st
 @pytest.fixture(scope="module")
 def folder(spark, sf, tmp_path_factory):
     """The events in four files in time order, so a stream needs several triggers."""
-    out = tmp_path_factory.mktemp("events")
+    out = tmp_path_factory.mktemp("stream") / "events.parquet"
+    out.mkdir()
     e = views.table(spark, sf, "events").toPandas().sort_values("ts")
     step = len(e) // 4 + 1
     for i in range(4):
         e.iloc[i * step : (i + 1) * step].to_parquet(out / f"part-{i}.parquet", coerce_timestamps="us", index=False)
-    return str(out)
+    return str(out.parent)
 
 
 def test_bars_over_triggers(spark, folder, sf):
-    got = st.run_to_table(st.tumbling_bars(st.ticks_of(st.events_stream(spark, folder, "*.parquet"))), ["code", "bar"])
+    got = st.run_to_table(st.tumbling_bars(st.ticks_of(st.events_stream(spark, folder))), ["code", "bar"])
     want = st.tumbling_bars(st.ticks_of(views.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
 def test_alert_state_survives_triggers(spark, folder, sf):
-    got = st.run_to_table(st.price_alerts(st.ticks_of(st.events_stream(spark, folder, "*.parquet")).withColumn("low", F.lit(5.0))), mode="append")
+    got = st.run_to_table(st.price_alerts(st.ticks_of(st.events_stream(spark, folder)).withColumn("low", F.lit(5.0))), mode="append")
     rows = views.table(spark, sf, "events").toPandas().sort_values(["ts", "event_id"])
     want = set()
     for code, g in rows.groupby("event_type"):
@@ -38,7 +39,7 @@ def test_alert_state_survives_triggers(spark, folder, sf):
 
 
 def test_rollup_over_triggers(spark, folder, sf):
-    got = st.run_to_table(st.day_rollup(st.changes_of(st.events_stream(spark, folder, "*.parquet"))), ["code", "day"])
+    got = st.run_to_table(st.day_rollup(st.changes_of(st.events_stream(spark, folder))), ["code", "day"])
     n = views.table(spark, sf, "events").count()
     assert got.agg(F.sum("event_count")).first()[0] == n
 
@@ -52,5 +53,31 @@ def test_decision_alert_steps():
 
 
 def test_ingest_unique(spark, folder):
-    e = st.events_stream(spark, folder, "*.parquet").select("event_type")
+    e = st.events_stream(spark, folder).select("event_type")
     assert st.ingest_unique(e, ["event_type"]).count() == 5
+
+
+def test_a_batch_that_runs_again_leaves_its_rows_once(spark, tmp_path):
+    folder = str(tmp_path / "replay")
+    for number in (0, 1, 1, 0):
+        st.store_batch(spark.range(number * 10, number * 10 + 10), folder, number)
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/rows").collect()) == list(range(20))
+
+
+def test_zone_steps():
+    def run(zone, bound, ticks):
+        s, out = (0.0, 0.0), []
+        for t, price in ticks:
+            s, hit = st.zone_step(s, float(t), price, bound, zone)
+            out.append(hit)
+        return out
+
+    assert run("buy", 5.0, [(1, 6.0), (2, 5.0), (3, 4.0), (4, 6.0), (5, 5.0), (400, 6.0), (401, 5.0)]) == [False, True, False, False, False, False, True]
+    assert run("profit", 9.0, [(1, 8.0), (2, 9.0), (3, 10.0), (400, 8.0), (401, 9.5)]) == [False, True, False, False, True]
+    assert run("cost", 5.0, [(1, 5.0), (2, 4.9)]) == [False, True]
+
+
+def test_advice_steps():
+    assert st.advice_step("", "BUY", "hold") is None and st.advice_step("BUY", "BUY", "hold") is None
+    assert st.advice_step("BUY", "SELL", "hold") == ("BUY", "SELL", "high")
+    assert st.advice_step("BUY", "SELL", "watch") == ("BUY", "WATCH", "low")
