@@ -329,7 +329,7 @@ def with_bytes(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 RANGE = [T.StructField("start", T.LongType()), T.StructField("n", T.LongType())]
 
 
-def sorted_groups(content: DataFrame, size: int, batch_bytes: int = 4 << 20) -> DataFrame:
+def sorted_groups(content: DataFrame, size: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """(_id, _rk, start, n): repeated starts of segments whose keys stand together, by the suffix sort."""
     rows = content.select("_id", "_rk", "key", "start", "run", "bytes").repartition("key").sortWithinPartitions("key")
     schema = T.StructType([*rows.schema.fields[:2], *RANGE])
@@ -398,7 +398,7 @@ def counted_strings(content: DataFrame, size: int) -> DataFrame:
     return strings.join(twice, ["h1", "h2"]).select("_id", "_rk", "start", F.lit(1).cast("long").alias("n"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group: int = 4096) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group: int = 512) -> tuple[DataFrame, DataFrame]:
     """Compressed texts (_id, _rk, z), and (_id, _rk, start, n): runs of starts of strings that also start elsewhere."""
     rows = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("_text"))
     segs = all_segments(rows, size)
@@ -428,7 +428,7 @@ def cover(starts: list[int], counts: list[int], size: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group: int = 512) -> DataFrame:
     """(_id, _rk, n_bytes, n_removed, n_spans, kept): kept are the remaining bytes, which need not be valid UTF-8."""
     texts, found = repeats(docs, id_col, text_col, size, group)
     per_row = found.groupBy("_id", "_rk").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
