@@ -245,7 +245,7 @@ def train(rows: DataFrame, most_values: int = 16 << 20) -> Model | None:
     """
     counts = gram_counts(rows.filter(F.col("lang").isNotNull())).persist()
     try:
-        facts = counts.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()
+        facts = counts.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).toArrow().to_pylist()
         if not facts:
             return None
         total, room = sum(r["kinds"] for r in facts), most_values // len(facts)
@@ -298,12 +298,12 @@ def calibrated(model: Model | None, labelled: DataFrame, id_col: str, text_col:
     """The model with a rejection limit for each language, from a bounded sample of its own training texts."""
     if model is None:
         return None
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy(labelled[lang_col].alias("lang")).count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy(labelled[lang_col].alias("lang")).count().toArrow().to_pylist()}
     part = F.create_map(*[x for la in model.langs for x in (F.lit(la), F.lit(min(1.0, calibration / sizes[la])))])
     draw = F.pmod(F.xxhash64(F.lit(3), labelled[id_col], labelled[text_col]), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = labelled.filter(draw < F.element_at(part, labelled[lang_col])).select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"))
     own = identify(sample, model, "text").filter((F.col("scan.lang") == F.col("row.lang")) & F.col("scan.cross_entropy").isNotNull())
-    for r in own.groupBy("row.lang").agg(F.percentile("scan.cross_entropy", F.lit(quantile)).alias("q")).collect():
+    for r in own.groupBy("row.lang").agg(F.percentile("scan.cross_entropy", F.lit(quantile)).alias("q")).toArrow().to_pylist():
         model.limits[model.langs.index(r["lang"])] = r["q"] * (1 + slack)
     return model
 

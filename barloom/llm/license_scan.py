@@ -154,7 +154,7 @@ def licenses(docs: DataFrame, text_col: str = "text", rarest: int = 8, most: int
     rarest: words that a template indexes; most: distinct rare words that a file looks up (the templates together index
     fewer than twice as many); votes: words that must agree on a start.
     """
-    frequencies = {r["word"].encode(): r["n"] for r in document_frequencies(docs, text_col).collect()}
+    frequencies = {r["word"].encode(): r["n"] for r in document_frequencies(docs, text_col).toArrow().to_pylist()}
 
     def make():
         index = Index(frequencies, rarest)

@@ -182,7 +182,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """Pieces: (_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit."""
     path = tokenizer or default_tokenizer()
     ordered = along_curve(stored(tokenised(docs, id_col, text_col, path, end)))
-    totals = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    totals = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).toArrow().to_pylist())
     first, passed = {}, 0
     for part, n in totals:
         first[part], passed = passed, passed + n

@@ -244,7 +244,7 @@ def train(labelled: DataFrame | None = None, most: int = 20_000) -> Field:
     """Fit on the labelled sentences, or on a table (text, spans array<struct<start,end,kind>>) of at most `most` rows."""
     if labelled is None:
         return Field().fit(labelled_runs(marked()))
-    rows = labelled.select("text", "spans").limit(most).collect()
+    rows = labelled.select("text", "spans").limit(most).toArrow().to_pylist()
     return Field().fit(labelled_runs([(r["text"] or "", [(s["start"], s["end"], s["kind"]) for s in r["spans"] or []]) for r in rows]))
 
 
