@@ -37,3 +37,9 @@ def test_library_rules():
     source = "\n".join(p.read_text() for p in (ROOT / "barloom").rglob("*.py"))
     assert "localCheckpoint" not in source and "crossJoin(" not in source.replace("crossJoin(F.broadcast(", "").replace("total.crossJoin(vol).crossJoin(dd)", "")
     assert source.count(".collect()") <= 1  # the list of touched partitions in sinks
+
+
+@pytest.mark.parametrize("name, scans", [("frequency_guard", 2), ("source_consensus", 1), ("limit_up_ladder", 1), ("moments", 1), ("feature_table", 1)])
+def test_tables_are_read_once(name, scans, spark, sf):
+    text = plan(load()[name].run(spark, sf))
+    assert len(re.findall(r"FileScan parquet", text)) == scans
