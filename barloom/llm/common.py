@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -70,7 +72,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back; later stages restart from it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,6 +102,14 @@ def per_text(docs: DataFrame, text_col: str, schema: pa.Schema, make: Callable[[
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("scan", from_arrow_schema(schema))]))
 
 
+def kept_in_worker(name, make: Callable):
+    """What a Python worker made once, for all tasks that it runs; the package itself travels with every task anew."""
+    shelf = sys.modules.setdefault("_barloom_llm_shelf", types.ModuleType("_barloom_llm_shelf")).__dict__
+    if name not in shelf:
+        shelf[name] = make()
+    return shelf[name]
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

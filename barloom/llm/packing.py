@@ -16,6 +16,8 @@ pieces. Texts are tokenised whole. Other columns are not read.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import row_key, stored
+from barloom.llm.common import kept_in_worker, row_key, stored
 
-DIMS, BITS, HASHED = 4, 10, 4096
+DIMS, BITS, HASHED = 4, 10, 1024
 TOKENS_PER_RANGE, MAX_RANGES = 4_000_000, 50_000
-#: words remembered by a task, in all at most some 100 MB
-REMEMBERED = 400_000
+#: words remembered by a task, some 60 MB
+REMEMBERED = 150_000
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-MARKS = ".,;:!?%$&*#|"
+PLAIN_BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
+BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
+#: marks at the end of a word; the letter before them is looked up behind the first mark, which is what is searched for
+MARKS = re.compile(r"[.,;:!?%$&*#|](?<=[^\W\d_].)[.,;:!?%$&*#|]*(?=\s|$)")
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -72,63 +77,70 @@ def curve_keys(counts: list[np.ndarray], axes: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum(cell.astype(np.int64), (1 << BITS) - 1), BITS)
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of every byte in byte-level vocabularies, as a table for str.translate of Latin-1 text."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {**{b: chr(b) for b in kept}, **{b: chr(256 + n) for n, b in enumerate(rest)}}
+
+
+class Words(dict):
+    """Token ids of words, encoded when a word is first asked for.
+
+    Two generations of at most `REMEMBERED` words: a full one becomes the old one, from which words in use move back, so
+    frequent words stay and rare ones go.
+    """
+
+    def __init__(self, tokenizer, wide: str):
+        super().__init__()
+        self.tokenizer, self.merges, self.wide, self.letters = tokenizer, tokenizer.model.tokenize, wide, byte_letters()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            if word.isalpha() and word.islower() and (word.isascii() or not BEYOND_LATIN.search(word)):
+                ids = [t.id for t in self.merges(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}{self.wide}", *ids)
+        self[word] = out
+        return out
+
+    def tidy(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
-    """Token ids of whole texts. The vocabulary's pre-tokenizer never joins what blanks separate, so words are encoded
-    once and remembered; a word's trailing marks are encoded apart from its letters, as the pre-tokenizer does."""
+    """Token ids of whole texts. The pre-tokenizer never joins what blanks separate, nor a word and the marks behind it,
+    so words are encoded once and remembered. Texts of Latin letters are lower-cased whole, as the tokenizer's normalizer
+    would do letter by letter, and their words go straight to its merges; anything else goes through all of it."""
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], dtype=self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.words = kept_in_worker(("words", path), lambda: Words(tokenizer, "H" if self.kind.itemsize == 2 else "I"))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
-            chunks = self.chunks(text or "")
-            known = self.known
-            try:
-                out.append(b"".join([known[c] for c in chunks]) + self.end)
-            except KeyError:
-                self.learn({c for c in chunks if c not in known})
-                known = self.known
-                out.append(b"".join([known[c] for c in chunks]) + self.end)
-                if len(known) > REMEMBERED:
-                    self.known = {}
+            out.append(b"".join(map(self.words.__getitem__, self.chunks(text or ""))) + self.end)
+            self.words.tidy()
         return out
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         if any(c in text for c in ODD_BLANKS):  # split() takes these for blanks, the tokenizer does not
-            for c in "\t\n\x0b\x0c\r":
-                text = text.replace(c, " ")
-            return [c for c in text.split(" ") if c]
+            return [c for c in PLAIN_BLANKS.split(text) if c]
+        if "<|" not in text and (text.isascii() or not BEYOND_LATIN.search(text)):
+            text = MARKS.sub(r" \g<0>", text.lower())
         return text.split()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode words; simple ones as lower-cased letters and trailing marks, anything else whole by the tokenizer."""
-        plans: dict[str, tuple[str, ...]] = {}
-        need: set[str] = set()
-        for c in chunks:
-            parts = (c,)
-            letters = c.rstrip(MARKS)
-            if letters and letters.isalpha() and max(letters) < "ɐ" and "İ" not in letters:
-                low, marks = letters.lower(), c[len(letters) :]
-                parts = (low, marks) if marks else (low,)
-            plans[c] = parts
-            need.update(p for p in parts if p not in self.known)
-        plain = [p for p in need if p.isascii() and p.isalpha() and p.islower()]
-        for p in plain:
-            self.known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p)], dtype=self.kind).tobytes()
-        rest = [p for p in need if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype=self.kind).tobytes()
-        for c, parts in plans.items():
-            if c not in self.known:
-                self.known[c] = b"".join(self.known[p] for p in parts)
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
