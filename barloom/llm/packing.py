@@ -1,14 +1,14 @@
 """Packing along a space-filling curve.
 
 Each document is tokenised, its hashed token vector is projected to a few dimensions, and the point's place on a Hilbert
-curve becomes its sort key. Documents are range-sorted by (key, row hash); in that order their tokens form one long
+curve becomes its sort key. Documents are range-sorted by (key, hash of id and text); in that order their tokens form one long
 stream that is cut at every multiple of the capacity, so neighbours on the curve share sequences and only the very last
 sequence of the corpus can need padding.
 
 Three passes, each restartable from a table in the shared folder: tokens and keys; the sorted documents with their place
 inside their range; the pieces, which every row computes alone once the totals of the ranges are known. The ranges are
 as many as the tokens ask for (bounded by `MAX_RANGES`), and their totals are all that reaches the driver. A group of
-copies has one key but different row hashes, so it is split over ranges like anything else.
+copies has one key but different hashes, so it is split over ranges like anything else.
 
 Null and empty texts are the end token alone. Rows that repeat an id are packed one by one. An empty table has no
 pieces. Texts are tokenised whole. Other columns are not read.
@@ -170,7 +170,7 @@ def along_curve(tokens: DataFrame) -> DataFrame:
     """(_id, n, ids, part, before): range-sorted rows with the tokens that stand before them in their range."""
     total = tokens.agg(F.sum("n")).first()[0] or 0
     ranges = max(min(MAX_RANGES, -(-total // TOKENS_PER_RANGE)), tokens.sparkSession.sparkContext.defaultParallelism)
-    ordered = tokens.repartitionByRange(ranges, "key", "_rk").sortWithinPartitions("key", "_rk", "_id").select("_id", "n", "ids")
+    ordered = tokens.withColumn("tie", F.xxhash64("_id", "_rk")).repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "_id").select("_id", "n", "ids")
     schema = T.StructType([*ordered.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
