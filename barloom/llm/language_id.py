@@ -1,13 +1,13 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 A text becomes lower-case letters with every run of other characters as one blank. For each language the 4-grams of all
-labelled training texts are counted on the cluster; lower orders follow from them as continuation counts. The driver
-turns the counts, whose number is bounded, into interpolated probabilities and stores them in arrays sorted by hash:
-one for each order, with one column for each language. A text is scored by one look-up for each of its characters in the
-4-gram array, by shorter orders where the 4-gram was never seen. The language of the lowest cross-entropy per
-character wins. A text is rejected when that cross-entropy lies `slack` above the `quantile` of what training texts of
-that language have themselves; the quantile comes from at most about `calibration` texts for each language, drawn by a
-hash of the id.
+labelled training texts are counted on the cluster; lower orders follow from all of them as continuation counts. The
+driver turns the counts of one language after the other into interpolated probabilities and stores them in arrays sorted
+by hash, one for each order. No gram is dropped: the model grows with the distinct 4-grams of the languages (12 bytes
+each, and the shorter orders). A text is scored by one look-up for each of its distinct 4-grams and each language, by
+shorter orders where the language never had the 4-gram. The language of the lowest cross-entropy per character wins. A
+text is rejected when that cross-entropy lies `slack` above the `quantile` of what training texts of that language have
+themselves; the quantile comes from at most about `calibration` texts for each language, drawn by a hash of the id.
 
 Null texts and texts without a letter are `und`, rejected, score 0; so is everything if there is no labelled text to
 learn from. Rows without a language are predicted and not learned from. Rows that repeat an id are learned from and
@@ -116,12 +116,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 class SortedHashes:
-    """Grams sorted by hash with one row of values each; the last row of values is for grams that are not there."""
+    """Grams sorted by hash with one value each; the last value is for grams that are not there."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float):
         h = hashed(keys)
         order = np.argsort(h)
-        self.hashes, self.values = h[order], np.vstack([values[order], missing[None]])
+        self.hashes, self.values = h[order], np.append(values[order], values.dtype.type(missing))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each gram, len(self.hashes) if it is not there."""
@@ -138,17 +138,15 @@ def discount(n1: float, n2: float) -> float:
 
 
 @dataclass
-class Model:
-    """Log-probabilities of 4-grams and the back-off tables, one column for each language."""
+class Tables:
+    """One language: log-probabilities of its 4-grams and its back-off tables, no row for what it never had."""
 
-    langs: list[str]
     full: SortedHashes
     shorter: list[SortedHashes]  # probabilities of 3-, 2- and 1-grams
     weights: list[SortedHashes]  # back-off weights of 3-, 2- and 1-gram contexts
-    limits: np.ndarray
 
-    def log_rows(self, keys: np.ndarray) -> np.ndarray:
-        """Log-probability of each 4-gram's last symbol, in every language."""
+    def log_values(self, keys: np.ndarray) -> np.ndarray:
+        """Log-probability of each 4-gram's last symbol."""
         at = self.full.find(keys)
         out = self.full.values[at]
         unseen = np.flatnonzero(at == len(self.full.hashes))
@@ -164,12 +162,29 @@ class Model:
             at = own.find(tail)
             here = own.values[at]
             if p is not None:
-                seen = at < len(own.hashes)
-                here = np.where(seen[:, None], here, self.weights[k + 1].values[self.weights[k + 1].find(tail >> np.uint64(16))] * p)
+                w = self.weights[k + 1]
+                here = np.where(at < len(own.hashes), here, w.values[w.find(tail >> np.uint64(16))] * p)
             p = here
         context = (keys >> np.uint64(16)) & np.uint64((1 << 48) - 1)
         return self.weights[0].values[self.weights[0].find(context)] * p
 
+
+@dataclass
+class Model:
+    """The tables of every language and its rejection limit."""
+
+    langs: list[str]
+    tables: list[Tables]
+    limits: np.ndarray
+
+    def log_rows(self, keys: np.ndarray) -> np.ndarray:
+        """Log-probability of each 4-gram's last symbol, in every language; each distinct gram is looked up once."""
+        kinds, at = np.unique(keys, return_inverse=True)
+        out = np.empty((len(kinds), len(self.langs)), dtype=np.float32)
+        for c, t in enumerate(self.tables):
+            out[:, c] = t.log_values(kinds)
+        return out[at]
+
     def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """Mean negative log-probability of each (non-empty) symbol array, in every language."""
         out = np.empty((len(texts), len(self.langs)))
@@ -191,79 +206,73 @@ class Model:
         return out
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], ones_twos: dict[str, tuple[int, int]]) -> Model:
-    """Interpolated probabilities from 4-gram counts: lang -> (grams, counts), and how many counts are 1 and 2."""
-    langs = sorted(counts)
-    alphabet = 1 + len(np.unique(np.concatenate([k & MASK for k, _ in counts.values()])))
-    # by order 4, 3, 2, 1: language -> (grams, their counts; continuation counts below the top)
-    levels = [{la: counts[la] for la in langs}]
+def language_tables(grams4: np.ndarray, n: np.ndarray, ones_twos: tuple[int, int], alphabet: int) -> Tables:
+    """Interpolated probabilities of one language from all its 4-grams (distinct) and their counts."""
+    # by order 4, 3, 2, 1: grams and their counts; continuation counts below the top
+    levels = [(grams4, n)]
     for width in (48, 32, 16):
-        tail = np.uint64((1 << width) - 1)
-        levels.append({la: np.unique(levels[-1][la][0] & tail, return_counts=True) for la in langs})
-    n_langs = len(langs)
+        levels.append(np.unique(levels[-1][0] & np.uint64((1 << width) - 1), return_counts=True))
     below: SortedHashes | None = None
     shorter: list[SortedHashes] = []
     weights: list[SortedHashes] = []
-    full = None
     for depth in (3, 2, 1, 0):
-        level, order = levels[depth], ORDER - depth
-        keys = np.unique(np.concatenate([level[la][0] for la in langs]))
-        contexts = np.unique(keys >> np.uint64(16))
-        share, back = np.zeros((len(keys), n_langs)), np.ones((len(contexts), n_langs))
-        for c, la in enumerate(langs):
-            g, n = level[la]
-            n = n.astype(float)
-            n1, n2 = ones_twos[la] if depth == 0 else (float((n == 1).sum()), float((n == 2).sum()))
-            d = discount(n1, n2)
-            at = np.searchsorted(contexts, g >> np.uint64(16))
-            total, kinds = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
-            seen = total > 0
-            back[seen, c] = d * kinds[seen] / total[seen]
-            share[np.searchsorted(keys, g), c] = np.maximum(n - d, 0) / total[at]
+        keys, count = levels[depth]
+        order, count = ORDER - depth, count.astype(float)
+        d = discount(*(ones_twos if depth == 0 else (float((count == 1).sum()), float((count == 2).sum()))))
+        contexts, at = np.unique(keys >> np.uint64(16), return_inverse=True)
+        total, kinds = np.bincount(at, weights=count), np.bincount(at)
+        share, back = np.maximum(count - d, 0) / total[at], d * kinds / total
         if order == 1:
-            p = share + back[np.zeros(len(keys), dtype=int)] / alphabet
-            missing = back[0] / alphabet
-        else:
-            tail = keys & np.uint64((1 << 16 * (order - 1)) - 1)
-            lower = below.values[below.find(tail)]
-            p = share + back[np.searchsorted(contexts, keys >> np.uint64(16))] * lower
-            missing = np.full(n_langs, np.nan)
-        if order > 1:
-            weights.insert(0, SortedHashes(contexts, back, np.ones(n_langs)))
-        if order < ORDER:
-            below = SortedHashes(keys, p, missing)
+            below = SortedHashes(keys, share + back[at] / alphabet, back[0] / alphabet)
             shorter.insert(0, below)
-        else:
-            full = SortedHashes(keys, np.log(p).astype(np.float32), np.zeros(n_langs, dtype=np.float32))
-    return Model(langs, full, shorter, weights, np.full(n_langs, np.inf))
+            continue
+        p = share + back[at] * below.values[below.find(keys & np.uint64((1 << 16 * (order - 1)) - 1))]
+        weights.insert(0, SortedHashes(contexts, back, 1.0))
+        if order == ORDER:
+            return Tables(SortedHashes(keys, np.log(p).astype(np.float32), 0.0), shorter, weights)
+        below = SortedHashes(keys, p, np.nan)
+        shorter.insert(0, below)
+    raise AssertionError
+
+
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], ones_twos: dict[str, tuple[int, int]]) -> Model:
+    """The model from 4-gram counts: lang -> (grams, counts), and how many counts are 1 and 2."""
+    langs = sorted(counts)
+    alphabet = 1 + len(np.unique(np.concatenate([k & MASK for k, _ in counts.values()])))
+    return Model(langs, [language_tables(*counts[la], ones_twos[la], alphabet) for la in langs], np.full(len(langs), np.inf))
 
 
-def train(rows: DataFrame, most_values: int = 16 << 20) -> Model | None:
-    """Count rows of (lang, text) on the cluster; at most `most_values` (grams x languages) come to the driver.
+def train(rows: DataFrame, at_once: int = 8 << 20) -> Model | None:
+    """Count rows of (lang, text) on the cluster and build every language's tables from all its counts.
 
-    If there are more, the rarest grams are left to the back-off: the count below which they go is a quantile of all.
+    at_once: counts that come to the driver in one job, which takes whole languages. It bounds what building needs
+    besides the tables, not the tables.
     """
     counts = gram_counts(rows.filter(F.col("lang").isNotNull())).persist()
     try:
         facts = counts.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).toArrow().to_pylist()
         if not facts:
             return None
-        total, room = sum(r["kinds"] for r in facts), most_values // len(facts)
-        kept = counts
-        if total > room:
-            least = counts.approxQuantile("n", [1 - room / total], 0.001)[0]
-            kept = counts.filter((F.col("n") > least) | (F.pmod("gram", F.lit(1 << 16)) == BLANK) & (F.col("n") >= least))
-        table = kept.select("lang", "gram", "n").toArrow()
+        facts.sort(key=lambda r: r["lang"])
+        langs = [r["lang"] for r in facts]
+        alphabet = 1 + counts.select(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("s")).distinct().count()
+        tables: list[Tables] = []
+        while len(tables) < len(langs):
+            a = b = len(tables)
+            size = 0
+            while b < len(langs) and (b == a or size + facts[b]["kinds"] <= at_once):
+                size += facts[b]["kinds"]
+                b += 1
+            names = F.array(*[F.lit(la) for la in langs[a:b]])
+            code = (F.array_position(names, F.col("lang")) - 1).cast("short")
+            got = counts.select(code.alias("code"), "gram", "n").filter("code >= 0").toArrow()
+            code, gram, n = (got[x].to_numpy() for x in ("code", "gram", "n"))
+            for k, r in enumerate(facts[a:b]):
+                pick = code == k
+                tables.append(language_tables(gram[pick].view(np.uint64), n[pick], (r["n1"], r["n2"]), alphabet))
     finally:
         counts.unpersist()
-    lang = np.array(table["lang"].to_pylist(), dtype=object)
-    gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    by_lang = {}
-    for la in sorted({r["lang"] for r in facts}):
-        pick = lang == la
-        if pick.any():
-            by_lang[la] = gram[pick], n[pick]
-    return kneser_ney(by_lang, {r["lang"]: (r["n1"], r["n2"]) for r in facts})
+    return Model(langs, tables, np.full(len(langs), np.inf))
 
 
 def predictions(model: Model | None, texts: list[str | None], letters: np.ndarray) -> list[tuple]:
@@ -284,7 +293,7 @@ def predictions(model: Model | None, texts: list[str | None], letters: np.ndarra
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """(row, scan): scan has lang, score, cross_entropy and rejected. The model is broadcast; its size is bounded."""
+    """(row, scan): scan has lang, score, cross_entropy and rejected. The model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

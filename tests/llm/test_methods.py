@@ -55,6 +55,25 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert (total <= 1.0 + 1e-5).all() and (total > 0.8).all()  # the rest is for symbols never seen
 
 
+def test_every_gram_of_a_small_language_is_kept(spark):
+    rng = random.Random(4)
+    noise = ["".join(rng.choice("abcdefghijkl") for _ in range(9)) for _ in range(3000)]
+    rows = [("big", " ".join(noise[k : k + 300])) for k in range(0, 3000, 100)] + [("small", "zwei vxyz qwuz")]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    letters = language_id.letter_table()
+    counts = {}
+    for lang in ("big", "small"):
+        k, n = np.unique(np.concatenate([language_id.grams(language_id.symbols(t, letters)) for la, t in rows if la == lang]), return_counts=True)
+        counts[lang] = (k, n)
+    want = language_id.kneser_ney(counts, {la: (int((n == 1).sum()), int((n == 2).sum())) for la, (_, n) in counts.items()})
+    keys = np.unique(np.concatenate([k for k, _ in counts.values()]))
+    for most in (1 << 20, 100):  # 100 is far below what there is: batches get smaller, the model does not
+        got = language_id.train(frame, most)
+        assert got.langs == ["big", "small"] and np.allclose(got.log_rows(keys), want.log_rows(keys))
+        assert [len(t.full.hashes) for t in got.tables] == [len(counts[la][0]) for la in got.langs]
+        assert language_id.predictions(got, ["zwei qwuz vxyz"], letters)[0][0] == "small"
+
+
 def test_foreign_texts_are_rejected(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
