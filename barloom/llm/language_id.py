@@ -6,8 +6,8 @@ driver turns the counts of one language after the other into interpolated probab
 by hash, one for each order. No gram is dropped: the model grows with the distinct 4-grams of the languages (12 bytes
 each, and the shorter orders). A text is scored by one look-up for each of its distinct 4-grams and each language, by
 shorter orders where the language never had the 4-gram. The language of the lowest cross-entropy per character wins. A
-text is rejected when that cross-entropy lies `slack` above the `quantile` of what training texts of that language have
-themselves; the quantile comes from at most about `calibration` texts for each language, drawn by a hash of the id.
+text is rejected when that cross-entropy lies `slack` above the `quantile` of what all training texts of that language
+have themselves.
 
 Null texts and texts without a letter are `und`, rejected, score 0; so is everything if there is no labelled text to
 learn from. Rows without a language are predicted and not learned from. Rows that repeat an id are learned from and
@@ -32,6 +32,7 @@ BLANK = 32
 ORDER = 4
 MASK = np.uint64(0xFFFF)
 BLOCK = 1 << 20
+BINS = 4096  # of cross-entropy, per nat
 SCHEMA = pa.schema([("lang", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
 
 
@@ -303,25 +304,48 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return per_text(docs, text_col, SCHEMA, make)
 
 
-def calibrated(model: Model | None, labelled: DataFrame, id_col: str, text_col: str, lang_col: str, calibration: int, quantile: float, slack: float) -> Model | None:
-    """The model with a rejection limit for each language, from a bounded sample of its own training texts."""
+def calibrated(model: Model | None, labelled: DataFrame, text_col: str, lang_col: str, quantile: float, slack: float) -> Model | None:
+    """The model with a rejection limit for each language, from all its own training texts.
+
+    The quantile is exact (interpolated): a histogram finds the bins that hold its two ranks, then only their values
+    are collected.
+    """
     if model is None:
         return None
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy(labelled[lang_col].alias("lang")).count().toArrow().to_pylist()}
-    part = F.create_map(*[x for la in model.langs for x in (F.lit(la), F.lit(min(1.0, calibration / sizes[la])))])
-    draw = F.pmod(F.xxhash64(F.lit(3), labelled[id_col], labelled[text_col]), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.filter(draw < F.element_at(part, labelled[lang_col])).select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"))
-    own = identify(sample, model, "text").filter((F.col("scan.lang") == F.col("row.lang")) & F.col("scan.cross_entropy").isNotNull())
-    for r in own.groupBy("row.lang").agg(F.percentile("scan.cross_entropy", F.lit(quantile)).alias("q")).toArrow().to_pylist():
-        model.limits[model.langs.index(r["lang"])] = r["q"] * (1 + slack)
+    rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"))
+    own = identify(rows, model, "text").filter((F.col("scan.lang") == F.col("row.lang")) & F.col("scan.cross_entropy").isNotNull())
+    ce = F.col("scan.cross_entropy")
+    own = own.select(F.col("row.lang").alias("lang"), ce.alias("ce"), F.floor(ce * BINS).alias("bin")).persist()
+    try:
+        sizes: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for r in own.groupBy("lang", "bin").count().toArrow().to_pylist():
+            sizes[r["lang"]].append((r["bin"], r["count"]))
+        ranks, wanted = {}, F.lit(False)
+        for la, bins in sizes.items():
+            bins.sort()
+            ends = np.cumsum([n for _, n in bins])
+            place = quantile * (ends[-1] - 1)
+            first, last = (int(np.searchsorted(ends, int(k), "right")) for k in (np.floor(place), np.ceil(place)))
+            ranks[la] = place - (ends[first] - bins[first][1])
+            wanted |= (F.col("lang") == la) & F.col("bin").isin(bins[first][0], bins[last][0])
+        values: dict[str, list[tuple[float, int]]] = defaultdict(list)
+        for r in own.filter(wanted).groupBy("lang", "ce").count().toArrow().to_pylist():
+            values[r["lang"]].append((r["ce"], r["count"]))
+    finally:
+        own.unpersist()
+    for la, some in values.items():
+        some.sort()
+        ends, low = np.cumsum([n for _, n in some]), int(ranks[la])
+        x, y = (some[int(np.searchsorted(ends, k, "right"))][0] for k in (low, min(low + 1, ends[-1] - 1)))
+        model.limits[model.langs.index(la)] = (x + (ranks[la] - low) * (y - x)) * (1 + slack)
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration: int = 2000, quantile: float = 0.999, slack: float = 0.25) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.999, slack: float = 0.25) -> Model | None:
     """Learn from the labelled rows that are not held out."""
     labelled = docs.filter(~held_out(docs[id_col]) & docs[lang_col].isNotNull())
     model = train(labelled.select(labelled[lang_col].alias("lang"), text_of(labelled[text_col]).alias("text")))
-    return calibrated(model, labelled, id_col, text_col, lang_col, calibration, quantile, slack)
+    return calibrated(model, labelled, text_col, lang_col, quantile, slack)
 
 
 def known_language(docs: DataFrame, **names) -> DataFrame:

@@ -74,6 +74,19 @@ def test_every_gram_of_a_small_language_is_kept(spark):
         assert language_id.predictions(got, ["zwei qwuz vxyz"], letters)[0][0] == "small"
 
 
+def test_limits_come_from_all_training_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9))), "aa") for i in range(9000)] + [(9001, "xyz wvu zzy", "bb"), (9002, "xyz yyw", "bb"), (9003, "xyz", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    learned = [r[0] for r in docs.filter(~language_id.held_out(docs.doc_id) & (docs.lang == "aa")).select("text").collect()]
+    assert len(learned) > 4000
+    got = language_id.predictions(model, learned, language_id.letter_table())
+    want = np.quantile([g[2] for g in got if g[0] == "aa"], 0.999) * 1.25
+    assert model.limits[model.langs.index("aa")] == pytest.approx(want, rel=1e-9)
+
+
 def test_foreign_texts_are_rejected(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
