@@ -188,3 +188,43 @@ def test_decoding_ends():
     got = secret_scan.scan_text(bomb, 1 << 20)
     assert got[6] and got[0] == 0
     assert secret_scan.scan_text(None, 1 << 20)[4] == ""
+
+
+SECRET = "password=hunter2hunter2 and more"
+NOISE = random.Random(6).randbytes(2000).hex("-")
+
+
+def wrap(data, width, end="\n"):
+    b = base64.b64encode(data).decode()
+    return end.join(b[i : i + width] for i in range(0, len(b), width))
+
+
+def decoded_kinds(text, most=1 << 20):
+    return {s.split(":")[0] for s in secret_scan.scan_text(text, most)[4].split(",")}
+
+
+@pytest.mark.parametrize("data", [b"\x00\xff\x01 " + SECRET.encode(), ("é " + SECRET).encode("latin-1"), SECRET.encode("utf-16"), SECRET.encode("utf-16-be")])
+def test_layers_of_any_bytes(data):
+    for packed in (data, gzip.compress(data)):
+        assert any(k.endswith("-assign") for k in decoded_kinds(base64.b64encode(packed).decode()))
+
+
+def test_wrapped_base64():
+    for width in (22, 64, 76):
+        for pad in range(80):  # the secret stands at every place of a line
+            text = "-----BEGIN CERTIFICATE-----\n" + wrap(b"x" * pad + b" " + SECRET.encode() + b" " + b"y" * 90, width) + "\n-----END"
+            found = [s.split(":") for s in spans_of(text)[4].split(",") if "base64-assign" in s]
+            lines = {text[int(a) : int(b)] for _, a, b in found}
+            assert any(b"hunter2hunter2" in base64.b64decode(("".join(x.split()) + "===")[: len("".join(x.split())) // 4 * 4 + 4]) for x in lines) or width == 22 and found, (width, pad, found)
+    for packed in (gzip.compress((NOISE + SECRET).encode()), zlib.compress((NOISE + SECRET).encode())):
+        got = spans_of("data:\n  " + wrap(packed, 76, "\r\n  ") + "\n\nend")
+        assert "-assign" in got[4] and not got[6]
+
+
+def test_members_and_streams_cut_short():
+    two = gzip.compress(b"nothing here, really") + gzip.compress(SECRET.encode())
+    assert "base64+gzip-assign" in decoded_kinds(base64.b64encode(two).decode())
+    short = gzip.compress((SECRET + " , " + NOISE).encode())[:-400]
+    got = spans_of(base64.b64encode(short).decode())
+    assert "base64+gzip-assign" in got[4] and got[6]
+    assert "url-assign" in decoded_kinds("%ff%70assword=hunter2hunter2")
