@@ -349,6 +349,6 @@ def secrets(docs: DataFrame, text_col: str = "text", max_unpacked: int = 64 << 2
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and truncated."""
     out = secrets(docs.select("doc_id", "text"))
-    return out.select("row.doc_id", "scan.n_assign", "scan.n_access", "scan.n_hex", F.sha2("scan.base", 256).alias("base_sha256"), "scan.spans")
+    return out.select("row.doc_id", "scan.n_assign", "scan.n_access", "scan.n_hex", F.sha2("scan.base", 256).alias("base_sha256"), "scan.spans", "scan.truncated")

@@ -228,3 +228,22 @@ def test_members_and_streams_cut_short():
     got = spans_of(base64.b64encode(short).decode())
     assert "base64+gzip-assign" in got[4] and got[6]
     assert "url-assign" in decoded_kinds("%ff%70assword=hunter2hunter2")
+
+
+def test_big_layers_are_scanned_whole(spark):
+    big = b"".join(b"line %d, nothing\n" % i for i in range(200000)) + SECRET.encode()
+    text = "\n\n".join(base64.b64encode(gzip.compress(d)).decode() for d in (big, b"small " + SECRET.encode()))
+    got = secret_scan.scan_text(text, 1 << 20)  # the first unpacks to more than three windows
+    found = [s for s in got[4].split(",") if s.startswith("base64+gzip-assign:")]
+    assert len(found) == 2 and not got[6]
+    rows = spark.createDataFrame([(1, text), (2, base64.b64encode(gzip.compress(NOISE.encode())[:-99]).decode())], "doc_id long, text string")
+    assert {r["doc_id"]: r["truncated"] for r in secret_scan.digest(rows).collect()} == {1: False, 2: True}
+
+
+def test_windows_end_where_no_finding_is_open():
+    data = b"".join(b"(%d) " % i + SECRET.encode() + b"; " for i in range(60))
+    for size in (7, 50, 131):
+        facts = {}
+        got = list(secret_scan.windows((data[i : i + size] for i in range(0, len(data), size)), 400, facts))
+        assert b"".join(got) == data and len(got) > 5 and not facts
+        assert sum(len(secret_scan.base_spans(w.decode())) for w in got) == 60
