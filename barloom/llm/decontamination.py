@@ -10,8 +10,9 @@ the documents on it. A candidate's place follows from the shingle's position; it
 and positional bounds), and every word is then compared with the document's words.
 
 Everything is DataFrame and SQL functions. Null and empty texts have no words: nothing hit, not contaminated. Items
-without words have no window; rows that repeat an item id add their windows to that item; a null item id is ignored.
-Rows that repeat a document id are judged row by row, equal rows alike. An empty benchmark leaves every document clean.
+without words have no window; rows that repeat an item id add their windows to that item. Windows of rows without an
+item id count for n_hit and contaminated; a null is no item in n_items and items_sha256. Rows that repeat a document id
+are judged row by row, equal rows alike. An empty benchmark leaves every document clean.
 Other columns are not read, whatever their names.
 """
 
@@ -42,14 +43,14 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = 13) -> tuple[DataFrame, DataFrame]:
-    """Distinct windows (w1, w2, len, words) and which items hold them (w1, w2, item)."""
-    rows = items.filter(items[id_col].isNotNull()).select(items[id_col].cast("string").alias("item"), words(items[text_col]).alias("w"))
+    """Distinct windows (w1, w2, len, words) of all rows, and which items hold them (w1, w2, item), rows without an id left out."""
+    rows = items.select(items[id_col].cast("string").alias("item"), words(items[text_col]).alias("w"))
     n = F.size("w")
     length = F.least(F.lit(size), n)
     cut = rows.filter(n > 0).select("item", "w", length.alias("len"), F.explode(F.sequence(F.lit(0), n - length)).alias("start"))
     cut = cut.select("item", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("words"))
     cut = cut.select("item", "len", "words", F.xxhash64("words").alias("w1"), F.xxhash64(F.lit(7), "words").alias("w2"))
-    held = cut.select("w1", "w2", "item").distinct()
+    held = cut.filter(F.col("item").isNotNull()).select("w1", "w2", "item").distinct()
     return cut.groupBy("w1", "w2").agg(F.first("len").alias("len"), F.first("words").alias("words")), held
 
 

@@ -212,6 +212,15 @@ def test_decontamination(spark, docs, sf):
     assert none.filter("contaminated or n_hit > 0").count() == 0 and none.count() == len(want)
 
 
+def test_benchmark_rows_without_an_id_contaminate(spark):
+    from barloom.llm import decontamination
+
+    docs = spark.createDataFrame([(1, "what is the capital of France"), (2, "nothing to see")], "doc_id long, text string")
+    items = benchmark_rows(spark, [(None, "the capital of France"), (5, "something else")])
+    same(decontamination.digest(docs, items), [(1, 4, 0, sha(""), True), (2, 0, 0, sha(""), False)], ("doc_id", "n_hit", "n_items", "items_sha256", "contaminated"))
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()] == [2]
+
+
 def test_lines(docs):
     from barloom.llm import line_dedup
 
