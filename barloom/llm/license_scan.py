@@ -107,7 +107,7 @@ class Index:
             self.first[p[0]].append((p, label))
         self.wanted = frozenset(self.postings) | frozenset(self.first)
 
-    def scan(self, text: str | None, most: int, votes_needed: int) -> tuple:
+    def scan(self, text: str | None, most: int | None, votes_needed: int) -> tuple:
         w = words_of(text)
         wanted = self.wanted
         hits = [(i, x) for i, x in enumerate(w) if x in wanted]
@@ -140,19 +140,19 @@ class Index:
             spots,
         )
 
-    def _candidates(self, w: list[bytes], hits: list[tuple[int, bytes]], most: int, votes_needed: int) -> list[tuple[int, int]]:
-        """(template, start) with enough votes from the file's `most` rarest licence words, all their occurrences."""
+    def _candidates(self, w: list[bytes], hits: list[tuple[int, bytes]], most: int | None, votes_needed: int) -> list[tuple[int, int]]:
+        """(template, start) with enough votes from the file's `most` rarest licence words (None: all), all their occurrences."""
         rare = [(i, x) for i, x in hits if x in self.postings]
         chosen = set(sorted({x for _, x in rare}, key=lambda x: (-self.idf[x], x))[:most])
         votes: Counter = Counter((k, i - o) for i, x in rare if x in chosen for k, o in self.postings[x])
         return [key for key, n in votes.items() if n >= min(votes_needed, sum(1 for x in set(self.all[key[0]].words) if x in self.postings))]
 
 
-def licenses(docs: DataFrame, text_col: str = "text", rarest: int = 8, most: int = 64, votes: int = 2) -> DataFrame:
+def licenses(docs: DataFrame, text_col: str = "text", rarest: int = 8, most: int | None = None, votes: int = 2) -> DataFrame:
     """(row, scan): scan holds the contract's columns and the verified places.
 
-    rarest: words that a template indexes; most: distinct rare words that a file looks up (the templates together index
-    fewer than twice as many); votes: words that must agree on a start.
+    rarest: words that a template indexes; most: distinct indexed words that a file looks up, None for all (the templates
+    bound how many there are); votes: words that must agree on a start.
     """
     frequencies = {r["word"].encode(): r["n"] for r in document_frequencies(docs, text_col).toArrow().to_pylist()}
 

@@ -247,3 +247,12 @@ def test_windows_end_where_no_finding_is_open():
         got = list(secret_scan.windows((data[i : i + size] for i in range(0, len(data), size)), 400, facts))
         assert b"".join(got) == data and len(got) > 5 and not facts
         assert sum(len(secret_scan.base_spans(w.decode())) for w in got) == 60
+
+
+def test_all_indexed_words_vote(spark):
+    text = " . ".join(t for _, t, _ in license_scan.TEMPLATES)  # more than 64 indexed words in one file
+    common = next(t for label, t, _ in license_scan.TEMPLATES if label == "cc0")  # its words are the commonest
+    docs = spark.createDataFrame([(1, text)] + [(2, common)] * 50, "doc_id long, text string")
+    scan = license_scan.licenses(docs, rarest=16).filter("row.doc_id = 1").select("scan.*").first()
+    assert set(scan["labels"].split(",")) == {label for label, _, _ in license_scan.TEMPLATES} | set(scan["base_labels"].split(","))
+    assert len(scan[7]) == len(license_scan.TEMPLATES)
