@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, language_id, license_scan, line_dedup, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
+from barloom.llm import decontamination, language_id, license_scan, line_dedup, merkle, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
 from barloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,12 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": _documents(license_scan.digest),
     "op9_pii_crf": _documents(pii_crf.digest),
     "op10_secret_scan": _documents(secret_scan.digest),
+    "op11_merkle_manifest": _documents(merkle.digest),
 }
 
 SQL: dict[str, str] = {
     "op3_decontamination": decontamination.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
