@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+#: the most tasks that a frame's size asks for
+MAX_TASKS = 50_000
+#: sizes above it are the planner's word for a size that it does not know
+UNKNOWN = 1 << 55
+
 # fixed values: the contract's character classes
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,6 +89,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(df: DataFrame, size: int = 1 << 27) -> int:
+    """Tasks for a shuffle of a whole frame: the session's number, more where the plan's size asks for it."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if known > UNKNOWN else max(least, min(-(-known // size), MAX_TASKS))
+
+
 def per_text(docs: DataFrame, text_col: str, schema: pa.Schema, make: Callable[[], Callable[[list[str | None]], list[tuple]]]) -> DataFrame:
     """(row, scan): every input row as a struct with what make()'s function returns for its text.
 

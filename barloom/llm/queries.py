@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, language_id, license_scan, line_dedup, merkle, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
+from barloom.llm import decontamination, fill_middle, language_id, license_scan, line_dedup, merkle, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
 from barloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii_crf": _documents(pii_crf.digest),
     "op10_secret_scan": _documents(secret_scan.digest),
     "op11_merkle_manifest": _documents(merkle.digest),
+    "op12_fill_middle": _documents(fill_middle.digest),
 }
 
 SQL: dict[str, str] = {
@@ -39,4 +40,5 @@ SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_fill_middle": fill_middle.SQL,
 }
