@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination, fill_middle, language_id, license_scan, line_dedup, merkle, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
+from barloom.llm import decontamination, fill_middle, fingerprint, language_id, license_scan, line_dedup, merkle, near_dedup, packing, pii_crf, quality_rules, secret_scan, suffix_dedup
 from barloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op10_secret_scan": _documents(secret_scan.digest),
     "op11_merkle_manifest": _documents(merkle.digest),
     "op12_fill_middle": _documents(fill_middle.digest),
+    "op13_fingerprint": _documents(fingerprint.digest),
 }
 
 SQL: dict[str, str] = {

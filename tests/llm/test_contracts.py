@@ -269,4 +269,4 @@ def test_quality_keeps_good_documents(spark):
 
 
 def test_all_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 13))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
