@@ -6,7 +6,7 @@ run in parallel and the result does not depend on their order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,14 +30,22 @@ def barrier_trades(df: DataFrame, stop_loss: float, stop_gain: float, max_hold:
     tradable columns. Only the next max_hold + 2 bars are looked at, held in a fixed-size
     window array, so no signal-by-bar join is made.
     """
-    r = Roll()
     stop, gain = min(max(stop_loss, 0.03), 0.15), min(max(stop_gain, 0.02), 0.30)
-    ahead = F.collect_list(F.struct("day", "open", "high", "low", "close", "volume", "tradable", "exit_matched"))
-    df = df.withColumn("_next", ahead.over(r.base.rowsBetween(1, max_hold + 2))).filter("entry_matched")
-    entry = F.get("_next", F.lit(0))
-    df = df.withColumn("_e", entry).filter(F.col("_e.tradable") & (F.col("_e.open") > 0))
+    df = ahead(df, max_hold, "exit_matched").filter("entry_matched")
+    return closed(df, lit(1 - stop), lit(1 + gain), max_hold, lambda bar: bar["exit_matched"])
+
+
+def ahead(df: DataFrame, max_hold: int, exits: str) -> DataFrame:
+    """Adds _next: the next max_hold + 2 bars, each with its exit condition (or conditions)."""
+    bars = F.collect_list(F.struct("day", "open", "high", "low", "close", "volume", "tradable", exits))
+    return df.withColumn("_next", bars.over(Roll().base.rowsBetween(1, max_hold + 2)))
+
+
+def closed(df: DataFrame, stop: Column, gain: Column, max_hold: int, exits: Callable[[Column], Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Trades of the signals in df, from the bars ahead; stop and gain are shares of the entry price."""
+    df = df.withColumn("_e", F.get("_next", F.lit(0))).filter(F.col("_e.tradable") & (F.col("_e.open") > 0))
     price = F.col("_e.open")
-    stop_at, gain_at = price * lit(1 - stop), price * lit(1 + gain)
+    stop_at, gain_at = price * stop, price * gain
 
     def outcome(bar: Column, i: Column) -> Column:
         """What bar i after entry does to the trade, or null."""
@@ -51,13 +59,14 @@ def barrier_trades(df: DataFrame, stop_loss: float, stop_gain: float, max_hold:
             F.when(i == 0, None)
             .when((bar["low"] > 0) & (bar["low"] <= stop_at), out("stop_loss", bar["day"], F.when((bar["open"] > 0) & (bar["open"] < stop_at), bar["open"]).otherwise(stop_at), i))
             .when((bar["high"] > 0) & (bar["high"] >= gain_at), out("stop_gain", bar["day"], F.when(bar["open"] > gain_at, bar["open"]).otherwise(gain_at), i))
-            .when(bar["exit_matched"], by_rule)
+            .when(exits(bar), by_rule)
             .when(i >= max_hold, out("max_hold_days", bar["day"], bar["close"], i))
         )
 
     within = F.slice("_next", 1, max_hold + 1)
     df = df.withColumn("_x", F.get(F.filter(F.transform(within, outcome), lambda o: o.isNotNull()), F.lit(0)))
     return df.filter("_x IS NOT NULL").select(
+        *keep,
         "code",
         F.col("day").alias("signal_day"),
         F.col("_e.day").alias("buy_day"),
@@ -183,7 +192,7 @@ def nav_metrics(nav: DataFrame, keys: Sequence[str] = ("strategy",), rf: float =
         F.coalesce(std(x), lit(0)).alias("_s"), F.coalesce(down, lit(0)).alias("_d"), F.count(x).alias("_n")
     )
     dd = drawdowns(nav, keys).groupBy(*keys).agg(F.max("drawdown").alias("max_drawdown"), F.max(F.struct("drawdown", (-F.col("i")).alias("j"), "peak_i")).alias("_m"))
-    j = total.join(vol, list(keys)).join(dd, list(keys)) if keys else total.crossJoin(vol).crossJoin(dd)
+    j = total.join(vol, list(keys)).join(dd, list(keys)) if keys else total.crossJoin(F.broadcast(vol)).crossJoin(F.broadcast(dd))
     year = lit(252**0.5)
     j = j.withColumns({"annual_return": annual, "annual_vol": F.col("_s") * year, "downside_vol": F.col("_d") * year})
     excess = F.col("annual_return") - lit(rf)
@@ -218,7 +227,8 @@ def verdict(df: DataFrame) -> DataFrame:
         ((c("out_trades") < 15) | (c("out_avg_return") <= 0), "paper_trade", "out_of_sample"),
         (c("parameter_stability") != "stable", "paper_trade", "parameters"),
     ]
-    status, gate = F.lit("active_candidate"), F.lit("passed")
+    status = F.lit("active_candidate")
+    gate = F.when(F.size("warnings") > 0, F.lit("warnings")).otherwise(F.lit("passed")) if "warnings" in df.columns else F.lit("passed")
     for cond, s, g in reversed(gates):
         status, gate = F.when(cond, s).otherwise(status), F.when(cond, g).otherwise(gate)
     return df.withColumns({"status": status, "gate": gate})
@@ -311,16 +321,20 @@ def interval(sims: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def stock_breakdown(trades: DataFrame) -> DataFrame:
-    """Per-stock result of costed trades: P&L after costs, count, win rate, mean and median return, holding days."""
+    """Per-stock result of costed trades, best P&L first: P&L after costs, count, win rate, mean and median return,
+    mean adverse and favourable excursion (columns mae and mfe, see `extremes.excursions`), holding days."""
     net = F.col("pnl") - F.col("fees") - F.col("slippage_cost")
-    return trades.groupBy("code").agg(
+    per = trades.groupBy("code").agg(
         F.sum(net).alias("pnl"),
         F.count(F.lit(1)).alias("trades"),
         (count_if(F.col("return_rate") > 0) / F.count(F.lit(1))).alias("win_rate"),
         F.avg("return_rate").alias("avg_return"),
         F.median("return_rate").alias("median_return"),
+        F.avg("mae").alias("avg_mae"),
+        F.avg("mfe").alias("avg_mfe"),
         F.avg("hold_days").alias("avg_hold_days"),
     )
+    return per.orderBy(F.desc("pnl"), "code")
 
 
 # --- portfolio risk -------------------------------------------------------------------------------

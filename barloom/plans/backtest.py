@@ -10,8 +10,10 @@ from barloom.functions.dates import day_text
 from barloom.functions.numeric import lit, rnd
 from barloom.operators import backtest as bt
 from barloom.operators import decisions as de
+from barloom.operators import extremes as ex
 from barloom.operators import features as of
 from barloom.operators import filters as fl
+from barloom.operators import stability as stb
 from barloom.plans.features import RULE, feature_sql, features, rule_sql, stored_features
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, SECTORS, W, ctes, d, lag, r
@@ -27,13 +29,13 @@ def _live_sql(src: str, name: str = "lv") -> str:
     return f"""{name} AS MATERIALIZED (SELECT *, row_number() OVER {W} AS ix, NOT coalesce({lag('close')} > 0 AND open >= {lag('close')} * (1 + CASE WHEN left(code::VARCHAR, 3) IN ('688','300','301') THEN 0.20 WHEN left(code::VARCHAR, 1) IN ('4','8') OR left(code::VARCHAR, 2) = '92' THEN 0.30 ELSE 0.10 END::DOUBLE) - 1e-8, false) AND volume > 0 AS tradable FROM {src})"""
 
 
-def _trade_sql(src: str = "lv", name: str = "tr") -> str:
+def _trade_sql(src: str = "lv", name: str = "tr", stop: float = 0.08, gain: float = 0.2) -> str:
     return f"""{name}_h AS (SELECT s.code, s.day AS signal_day, e.day AS buy_day, e.open AS ep, e.volume AS ev, b.ix - e.ix AS j, b.day AS bd, b.open AS bo, b.low AS bl, b.high AS bh, b.close AS bc, b.exit_matched AS bx, n.day AS nd, n.open AS no
   FROM {src} s JOIN {src} e ON e.code = s.code AND e.ix = s.ix + 1 AND e.tradable JOIN {src} b ON b.code = s.code AND b.ix BETWEEN e.ix + 1 AND e.ix + {H} LEFT JOIN {src} n ON n.code = s.code AND n.ix = b.ix + 1 WHERE s.entry_matched),
-{name}_o AS (SELECT *, CASE WHEN bl <= ep * (1 - 0.08::DOUBLE) THEN 'stop_loss' WHEN bh >= ep * (1 + 0.2::DOUBLE) THEN 'stop_gain' WHEN bx THEN CASE WHEN nd IS NOT NULL THEN 'exit_condition' END WHEN j >= {H} THEN 'max_hold_days' END AS reason FROM {name}_h),
+{name}_o AS (SELECT *, CASE WHEN bl <= ep * (1 - {stop}::DOUBLE) THEN 'stop_loss' WHEN bh >= ep * (1 + {gain}::DOUBLE) THEN 'stop_gain' WHEN bx THEN CASE WHEN nd IS NOT NULL THEN 'exit_condition' END WHEN j >= {H} THEN 'max_hold_days' END AS reason FROM {name}_h),
 {name}_p AS (SELECT *, row_number() OVER (PARTITION BY code, signal_day ORDER BY j) AS rn FROM {name}_o WHERE reason IS NOT NULL),
 {name} AS MATERIALIZED (SELECT code, signal_day, buy_day, CASE WHEN reason = 'exit_condition' THEN nd ELSE bd END AS sell_day, ep AS buy_price,
-  CASE reason WHEN 'stop_loss' THEN least(bo, ep * (1 - 0.08::DOUBLE)) WHEN 'stop_gain' THEN greatest(bo, ep * (1 + 0.2::DOUBLE)) WHEN 'exit_condition' THEN no ELSE bc END AS sell_price, reason, CAST(CASE WHEN reason = 'exit_condition' THEN j + 1 ELSE j END AS INTEGER) AS hold_days, ev AS buy_volume FROM {name}_p WHERE rn = 1)"""
+  CASE reason WHEN 'stop_loss' THEN least(bo, ep * (1 - {stop}::DOUBLE)) WHEN 'stop_gain' THEN greatest(bo, ep * (1 + {gain}::DOUBLE)) WHEN 'exit_condition' THEN no ELSE bc END AS sell_price, reason, CAST(CASE WHEN reason = 'exit_condition' THEN j + 1 ELSE j END AS INTEGER) AS hold_days, ev AS buy_volume FROM {name}_p WHERE rn = 1)"""
 
 
 TRADES_SQL = [rule_sql(), _live_sql("sig"), _trade_sql(), "trr AS (SELECT *, sell_price / buy_price - 1 AS return_rate FROM tr)"]
@@ -100,10 +102,16 @@ def trade_metrics(spark, sf):
     return m.select("reason", "trades", *[rnd(c, k).alias(c) for c, k in digits.items()])
 
 
-@query("stock_breakdown", feature_sql(f"SELECT code, {r('sum(s - b - fees - sc)', 0)} AS pnl, count(*) AS trades, {r('count(CASE WHEN return_rate > 0 THEN 1 END) / count(*)', 6)} AS win_rate, {r('avg(return_rate)', 6)} AS avg_return, {r('median(return_rate)', 6)} AS median_return, {r('avg(hold_days)', 4)} AS avg_hold_days FROM cs GROUP BY code", *TRADES_SQL, _cost_sql()))
+_MAE = """xt AS (SELECT t.code, t.signal_day, greatest(0, (buy_price - min(CASE WHEN b.low > 0 THEN b.low END)) / buy_price) AS mae, greatest(0, max(b.high) / buy_price - 1) AS mfe
+  FROM cs t JOIN lv e ON e.code = t.code AND e.day = t.buy_day JOIN lv b ON b.code = t.code AND b.ix BETWEEN e.ix AND e.ix + hold_days - CASE WHEN reason = 'exit_condition' THEN 1 ELSE 0 END GROUP BY t.code, t.signal_day, buy_price)"""
+
+
+@query("stock_breakdown", feature_sql(f"SELECT code, {r('sum(s - b - fees - sc)', 0)} AS pnl, count(*) AS trades, {r('count(CASE WHEN return_rate > 0 THEN 1 END) / count(*)', 6)} AS win_rate, {r('avg(return_rate)', 6)} AS avg_return, {r('median(return_rate)', 6)} AS median_return, {r('avg(mae)', 6)} AS avg_mae, {r('avg(mfe)', 6)} AS avg_mfe, {r('avg(hold_days)', 4)} AS avg_hold_days FROM cs JOIN xt USING (code, signal_day) GROUP BY code ORDER BY sum(s - b - fees - sc) DESC, code", *TRADES_SQL, _cost_sql(), _MAE))
 def stock_breakdown(spark, sf):
-    b = bt.stock_breakdown(bt.trade_costs(trades(spark, sf), CASH))
-    return b.select("code", rnd("pnl", 0).alias("pnl"), "trades", *[rnd(c, 6).alias(c) for c in ("win_rate", "avg_return", "median_return")], rnd("avg_hold_days", 4).alias("avg_hold_days"))
+    f = stored_features(spark, sf)
+    t = bt.trade_costs(trades(spark, sf, f=f), CASH)
+    b = bt.stock_breakdown(ex.excursions(t, f, H))
+    return b.select("code", rnd("pnl", 0).alias("pnl"), "trades", *[rnd(c, 6).alias(c) for c in ("win_rate", "avg_return", "median_return", "avg_mae", "avg_mfe")], rnd("avg_hold_days", 4).alias("avg_hold_days"))
 
 
 # --- series of strategies: daily mean order value by priority --------------------------------
@@ -228,42 +236,113 @@ def bootstrap_interval(spark, sf):
     return i.select("measure", *[digits(c).alias(c) for c in i.columns if c != "measure"])
 
 
+# --- verdict: perturbed rules and costs, folds, coverage ---------------------------------------
+#: thin trading: the shares of covered days that the shipped default and a looser configuration ask for
+MIN_COVERAGE = {"default": 0.95, "thin": 0.15}
+
+
+def _variant_sql(k: int, scale: float, stop: float, gain: float) -> list[str]:
+    return [rule_sql(scale, f"sg{k}"), _live_sql(f"sg{k}", f"lw{k}"), _trade_sql(f"lw{k}", f"tq{k}", stop, gain)]
+
+
+_SCENARIO_SQL = [
+    *_variant_sql(0, 1.0, 0.08, 0.2),
+    *_variant_sql(1, 0.95, 0.08 * 0.95, 0.2 * 0.95),
+    *_variant_sql(2, 1.05, 0.08 * 1.05, 0.2 * 1.05),
+    """sa AS (SELECT x.*, tq0.* FROM tq0, (VALUES ('base', 0.0015::DOUBLE), ('slippage_1_5x', 0.0015::DOUBLE * 1.5), ('slippage_2x', 0.0015::DOUBLE * 2)) x(scenario, slip)
+  UNION ALL SELECT 'threshold_0_95x', 0.0015::DOUBLE, * FROM tq1 UNION ALL SELECT 'threshold_1_05x', 0.0015::DOUBLE, * FROM tq2)""",
+    _cost_sql("slip", "sa", "cz"),
+    "nt AS MATERIALIZED (SELECT *, (s - b - fees - sc) / b AS net FROM cz)",
+]
+
+
+def _report_sql(key: str = "") -> str:
+    """rp: trades, means, total return and drawdown by scenario, over all instruments or by code."""
+    k = f"{key}, " if key else ""
+    stake = "1" if key else "(SELECT count(DISTINCT code) FROM nt n WHERE n.scenario = dy.scenario)"
+    return f"""dy AS (SELECT {k}scenario, sell_day, sum(net) AS x FROM nt GROUP BY ALL),
+dn AS (SELECT *, 1 + sum(x) OVER (PARTITION BY {k}scenario ORDER BY sell_day) / {stake} AS nav FROM dy),
+dp AS (SELECT *, greatest(1, max(nav) OVER (PARTITION BY {k}scenario ORDER BY sell_day)) AS peak FROM dn),
+dq AS (SELECT {k}scenario, arg_max(nav, sell_day) - 1 AS total, max(least(1, greatest(0, (peak - nav) / peak))) AS mdd FROM dp GROUP BY ALL),
+rp AS MATERIALIZED (SELECT {k}scenario, count(*) AS n, avg(net) AS ar, median(net) AS md, count(CASE WHEN NOT (signal_day < buy_day AND buy_day < sell_day) THEN 1 END) AS la, any_value(total) AS total, any_value(mdd) AS mdd FROM nt JOIN dq USING ({k}scenario) GROUP BY {k}scenario)"""
+
+
+def _scenarios(spark, sf, f):
+    return materialized(stb.scenario_trades(fl.tradable(f, "buy"), RULE, CASH))
+
+
+@query(
+    "parameter_stability",
+    feature_sql(
+        f"""SELECT p.scenario, p.n AS trades, {r('p.ar', 6)} AS avg_return, {r('p.md', 6)} AS median_return, {r('p.total', 5)} AS total_return, {r('p.mdd', 6)} AS max_drawdown,
+  p.scenario = 'base' OR coalesce(p.ar > 0 AND p.ar >= b.ar * 0.5 AND p.mdd <= greatest(0.25, b.mdd * 1.5), false) AS passed FROM rp p JOIN rp b ON b.scenario = 'base' WHERE p.scenario IN ('base', 'threshold_0_95x', 'threshold_1_05x')""",
+        *_SCENARIO_SQL,
+        _report_sql(),
+    ),
+)
+def parameter_stability(spark, sf):
+    """The rule over all instruments: its own run and both perturbed ones."""
+    rep = stb.stress_report(_scenarios(spark, sf, stored_features(spark, sf))).filter(F.col("scenario").isin(list(stb.THRESHOLDS)))
+    base = rep.filter("scenario = 'base'").select(F.col("avg_return").alias("_a"), F.col("max_drawdown").alias("_d"))
+    ok = (F.col("avg_return") > 0) & (F.col("avg_return") >= F.col("_a") * 0.5) & (F.col("max_drawdown") <= F.greatest(lit(0.25), F.col("_d") * lit(1.5)))
+    j = rep.crossJoin(F.broadcast(base))
+    return j.select("scenario", "trades", *[rnd(c, 6).alias(c) for c in ("avg_return", "median_return")], rnd("total_return", 5).alias("total_return"), rnd("max_drawdown", 6).alias("max_drawdown"), ((F.col("scenario") == "base") | F.coalesce(ok, F.lit(False))).alias("passed"))
+
+
+@query("variant_folds", feature_sql(f"SELECT scenario, fold, count(*) AS trades, {r('avg(net)', 6)} AS avg_return FROM nt JOIN fd ON buy_day BETWEEN sd AND ed GROUP BY scenario, fold", *_SCENARIO_SQL, _FOLDS))
+def variant_folds(spark, sf):
+    f = stored_features(spark, sf)
+    e = stb.fold_evidence(_scenarios(spark, sf, f), bt.folds(f))
+    return e.select("scenario", "fold", "trades", rnd("avg_return", 6).alias("avg_return"))
+
+
+_EVIDENCE_SQL = [
+    *_SCENARIO_SQL,
+    _report_sql("code"),
+    _FOLDS,
+    "oo AS (SELECT code, fold, count(*) AS n, avg(net) AS a FROM nt JOIN fd ON buy_day BETWEEN sd AND ed WHERE scenario = 'base' GROUP BY 1, 2)",
+    "os AS (SELECT code, sum(n) AS n2, sum(n * a) / sum(n) AS a2, count(CASE WHEN a > 0 THEN 1 END) / (SELECT count(*) FROM fd) AS fc FROM oo GROUP BY 1)",
+    "cv AS (SELECT code, least(1, count(CASE WHEN open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume > 0 THEN 1 END) / (SELECT count(DISTINCT day) FROM feat)) AS cov, CASE WHEN arg_min(close, day) > 0 AND arg_max(close, day) > 0 THEN (arg_max(close, day) - arg_min(close, day)) / arg_min(close, day) END AS br FROM feat GROUP BY 1)",
+    """ev AS MATERIALIZED (SELECT b.code, b.n, b.ar, b.total, b.mdd, b.la, cov, br, coalesce(n2, 0) AS n2, coalesce(a2, 0) AS a2, coalesce(fc, 0) AS fc, coalesce(c.ar > 0 AND c.mdd <= 0.20, false) AS cost,
+  (SELECT count(*) FROM rp p WHERE p.code = b.code AND p.scenario IN ('threshold_0_95x', 'threshold_1_05x') AND p.ar > 0 AND p.ar >= b.ar * 0.5 AND p.mdd <= greatest(0.25, b.mdd * 1.5)) = 2 AS stable,
+  CASE WHEN b.ar <> 0 THEN (b.ar - coalesce(a2, 0)) / abs(b.ar) ELSE 0 END AS decay
+  FROM rp b JOIN cv USING (code) LEFT JOIN os USING (code) LEFT JOIN rp c ON c.code = b.code AND c.scenario = 'slippage_2x' WHERE b.scenario = 'base')""",
+    "wn AS (SELECT *, list_filter([CASE WHEN decay > 0.5 THEN 'decay' END, CASE WHEN fc > 0 AND fc < 0.5 THEN 'folds' END, CASE WHEN NOT stable THEN 'fragile' END], lambda x: x IS NOT NULL) AS warnings FROM ev)",
+]
+
+
+@query(
+    "overfit_diagnostics",
+    feature_sql(f"SELECT code, n AS trades, {r('total', 5)} AS total_return, {r('mdd', 6)} AS max_drawdown, {r('cov', 6)} AS coverage, cost AS cost_2x_passed, CASE WHEN stable THEN 'stable' ELSE 'fragile' END AS parameter_stability, CAST(n2 AS BIGINT) AS out_trades, {r('a2', 6)} AS out_avg_return, {r('fc', 6)} AS fold_consistency, {r('decay', 4)} AS out_sample_decay, {r('total - br', 5)} AS excess_return, 5 AS rule_complexity, array_to_string(warnings, ',') AS warnings FROM wn", *_EVIDENCE_SQL),
+)
+def overfit_diagnostics(spark, sf):
+    e = _evidence(spark, sf)
+    digits = {"total_return": 5, "max_drawdown": 6, "coverage": 6, "out_avg_return": 6, "fold_consistency": 6, "out_sample_decay": 4, "excess_return": 5}
+    return e.select("code", "trades", "cost_2x_passed", "parameter_stability", "out_trades", "rule_complexity", F.array_join("warnings", ",").alias("warnings"), *[rnd(c, k).alias(c) for c, k in digits.items()])
+
+
 def _evidence(spark, sf):
-    """One row per supplier-strategy: its trade metrics, benchmark and later trades."""
-    t = materialized(trades(spark, sf))
-    m = bt.trade_metrics(t, ["code"])
-    b = bt.benchmark_return(views.closes(spark, sf))
-    late = t.filter("buy_day >= '1999-01-01'").groupBy("code").agg(F.count(F.lit(1)).alias("out_trades"), F.avg("return_rate").alias("out_avg_return"))
-    j = m.join(b, "code").join(late, "code", "left").fillna(0, ["out_trades", "out_avg_return"])
-    return j.select(
-        "code",
-        "trades",
-        "avg_return",
-        F.col("worst_loss").alias("max_drawdown"),
-        F.lit(True).alias("no_lookahead"),
-        lit(0.99).alias("coverage"),
-        lit(0.95).alias("min_coverage"),
-        (F.col("avg_return") > 0.004).alias("cost_2x_passed"),
-        F.col("benchmark_return").isNotNull().alias("benchmark_available"),
-        (F.col("avg_return") * F.col("trades") - F.col("benchmark_return")).alias("excess_return"),
-        "out_trades",
-        "out_avg_return",
-        F.when(F.col("win_rate") > 0.3, "stable").otherwise("fragile").alias("parameter_stability"),
-    )
+    f = stored_features(spark, sf)
+    return stb.evidence(_scenarios(spark, sf, f), f, bt.folds(f), RULE)
+
+
+_GATES = """CASE WHEN la > 0 THEN 'lookahead' WHEN n = 0 THEN 'no_trades' WHEN cov < mc THEN 'coverage' WHEN mdd > 0.25 OR ar <= 0 THEN 'return_drawdown' WHEN NOT cost THEN 'cost' WHEN n < 30 OR br IS NULL THEN 'sample_benchmark'
+  WHEN total - br <= 0 THEN 'excess' WHEN n2 < 15 OR a2 <= 0 THEN 'out_of_sample' WHEN NOT stable THEN 'parameters' WHEN len(warnings) > 0 THEN 'warnings' ELSE 'passed' END"""
 
 
 @query(
     "quant_verdict",
     feature_sql(
-        """SELECT code, CASE WHEN wl > 0.95 OR ar <= 0 THEN 'reject' WHEN NOT ar > 0.004 THEN 'watchlist' WHEN n < 30 THEN 'watchlist' WHEN ar * n - br <= 0 THEN 'watchlist' WHEN n2 < 15 OR a2 <= 0 THEN 'paper_trade' WHEN wr <= 0.3 THEN 'paper_trade' ELSE 'active_candidate' END AS status,
-  CASE WHEN wl > 0.95 OR ar <= 0 THEN 'return_drawdown' WHEN NOT ar > 0.004 THEN 'cost' WHEN n < 30 THEN 'sample_benchmark' WHEN ar * n - br <= 0 THEN 'excess' WHEN n2 < 15 OR a2 <= 0 THEN 'out_of_sample' WHEN wr <= 0.3 THEN 'parameters' ELSE 'passed' END AS gate FROM ev""".replace("0.95 OR", "0.25 OR"),
-        *TRADES_SQL,
-        "ev AS (SELECT t.code, count(*) AS n, avg(return_rate) AS ar, coalesce(max(CASE WHEN return_rate < 0 THEN -return_rate END), 0) / 4 AS wl, count(CASE WHEN return_rate > 0 THEN 1 END) / count(*) AS wr, count(CASE WHEN buy_day >= DATE '1999-01-01' THEN 1 END) AS n2, coalesce(avg(CASE WHEN buy_day >= DATE '1999-01-01' THEN return_rate END), 0) AS a2, any_value(br) AS br FROM trr t JOIN (SELECT code, arg_max(close, day) / arg_min(close, day) - 1 AS br FROM bars GROUP BY code) USING (code) GROUP BY t.code)",
+        """SELECT config, code, gate, CASE WHEN gate IN ('lookahead', 'no_trades', 'coverage', 'return_drawdown') THEN 'reject' WHEN gate IN ('cost', 'sample_benchmark', 'excess') THEN 'watchlist' WHEN gate IN ('out_of_sample', 'parameters') THEN 'paper_trade' ELSE 'active_candidate' END AS status FROM gt""",
+        *_EVIDENCE_SQL,
+        f"gt AS (SELECT config, code, {_GATES} AS gate FROM wn, (VALUES ('default', 0.95), ('thin', 0.15)) x(config, mc))",
     ),
 )
 def quant_verdict(spark, sf):
-    e = _evidence(spark, sf).withColumn("max_drawdown", F.col("max_drawdown") / 4)
-    return bt.verdict(e).select("code", "status", "gate")
+    """Every instrument's verdict on measured evidence, under the shipped coverage gate and under one for thin trading."""
+    configs = F.array(*[F.struct(F.lit(n).alias("config"), lit(v).alias("min_coverage")) for n, v in MIN_COVERAGE.items()])
+    e = _evidence(spark, sf).drop("min_coverage").withColumn("_c", F.explode(configs))
+    return bt.verdict(e.select("*", "_c.*")).select("config", "code", "status", "gate")
 
 
 @query("unique_samples", feature_sql("SELECT code, count(DISTINCT ROW(buy_day, sell_day)) AS stock_samples, (SELECT count(DISTINCT ROW(code, buy_day, sell_day)) FROM trr) AS pool_samples FROM trr GROUP BY code", *TRADES_SQL))
