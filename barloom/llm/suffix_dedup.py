@@ -8,14 +8,15 @@ Sorting all suffixes of a corpus moves every text many times over, so candidates
 strings have equal smallest hashes, so a string whose segment's hash occurs once, in one place, is unique and needs no
 look at its bytes. What is left is decided exactly:
 
-* segments that are equal as a whole and occur twice or more are repeated from end to end;
+* segments that are equal as a whole and occur twice or more are repeated from end to end; they are told by 128 bits of
+  blake2b of all their bytes, not by the polynomial hash, which texts can be made to collide under;
 * the other segments of a hash are brought together with their bytes and their suffixes are sorted, `size` bytes deep.
   Prefix polynomial hashes compare two suffixes in a logarithmic number of steps: a binary search finds their common
   extension, the next byte decides. The merge sort runs level by level over all groups of a batch at once. Neighbours
   with a common extension of `size` are equal strings; their bytes are compared before that is believed, and a batch
   with a collision is sorted again by its bytes;
 * a hash with more than `group` different segments (a passage with many different surroundings) is never brought into
-  one task: its strings are counted by two independent 64-bit hashes, with partial sums before the shuffle.
+  one task: its strings are counted by 128 bits of blake2b, with partial sums before the shuffle.
 
 Null texts are empty; texts shorter than `size` lose nothing. Rows that repeat an id are texts of their own (equal rows
 repeat each other). An empty table gives an empty result. Other columns are not read, whatever their names.
@@ -23,6 +24,7 @@ repeat each other). An empty table gives an empty result. Other columns are not
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -89,10 +91,10 @@ def smallest(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Segments of a buffer of texts that end at `ends`: (start, run, key, whole, tied).
+    """Segments of a buffer of texts that end at `ends`: (start, run, key, tied).
 
-    A segment is `run` consecutive starts; key is their smallest gram hash, whole the hash of all their bytes, tied
-    whether that gram stands in more than one place of the segment, as in periodic text.
+    A segment is `run` consecutive starts; key is their smallest gram hash, tied whether that gram stands in more than
+    one place of the segment, as in periodic text.
     """
     hashes = Rolling(data, BASES[0])
     v = mixed(hashes.all(GRAM))
@@ -109,7 +111,7 @@ def segments(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     fresh &= valid
     start = np.flatnonzero(fresh)
     if not len(start):
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
     number = np.cumsum(fresh) - 1
     run = np.bincount(number[valid], minlength=len(start))
     # how often the smallest gram stands in each segment
@@ -117,7 +119,7 @@ def segments(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     first = np.cumsum(reach) - reach
     at = np.arange(reach.sum()) + np.repeat(start - first, reach)
     tied = np.add.reduceat(v[at] == np.repeat(m[start], reach), first, dtype=np.int64) > 1
-    return start, run, m[start], mixed(hashes.of(start, run + size - 1)), tied
+    return start, run, m[start], tied
 
 
 def buffers(texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
@@ -146,21 +148,29 @@ def buffers(texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np
         yield flush()
 
 
+def strong(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """128 bits of blake2b of data[start : start + length], as two integers each: byte strings that agree in it are equal."""
+    raw = data.tobytes()
+    marks = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(start.tolist(), length.tolist(), strict=True))
+    return np.frombuffer(marks, dtype="<i8").reshape(-1, 2)
+
+
 def all_segments(rows: DataFrame, size: int) -> DataFrame:
-    """(_id, _rk, key, whole, start, run, tied) of every text of (_id, _rk, _text)."""
-    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("key", "whole", "start")], T.StructField("run", T.IntegerType()), T.StructField("tied", T.BooleanType())])
+    """(_id, _rk, key, whole, more, start, run, tied) of every text of (_id, _rk, _text); whole and more stand for all bytes."""
+    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("key", "whole", "more", "start")], T.StructField("run", T.IntegerType()), T.StructField("tied", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, ends, owner, place in buffers(batch.column(2).to_pylist(), size):
-                start, n, key, whole, tied = segments(data, ends, size)
+                start, n, key, tied = segments(data, ends, size)
                 if not len(start):
                     continue
+                whole = strong(data, start, n + size - 1)
                 piece = np.searchsorted(ends, start, side="right")
                 at = start - np.concatenate([[0], ends[:-1]])[piece] + np.array(place)[piece]
                 rows_of = pa.array(np.array(owner)[piece])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows_of), batch.column(1).take(rows_of), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(at), pa.array(n.astype(np.int32)), pa.array(tied)],
+                    [batch.column(0).take(rows_of), batch.column(1).take(rows_of), pa.array(key.view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(at), pa.array(n.astype(np.int32)), pa.array(tied)],
                     names=schema.names,
                 )
 
@@ -381,7 +391,7 @@ def sorted_groups(content: DataFrame, size: int, batch_bytes: int = 1 << 20) ->
 
 
 def counted_strings(content: DataFrame, size: int) -> DataFrame:
-    """(_id, _rk, start, n) of the repeated strings of hot keys: counted by two hashes, never brought together."""
+    """(_id, _rk, start, n) of the repeated strings of hot keys: counted by a strong hash, never brought together."""
     rows = content.select("_id", "_rk", "start", "run", "bytes")
     schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("start", "h1", "h2")]])
 
@@ -389,9 +399,10 @@ def counted_strings(content: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 data = np.frombuffer(batch.column(4)[k].as_py(), dtype=np.uint8)
-                h1, h2 = (mixed(Rolling(data, b).all(size)).view(np.int64) for b in BASES)
-                owner = pa.array(np.full(len(h1), k))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(batch.column(2)[k].as_py() + np.arange(len(h1))), pa.array(h1), pa.array(h2)], names=schema.names)
+                n = len(data) - size + 1
+                marks = strong(data, np.arange(n), np.full(n, size))
+                owner = pa.array(np.full(n, k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(batch.column(2)[k].as_py() + np.arange(n)), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=schema.names)
 
     strings = stored(rows.mapInArrow(run, schema))
     twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
@@ -404,12 +415,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     segs = all_segments(rows, size)
     often = segs.groupBy("key").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("key")
     found = stored(segs.join(often, "key"))
-    kinds = found.groupBy("key", "whole").agg(F.count("*").alias("c"), F.max("tied").alias("tied"), F.min(F.struct("_id", "_rk", "start", "run")).alias("one"))
+    kinds = found.groupBy("key", "whole", "more").agg(F.count("*").alias("c"), F.max("tied").alias("tied"), F.min(F.struct("_id", "_rk", "start", "run")).alias("one"))
     kinds = stored(kinds)
     per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
     # equal segments: repeated from end to end
-    twice = kinds.filter("c > 1").select("key", "whole")
-    plain = found.join(twice, ["key", "whole"]).select("_id", "_rk", "start", F.col("run").cast("long").alias("n"))
+    twice = kinds.filter("c > 1").select("key", "whole", "more")
+    plain = found.join(twice, ["key", "whole", "more"]).select("_id", "_rk", "start", F.col("run").cast("long").alias("n"))
     # different segments of one key, and periodic ones: one of each kind is compared by its bytes
     open_ = kinds.join(per_key, "key").filter("kinds > 1 or (tied and c = 1)").select("one.*", "key", (F.col("kinds") > group).alias("hot"))
     texts = packed(rows)
