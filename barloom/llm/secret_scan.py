@@ -181,19 +181,37 @@ def inflated(source: Iterable[bytes], facts: dict) -> Iterator[bytes]:
         facts["short"] = True
 
 
-def levels(data: bytes) -> Iterator[tuple[tuple[str, ...], Callable[[dict], Iterator[bytes]]]]:
-    """Names and unpacker of compressed data, of compressed data in it, and so on; ends where a level begins as one before."""
+def levels(data: bytes, most: int, facts: dict) -> Iterator[tuple[tuple[str, ...], Iterable[bytes]]]:
+    """Names and unpacked pieces of compressed data, of compressed data in it, and so on; ends where a level begins as one before.
+
+    A level of at most `most` bytes is held and the next one unpacked from it, so levels do not nest. A larger level is
+    unpacked again as it is read; a chain of such levels is shorter than the text is long in units of `most`.
+    """
     names: tuple[str, ...] = ()
-    make: Callable[[dict], Iterator[bytes]] = lambda facts: pieces(data)
+    make: Callable[[], Iterable[bytes]] = lambda: pieces(data)
     heads = set()
     while True:
-        head = next(make({}), b"")
-        if not packed(head) or head in heads:
+        head = next(iter(make()), b"")
+        mark = hashlib.blake2b(head, digest_size=16).digest()
+        if not packed(head) or mark in heads:
             return
-        heads.add(head)
+        heads.add(mark)
         names = (*names, packed(head))
-        make = (lambda outer: lambda facts: inflated(outer({}), facts))(make)
-        yield names, make
+        outer, held, found = make, bytearray(), {}
+        small = True
+        for piece in inflated(outer(), found):
+            held += piece
+            if len(held) > most:
+                small = False
+                break
+        if small:
+            if found.get("short"):
+                facts["short"] = True
+            make = (lambda level: lambda: pieces(level))(bytes(held))
+            yield names, make()
+        else:
+            make = (lambda before: lambda: inflated(before(), {}))(outer)
+            yield names, inflated(outer(), facts)
 
 
 def windows(unpacked: Iterable[bytes], most: int, facts: dict) -> Iterator[bytes]:
@@ -311,15 +329,29 @@ def scan_text(text: str | None, max_unpacked: int) -> tuple:
     seen: set[bytes] = set()
     layers, facts = 0, {"short": False}
 
-    def settle(work: deque) -> None:
+    def unpacked(block: Packed) -> Iterator[Iterator[Layer]]:
+        for names, level in levels(block.data, max_unpacked, facts):
+            for data in windows(level, max_unpacked, facts):
+                yield block_layers(data, (*block.names, *names), block.place)
+
+    def settle(first: Layer) -> None:
+        """Depth first on a stack of its own: a window and all that is in it goes before the next one is unpacked."""
         nonlocal layers
-        while work:
+        stack: list[deque] = [deque([first])]
+        while stack:
+            work = stack[-1]
+            if not work:
+                stack.pop()
+                continue
             layer = work.popleft()
             if isinstance(layer, Packed):
-                # a window and all that is in it goes before the next one is unpacked
-                for names, unpack in levels(layer.data):
-                    for data in windows(unpack(facts), max_unpacked, facts):
-                        settle(deque(block_layers(data, (*layer.names, *names), layer.place)))
+                work.appendleft(unpacked(layer))
+                continue
+            if not isinstance(layer, Layer):  # windows that are still to come
+                window = next(layer, None)
+                if window is not None:
+                    work.appendleft(layer)
+                    stack.append(deque(window))
                 continue
             mark = hashlib.blake2b(repr((layer.source[0], layer.source[-1])).encode() + layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if layer.names else b""
             if mark in seen:
@@ -336,7 +368,7 @@ def scan_text(text: str | None, max_unpacked: int) -> tuple:
                     work.extend(escaped_lines(layer, kind))
             work.extend(base64_layers(layer))
 
-    settle(deque([Layer(text, (), (0,), ((0, len(text)),), (True,))]))
+    settle(Layer(text, (), (0,), ((0, len(text)),), (True,)))
     line = lambda keys: ",".join(f"{k}:{s}:{e}" for s, k, e in keys)
     every = sorted(spans, key=lambda x: (x[0], spans[x], x[1], x[2]))
     n = [sum(1 for _, k, _ in base if k == i) for i in range(3)]
