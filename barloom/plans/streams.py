@@ -12,6 +12,7 @@ from barloom.plans.joins import _MOOD
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BULL, CHANGES, DOWN, TICKS, UP, ctes, r
 from barloom.sources import views
+from barloom.streaming import books as bk
 from barloom.streaming import streams as st
 
 _TS = "'%Y-%m-%d %H:%M:%S'"
@@ -53,8 +54,9 @@ def stream_breadth(spark, sf):
 SELECT user_id, strftime(min(ts), {_TS}) AS start, count(*) AS n, {r('sum(value)', 3)} AS value FROM i GROUP BY user_id, sid""",
 )
 def stream_sessions(spark, sf):
-    # open sessions can still merge, so the last complete table is the answer
-    s = st.run_to_table(st.sessions(st.events_stream(spark, sf)), mode="complete")
+    # append mode: a session leaves the state when the watermark passes its end; the closing row ends the last ones
+    events, close = st.closed_events_stream(spark, sf)
+    s = st.run_to_table(st.sessions(events), mode="append", close=close).filter("user_id >= 0")
     return s.select("user_id", _ts("start"), "n", rnd("value", 3).alias("value"))
 
 
@@ -117,6 +119,31 @@ def stream_zone_alerts(spark, sf):
     return st.run_to_table(st.zone_alerts(ticks, recs), mode="append").select("code", "rec", "zone", "event_id")
 
 
+@query(
+    "stream_zone_book",
+    f"""WITH RECURSIVE rc AS (SELECT DISTINCT user_id AS code, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS rec, CAST(ts AS DATE) AS day FROM events),
+zn AS (SELECT code, rec, day, 'buy' AS zone, 1 AS sg, (4 + code % 5 + rec % 7)::DOUBLE AS bound FROM rc UNION ALL SELECT code, rec, day, 'profit', -1, (40 + code % 30)::DOUBLE FROM rc
+  UNION ALL SELECT code, rec, day, 'loss', 1, (code % 3)::DOUBLE FROM rc UNION ALL SELECT code, rec, day, 'cost', 1, (20 + code % 7)::DOUBLE FROM rc),
+b AS MATERIALIZED (SELECT zn.*, sg * bound AS bd, event_id, ts, epoch(ts) AS s, value AS pr, row_number() OVER (PARTITION BY zn.code, rec, zone ORDER BY ts, event_id) AS n FROM events JOIN zn ON zn.code = user_id AND zn.day = CAST(ts AS DATE) WHERE bound > 0 AND value > 0),
+st AS (SELECT DISTINCT code, rec, zone, day, 0::BIGINT AS n, -1::BIGINT AS event_id, NULL::TIMESTAMP AS ts, 0::DOUBLE AS pr, 0::DOUBLE AS last, 0::DOUBLE AS sent, false AS op, '' AS status FROM b
+  UNION ALL SELECT code, rec, zone, day, n, event_id, ts, pr, CASE WHEN f THEN pr WHEN i AND e THEN last WHEN i THEN pr WHEN last = 0 OR (CASE WHEN zone = 'cost' THEN sg * pr < sg * last ELSE sg * pr > sg * last END) THEN pr ELSE last END, CASE WHEN f THEN s ELSE sent END, f OR (op AND i), CASE WHEN f THEN 'new' WHEN op AND NOT i THEN 'resolved' ELSE '' END
+  FROM (SELECT *, i AND e AND (sent = 0 OR s - sent >= 300) AS f FROM (SELECT b.*, st.last, st.sent, st.op, CASE WHEN b.zone = 'cost' THEN b.sg * b.pr < b.bd ELSE b.sg * b.pr <= b.bd END AS i, st.last = 0 OR (CASE WHEN b.zone = 'cost' THEN b.sg * st.last >= b.bd ELSE b.sg * st.last > b.bd END) AS e
+    FROM st JOIN b ON b.code = st.code AND b.rec = st.rec AND b.zone = st.zone AND b.n = st.n + 1)))
+SELECT code, rec, zone, event_id, strftime(ts, {_TS}) AS ts, pr AS price, status FROM st WHERE status <> ''
+UNION ALL SELECT code, rec, zone, NULL, strftime(day + INTERVAL 1 DAY, {_TS}), last, 'expired' FROM (SELECT *, row_number() OVER (PARTITION BY code, rec, zone ORDER BY n DESC) AS k FROM st) WHERE k = 1 AND op""",
+)
+def stream_zone_book(spark, sf):
+    """One recommendation a user and day: its state ends with the day."""
+    own = bk.stateful_session(spark)
+    c, day = F.col("code"), F.date_trunc("day", "ts")
+    recs = views.table(own, sf, "events").select(F.col("user_id").alias("code"), day.cast("timestamp").alias("start")).distinct()
+    recs = recs.withColumns({"stop": F.col("start") + F.make_interval(days=F.lit(1)), "rec": F.datediff("start", F.lit("2024-01-01").cast("date")).cast("long")})
+    recs = recs.select("code", "rec", "start", "stop", (c % 5 + F.col("rec") % 7 + 4).alias("buy"), (c % 30 + 40).alias("profit"), (c % 3).alias("loss"), (c % 7 + 20).alias("cost"))
+    events, close = st.closed_events_stream(own, sf)
+    ticks = events.select("event_id", "ts", F.col("user_id").alias("code"), F.col("value").alias("price"))
+    return st.run_to_table(bk.zone_book(ticks, recs), mode="append", close=close).select("code", "rec", "zone", "event_id", _ts("ts"), "price", "status")
+
+
 @query(
     "stream_advice_changes",
     """WITH a AS (SELECT user_id AS code, event_id, ts, CASE event_id % 5 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'HOLD' WHEN 3 THEN 'ADD' ELSE 'HOLD' END AS action, user_id % 4 = 0 AS watch FROM events),

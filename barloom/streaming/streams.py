@@ -33,6 +33,23 @@ def events_stream(spark: SparkSession, folder: str, table: str = "events.parquet
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: event time of the row that closes a bounded stream, later than any other
+CLOSING = "2200-01-01 00:00:00"
+
+
+def closed_events_stream(spark: SparkSession, folder: str, table: str = "events.parquet", per_trigger: int = 1) -> tuple[DataFrame, Callable[[], None]]:
+    """`events_stream` of a finished table, and what closes it: a function that adds one closing row to the stream.
+
+    The row (event id -1, user -1, value 1) moves the watermark past everything, so windows close and timers fire. It goes to a
+    folder of its own, which the stream reads besides the table; add it when the table has been read (`run_to_table`).
+    """
+    mark = f"{work_folder(spark)}/closing"
+    row = spark.sql(f"SELECT -1L AS event_id, TIMESTAMP_NTZ'{CLOSING}' AS ts, -1L AS user_id, '' AS event_type, 1D AS value, '' AS props")
+    row.limit(0).write.parquet(mark)
+    ends = spark.readStream.schema(EVENTS).parquet(mark).withColumn("ts", F.col("ts").cast("timestamp"))
+    return events_stream(spark, folder, table, per_trigger).unionByName(ends), lambda: row.write.mode("append").parquet(mark)
+
+
 def news_stream(spark: SparkSession, folder: str, table: str = "documents.parquet", per_trigger: int = 1) -> DataFrame:
     """News texts as a file stream."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -288,10 +305,11 @@ def store_batch(batch: DataFrame, folder: str, number: int) -> None:
     batch.write.mode("overwrite").parquet(f"{folder}/rows/_batch={number}")
 
 
-def run_to_table(stream: DataFrame, keys: Sequence[str] | None = None, mode: str = "update", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, keys: Sequence[str] | None = None, mode: str = "update", each: Callable[[DataFrame], DataFrame] | None = None, close: Callable[[], None] | None = None) -> DataFrame:
     """Process everything available and return the stored result.
 
-    With keys it is the newest record per key; in complete mode it is the last trigger's table.
+    With keys it is the newest record per key; in complete mode it is the last trigger's table. With close the query
+    runs again from its checkpoint after close() has been called.
     """
     spark = stream.sparkSession
     folder = work_folder(spark)
@@ -299,8 +317,11 @@ def run_to_table(stream: DataFrame, keys: Sequence[str] | None = None, mode: str
     def store(batch: DataFrame, number: int) -> None:
         store_batch(each(batch) if each else batch, folder, number)
 
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(store).start()
-    q.awaitTermination()
+    for step in (None, close) if close else (None,):
+        if step:
+            step()
+        q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(store).start()
+        q.awaitTermination()
     rows = spark.read.parquet(f"{folder}/rows")
     if mode == "complete":
         last = rows.agg(F.max("_batch").alias("_batch"))
