@@ -146,6 +146,37 @@ def pick_at_rank(counted: DataFrame, value: str, ranks: dict[str, Column], keys:
     return joined.groupBy(*keys, "total").agg(*picks)
 
 
+def level_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
+    """Adds the 1-based place within the keys by (value descending, tie ascending); both are numbers.
+
+    Five counted levels: octaves of the value, its buckets, values, buckets of the tie, and rows. Each level ranks inside
+    one cell of the level above, so no task sees a whole key, and a value that a third of all rows share is split by its
+    tie. The octaves of a key, some two thousand at most, are summed in one array.
+    """
+    rows = df.withColumns({"_b": value_bucket(value), "_t": value_bucket(F.col(tie).cast("double"))}).withColumn("_o", F.shiftright("_b", 12))
+    by = [*keys, "_o", "_b", value, "_t"]
+    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    values = cells.groupBy(*by[:-1]).agg(F.sum("_n").alias("_n"))
+    buckets = values.groupBy(*by[:-2]).agg(F.sum("_n").alias("_n"))
+    octaves = buckets.groupBy(*keys, "_o").agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(F.collect_list(F.struct("_o", "_n")).alias("_all"))
+
+    def above(x: Column) -> Column:
+        higher = F.filter("_all", lambda y: y["_o"] > x["_o"])
+        return F.struct(x["_o"].alias("_o"), F.aggregate(higher, F.lit(0).cast("long"), lambda s, y: s + y["_n"]).alias("_above"))
+
+    octaves = octaves.select(*keys, F.explode(F.transform("_all", above)).alias("_x")).select(*keys, "_x.*")
+
+    def before(level: DataFrame, order: Column, inside: Sequence[str], out: str) -> DataFrame:
+        return level.withColumn(out, F.sum("_n").over(Window.partitionBy(*inside).orderBy(order)) - F.col("_n")).drop("_n")
+
+    j = before(cells, F.asc("_t"), by[:-1], "_p3").join(before(values, F.desc(value), by[:-2], "_p2"), by[:-1])
+    j = j.join(before(buckets, F.desc("_b"), by[:-3], "_p1"), by[:-2]).join(octaves, [*keys, "_o"])
+    offsets = j.select(*by, (F.col("_above") + F.col("_p1") + F.col("_p2") + F.col("_p3")).alias("_off"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(tie))
+    out = rows.join(offsets, by)
+    return out.withColumn(name, (F.col("_off") + place).cast("int")).drop("_o", "_b", "_t", "_off")
+
+
 def lower_nearest(p: float) -> Column:
     """0-based rank of the lower-nearest quantile over `total` rows: int((n - 1) * p)."""
     return F.floor((F.col("total") - 1) * lit(p))

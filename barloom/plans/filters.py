@@ -9,6 +9,7 @@ from barloom.functions import dates as fd
 from barloom.functions import events as ev
 from barloom.functions.dates import day_text
 from barloom.functions.numeric import display_amount, erfc, lit, parse_number, parse_percent, rnd
+from barloom.operators import clocks as oc
 from barloom.operators import filters as of
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, BULL, CHANGES, DOWN, SECTORS, UP, W, ctes, d, r
@@ -173,16 +174,42 @@ def latest_price(spark, sf):
     return of.latest_price(codes, q, views.bars(spark, sf), views.trades(spark, sf)).select("code", rnd("latest_price", 3).alias("latest_price"))
 
 
-def _session_sql(lo_hi):
-    return "isodow(ts) < 6 AND (" + " OR ".join(f"hour(ts) * 60 + minute(ts) BETWEEN {a} AND {b}" for a, b in lo_hi) + ")"
+_MINUTE = "hour(ts) * 60 + minute(ts)"
 
 
-@query("on_session", "SELECT event_id, " + ", ".join(f"{_session_sql(v)} AS {m}" for m, v in fd.SESSIONS.items()) + " FROM events")
+@query(
+    "on_session",
+    f"""SELECT event_id, isodow(ts) < 6 AND ({_MINUTE} BETWEEN 570 AND 690 OR {_MINUTE} BETWEEN 780 AND 900) AS a, isodow(ts) < 6 AND ({_MINUTE} BETWEEN 555 AND 690 OR {_MINUTE} BETWEEN 780 AND 900) AS a_auction,
+  isodow(ts) < 6 AND ({_MINUTE} BETWEEN 540 AND 720 OR {_MINUTE} BETWEEN 780 AND 970) AS hk, isodow(ts) < 6 AND {_MINUTE} BETWEEN 240 AND 1200 AS us FROM events""",
+)
 def on_session(spark, sf):
     e = views.table(spark, sf, "events")
     return e.select("event_id", *[fd.on_session("ts", m).alias(m) for m in fd.SESSIONS])
 
 
+_HOLIDAYS = (("us", "1995-07-04"), ("us", "1996-12-25"), ("us", "1997-09-01"), ("hk", "1997-07-01"), ("hk", "1996-12-25"), ("a", "1996-10-01"), ("a", "1997-05-01"))
+
+
+@query(
+    "market_sessions",
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes(o_orderkey * 7 % 1440) AS u FROM orders),
+l AS (SELECT o_orderkey, 'a' AS market, 'a' AS cal, (u AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Shanghai' AS ts FROM o UNION ALL SELECT o_orderkey, 'a_auction', 'a', (u AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Shanghai' FROM o
+  UNION ALL SELECT o_orderkey, 'hk', 'hk', (u AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Hong_Kong' FROM o UNION ALL SELECT o_orderkey, 'us', 'us', (u AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' FROM o),
+h(cal, day) AS (VALUES {', '.join(f"('{m}', DATE '{x}')" for m, x in _HOLIDAYS)}),
+w AS (SELECT o_orderkey, market, CAST(ts AS DATE) AS day, {_MINUTE} AS m FROM l WHERE isodow(ts) < 6 AND NOT EXISTS (SELECT 1 FROM h WHERE h.cal = l.cal AND h.day = CAST(l.ts AS DATE))),
+p AS (SELECT *, CASE WHEN market = 'a' AND m BETWEEN 570 AND 690 OR market = 'a_auction' AND m BETWEEN 555 AND 690 OR market = 'hk' AND m BETWEEN 540 AND 720 OR market = 'us' AND m BETWEEN 240 AND 1200 THEN 0
+  WHEN market IN ('a', 'a_auction') AND m BETWEEN 780 AND 900 OR market = 'hk' AND m BETWEEN 780 AND 970 THEN 1 END AS part FROM w)
+SELECT o_orderkey, market, {d()} AS day, part FROM p WHERE part IS NOT NULL""",
+)
+def market_sessions(spark, sf):
+    """Orders, spread over the minutes of the day, in the sessions of every market."""
+    o = views.table(spark, sf, "orders")
+    rows = o.select("o_orderkey", (F.col("o_orderdate").cast("timestamp_ntz") + F.make_interval(mins=(F.col("o_orderkey") * 7 % 1440).cast("int"))).alias("ts"))
+    holidays = spark.createDataFrame(list(_HOLIDAYS), "market string, day string").withColumn("day", F.to_date("day"))
+    out = oc.in_sessions(rows, oc.session_intervals(oc.local_days(rows), holidays))
+    return out.select("o_orderkey", "market", day_text("day").alias("day"), "part")
+
+
 @query(
     "universe_scope",
     ctes(BARS, SECTORS, "g AS (SELECT code FROM sectors WHERE industry IN ('NATION_1', 'NATION_3', 'NATION_5'))") + f"SELECT code, {d()} AS day, {r('close', 3)} AS close FROM bars WHERE code IN (SELECT code FROM g)",

@@ -11,7 +11,7 @@ from barloom.indicators import rolling as ro
 from barloom.operators import aggregates as oa
 from barloom.operators import joins as oj
 from barloom.operators import ranking as rk
-from barloom.operators.windows import cumulative_counts, lower_nearest, pick_at_rank
+from barloom.operators.windows import cumulative_counts, level_rank, lower_nearest, pick_at_rank
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, BULL, CHANGES, DOWN, SECTORS, TICKS, UP, W, ctes, d, lag, r, roll
 from barloom.sources import views
@@ -479,7 +479,7 @@ def sector_flow_series(spark, sf):
 )
 def rank_within_source(spark, sf):
     g = views.changes(spark, sf).groupBy(F.col("change_class").alias("source"), "code").agg(F.count(F.lit(1)).alias("n"))
-    return rk.rank_within(g, ["source"], [F.desc("n"), F.col("code")])
+    return level_rank(g, ["source"], "n", "code").select("source", "code", "n", "rank")
 
 
 _SRC = "src AS (SELECT DISTINCT user_id AS code, event_type || '_' || (event_id % 3) AS source FROM events)"
