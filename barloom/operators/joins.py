@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import lit
-from barloom.operators.windows import cumulative_counts
+from barloom.operators.windows import quantiles
 
 
 def enrich(events: DataFrame, master: DataFrame, key: str = "code", columns: Sequence[str] = ("industry", "concept")) -> DataFrame:
@@ -95,16 +95,9 @@ def unified_long(view: DataFrame, indicators: Sequence[str], keys: Sequence[str]
 
 
 def median_by(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Exact median (mean of the middle two) from counted values, so a huge group is never sorted whole."""
-    counted = cumulative_counts(df.filter(F.col(value).isNotNull()), value, keys)
-    total = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    j = counted.join(total, list(keys))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col(value)))
-
-    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    return j.groupBy(*keys).agg(((at(lo) + at(hi)) / lit(2)).alias(f"median_{value}"))
+    """Exact median (mean of the middle two) in two passes, so a huge group is never sorted whole."""
+    q = quantiles(df, value, {"_lo": F.floor((F.col("total") - 1) / 2), "_hi": F.floor(F.col("total") / 2)}, keys)
+    return q.select(*keys, ((F.col("_lo") + F.col("_hi")) / lit(2)).alias(f"median_{value}"))
 
 
 def sector_net(stocks: DataFrame, flows: DataFrame) -> DataFrame:

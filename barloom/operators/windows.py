@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
@@ -146,6 +147,35 @@ def pick_at_rank(counted: DataFrame, value: str, ranks: dict[str, Column], keys:
     return joined.groupBy(*keys, "total").agg(*picks)
 
 
+def quantiles(df: DataFrame, value: str, ranks: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, total, one column a rank): exact values at 0-based ranks, all of them in two passes; nulls do not count.
+
+    `ranks` maps an output name to a rank Column over `total`. The first pass counts rows by bucket, a state that merges
+    before the exchange; its prefix sums name the bucket of every rank. The second pass reads only the rows of those
+    buckets and counts their values. Keys without a value have no row.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_b", value_bucket("_v"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    per = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.withColumns({"_before": F.sum("_n").over(whole.orderBy("_b")) - F.col("_n"), "total": F.sum("_n").over(whole)})
+    asked = F.array(*[F.struct(F.lit(k).alias("ask"), r.cast("long").alias("rank")) for k, r in enumerate(ranks.values())])
+    inside = F.filter(asked, lambda a: (a["rank"] >= F.col("_before")) & (a["rank"] < F.col("_before") + F.col("_n")))
+    held = per.withColumn("_asks", inside).filter(F.size("_asks") > 0).select(*keys, "_b", "_before", "total", "_asks")
+    on = [*keys, "_b"]
+    left, right = rows.alias("l"), held.alias("r")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on])
+    near = left.join(right, same).select(*[F.col(f"l.{c}") for c in [*on, "_v"]], "_before", "total", "_asks")
+    counts = near.groupBy(*on, "_v").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_before").alias("_before"), F.any_value("total").alias("total"), F.any_value("_asks").alias("_asks"))
+    below = F.col("_before") + F.sum("_n").over(Window.partitionBy(*on).orderBy("_v")) - F.col("_n")
+    counts = counts.withColumn("_low", below)
+
+    def at(k: int) -> Column:
+        hit = F.exists("_asks", lambda a: (a["ask"] == k) & (a["rank"] >= F.col("_low")) & (a["rank"] < F.col("_low") + F.col("_n")))
+        return F.max(F.when(hit, F.col("_v")))
+
+    return counts.groupBy(*keys, "total").agg(*[at(k).alias(name) for k, name in enumerate(ranks)])
+
+
 def level_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
     """Adds the 1-based place within the keys by (value descending, tie ascending); both are numbers.
 

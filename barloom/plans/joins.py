@@ -11,7 +11,7 @@ from barloom.indicators import rolling as ro
 from barloom.operators import aggregates as oa
 from barloom.operators import joins as oj
 from barloom.operators import ranking as rk
-from barloom.operators.windows import cumulative_counts, level_rank, lower_nearest, pick_at_rank
+from barloom.operators.windows import level_rank, lower_nearest, quantiles
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, BULL, CHANGES, DOWN, SECTORS, TICKS, UP, W, ctes, d, lag, r, roll
 from barloom.sources import views
@@ -273,7 +273,7 @@ _RANKS = {"p01": 0.01, "p25": 0.25, "p75": 0.75, "p99": 0.99}
 def rank_quantiles(spark, sf):
     ranks = {n: lower_nearest(p) for n, p in _RANKS.items()}
     ranks["upper_median"] = F.floor(F.col("total") / 2)
-    q = pick_at_rank(cumulative_counts(views.closes(spark, sf), "close"), "close", ranks)
+    q = quantiles(views.closes(spark, sf), "close", ranks)
     return q.select(*[rnd(n, 3).alias(n) for n in ranks])
 
 

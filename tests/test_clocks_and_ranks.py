@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import clocks
-from barloom.operators.windows import level_rank
+from barloom.operators.windows import level_rank, quantiles
 from barloom.plans.catalog import load
 
 
@@ -63,3 +63,28 @@ def test_no_window_over_a_whole_source(spark, sf):
     assert not re.search(r"Window .*\], \[source#\d+\], \[", text)
     specs = re.findall(r"windowspecdefinition\(([^)]*?(?:ASC|DESC))", text)
     assert specs and all("_o#" in s for s in specs)
+
+
+def test_quantiles_by_hand(spark):
+    pick = random.Random(9)
+    values = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-308, *[round(pick.uniform(-3, 3), 2) for _ in range(40)], *[1 + k * 1e-12 for k in range(40)]]
+    rows = [(pick.choice(["a", "a", "a", "b", None]), pick.choice([None, *values])) for _ in range(3000)] + [("only", 4.0), ("none", None)]
+    total = F.col("total")
+    ranks = {"first": F.lit(0), "p10": F.floor((total - 1) * 0.1), "mid": F.floor(total / 2), "last": total - 1, "beyond": total}
+    got = {r["k"]: r for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", ranks, ["k"]).collect()}
+    assert set(got) == {"a", "b", None, "only"}
+    for k, r in got.items():
+        x = sorted((v for key, v in rows if key == k and v is not None), key=lambda v: (v != v, v))
+        n = len(x)
+        assert r["total"] == n and r["beyond"] is None
+        for name, at in (("first", 0), ("p10", int((n - 1) * 0.1)), ("mid", n // 2), ("last", n - 1)):
+            assert r[name] == x[at] or (r[name] != r[name] and x[at] != x[at]), (k, name)
+    overall = quantiles(spark.createDataFrame(rows, "k string, v double"), "v", {"mid": F.floor(total / 2)}).collect()
+    assert len(overall) == 1 and overall[0]["mid"] == sorted((v for _, v in rows if v is not None), key=lambda v: (v != v, v))[overall[0]["total"] // 2]
+
+
+@pytest.mark.parametrize("name", ["exact_median", "rank_quantiles"])
+def test_quantiles_take_two_passes(spark, sf, name):
+    text = load()[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    facts = [x for x in re.findall(r"FileScan parquet \[([^\]]*)\]", text) if "l_suppkey" in x]
+    assert len(facts) <= 2 and len(re.findall("Exchange hashpartitioning", text)) <= 9
