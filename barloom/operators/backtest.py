@@ -139,13 +139,14 @@ def fold_trades(trades: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def trade_metrics(trades: DataFrame, keys: Sequence[str] = (), value: str = "return_rate") -> DataFrame:
-    """Win rate, mean, profit/loss ratio with its status, worst loss, holding days."""
+    """Win rate, mean and median, profit/loss ratio with its status, worst loss, holding days."""
     x = F.col(value)
     win, loss = x >= 0, x < 0
     g = trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades"),
         (count_if(x > 0) / F.count(F.lit(1))).alias("win_rate"),
         F.avg(x).alias("avg_return"),
+        F.median(x).alias("median_return"),
         F.coalesce(F.max(F.when(loss, -x)), lit(0)).alias("worst_loss"),
         F.avg("hold_days").alias("avg_hold_days"),
         F.coalesce(F.avg(F.when(win, x)), lit(0)).alias("_w"),
@@ -213,6 +214,22 @@ def benchmark_return(bars: DataFrame, keys: Sequence[str] = ("code",)) -> DataFr
     return g.select(*keys, "days", F.when(ok, (F.col("_b") - F.col("_a")) / F.col("_a")).alias("benchmark_return"))
 
 
+def trading_days(features: DataFrame, benchmark, start: str, end: str) -> DataFrame:
+    """(day): the benchmark's days in the period, or every instrument's where the benchmark has none."""
+    inside = features.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    days = inside.groupBy("day").agg(F.max(F.col("code") == F.lit(benchmark)).alias("_own"))
+    any_own = days.agg(F.coalesce(F.max("_own"), F.lit(False)).alias("_any"))  # one row
+    return days.crossJoin(F.broadcast(any_own)).filter(F.col("_own") | ~F.col("_any")).select("day")
+
+
+def turnover(trades: DataFrame, capital: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Bought, sold and two-sided turnover of costed trades as multiples of the capital; without capital all are 0."""
+    buy, sell = F.sum(F.col("buy_price") * F.col("quantity")), F.sum(F.col("sell_price") * F.col("quantity"))
+    g = trades.groupBy(*keys).agg(F.coalesce(buy, lit(0)).alias("_b"), F.coalesce(sell, lit(0)).alias("_s"))
+    share = lit(1 / capital if capital > 0 else 0)
+    return g.select(*keys, (F.col("_b") * share).alias("buy_turnover"), (F.col("_s") * share).alias("sell_turnover"), ((F.col("_b") + F.col("_s")) / lit(2) * share).alias("two_sided_turnover"))
+
+
 def verdict(df: DataFrame) -> DataFrame:
     """First failing gate wins. Needs the evidence columns named below, one row per strategy."""
     c = F.col

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.events import market_regime
 from barloom.functions.numeric import clamp, lit
 from barloom.functions.ranks import count_if
+from barloom.operators.features import SHORT, TREND
 from barloom.operators.windows import Roll
 
 # fixed values: sample gates
@@ -166,6 +168,45 @@ def drift(live: DataFrame, backtest: DataFrame, min_samples: int = 10) -> DataFr
     return j.withColumns({"threshold": t, "status": F.when(ok & bad, "watch").otherwise("active")}).drop("_s")
 
 
+def regime_segments(closes: DataFrame, days: int = 120) -> DataFrame:
+    """(regime, first_day, last_day): stretches of one regime of a single benchmark's closes (day, close).
+
+    The regime of a day is that of the return since the first close of the last `days` calendar days; days on which
+    either close is not positive have none. One row a trading day: a short ordered list.
+    """
+    w = Window.orderBy("_d")
+    span = w.rangeBetween(-days, 0)
+    df = closes.withColumn("_d", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    first = F.first("close").over(span)
+    df = df.withColumn("regime", F.when((first > 0) & (F.col("close") > 0), market_regime((F.col("close") - first) / first))).filter("regime IS NOT NULL")
+    fresh = F.when(F.lag("regime").over(w).eqNullSafe(F.col("regime")), 0).otherwise(1)
+    df = df.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = df.groupBy("_run", "regime").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    # a regime holds until the next one begins
+    until = F.lead("first_day").over(Window.orderBy("first_day"))
+    return runs.withColumn("last_day", F.coalesce(F.date_sub(until, 1), F.lit("9999-12-31").cast("date"))).select("regime", "first_day", "last_day")
+
+
+def regime_of(rows: DataFrame, segments: DataFrame, day: str = "day") -> DataFrame:
+    """Adds the regime that held on each row's day, null before the first one. Rows meet segments on the year."""
+    last = F.least(F.year("last_day"), F.year("first_day") + 200)
+    bins = segments.withColumn("_y", F.explode(F.sequence(F.year("first_day"), last)))
+    left = rows.withColumn("_y", F.year(day)).alias("l")
+    on = (F.col("l._y") == F.col("s._y")) & (F.col(f"l.{day}") >= F.col("s.first_day")) & (F.col(f"l.{day}") <= F.col("s.last_day"))
+    return left.join(bins.alias("s"), on, "left").select(*[F.col(f"l.`{c}`") for c in rows.columns], "s.regime")
+
+
+def regime_watch(hypotheses: DataFrame) -> DataFrame:
+    """Active hypotheses (scene, status, regime) whose scene does not fit the regime go to watch.
+
+    Holding a trend needs a rising market, and short bursts do not go with a falling one.
+    """
+    rising, falling = market_regime(lit(1)), market_regime(lit(-1))
+    misfit = ((F.col("scene") == TREND) & (F.col("regime") != rising)) | ((F.col("scene") == SHORT) & (F.col("regime") == falling))
+    moved = (F.col("status") == "active") & F.coalesce(misfit, F.lit(False))
+    return hypotheses.withColumns({"mismatch": moved, "status": F.when(moved, "watch").otherwise(F.col("status")), "verdict": F.when(moved, "watchlist")})
+
+
 def hypothesis_stats(signals: DataFrame) -> DataFrame:
     """Validated signals, hits, hit rate and mean return per rule."""
     v = signals.filter("status = 'validated'")

@@ -135,6 +135,33 @@ def universe(df: DataFrame, scope: DataFrame | None = None, key: str = "code") -
     return df if scope is None else df.join(scope.select(key).distinct(), key, "left_semi")
 
 
+# fixed values: scope names
+ALL_SCOPES, FOLLOWED, NEWEST = ("", "全部A股", "全部"), "自选股", "snapshot_all"
+
+
+def scope_codes(scope: str, instruments: DataFrame, followed: DataFrame, snapshots: DataFrame, items: DataFrame) -> DataFrame:
+    """(code, place) of a named scope, each code once at its best place; place is null where the scope has no order.
+
+    `stock_<code>` is one instrument, `group_<id>` a followed group, `snapshot_<id>` a candidate snapshot (snapshots has
+    id, status, available_at; items has snapshot_id, code, source_rank), `snapshot_all` the newest that has not failed.
+    """
+    plain = F.lit(None).cast("long").alias("place")
+    if scope == NEWEST:
+        newest = snapshots.filter("status <> 'failed'").agg(F.max(F.struct("available_at", "id")).alias("x")).select(F.col("x.id").alias("snapshot_id"))
+        chosen = items.join(F.broadcast(newest), "snapshot_id", "left_semi")
+    elif scope.startswith("stock_"):
+        code = scope.removeprefix("stock_").strip()
+        return instruments.filter(F.col("code").cast("string") == code).select("code", plain).distinct()
+    elif scope == FOLLOWED or scope.startswith("group_"):
+        group = followed if scope == FOLLOWED else followed.filter(F.col("group").cast("string") == scope.removeprefix("group_"))
+        return group.filter("code IS NOT NULL").select("code", plain).distinct()
+    elif scope.startswith("snapshot_"):
+        chosen = items.filter(F.col("snapshot_id").cast("string") == scope.removeprefix("snapshot_").strip())
+    else:
+        return instruments.filter("code IS NOT NULL").select("code", plain).distinct()
+    return chosen.groupBy("code").agg(F.min("source_rank").cast("long").alias("place"))
+
+
 def watch_tag_filter(df: DataFrame, members: DataFrame | None, keyword: str = "") -> DataFrame:
     """Rows in the group (when given) whose code or name contains the keyword."""
     out = universe(df, members)

@@ -86,22 +86,37 @@ def walk_forward_folds(spark, sf):
     return out.select("fold", day_text("start_day").alias("start_day"), day_text("end_day").alias("end_day"), "trades", rnd("avg_return", 6).alias("avg_return"))
 
 
-_M = "count(*) AS trades, {0} AS win_rate, {1} AS avg_return, {2} AS worst_loss, {3} AS avg_hold_days, {4} AS profit_loss_ratio".format(
+_M = "count(*) AS trades, {0} AS win_rate, {1} AS avg_return, {2} AS worst_loss, {3} AS avg_hold_days, {4} AS profit_loss_ratio, {5} AS median_return".format(
     r("count(CASE WHEN return_rate > 0 THEN 1 END) / count(*)", 6),
     r("avg(return_rate)", 6),
     r("coalesce(max(CASE WHEN return_rate < 0 THEN -return_rate END), 0)", 6),
     r("avg(hold_days)", 4),
     r("coalesce(avg(CASE WHEN return_rate >= 0 THEN return_rate END) / nullif(avg(CASE WHEN return_rate < 0 THEN -return_rate END), 0), 0)", 5),
+    r("median(return_rate)", 6),
 )
 
 
 @query("trade_metrics", feature_sql(f"SELECT reason, {_M} FROM trr GROUP BY reason", *TRADES_SQL))
 def trade_metrics(spark, sf):
     m = bt.trade_metrics(trades(spark, sf), ["reason"])
-    digits = {"win_rate": 6, "avg_return": 6, "worst_loss": 6, "avg_hold_days": 4, "profit_loss_ratio": 5}
+    digits = {"win_rate": 6, "avg_return": 6, "median_return": 6, "worst_loss": 6, "avg_hold_days": 4, "profit_loss_ratio": 5}
     return m.select("reason", "trades", *[rnd(c, k).alias(c) for c, k in digits.items()])
 
 
+@query("trade_turnover", feature_sql(f"SELECT reason, {r('sum(b) / 1e8', 5)} AS buy_turnover, {r('sum(s) / 1e8', 5)} AS sell_turnover, {r('(sum(b) + sum(s)) / 2e8', 5)} AS two_sided_turnover FROM cs GROUP BY reason", *TRADES_SQL, _cost_sql()))
+def trade_turnover(spark, sf):
+    t = bt.turnover(bt.trade_costs(trades(spark, sf), CASH), CASH, ["reason"])
+    return t.select("reason", *[rnd(c, 5).alias(c) for c in ("buy_turnover", "sell_turnover", "two_sided_turnover")])
+
+
+@query("benchmark_days", ctes(BARS) + f"SELECT 'own' AS list, {d()} AS day FROM bars WHERE code = 1 AND day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' UNION ALL SELECT DISTINCT 'all', {d()} FROM bars WHERE day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
+def benchmark_days(spark, sf):
+    """The trading days of a benchmark that is there, and of one that is not."""
+    c = views.closes(spark, sf)
+    own, other = (bt.trading_days(c, b, "1995-01-01", "1996-12-31").select(F.lit(n).alias("list"), day_text("day").alias("day")) for n, b in (("own", 1), ("all", -1)))
+    return own.unionByName(other)
+
+
 _MAE = """xt AS (SELECT t.code, t.signal_day, greatest(0, (buy_price - min(CASE WHEN b.low > 0 THEN b.low END)) / buy_price) AS mae, greatest(0, max(b.high) / buy_price - 1) AS mfe
   FROM cs t JOIN lv e ON e.code = t.code AND e.day = t.buy_day JOIN lv b ON b.code = t.code AND b.ix BETWEEN e.ix AND e.ix + hold_days - CASE WHEN reason = 'exit_condition' THEN 1 ELSE 0 END GROUP BY t.code, t.signal_day, buy_price)"""
 
@@ -450,6 +465,24 @@ def monitor_drift(spark, sf):
     return x.select("rule", "samples", rnd("live_mean", 5).alias("live_mean"), rnd("threshold", 5).alias("threshold"), "status")
 
 
+@query(
+    "monitor_regimes",
+    feature_sql(
+        f"""SELECT h.code, {d('as_of')} AS as_of, scene, regime, CASE WHEN (scene = '趋势持有' AND regime <> '上涨趋势') OR (scene = '短线爆发' AND regime = '下跌趋势') THEN 'watch' ELSE 'active' END AS status
+  FROM (SELECT code, max(sell_day) AS as_of, CASE code % 3 WHEN 0 THEN '趋势持有' WHEN 1 THEN '短线爆发' ELSE '波段反弹' END AS scene FROM trr GROUP BY code) h ASOF LEFT JOIN rg ON h.as_of >= rg.day""",
+        *TRADES_SQL,
+        "b1 AS (SELECT day, close FROM bars WHERE code = 1)",
+        "rg AS (SELECT day, CASE WHEN x >= 0.05 THEN '上涨趋势' WHEN x <= -0.05 THEN '下跌趋势' ELSE '震荡市' END AS regime FROM (SELECT b.day, (b.close - arg_min(p.close, p.day)) / arg_min(p.close, p.day) AS x FROM b1 b JOIN b1 p ON p.day BETWEEN b.day - 120 AND b.day WHERE b.close > 0 GROUP BY b.day, b.close))",
+    ),
+)
+def monitor_regimes(spark, sf):
+    """Every instrument's rule at its last sale, against the regime of a benchmark."""
+    c = F.col("code")
+    live = trades(spark, sf).groupBy("code").agg(F.max("sell_day").alias("as_of")).withColumns({"scene": F.when(c % 3 == 0, of.TREND).when(c % 3 == 1, of.SHORT).otherwise(of.SWING), "status": F.lit("active")})
+    seg = de.regime_segments(views.closes(spark, sf).filter("code = 1").select("day", "close"))
+    return de.regime_watch(de.regime_of(live, seg, "as_of")).select("code", day_text("as_of").alias("as_of"), "scene", "regime", "status")
+
+
 @query("hypothesis_stats", f"SELECT event_type AS rule, count(*) AS signals, count(CASE WHEN value > 20 THEN 1 END) AS hits, {r('count(CASE WHEN value > 20 THEN 1 END) / count(*)', 6)} AS hit_rate, {r('avg(value)', 4)} AS avg_return FROM events WHERE value > 1 GROUP BY 1")
 def hypothesis_stats(spark, sf):
     e = views.table(spark, sf, "events").select(F.col("event_type").alias("rule"), F.col("value").alias("ret"), (F.col("value") > 20).alias("hit"), F.when(F.col("value") > 1, "validated").otherwise("open").alias("status"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from barloom.functions import codes as fc
@@ -219,6 +221,28 @@ def universe_scope(spark, sf):
     return of.universe(views.closes(spark, sf), group).select("code", day_text("day").alias("day"), rnd("close", 3).alias("close"))
 
 
+_SCOPES = ("全部A股", "自选股", "group_2", "stock_7", "snapshot_3", "snapshot_all", "snapshot_404")
+
+
+@query(
+    "named_scopes",
+    """WITH sn AS (SELECT dayofmonth(ts) AS id, CASE WHEN dayofmonth(ts) % 5 = 0 THEN 'failed' ELSE 'done' END AS status, max(ts) AS available_at FROM events GROUP BY 1, 2),
+it AS (SELECT dayofmonth(ts) AS snapshot_id, user_id AS code, event_id AS source_rank FROM events WHERE value > 60)
+SELECT '全部A股' AS scope, s_suppkey AS code, NULL::BIGINT AS place FROM supplier UNION ALL SELECT DISTINCT '自选股', o_custkey % 100, NULL::BIGINT FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT DISTINCT 'group_2', o_custkey % 100, NULL::BIGINT FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 4 = 2 UNION ALL SELECT 'stock_7', s_suppkey, NULL::BIGINT FROM supplier WHERE s_suppkey = 7
+UNION ALL SELECT 'snapshot_3', code, min(source_rank) FROM it WHERE snapshot_id = 3 GROUP BY code UNION ALL SELECT 'snapshot_all', code, min(source_rank) FROM it WHERE snapshot_id = (SELECT arg_max(id, available_at) FROM sn WHERE status <> 'failed') GROUP BY code""",
+)
+def named_scopes(spark, sf):
+    e = views.table(spark, sf, "events")
+    day = F.dayofmonth("ts").cast("long")
+    snapshots = e.groupBy(day.alias("id")).agg(F.max("ts").alias("available_at")).withColumn("status", F.when(F.col("id") % 5 == 0, "failed").otherwise("done"))
+    items = e.filter("value > 60").select(day.alias("snapshot_id"), F.col("user_id").alias("code"), F.col("event_id").alias("source_rank"))
+    instruments = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"))
+    followed = views.table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select((F.col("o_custkey") % 100).alias("code"), (F.col("o_custkey") % 4).alias("group"))
+    each = [of.scope_codes(s, instruments, followed, snapshots, items).select(F.lit(s).alias("scope"), "code", "place") for s in _SCOPES]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 @query("watch_tag_filter", ctes(SECTORS) + "SELECT code, name FROM sectors WHERE concept = 'ASIA' AND contains(name, '1')")
 def watch_tag_filter(spark, sf):
     s = views.sectors(spark, sf)
