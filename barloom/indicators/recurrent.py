@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from heapq import heappop, heappush
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import lit
@@ -473,6 +473,33 @@ def zigzag(df: DataFrame) -> DataFrame:
     return scan(by_instrument(df), _zigzag, ["high", "low"], ["zigzag", "zigzag_dir", "zigzag_known"])
 
 
+def _turns(s, pct=5.0):
+    """On the bar that confirms a pivot of the zigzag: the pivot's bar (from 0), price and side."""
+    hs, ls = s["high"], s["low"]
+    n = len(hs)
+    at_bar, price, sides = [None] * n, [None] * n, [None] * n
+    if n >= 3:
+        side, at, level = 1, 0, hs[0]
+        for i in range(1, n):
+            x, y = (hs[i], ls[i]) if side == 1 else (ls[i], hs[i])
+            if (x - level) * side >= 0:
+                at, level = i, x
+            elif (level - y) * side >= level * pct / 100:
+                at_bar[i], price[i], sides[i] = at, level, side
+                side, at, level = -side, i, y
+    return {"pivot_at": at_bar, "pivot_price": price, "pivot_side": sides}
+
+
+def pivots(df: DataFrame) -> DataFrame:
+    """(code, day, pivot_at, pivot_price, pivot_side, n): confirmed zigzag pivots, known from `day` on, numbered by code.
+
+    A later bar never changes a row: the open swing after the newest pivot is not one yet.
+    """
+    out = scan(by_instrument(df), _turns, ["high", "low"], ["pivot_at", "pivot_price", "pivot_side"]).filter(F.col("pivot_price").isNotNull())
+    number = F.row_number().over(Window.partitionBy("code").orderBy("day"))
+    return out.select("code", "day", F.col("pivot_at").cast("long").alias("pivot_at"), "pivot_price", F.col("pivot_side").cast("int").alias("pivot_side"), number.alias("n"))
+
+
 # name -> (recipe, inputs, outputs)
 RECIPES = {
     "ema": (

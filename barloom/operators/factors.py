@@ -188,6 +188,12 @@ def select_factors(summary: DataFrame, redundant: DataFrame, min_ic: float = 0.0
     return j.withColumn("selected", F.col("_pass") & F.col("_drop").isNull()).drop("_pass", "_drop")
 
 
+def confidence(n: Column, p: Column, ic: Column, recent: Column) -> Column:
+    """How far a factor's evidence goes: low below 30 rows or with p above 0.20, high where it is significant and lasts."""
+    lasting = F.abs(recent) >= F.abs(ic) * lit(0.75)
+    return F.when((n < 30) | (p > 0.20), "low").when((p <= 0.05) & lasting, "high").otherwise("medium")
+
+
 def pooled_rank(df: DataFrame, value: str, keys: Sequence[str], day: str = "day", last: str = "code") -> DataFrame:
     """0-based rank over all rows of a key in (value, day, last) order, in three counted levels.
 

@@ -162,11 +162,13 @@ LIMIT = 0.15  # the test factors are nearly independent; the default limit of 0.
 @query(
     "factor_selection",
     feature_sql(
-        f"""SELECT factor, {r('ic', 6)} AS ic, {r('t', 4)} AS t_stat, {r('abs(ic) / ic_std', 5)} AS stability, ok AND factor NOT IN (SELECT rm FROM rd) AS selected FROM ps""",
+        f"""SELECT factor, {r('ic', 6)} AS ic, {r('t', 4)} AS t_stat, {r('abs(ic) / ic_std', 5)} AS stability, ok AND factor NOT IN (SELECT rm FROM rd) AS selected,
+  shipped AND factor NOT IN (SELECT CASE WHEN abs(y.ic) > abs(x.ic) THEN a ELSE b END FROM pr JOIN ps x ON x.factor = a JOIN ps y ON y.factor = b WHERE x.shipped AND y.shipped AND abs(rho) > 0.70) AS selected_shipped,
+  CASE WHEN n < 30 OR p > 0.20 THEN 'low' WHEN p <= 0.05 AND abs(recent_ic) >= abs(ic) * 0.75 THEN 'high' ELSE 'medium' END AS confidence FROM ps""",
         OBS,
         SUMMARY,
         _PAIRS,
-        "ps AS (SELECT *, abs(ic) > 0.002 AND p < 0.90 AND n >= 30 AS ok FROM summ)",
+        "ps AS (SELECT *, abs(ic) > 0.002 AND p < 0.90 AND n >= 30 AS ok, abs(ic) > 0.02 AND p < 0.10 AND n >= 30 AS shipped FROM summ)",
         f"rd AS (SELECT CASE WHEN abs(y.ic) > abs(x.ic) THEN a ELSE b END AS rm FROM pr JOIN ps x ON x.factor = a JOIN ps y ON y.factor = b WHERE x.ok AND y.ok AND abs(rho) > {LIMIT})",
     ),
 )
@@ -175,9 +177,12 @@ def factor_selection(spark, sf):
     s = fa.ic_summary(materialized(fa.observations(f, views.sectors(spark, sf), FACTORS)))
     r_ = fa.Roll()
     live = f.withColumn("_future", r_.lead("close", 5)).filter("close > 0 AND _future > 0")
-    red = fa.redundant_pairs(oj.pair_correlations(live, FACTORS), s, LIMIT)
-    out = fa.select_factors(s, red, min_ic=0.002, max_p=0.90)
-    return out.select("factor", rnd("ic", 6).alias("ic"), rnd("t_stat", 4).alias("t_stat"), rnd("stability", 5).alias("stability"), "selected")
+    pairs = oj.pair_correlations(live, FACTORS)
+    out = fa.select_factors(s, fa.redundant_pairs(pairs, s, LIMIT), min_ic=0.002, max_p=0.90)
+    # the gate as it is shipped, beside one that the nearly random test factors can pass
+    shipped = fa.select_factors(s, fa.redundant_pairs(pairs, s)).select("factor", F.col("selected").alias("selected_shipped"))
+    sure = fa.confidence(F.col("n"), F.col("p_value"), F.col("ic"), F.col("recent_ic")).alias("confidence")
+    return out.join(shipped, "factor").select("factor", rnd("ic", 6).alias("ic"), rnd("t_stat", 4).alias("t_stat"), rnd("stability", 5).alias("stability"), "selected", "selected_shipped", sure)
 
 
 @query(

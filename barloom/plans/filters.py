@@ -356,26 +356,3 @@ _ERFC = "(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.4531
 def normal_tail(spark, sf):
     e = views.table(spark, sf, "events")
     return e.select("event_id", rnd(erfc((F.col("value") - 20) / 10), 6).alias("erfc"))
-
-
-_FIB = (0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0)  # fixed values: retracement levels
-_WAVE = (0.0, 1.0, 0.382, 2.0, 1.382, 2.382)  # fixed values: five-wave nodes in units of the first wave
-_LEG = f"leg AS (SELECT code, day, close AS p0, lead(close, 20) OVER {W} AS p1 FROM bars)"
-
-
-@query(
-    "fibonacci_levels",
-    ctes(BARS, _LEG)
-    + " UNION ALL ".join(f"SELECT code, {d()} AS day, 'fib' AS kind, {v}::DOUBLE AS level, {r(f'p0 + (p1 - p0) * {v}::DOUBLE', 3)} AS price FROM leg WHERE p1 IS NOT NULL" for v in _FIB)
-    + " UNION ALL "
-    + " UNION ALL ".join(f"SELECT code, {d()} AS day, 'wave' AS kind, {v}::DOUBLE AS level, {r(f'p0 + (p1 - p0) / 2.382::DOUBLE * {v}::DOUBLE', 3)} AS price FROM leg WHERE p1 IS NOT NULL" for v in _WAVE),
-)
-def fibonacci_levels(spark, sf):
-    from barloom.indicators.rolling import R
-
-    leg = views.closes(spark, sf).select("code", "day", F.col("close").alias("p0"), R.lead("close", 20).alias("p1")).filter("p1 IS NOT NULL")
-    span = F.col("p1") - F.col("p0")
-    points = [F.struct(F.lit("fib").alias("kind"), lit(v).alias("level"), (F.col("p0") + span * lit(v)).alias("price")) for v in _FIB]
-    points += [F.struct(F.lit("wave").alias("kind"), lit(v).alias("level"), (F.col("p0") + span / lit(2.382) * lit(v)).alias("price")) for v in _WAVE]
-    x = leg.select("code", day_text("day").alias("day"), F.explode(F.array(*points)).alias("x"))
-    return x.select("code", "day", "x.kind", "x.level", rnd("x.price", 3).alias("price"))

@@ -11,6 +11,7 @@ from barloom.functions.dates import day_text
 from barloom.functions.numeric import rnd
 from barloom.indicators import recurrent as rc
 from barloom.indicators import rolling as ro
+from barloom.indicators import waves as wv
 from barloom.operators.recurrence import by_instrument
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import (
@@ -465,6 +466,42 @@ def ind_zigzag(spark, sf):
     return shaped(rc.zigzag(views.bars(spark, sf)), {"zigzag": P, "zigzag_dir": 0})
 
 
+_TURNS = """tn AS (SELECT code, day, bn, side, lag(side) OVER (PARTITION BY code ORDER BY bn) AS s0, lag(lvl) OVER (PARTITION BY code ORDER BY bn) AS price, lag(ext_at) OVER (PARTITION BY code ORDER BY bn) AS at_bar, count(*) OVER (PARTITION BY code) AS n FROM rec WHERE bn > 0),
+pv AS MATERIALIZED (SELECT code, day, at_bar, price, s0 AS pside, row_number() OVER (PARTITION BY code ORDER BY bn) AS k FROM tn WHERE s0 IS NOT NULL AND side <> s0 AND n >= 3),
+lg AS (SELECT *, lag(price) OVER (PARTITION BY code ORDER BY k) AS b1, lag(price, 3) OVER (PARTITION BY code ORDER BY k) AS b3, lag(price, 5) OVER (PARTITION BY code ORDER BY k) AS b5 FROM pv)"""
+
+
+def _turn_sql(select: str) -> str:
+    return recursive(f"SELECT code, day, {AT}, high, low FROM bars", [*ZIGZAG[:3], *_SLOTS], select, final=_TURNS)
+
+
+@query("confirmed_pivots", _turn_sql(f"SELECT code, {d()} AS day, CAST(at_bar - 1 AS BIGINT) AS pivot_at, {r('price', P)} AS price, CAST(pside AS INTEGER) AS side FROM pv"))
+def confirmed_pivots(spark, sf):
+    p = rc.pivots(views.bars(spark, sf))
+    return p.select("code", day_text("day").alias("day"), "pivot_at", rnd("pivot_price", P).alias("price"), F.col("pivot_side").alias("side"))
+
+
+@query("fibonacci_levels", _turn_sql(f"SELECT code, {d()} AS day, v AS level, {r('b1 + (price - b1) * v', 3)} AS price FROM lg, (VALUES (0::DOUBLE), (0.236::DOUBLE), (0.382::DOUBLE), (0.5::DOUBLE), (0.618::DOUBLE), (0.786::DOUBLE), (1::DOUBLE)) x(v) WHERE b1 IS NOT NULL"))
+def fibonacci_levels(spark, sf):
+    x = wv.retracements(rc.pivots(views.bars(spark, sf)))
+    return x.select("code", day_text("day").alias("day"), "level", rnd("price", 3).alias("price"))
+
+
+_NODES = "(VALUES (0, 0::DOUBLE), (1, 1::DOUBLE), (2, 0.382::DOUBLE), (3, 2::DOUBLE), (4, 1.382::DOUBLE), (5, 2.382::DOUBLE)) x(node, v)"
+
+
+@query(
+    "wave_targets",
+    _turn_sql(
+        f"SELECT code, {d()} AS day, 'impulse5' AS mode, node, {r('b5 + (price - b5) / 2.382::DOUBLE * v', 3)} AS price, false AS predicted FROM lg, {_NODES} WHERE b5 IS NOT NULL "
+        f"UNION ALL SELECT code, {d()}, 'predict3', node, {r('b3 + (price - b3) / 2.0::DOUBLE * v', 3)}, node > 3 FROM lg, {_NODES} WHERE b3 IS NOT NULL"
+    ),
+)
+def wave_targets(spark, sf):
+    x = wv.waves(rc.pivots(views.bars(spark, sf)))
+    return x.select("code", day_text("day").alias("day"), "mode", "node", rnd("price", 3).alias("price"), "predicted")
+
+
 BREAKS_SQL = f"""
 WITH RECURSIVE {BARS},
 b AS MATERIALIZED (SELECT code, day, {AT}, {swing_sql(5, 'sh', 'sl')} FROM bars),
