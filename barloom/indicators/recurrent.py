@@ -385,6 +385,31 @@ def _breaks(s):
     return out
 
 
+def _both_breaks(s):
+    """Two trend machines over one pass of an instrument's bars: swing points of either size, each with its own trend."""
+    return {f"{size}_{k}": v for size in ("short", "long") for k, v in _breaks({"swing_high": s[f"{size}_high"], "swing_low": s[f"{size}_low"]}).items()}
+
+
+def structure_lines(df: DataFrame, short: int = 5, long: int = 50) -> DataFrame:
+    """Break lines of the internal and of the swing structure, as intervals with both ends; `size` tells them apart.
+
+    Like `structure_breaks`, both in one pass: (code, day, size, from_idx, to_idx, from_price, to_price, kind, bull).
+    """
+    pts = ro.swing_points(by_instrument(df), short, "short_high", "short_low")
+    pts = ro.swing_points(pts, long, "long_high", "long_low").withColumn("to_idx", R.at().cast("long"))
+    points = [f"{size}_{side}" for size in ("short", "long") for side in ("high", "low")]
+    outs = [f"{size}_{t}_{f}" for size in ("short", "long") for t in ("up", "dn") for f in ("kind", "from", "price")]
+    ran = scan(pts, _both_breaks, points, outs, carry=("to_idx", *points))
+    each = [
+        F.struct(F.lit(n).alias("size"), *[F.col(f"{size}_{t}_{f}").alias(f) for f in ("kind", "from", "price")], F.col(f"{size}_{side}").alias("to"), F.lit(t == "up").alias("bull"))
+        for size, n in (("short", short), ("long", long))
+        for t, side in (("up", "high"), ("dn", "low"))
+    ]
+    lines = ran.select("code", "day", "to_idx", F.explode(F.array(*each)).alias("x")).filter(F.col("x.kind") > 0)
+    kind = F.when(F.col("x.kind") == 2, "choch").otherwise("bos")
+    return lines.select("code", "day", "x.size", F.col("x.from").cast("long").alias("from_idx"), "to_idx", F.col("x.price").alias("from_price"), F.col("x.to").alias("to_price"), kind.alias("kind"), "x.bull")
+
+
 def structure_breaks(df: DataFrame, n: int = 5) -> DataFrame:
     """Break-of-structure and change-of-character lines from swing points (look-ahead by n bars).
 

@@ -502,9 +502,10 @@ def wave_targets(spark, sf):
     return x.select("code", day_text("day").alias("day"), "mode", "node", rnd("price", 3).alias("price"), "predicted")
 
 
-BREAKS_SQL = f"""
+def breaks_sql(n: int) -> str:
+    return f"""
 WITH RECURSIVE {BARS},
-b AS MATERIALIZED (SELECT code, day, {AT}, {swing_sql(5, 'sh', 'sl')} FROM bars),
+b AS MATERIALIZED (SELECT code, day, {AT}, {swing_sql(n, 'sh', 'sl')} FROM bars),
 rec AS (
   SELECT DISTINCT code, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS bn, NULL::BIGINT AS hi_i, NULL::DOUBLE AS hi_v, NULL::BIGINT AS lo_i, NULL::DOUBLE AS lo_v, 0 AS trend,
          0 AS uk, NULL::BIGINT AS uf, NULL::DOUBLE AS ufp, NULL::DOUBLE AS utp, 0 AS dk, NULL::BIGINT AS df, NULL::DOUBLE AS dfp, NULL::DOUBLE AS dtp FROM b
@@ -521,12 +522,18 @@ SELECT code, {d()} AS day, bn, df, {r('dfp', 3)}, {r('dtp', 3)}, CASE dk WHEN 2
 """
 
 
-@query("ind_structure_breaks", BREAKS_SQL)
+@query("ind_structure_breaks", breaks_sql(5))
 def ind_structure_breaks(spark, sf):
     b = rc.structure_breaks(views.bars(spark, sf))
     return b.select("code", day_text("day").alias("day"), "to_idx", "from_idx", rnd("from_price", P).alias("from_price"), rnd("to_price", P).alias("to_price"), "kind", "bull")
 
 
+@query("ind_swing_breaks", f"SELECT * FROM (SELECT 5 AS size, * FROM ({breaks_sql(5)})) UNION ALL SELECT 50, * FROM ({breaks_sql(50)})")
+def ind_swing_breaks(spark, sf):
+    b = rc.structure_lines(views.bars(spark, sf))
+    return b.select("code", day_text("day").alias("day"), "size", "to_idx", "from_idx", rnd("from_price", P).alias("from_price"), rnd("to_price", P).alias("to_price"), "kind", "bull")
+
+
 _I = f"i AS MATERIALIZED (SELECT *, {AT} FROM bars)"
 
 
