@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.dates import day_text
 from barloom.functions.numeric import lit, rnd
 from barloom.operators import bars as ob
+from barloom.operators import filters as fl
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, CHANGES, TICKS, W, ctes, d, r
 from barloom.sources import readers, sinks, views
@@ -105,6 +106,49 @@ def parse_quote_rejects(spark, sf):
     return readers.parse_quote_lines(p.select(F.col("p_partkey").alias("id"), F.expr(_QL.replace("VARCHAR", "STRING")).alias("line")))[1].select("id")
 
 
+# levels as text: quotes of the home market in both layouts; every third lacks its best levels, every fifth its price
+_P = "CAST(p_partkey AS VARCHAR)"
+_BID = [f"CAST(p_size + {20 - k} AS VARCHAR)" for k in range(5)]
+_ASK = [f"CAST(p_size + {21 + k} AS VARCHAR)" for k in range(5)]
+_VOL = [f"CAST(p_partkey % {7 + k} * 100 AS VARCHAR)" for k in range(10)]
+_DROP = "CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE {} END"
+_PRICE = "CASE WHEN p_partkey % 5 = 0 THEN '0.00' ELSE CAST(p_size + 20.5 AS VARCHAR) END"
+_B = [(_DROP.format(p) if k == 0 else p, v) for k, (p, v) in enumerate(zip(_BID, _VOL[:5], strict=True))]
+_A = [(_DROP.format(p) if k == 0 else p, v) for k, (p, v) in enumerate(zip(_ASK, _VOL[5:], strict=True))]
+_COMMA = f"'var hq_str_sz' || lpad({_P}, 6, '0') || '=\"' || p_name || ',1.5,2.5,' || {_PRICE} || ',4.5,0.5,x,y,1,77,' || " + " || ',' || ".join(x for p, v in [*_B, *_A] for x in (v, p)) + " || ',2024-01-02,09:31:00,00\";'"
+_TILDE = f"'v_sh' || lpad({_P}, 6, '0') || '=\"1~' || p_name || '~' || {_P} || '~' || {_PRICE} || '~2.5~1.5~0~0~0~' || " + " || '~' || ".join(x for pv in [*_B, *_A] for x in pv) + " || '~~20240102093100~0~0~4.5~0.5\";'"
+
+
+def _book_lines(spark, sf):
+    p = views.table(spark, sf, "part")
+    pick = lambda text: p.select(F.col("p_partkey").alias("id"), F.expr(text.replace("VARCHAR", "STRING").replace("p_size + 20.5", "p_size + 20.5D")).alias("line"), "p_partkey")
+    comma, _ = readers.parse_quote_lines(pick(_COMMA).filter("p_partkey % 2 = 0").drop("p_partkey"))
+    tilde, _ = readers.parse_tilde_quotes(pick(_TILDE).filter("p_partkey % 2 = 1").drop("p_partkey"))
+    same = ["id", "code", "name", "price", "quote_date", "bids", "asks"]
+    return readers.book_columns(comma.select(*same).unionByName(tilde.select(*same)))
+
+
+_BOOK_SQL = """bk AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'sz' ELSE 'sh' END || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size + 20.5 END::DOUBLE AS price,
+  (CASE WHEN p_partkey % 3 = 0 THEN p_size + 19 ELSE p_size + 20 END)::DOUBLE AS bid1, (CASE WHEN p_partkey % 3 = 0 THEN p_size + 22 ELSE p_size + 21 END)::DOUBLE AS ask1,
+  (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 7 END + p_partkey % 8 + p_partkey % 9 + p_partkey % 10 + p_partkey % 11) * 100::DOUBLE AS bd,
+  (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 12 END + p_partkey % 13 + p_partkey % 14 + p_partkey % 15 + p_partkey % 16) * 100::DOUBLE AS ad FROM part)"""
+
+
+@query("quote_levels", f"WITH {_BOOK_SQL} SELECT id, code, name, price, '2024-01-02' AS quote_date, bid1, ask1, bd AS bid_depth, ad AS ask_depth, ask1 - bid1 AS spread, {r('CASE WHEN bd + ad > 0 THEN (bd - ad) / (bd + ad) ELSE 0 END', 6)} AS imbalance FROM bk")
+def quote_levels(spark, sf):
+    q = _book_lines(spark, sf)
+    return q.select("id", "code", "name", "price", "quote_date", "bid1", "ask1", "bid_depth", "ask_depth", "spread", rnd("imbalance", 6).alias("imbalance"))
+
+
+@query("latest_price_from_text", f"WITH {_BOOK_SQL} SELECT id AS code, {r('coalesce(nullif(price, 0), nullif(ask1, 0))', 3)} AS latest_price FROM bk")
+def latest_price_from_text(spark, sf):
+    """The ask of the parsed levels stands in where a quote line has no price."""
+    q = _book_lines(spark, sf).select(F.col("id").alias("code"), "price", "ask1")
+    none = views.closes(spark, sf)
+    trades = views.trades(spark, sf)
+    return fl.latest_price(q.select("code"), q, none, trades).select("code", rnd("latest_price", 3).alias("latest_price"))
+
+
 @query(
     "parse_change_items",
     ctes(CHANGES)

@@ -44,8 +44,60 @@ QUOTE_FIELDS = {
 }
 
 
+# fixed values: first price and first volume of the five buy and sell levels, which alternate, in both layouts
+COMMA_LEVELS = {"bids": (11, 10), "asks": (21, 20)}
+TILDE_LEVELS = {"bids": (9, 10), "asks": (19, 20)}
+# fixed values: positions of the tilde layout and its minimum width
+TILDE_FIELDS = {"min": 35, "name": 1, "price": 3, "pre_close": 4, "open": 5, "stamp": 30, "high": 33, "low": 34}
+LEVEL = "array<struct<price:double,volume:double>>"
+
+
+def book_side(fields: Column, price: int, volume: int) -> Column:
+    """Five levels of (price, volume) whose numbers alternate in split fields; a missing number is null."""
+    def number(i: int) -> Column:
+        return parse_number(F.trim(F.get(fields, F.lit(i))))
+
+    return F.array(*[F.struct(number(price + 2 * k).alias("price"), number(volume + 2 * k).alias("volume")) for k in range(5)])
+
+
+def book_columns(df: DataFrame) -> DataFrame:
+    """Adds of the levels: bid1 and ask1 (0 where no level has a price), depth on both sides, spread and imbalance.
+
+    The best level is the first with a price. Spread is null without both; imbalance is between -1 (sellers only) and 1.
+    """
+    def first(side: str) -> Column:
+        return F.coalesce(F.get(F.filter(side, lambda x: x["price"] > 0), F.lit(0))["price"], lit(0))
+
+    def depth(side: str) -> Column:
+        return F.aggregate(F.filter(side, lambda x: (x["price"] > 0) & (x["volume"] > 0)), lit(0), lambda s, x: s + x["volume"])
+
+    df = df.withColumns({"bid1": first("bids"), "ask1": first("asks"), "bid_depth": depth("bids"), "ask_depth": depth("asks")})
+    both = F.col("bid_depth") + F.col("ask_depth")
+    return df.withColumns(
+        {
+            "spread": F.when((F.col("bid1") > 0) & (F.col("ask1") > 0), F.col("ask1") - F.col("bid1")),
+            "imbalance": F.when(both > 0, (F.col("bid_depth") - F.col("ask_depth")) / both).otherwise(lit(0)),
+        }
+    )
+
+
+def parse_tilde_quotes(df: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """Quote lines `v_<code>="f0~f1~...";` to quotes with levels, plus rejected lines. Foreign markets have no levels."""
+    code = F.regexp_replace(F.regexp_extract(line, r"^\s*(v_[A-Za-z0-9_]+)=", 1), "^v_(r_)?", "")
+    parts = df.withColumns({"code": code, "_f": F.split(F.regexp_extract(line, r'="([^"]*)"', 1), "~")})
+    at = lambda name: F.trim(F.get("_f", F.lit(TILDE_FIELDS[name])))
+    ok = F.coalesce((F.col("code") != "") & (F.size("_f") >= TILDE_FIELDS["min"]), F.lit(False))
+    stamp = F.regexp_replace(at("stamp"), "[^0-9]", "")
+    day = F.when(F.length(stamp) >= 8, F.concat_ws("-", F.substring(stamp, 1, 4), F.substring(stamp, 5, 2), F.substring(stamp, 7, 2)))
+    home = F.substring("code", 1, 2).isin("sh", "sz", "bj")
+    sides = [F.when(home, book_side(F.col("_f"), *at_)).otherwise(F.array().cast(LEVEL)).alias(n) for n, at_ in TILDE_LEVELS.items()]
+    numbers = [parse_number(at(n)).alias(n) for n in ("open", "pre_close", "price", "high", "low")]
+    good = parts.filter(ok).select("code", at("name").alias("name"), *numbers, day.alias("quote_date"), *sides, *[c for c in df.columns if c != line])
+    return good, parts.filter(~ok).select(*df.columns)
+
+
 def parse_quote_lines(df: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
-    """Quote lines to the quote schema, plus a frame of rejected lines.
+    """Quote lines to the quote schema with five buy and sell levels, plus a frame of rejected lines.
 
     A line is `var hq_str_<market><code>="f0,f1,...";`; the market picks the positions.
     """
@@ -70,7 +122,7 @@ def parse_quote_lines(df: DataFrame, line: str = "line") -> tuple[DataFrame, Dat
     need = F.lit(10**6)
     for m, pos in QUOTE_FIELDS.items():
         need = F.when(F.col("_m") == m, F.lit(pos["min"])).otherwise(need)
-    ok = F.size("_f") >= need
+    ok = F.coalesce(F.size("_f") >= need, F.lit(False))
     stamp = pick("stamp")
     numbers = ("open", "pre_close", "price", "high", "low", "volume", "amount")
     good = parts.filter(ok).select(
@@ -79,6 +131,7 @@ def parse_quote_lines(df: DataFrame, line: str = "line") -> tuple[DataFrame, Dat
         *[parse_number(pick(n)).alias(n) for n in numbers],
         F.regexp_replace(F.coalesce(pick("date"), F.substring_index(stamp, " ", 1)), "/", "-").alias("quote_date"),
         F.coalesce(pick("time"), F.substring_index(stamp, " ", -1)).alias("quote_time"),
+        *[F.when(F.col("_m") == "cn", book_side(F.col("_f"), *at_)).otherwise(F.array().cast(LEVEL)).alias(n) for n, at_ in COMMA_LEVELS.items()],
         *[c for c in df.columns if c != line],
     )
     return good, parts.filter(~ok).select(*df.columns)
