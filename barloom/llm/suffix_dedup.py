@@ -155,8 +155,8 @@ def strong(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return np.frombuffer(marks, dtype="<i8").reshape(-1, 2)
 
 
-def all_segments(rows: DataFrame, size: int) -> DataFrame:
-    """(_id, _rk, key, whole, more, start, run, tied) of every text of (_id, _rk, _text); whole and more stand for all bytes."""
+def all_segments(rows: DataFrame, size: int, marked: bool = True) -> DataFrame:
+    """(_id, _rk, key, whole, more, start, run, tied) of every text of (_id, _rk, _text); whole and more, null unless marked, stand for all bytes."""
     schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("key", "whole", "more", "start")], T.StructField("run", T.IntegerType()), T.StructField("tied", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +165,12 @@ def all_segments(rows: DataFrame, size: int) -> DataFrame:
                 start, n, key, tied = segments(data, ends, size)
                 if not len(start):
                     continue
-                whole = strong(data, start, n + size - 1)
+                whole = [pa.array(c) for c in strong(data, start, n + size - 1).T] if marked else [pa.nulls(len(start), pa.int64())] * 2
                 piece = np.searchsorted(ends, start, side="right")
                 at = start - np.concatenate([[0], ends[:-1]])[piece] + np.array(place)[piece]
                 rows_of = pa.array(np.array(owner)[piece])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows_of), batch.column(1).take(rows_of), pa.array(key.view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(at), pa.array(n.astype(np.int32)), pa.array(tied)],
+                    [batch.column(0).take(rows_of), batch.column(1).take(rows_of), pa.array(key.view(np.int64)), *whole, pa.array(at), pa.array(n.astype(np.int32)), pa.array(tied)],
                     names=schema.names,
                 )
 
@@ -413,7 +413,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """Compressed texts (_id, _rk, z), and (_id, _rk, start, n): runs of starts of strings that also start elsewhere."""
     rows = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("_text"))
     segs = all_segments(rows, size)
-    often = segs.groupBy("key").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("key")
+    often = all_segments(rows, size, marked=False).groupBy("key").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("key")
     found = stored(segs.join(often, "key"))
     kinds = found.groupBy("key", "whole", "more").agg(F.count("*").alias("c"), F.max("tied").alias("tied"), F.min(F.struct("_id", "_rk", "start", "run")).alias("one"))
     kinds = stored(kinds)
