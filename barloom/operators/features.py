@@ -75,7 +75,7 @@ INDICATORS: dict[str, tuple[str, bool]] = {
     "macd": ("momentum", False),
     **{n: ("price", True) for n in ("chikou", "zigzag", "fractal_high", "fractal_low", "swing_high", "swing_low")},
 }
-# ids of facts outside the feature table: unit and status; candidates are rejected unless a caller admits them
+# fixed values: ids of facts outside the feature table with unit and status; candidates are rejected unless a caller admits them
 EXTERNAL: dict[str, tuple[str, str]] = {
     **{f"money_flow.{n}": ("amount", "candidate") for n in ("net_inflow", "net_inflow5")},
     **{f"market.{n}": (u, "candidate") for n, u in (("sentiment_score", "score"), ("up_ratio", "ratio"), ("up_count", "count"), ("advance_decline", "count"))},

@@ -40,6 +40,10 @@ HEADLINE = (
     "fifo_positions",
     "chip_distribution",
     "news_sentiment",
+    "exact_median",
+    "fifo_rows",
+    "sector_flow_series",
+    "factor_external",
     "data_quality",
 )
 
