@@ -149,7 +149,7 @@ dw AS (
 occ AS (SELECT DISTINCT r, s, dw.n, item_id FROM dw JOIN iw ON iw.g = dw.g AND iw.n = dw.n),
 hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM occ) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
-        FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM occ) GROUP BY r)
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM occ WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
