@@ -23,15 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import per_text, text_of
+from barloom.llm.common import briefly_stored, per_text, text_of
 
 BLANK = 32
 ORDER = 4
 MASK = np.uint64(0xFFFF)
 BLOCK = 1 << 20
+SLICE = 1 << 21  # values (symbols times languages) that are looked up at once
 BINS = 4096  # of cross-entropy, per nat
 SCHEMA = pa.schema([("lang", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
 
@@ -81,37 +84,37 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         held: dict[str, list[np.ndarray]] = defaultdict(list)
-        sizes: dict[str, int] = defaultdict(int)
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def fold(lang: str) -> None:
-            keys, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            sizes[lang] = 0
-            if lang in sums:
-                old, m = sums[lang]
-                both = np.concatenate([old, keys])
-                keys, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([m, n]).astype(float)).astype(np.int64)
-            sums[lang] = keys, n
-
-        def emit(lang: str) -> pa.RecordBatch:
-            keys, n = sums.pop(lang)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        waiting = summed = 0  # over all languages, so that memory does not grow with their number
+
+        def fold() -> int:
+            for lang, parts in held.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in sums:
+                    old, m = sums[lang]
+                    keys, at = np.unique(np.concatenate([old, keys]), return_inverse=True)
+                    n = np.bincount(at, weights=np.concatenate([m, n]).astype(float)).astype(np.int64)
+                sums[lang] = keys, n
+            held.clear()
+            return sum(len(keys) for keys, _ in sums.values())
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, (keys, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            sums.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = symbols(text or "", letters)
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                s = symbols(text.as_py() or "", letters)
                 if len(s):
-                    held[lang].append(grams(s))
-                    sizes[lang] += len(s)
-                    if sizes[lang] >= BLOCK:
-                        fold(lang)
-                        if len(sums[lang][0]) >= 2 * BLOCK:
-                            yield emit(lang)
-        for lang in list(held):
-            fold(lang)
-        for lang in list(sums):
-            yield emit(lang)
+                    held[lang.as_py()].append(grams(s))
+                    waiting += len(s)
+                    if waiting >= BLOCK:
+                        summed, waiting = fold(), 0
+                        if summed >= BLOCK:
+                            yield from emit()
+        fold()
+        yield from emit()
 
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -177,6 +180,13 @@ class Model:
     langs: list[str]
     tables: list[Tables]
     limits: np.ndarray
+    sent: Broadcast | None = None  # langs and tables, without the limits
+
+    def share(self, sc: SparkContext) -> Broadcast:
+        """The tables, broadcast once for calibration and prediction; the limits travel with the tasks."""
+        if self.sent is None:
+            self.sent = sc.broadcast((self.langs, self.tables))
+        return self.sent
 
     def log_rows(self, keys: np.ndarray) -> np.ndarray:
         """Log-probability of each 4-gram's last symbol, in every language; each distinct gram is looked up once."""
@@ -189,7 +199,7 @@ class Model:
     def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """Mean negative log-probability of each (non-empty) symbol array, in every language."""
         out = np.empty((len(texts), len(self.langs)))
-        room = max(1 << 14, (4 << 20) // max(1, len(self.langs)))
+        room = max(1 << 14, SLICE // max(1, len(self.langs)))
         i = 0
         while i < len(texts):
             j, size = i, 0
@@ -249,8 +259,7 @@ def train(rows: DataFrame, at_once: int = 8 << 20) -> Model | None:
     at_once: counts that come to the driver in one job, which takes whole languages. It bounds what building needs
     besides the tables, not the tables.
     """
-    counts = gram_counts(rows.filter(F.col("lang").isNotNull())).persist()
-    try:
+    with briefly_stored(gram_counts(rows.filter(F.col("lang").isNotNull()))) as counts:
         facts = counts.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).toArrow().to_pylist()
         if not facts:
             return None
@@ -271,8 +280,6 @@ def train(rows: DataFrame, at_once: int = 8 << 20) -> Model | None:
             for k, r in enumerate(facts[a:b]):
                 pick = code == k
                 tables.append(language_tables(gram[pick].view(np.uint64), n[pick], (r["n1"], r["n2"]), alphabet))
-    finally:
-        counts.unpersist()
     return Model(langs, tables, np.full(len(langs), np.inf))
 
 
@@ -281,25 +288,33 @@ def predictions(model: Model | None, texts: list[str | None], letters: np.ndarra
     out: list[tuple] = [("und", 0.0, None, True)] * len(texts)
     if model is None:
         return out
-    arrays = [symbols(t or "", letters) for t in texts]
-    known = [k for k, a in enumerate(arrays) if len(a) and any(c.isalpha() for c in texts[k])]
-    if known:
-        ce = model.cross_entropies([arrays[k] for k in known])
-        best = ce.argmin(1)
-        low = ce[np.arange(len(known)), best]
-        certain = 1 / np.exp((low[:, None] - ce) * np.minimum(np.array([len(arrays[k]) for k in known]), 40)[:, None]).sum(1)
-        for k, b, h, s in zip(known, best, low, certain, strict=True):
-            out[k] = (model.langs[b], float(s), float(h), bool(h > model.limits[b]))
+    a = 0
+    while a < len(texts):  # slices of bounded length, however large the batch is
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b] or "") <= SLICE):
+            size += len(texts[b] or "")
+            b += 1
+        arrays = [symbols(t or "", letters) for t in texts[a:b]]
+        known = [k for k, s in enumerate(arrays) if len(s) and any(c.isalpha() for c in texts[a + k])]
+        if known:
+            ce = model.cross_entropies([arrays[k] for k in known])
+            best = ce.argmin(1)
+            low = ce[np.arange(len(known)), best]
+            certain = 1 / np.exp((low[:, None] - ce) * np.minimum(np.array([len(arrays[k]) for k in known]), 40)[:, None]).sum(1)
+            for k, g, h, c in zip(known, best, low, certain, strict=True):
+                out[a + k] = (model.langs[g], float(c), float(h), bool(h > model.limits[g]))
+        a = b
     return out
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """(row, scan): scan has lang, score, cross_entropy and rejected. The model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, limits = (None, None) if model is None else (model.share(docs.sparkSession.sparkContext), model.limits.copy())
 
     def make():
         letters = letter_table()
-        return lambda texts: predictions(shared.value, texts, letters)
+        own = None if shared is None else Model(*shared.value, limits)
+        return lambda texts: predictions(own, texts, letters)
 
     return per_text(docs, text_col, SCHEMA, make)
 
@@ -315,8 +330,7 @@ def calibrated(model: Model | None, labelled: DataFrame, text_col: str, lang_col
     rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"))
     own = identify(rows, model, "text").filter((F.col("scan.lang") == F.col("row.lang")) & F.col("scan.cross_entropy").isNotNull())
     ce = F.col("scan.cross_entropy")
-    own = own.select(F.col("row.lang").alias("lang"), ce.alias("ce"), F.floor(ce * BINS).alias("bin")).persist()
-    try:
+    with briefly_stored(own.select(F.col("row.lang").alias("lang"), ce.alias("ce"), F.floor(ce * BINS).alias("bin"))) as own:
         sizes: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for r in own.groupBy("lang", "bin").count().toArrow().to_pylist():
             sizes[r["lang"]].append((r["bin"], r["count"]))
@@ -331,8 +345,6 @@ def calibrated(model: Model | None, labelled: DataFrame, text_col: str, lang_col
         values: dict[str, list[tuple[float, int]]] = defaultdict(list)
         for r in own.filter(wanted).groupBy("lang", "ce").count().toArrow().to_pylist():
             values[r["lang"]].append((r["ce"], r["count"]))
-    finally:
-        own.unpersist()
     for la, some in values.items():
         some.sort()
         ends, low = np.cumsum([n for _, n in some]), int(ranks[la])
