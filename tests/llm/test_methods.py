@@ -2,8 +2,10 @@
 
 import base64
 import gzip
+import os
 import random
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 pytest.importorskip("barloom.llm")
 
 from barloom.llm import language_id, license_scan, packing, pii_crf, secret_scan, suffix_dedup  # noqa: E402
-from barloom.llm.common import read  # noqa: E402
+from barloom.llm.common import read, shared_folder  # noqa: E402
 
 
 def test_hilbert_steps_are_neighbours():
@@ -256,3 +258,34 @@ def test_all_indexed_words_vote(spark):
     scan = license_scan.licenses(docs, rarest=16).filter("row.doc_id = 1").select("scan.*").first()
     assert set(scan["labels"].split(",")) == {label for label, _, _ in license_scan.TEMPLATES} | set(scan["base_labels"].split(","))
     assert len(scan[7]) == len(license_scan.TEMPLATES)
+
+
+def test_counting_many_languages_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", 500)  # counts are emitted again and again, for all languages together
+    rng = random.Random(8)
+    rows = [(f"l{k % 60:02d}", "".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 120)))) for k in range(600)]
+    rows += [("l00", ""), ("l01", None), ("l02", "12 34")]
+    want = Counter()
+    letters = language_id.letter_table()
+    for lang, text in rows:
+        s = language_id.symbols(text or "", letters)
+        if len(s):
+            want.update((lang, int(g)) for g in language_id.grams(s).view(np.int64))
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    assert {(r["lang"], r["gram"]): r["n"] for r in language_id.gram_counts(frame).collect()} == dict(want)
+
+
+def test_tables_of_training_are_removed(spark):
+    before = set(os.listdir(shared_folder(spark)))
+    docs = spark.createDataFrame([(i, "abra kadabra" if i % 2 else "xyz wvu", "a" if i % 2 else "b") for i in range(60)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs).langs == ["a", "b"]
+    assert set(os.listdir(shared_folder(spark))) == before
+
+
+def test_slices_of_a_batch_give_the_same_predictions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "abra kadabra" if i % 2 else "xyz wvu", "a" if i % 2 else "b") for i in range(60)], "doc_id long, text string, lang string")
+    model, letters = language_id.fit(docs), language_id.letter_table()
+    texts = ["abra " * 50, None, "", "xyz", "77", "wvu xyz " * 30]
+    whole = language_id.predictions(model, texts, letters)
+    monkeypatch.setattr(language_id, "SLICE", 3)
+    assert language_id.predictions(model, texts, letters) == whole
