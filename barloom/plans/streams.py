@@ -157,14 +157,20 @@ def stream_advice_changes(spark, sf):
     return st.run_to_table(st.advice_changes(d), mode="append").select("code", "event_id", "previous", "action", "level")
 
 
+def news_labels(batch):
+    """(text, label) of the batch's distinct texts.
+
+    A text is scored under its smallest id: the texts are read twice below, and any id would be another one each time.
+    """
+    unique = batch.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    s = ot.sentiment(unique, ql._lexicon(batch.sparkSession), ql.TRANSITIONS)
+    label = F.when(rnd("score", 4) > 1, "positive").when(rnd("score", 4) < -1, "negative").otherwise("neutral")
+    return unique.join(s.select("doc_id", label.alias("label")), "doc_id").select("text", "label")
+
+
 @query("stream_news", ctes(ql._LEX, ql._TOK) + f"SELECT label, count(*) AS news FROM (SELECT DISTINCT text, {ql._LAB.format(r('s', 4))} AS label FROM sn JOIN documents USING (doc_id)) GROUP BY label")
 def stream_news(spark, sf):
-    def labelled(batch):
-        s = ot.sentiment(batch.dropDuplicates(["text"]), ql._lexicon(batch.sparkSession), ql.TRANSITIONS)
-        label = F.when(rnd("score", 4) > 1, "positive").when(rnd("score", 4) < -1, "negative").otherwise("neutral")
-        return batch.join(s.select("doc_id", label.alias("label")), "doc_id").select("text", "label")
-
-    n = st.ingest_unique(st.news_stream(spark, sf), ["text"], labelled)
+    n = st.ingest_unique(st.news_stream(spark, sf), ["text"], news_labels)
     return n.groupBy("label").agg(F.count(F.lit(1)).alias("news"))
 
 
