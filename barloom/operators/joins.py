@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import lit
+from barloom.operators.recurrence import by_instrument
 from barloom.operators.windows import quantiles
 
 
@@ -111,14 +112,18 @@ def sector_net(stocks: DataFrame, flows: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("industry").alias("sector_type"), F.col("industry").alias("sector_name"))),
         F.transform("concepts", lambda c: F.struct(F.lit("concept").alias("sector_type"), c.alias("sector_name"))),
     )
-    links = stocks.select("code", F.explode(names).alias("s")).select("code", "s.*").filter("sector_name <> ''").distinct()
-    matched = links.join(newest, ["sector_type", "sector_name"])
+    links = by_instrument(stocks.select("code", F.explode(names).alias("s")).filter("s.sector_name <> ''"))
+    # stocks of equal sectors share their medians: these are made once a set of sectors, and a set's days go to its stocks
+    stocks_sets = links.groupBy("code").agg(F.array_sort(F.collect_set("s")).alias("_set"))
+    sets = stocks_sets.select("_set").distinct()
+    matched = sets.select("_set", F.explode("_set").alias("s")).select("_set", "s.*").join(newest, ["sector_type", "sector_name"])
     # a stock has few sectors, so the plain exact median of each tiny group is the cheapest
-    wide = matched.groupBy("code", "day").agg(
+    wide = matched.groupBy("_set", "day").agg(
         F.median(F.when(F.col("sector_type") == "industry", F.col("net"))).alias("_i"),
         F.median(F.when(F.col("sector_type") == "concept", F.col("net"))).alias("_c"),
     )
-    return wide.select("code", "day", F.coalesce("_i", "_c").alias("sector_net"))
+    series = wide.groupBy("_set").agg(F.collect_list(F.struct("day", F.coalesce("_i", "_c").alias("sector_net"))).alias("_days"))
+    return stocks_sets.join(series, "_set").select("code", F.explode("_days").alias("_d")).select("code", "_d.*")
 
 
 def lookback_counts(base: DataFrame, events: DataFrame, days: int, what: Sequence[Column]) -> DataFrame:

@@ -125,6 +125,7 @@ def unified_view(spark, sf):
 def sector_net_median(spark, sf):
     s = views.sectors(spark, sf)
     b = views.flows(spark, sf).join(s.select("code", "industry", "concept"), "code")
+    b = b.groupBy("industry", "concept", "day").agg(F.sum("net_inflow").alias("net_inflow"))
     stamp = F.col("day").cast("timestamp").alias("data_as_of")
 
     def flow(kind, name, share=1.0):

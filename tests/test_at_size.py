@@ -47,3 +47,23 @@ def test_news_labels_of_copies(spark):
     docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(40 * len(texts))], "doc_id long, text string")
     got = {(r.text, r.label) for r in streams.news_labels(_shuffled(docs)).collect()}
     assert got == {(t, w.kind) for t, w in zip(texts, words)}
+
+
+def test_sector_medians_are_made_once_a_set(spark):
+    rng = random.Random(3)
+    days = [DAY0 + dt.timedelta(days=i) for i in range(9)]
+    stocks = [(i, rng.choice(["i0", "i1", "", None]), rng.sample(["c0", "c1", "c2", ""], 2)) for i in range(60)]
+    net = {(k, n, d): rng.uniform(-9, 9) for k, n in (("industry", "i0"), ("concept", "c0"), ("concept", "c1"), ("concept", "c2")) for d in days if rng.random() < 0.8}
+    s = spark.createDataFrame(stocks, "code int, industry string, concepts array<string>")
+    flows = spark.createDataFrame([(*k, v, dt.datetime(2024, 1, 1)) for k, v in net.items()], "sector_type string, sector_name string, day date, net_inflow double, data_as_of timestamp")
+    out = oj.sector_net(s, flows)
+    want = {}
+    for code, industry, concepts in stocks:
+        for d in days:
+            own = [net[k] for k in [("industry", industry, d)] if k in net]
+            all_ = own or [net[k] for k in [("concept", c, d) for c in concepts] if k in net]
+            if all_:
+                want[(code, d)] = pytest.approx(statistics.median(all_))
+    assert {(r.code, r.day): r.sector_net for r in out.collect()} == want
+    # no median by stock
+    assert not re.search(r"keys=\[code#[^\]]*\], functions=\[[^\]]*percentile|keys=\[code#[^\]]*\], functions=\[[^\]]*median", plan(out))
