@@ -9,12 +9,13 @@ from collections.abc import Sequence
 
 from heapq import heappop, heappush
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import lit
 from barloom.indicators import rolling as ro
-from barloom.operators.recurrence import blend, by_instrument, combine, ema, ema_from, rma, scan, wilder_sum
+from barloom.operators.recurrence import LENGTHS, before, blend, by_instrument, ema, ema_from, rma, scan, scan_blocks, wilder_sum
 
 R = ro.R
 
@@ -48,157 +49,137 @@ def with_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns({"er10": er, "ad_line": R.cum("mfv")})
 
 
-# --- recipes: series in, series out ------------------------------------------------------------
+# --- recipes: a block of series in, blocks out (see `scan_blocks`) ------------------------------
 
 
 def _rsi(period: int):
-    def value(up, dn):
-        if up == 0 and dn == 0:
-            return 50.0
-        return 100.0 if dn == 0 else 100 - 100 / (1 + up / dn)
-
     def recipe(s):
-        return {f"rsi{period}_wilder": combine(value, rma(s["gain"], period), rma(s["loss"], period))}
+        up, dn = rma(s["gain"], period), rma(s["loss"], period)
+        value = np.where(dn == 0, np.where(up == 0, 50.0, 100.0), 100 - 100 / (1 + up / dn))
+        return {f"rsi{period}_wilder": np.where(np.isnan(up) | np.isnan(dn), np.nan, value)}
 
     return recipe
 
 
 def _macd_x0(s):
-    dif = combine(lambda a, b: a - b, ema_from(s["close"], 12), ema_from(s["close"], 26))
-    hist = combine(lambda a, b: 2 * (a - b), dif, ema_from(dif, 9, 0.0))
-    return {"macd_x0": [None] * min(25, len(hist)) + hist[25:]}
+    dif = ema_from(s["close"], 12) - ema_from(s["close"], 26)
+    hist = 2 * (dif - ema_from(dif, 9, 0.0))
+    hist[:25] = np.nan
+    return {"macd_x0": hist}
 
 
 def _kdj(s):
     k = blend(s["rsv"], 50.0)
     d = blend(k, 50.0)
-    return {"kdj_k": k, "kdj_d": d, "kdj_j": combine(lambda a, b: 3 * a - 2 * b, k, d)}
+    return {"kdj_k": k, "kdj_d": d, "kdj_j": 3 * k - 2 * d}
 
 
 def _macd_sma(s):
-    dif = combine(lambda a, b: a - b, ema(s["close"], 12), ema(s["close"], 26))
+    dif = ema(s["close"], 12) - ema(s["close"], 26)
     dea = ema(dif, 9, leading=True)
-    return {"macd_dif": dif, "macd_dea": dea, "macd_hist": combine(lambda a, b: 2 * (a - b), dif, dea)}
+    return {"macd_dif": dif, "macd_dea": dea, "macd_hist": 2 * (dif - dea)}
 
 
 def _kama(s, period=10, fast=2, slow=30):
-    f, w, value, out = 2 / (fast + 1), 2 / (slow + 1), None, []
+    f, w, out = 2 / (fast + 1), 2 / (slow + 1), np.full_like(s["close"], np.nan)
     for i, (c, er) in enumerate(zip(s["close"], s["er10"])):
         if i == period:
-            value = c
+            out[i] = c
         elif i > period:
-            value += (er * (f - w) + w) ** 2 * (c - value)
-        out.append(value)
+            out[i] = out[i - 1] + (er * (f - w) + w) ** 2 * (c - out[i - 1])
     return {"kama": out}
 
 
 def _keltner(s, mult=1.5):
     mid, atr = ema(s["close"], 20), rma(s["tr"], 10)
-    return {
-        "keltner_mid": mid,
-        "keltner_upper": combine(lambda m, a: m + mult * a, mid, atr),
-        "keltner_lower": combine(lambda m, a: m - mult * a, mid, atr),
-    }
+    return {"keltner_mid": mid, "keltner_upper": mid + mult * atr, "keltner_lower": mid - mult * atr}
 
 
 def _supertrend(s, mult=3.0):
-    up = low = last = None
-    side, line, sides = 0, [], []
-    for h, l, c, atr in zip(s["high"], s["low"], s["close"], rma(s["tr"], 10)):
-        if atr is None:
-            line.append(None)
-            sides.append(0)
-            last = c
-            continue
+    up = low = last = np.full(s["close"].shape[1], np.nan)
+    side = np.zeros(s["close"].shape[1])
+    line, sides = np.empty_like(s["close"]), np.empty_like(s["close"])
+    for t, (h, l, c, atr) in enumerate(zip(s["high"], s["low"], s["close"], rma(s["tr"], 10))):
+        there = ~np.isnan(atr)
         raw_up, raw_low = (h + l) / 2 + mult * atr, (h + l) / 2 - mult * atr
-        if up is not None and last <= up:
-            raw_up = min(raw_up, up)
-        if low is not None and last >= low:
-            raw_low = max(raw_low, low)
-        up, low, last = raw_up, raw_low, c
-        crossed = c < low if side == 1 else c > up
-        side = 1 if side == 0 else (-side if crossed else side)
-        line.append(low if side == 1 else up)
-        sides.append(side)
+        raw_up = np.where(last <= up, np.minimum(raw_up, up), raw_up)
+        raw_low = np.where(last >= low, np.maximum(raw_low, low), raw_low)
+        up, low, last = np.where(there, raw_up, up), np.where(there, raw_low, low), c
+        crossed = np.where(side == 1, c < low, c > up)
+        turned = np.where(side == 0, 1, np.where(crossed, -side, side))
+        side = np.where(there, turned, side)
+        line[t] = np.where(there, np.where(side == 1, low, up), np.nan)
+        sides[t] = np.where(there, side, 0)
     return {"supertrend": line, "supertrend_dir": sides}
 
 
 def _sar(s, inc=0.02, top=0.2):
     """Extremes are kept signed by side, so that one update serves both directions."""
     hs, ls, cs = s["high"], s["low"], s["close"]
-    n = len(cs)
-    value, sides = [None] * n, [0] * n
-    if n < 2:
+    value, sides = np.full_like(cs, np.nan), np.zeros_like(cs)
+    if len(cs) < 2:
         return {"sar": value, "sar_dir": sides}
-    side = 1 if cs[1] > cs[0] else -1
-    lead, trail = (hs, ls) if side == 1 else (ls, hs)
-    extreme, speed, at = lead[1], inc, trail[0]
+    side = np.where(cs[1] > cs[0], 1.0, -1.0)
+    extreme, speed, at = np.where(side == 1, hs[1], ls[1]), np.full(cs.shape[1], inc), np.where(side == 1, ls[0], hs[0])
     value[1], sides[1] = at, side
-    for i in range(2, n):
-        lead, trail = (hs, ls) if side == 1 else (ls, hs)
-        bound = min if side == 1 else max
-        at = bound(at + speed * (extreme - at), trail[i - 1], trail[i - 2])
-        if (trail[i] - at) * side < 0:
-            at, extreme, speed, side = extreme, trail[i], inc, -side
-        elif (lead[i] - extreme) * side > 0:
-            extreme, speed = lead[i], min(speed + inc, top)
+    for i in range(2, len(cs)):
+        rising = side == 1
+        lead, trail = np.where(rising, hs[i], ls[i]), np.where(rising, ls[i], hs[i])
+        at = at + speed * (extreme - at)
+        at = np.where(rising, np.minimum(np.minimum(at, ls[i - 1]), ls[i - 2]), np.maximum(np.maximum(at, hs[i - 1]), hs[i - 2]))
+        flip = (trail - at) * side < 0
+        on = ~flip & ((lead - extreme) * side > 0)
+        at, extreme = np.where(flip, extreme, at), np.where(flip, trail, np.where(on, lead, extreme))
+        speed, side = np.where(flip, inc, np.where(on, np.minimum(speed + inc, top), speed)), np.where(flip, -side, side)
         value[i], sides[i] = at, side
     return {"sar": value, "sar_dir": sides}
 
 
 def _adx(s, n=14):
     tr, up, dn = (wilder_sum(s[k], n) for k in ("tr", "plus_dm", "minus_dm"))
-    plus = combine(lambda a, t: 100 * a / t if t > 0 else None, up, tr)
-    minus = combine(lambda a, t: 100 * a / t if t > 0 else None, dn, tr)
-    dx = combine(lambda a, b: 100 * abs(a - b) / (a + b) if a + b > 0 else 0.0, plus, minus)
-    dx = [None if i < n - 1 else (v or 0.0) for i, v in enumerate(dx)]
+    plus, minus = (np.where(tr > 0, 100 * x / tr, np.nan) for x in (up, dn))
+    dx = np.where(plus + minus > 0, 100 * np.abs(plus - minus) / (plus + minus), 0.0)
+    dx[: n - 1] = np.nan
     return {"di_plus": plus, "di_minus": minus, "adx": rma(dx, n)}
 
 
 def _dema(s, n=21):
     first = ema(s["close"], n)
-    return {"dema": combine(lambda a, b: 2 * a - b, first, ema(first, n))}
+    return {"dema": 2 * first - ema(first, n)}
 
 
 def _dema_biased(s, n=21):
     """The chart's variant: the second average starts on zeros."""
     first = ema(s["close"], n)
-    second = ema([0.0 if v is None else v for v in first], n)
-    return {"dema_biased": combine(lambda a, b: 2 * a - b, first, second)}
+    return {"dema_biased": 2 * first - ema(np.where(np.isnan(first), 0.0, first), n)}
 
 
 def _tema(s, n=21):
     a = ema(s["close"], n)
     b = ema(a, n)
-    return {"tema": combine(lambda x, y, z: 3 * x - 3 * y + z, a, b, ema(b, n))}
-
-
-def _diff(x):
-    return combine(lambda a, b: a - b, x, [None, *x[:-1]])
+    return {"tema": 3 * a - 3 * b + ema(b, n)}
 
 
 def _trix(s, n=15):
     x = ema(ema(ema(s["close"], n), n), n)
-    t = combine(lambda a, b: (a - b) / b * 10000 if b != 0 else None, x, [None, *x[:-1]])
-    return {"trix": t, "trix_slope": _diff(t), "trix_signal": ema(t, 9, leading=True)}
+    past = before(x)
+    t = np.where(past != 0, (x - past) / past * 10000, np.nan)
+    return {"trix": t, "trix_slope": t - before(t), "trix_signal": ema(t, 9, leading=True)}
 
 
 def _elder(s, n=13):
     e = ema(s["close"], n)
-    return {
-        "bull_power": combine(lambda a, b: a - b, s["high"], e),
-        "bear_power": combine(lambda a, b: a - b, s["low"], e),
-    }
+    return {"bull_power": s["high"] - e, "bear_power": s["low"] - e}
 
 
 def _chaikin(s):
-    return {"chaikin": combine(lambda a, b: a - b, ema(s["ad_line"], 3), ema(s["ad_line"], 10))}
+    return {"chaikin": ema(s["ad_line"], 3) - ema(s["ad_line"], 10)}
 
 
 def _mass(s, n=9):
     a = ema(s["hl_range"], n)
-    ratio = combine(lambda x, y: x / y if y != 0 else None, a, ema(a, n))
-    return {"mass_ratio": ema(ratio, n)}
+    b = ema(a, n)
+    return {"mass_ratio": ema(np.where(b != 0, a / b, np.nan), n)}
 
 
 def _smi(s):
@@ -207,11 +188,11 @@ def _smi(s):
 
 
 def _ttm(s):
-    return {"ttm_momentum": combine(lambda a, b: a - b, s["tp"], ema(s["tp"], 20))}
+    return {"ttm_momentum": s["tp"] - ema(s["tp"], 20)}
 
 
 def run(df: DataFrame, names: Sequence[str], carry: Sequence[str] = (), prepared: bool = False) -> DataFrame:
-    """Run the named recipes over bars in one pass per instrument."""
+    """Run the named recipes over bars in one pass over blocks of instruments."""
     chosen = [RECIPES[n] for n in names]
     inputs = sorted({i for _, ins, _ in chosen for i in ins})
     outputs = [o for _, _, outs in chosen for o in outs]
@@ -224,7 +205,7 @@ def run(df: DataFrame, names: Sequence[str], carry: Sequence[str] = (), prepared
         return made
 
     ready = df if prepared else with_inputs(by_instrument(df))
-    return scan(ready, recipe, inputs, outputs, carry=carry)
+    return scan_blocks(ready, recipe, inputs, outputs, carry=carry)
 
 
 def mass_index(df: DataFrame, n: int = 25) -> DataFrame:
@@ -325,41 +306,36 @@ SATS_OUTPUTS = ("sats_dir", "sats_line", "sats_upper", "sats_lower")
 
 
 def sats_recipe(s):
-    p, a = SATS, SATS["smooth"]
-    act = pas = low = up = last = None
-    side, started, past_q = 0, 0, 0.0
-    out = {n: [] for n in SATS_OUTPUTS}
+    p, a, shape = SATS, SATS["smooth"], s["close"].shape
+    act = pas = low = up = last = np.full(shape[1], np.nan)
+    side, started, past_q = np.zeros(shape[1]), np.zeros(shape[1]), np.zeros(shape[1])
+    out = {n: np.full(shape, np.nan) for n in SATS_OUTPUTS}
     rows = zip(*(s[n] for n in SATS_INPUTS))
     for i, (r_act, r_pas, atr, q, ok, h, l, c) in enumerate(rows):
-        if ok != 1:
-            got = (0, None, None, None)
-        else:
-            act = r_act if act is None else act * (1 - a) + r_act * a
-            pas = r_pas if pas is None else pas * (1 - a) + r_pas * a
-            held = side or 1
-            near, far = (act, pas) if held == 1 else (pas, act)
-            n_low, n_up = (h + l) / 2 - near * atr, (h + l) / 2 + far * atr
-            if low is not None and last > low:
-                n_low = max(n_low, low)
-            if up is not None and last < up:
-                n_up = min(n_up, up)
-            faded = past_q > p["flip_high"] and q < p["flip_low"] and i - started >= p["flip_age"]
-            crossed = (side == 1 and c < low) or (side == -1 and c > up)
-            new = -held if side and (crossed or (faded and last is not None and (c - last) * held < 0)) else held
-            if new != held:
-                started = i
-            side, low, up = new, n_low, n_up
-            got = (side, low if side == 1 else up, up, low)
+        ok = ok == 1
+        act = np.where(ok, np.where(np.isnan(act), r_act, act * (1 - a) + r_act * a), act)
+        pas = np.where(ok, np.where(np.isnan(pas), r_pas, pas * (1 - a) + r_pas * a), pas)
+        held = np.where(side == 0, 1, side)
+        near, far = np.where(held == 1, act, pas), np.where(held == 1, pas, act)
+        n_low, n_up = (h + l) / 2 - near * atr, (h + l) / 2 + far * atr
+        n_low = np.where(last > low, np.maximum(n_low, low), n_low)
+        n_up = np.where(last < up, np.minimum(n_up, up), n_up)
+        faded = (past_q > p["flip_high"]) & (q < p["flip_low"]) & (i - started >= p["flip_age"])
+        crossed = ((side == 1) & (c < low)) | ((side == -1) & (c > up))
+        new = np.where((side != 0) & (crossed | (faded & ((c - last) * held < 0))), -held, held)
+        started = np.where(ok & (new != held), i, started)
+        side, low, up = np.where(ok, new, side), np.where(ok, n_low, low), np.where(ok, n_up, up)
+        out["sats_dir"][i] = np.where(ok, side, 0)
+        for n, v in (("sats_line", np.where(side == 1, low, up)), ("sats_upper", up), ("sats_lower", low)):
+            out[n][i] = np.where(ok, v, np.nan)
         last, past_q = c, q
-        for n, v in zip(SATS_OUTPUTS, got):
-            out[n].append(v)
     return out
 
 
 def sats(df: DataFrame) -> DataFrame:
     """Self-adaptive trend: direction, line and bands."""
     bars = run(df, ["atr_wilder"], carry=("high", "low", "close", "volume"))
-    return scan(sats_inputs(bars), sats_recipe, SATS_INPUTS, SATS_OUTPUTS, carry=("sats_quality",))
+    return scan_blocks(sats_inputs(bars), sats_recipe, SATS_INPUTS, SATS_OUTPUTS, carry=("sats_quality",))
 
 
 # --- swing structure ----------------------------------------------------------------------------
@@ -473,29 +449,34 @@ def zones(df: DataFrame) -> DataFrame:
 def _zigzag(s, pct=5.0):
     """Repaints: the newest point moves until the opposite swing is `pct` percent away."""
     hs, ls = s["high"], s["low"]
-    n = len(hs)
-    marks: dict[int, tuple[float, int]] = {}
-    known = [0] * n
-    if n >= 3:
-        points = [(0, hs[0], 1)]
-        side, at, level = 1, 0, hs[0]
-        for i in range(1, n):
-            x, y = (hs[i], ls[i]) if side == 1 else (ls[i], hs[i])
-            if (x - level) * side >= 0:
-                at, level = i, x
-                points[-1] = (i, x, side)
-            elif (level - y) * side >= level * pct / 100:
-                points.append((at, level, side))
-                side, at, level = -side, i, y
-            known[i] = points[-1][2] if i >= 2 else 0
-        marks = {i: (v, d) for i, v, d in points}
-    got = [marks.get(i, (None, 0)) for i in range(n)]
-    return {"zigzag": [v for v, _ in got], "zigzag_dir": [d for _, d in got], "zigzag_known": known}
+    price, sides, known = np.full_like(hs, np.nan), np.zeros_like(hs), np.zeros_like(hs)
+    side, level = np.ones(hs.shape[1]), hs[0]
+    at = np.zeros(hs.shape[1], dtype=int)
+    newest = (at, level, side)  # bar, price and side of the newest point; a point is marked once another follows
+
+    def mark(where: np.ndarray) -> None:
+        bar, v, d = newest
+        col = np.flatnonzero(where)
+        price[bar[col], col], sides[bar[col], col] = v[col], d[col]
+
+    for i in range(1, len(hs)):
+        x, y = np.where(side == 1, hs[i], ls[i]), np.where(side == 1, ls[i], hs[i])
+        on = (x - level) * side >= 0
+        turn = ~on & ((level - y) * side >= level * pct / 100)
+        mark(turn)
+        newest = tuple(np.where(turn, q, np.where(on, z, o)) for o, q, z in zip(newest, (at, level, side), (i, x, side)))
+        side, at, level = np.where(turn, -side, side), np.where(on | turn, i, at), np.where(on, x, np.where(turn, y, level))
+        if i >= 2:
+            known[i] = newest[2]
+    mark(s[LENGTHS] > 0)
+    for out, none in ((price, np.nan), (sides, 0), (known, 0)):
+        out[:, s[LENGTHS] < 3] = none
+    return {"zigzag": price, "zigzag_dir": sides, "zigzag_known": known}
 
 
 def zigzag(df: DataFrame) -> DataFrame:
     """Pivots of the whole series, and in zigzag_known the side of the newest pivot as each bar knew it."""
-    return scan(by_instrument(df), _zigzag, ["high", "low"], ["zigzag", "zigzag_dir", "zigzag_known"])
+    return scan_blocks(by_instrument(df), _zigzag, ["high", "low"], ["zigzag", "zigzag_dir", "zigzag_known"])
 
 
 def _turns(s, pct=5.0):

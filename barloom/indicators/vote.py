@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import lit, rnd
 from barloom.indicators import recurrent as rc
 from barloom.indicators import rolling as ro
-from barloom.operators.recurrence import by_instrument, scan
+from barloom.operators.recurrence import by_instrument, scan_blocks
 
 PRECISION = 6
 SIDES = ("bullish", "bearish", "neutral", "oscillating")
@@ -204,7 +204,7 @@ def indicator_table(df: DataFrame) -> DataFrame:
     df = by_instrument(df.select("code", "day", *base))
     df = rc.run(rc.with_inputs(df), RECIPES, carry=base, prepared=True)
     extra = [c for c in df.columns if c not in ("code", "day", *base)]
-    df = scan(rc.sats_inputs(df), rc.sats_recipe, rc.SATS_INPUTS, rc.SATS_OUTPUTS, carry=(*base, *extra))
+    df = scan_blocks(rc.sats_inputs(df), rc.sats_recipe, rc.SATS_INPUTS, rc.SATS_OUTPUTS, carry=(*base, *extra))
     steps = (
         ro.moving_averages, ro.bollinger_pop, ro.vwap_bands, ro.hull, ro.ichimoku, ro.donchian, ro.alligator,
         ro.pivot_points, ro.cci, ro.williams_r, ro.stoch_rsi, ro.rsi_cutler, ro.aroon, ro.cmo, ro.roc, ro.coppock,

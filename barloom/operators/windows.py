@@ -53,11 +53,16 @@ class Roll:
         return F.lead(_c(x), n).over(self.base)
 
     def full(self, n: int) -> Column:
-        return F.count(F.lit(1)).over(self.frame(n)) == n
+        return self.held(F.lit(1), n) == n
+
+    def held(self, x, n: int) -> Column:
+        """Values among the last n rows: two running counts, where a count over the frame would visit n rows each time."""
+        first = Window.unboundedPreceding
+        return F.count(_c(x)).over(self._spec(first, 0)) - F.count(_c(x)).over(self._spec(first, -n))
 
     def agg(self, fn, x, n: int) -> Column:
         """fn over the last n rows, null unless all n rows hold a value."""
-        return F.when(F.count(_c(x)).over(self.frame(n)) == n, fn(_c(x)).over(self.frame(n)))
+        return F.when(self.held(x, n) == n, fn(_c(x)).over(self.frame(n)))
 
     def mean(self, x, n: int) -> Column:
         return self.agg(F.avg, x, n)
@@ -147,12 +152,13 @@ def pick_at_rank(counted: DataFrame, value: str, ranks: dict[str, Column], keys:
     return joined.groupBy(*keys, "total").agg(*picks)
 
 
-def quantiles(df: DataFrame, value: str, ranks: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, ranks: dict[str, Column], keys: Sequence[str] = (), few: bool = False) -> DataFrame:
     """(keys, total, one column a rank): exact values at 0-based ranks, all of them in two passes; nulls do not count.
 
     `ranks` maps an output name to a rank Column over `total`. The first pass counts rows by bucket, a state that merges
     before the exchange; its prefix sums name the bucket of every rank. The second pass reads only the rows of those
-    buckets and counts their values. Keys without a value have no row.
+    buckets and counts their values. Keys without a value have no row. With `few` keys, a fixed list of names, the buckets
+    of the ranks go to the rows; else rows and buckets meet by key.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_b", value_bucket("_v"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -162,7 +168,7 @@ def quantiles(df: DataFrame, value: str, ranks: dict[str, Column], keys: Sequenc
     inside = F.filter(asked, lambda a: (a["rank"] >= F.col("_before")) & (a["rank"] < F.col("_before") + F.col("_n")))
     held = per.withColumn("_asks", inside).filter(F.size("_asks") > 0).select(*keys, "_b", "_before", "total", "_asks")
     on = [*keys, "_b"]
-    left, right = rows.alias("l"), held.alias("r")
+    left, right = rows.alias("l"), (F.broadcast(held) if few else held).alias("r")
     same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on])
     near = left.join(right, same).select(*[F.col(f"l.{c}") for c in [*on, "_v"]], "_before", "total", "_asks")
     counts = near.groupBy(*on, "_v").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_before").alias("_before"), F.any_value("total").alias("total"), F.any_value("_asks").alias("_asks"))

@@ -67,3 +67,33 @@ def test_sector_medians_are_made_once_a_set(spark):
     assert {(r.code, r.day): r.sector_net for r in out.collect()} == want
     # no median by stock
     assert not re.search(r"keys=\[code#[^\]]*\], functions=\[[^\]]*percentile|keys=\[code#[^\]]*\], functions=\[[^\]]*median", plan(out))
+
+
+def test_a_block_is_its_instruments(spark):
+    rng = random.Random(8)
+    lengths = [1, 2, 3, 700, 14, 15, 61, 26, 300, 140]
+    col = {n: [50 + rng.uniform(-5, 5) for _ in range(sum(lengths))] for n in ("high", "low", "close", "tr")}
+    col["rsv"] = [rng.choice([None, rng.uniform(0, 100)]) for _ in range(sum(lengths))]
+    col["code"] = [i for i, n in enumerate(lengths) for _ in range(n)]
+    whole = pa.table(col)
+    for name in ("macd_sma", "supertrend", "sar", "zigzag", "keltner", "kdj"):
+        fn, ins, outs = rc.RECIPES[name]
+        together = [a.to_pylist() for a in in_blocks(whole, fn, "code", ins, outs)]
+        at = 0
+        for n in lengths:
+            alone = [a.to_pylist() for a in in_blocks(whole.slice(at, n), fn, "code", ins, outs)]
+            assert alone == [x[at : at + n] for x in together]
+            at += n
+
+
+def test_vote_runs_in_blocks(spark, sf):
+    text = plan(load()["ind_vote"].run(spark, sf))
+    assert text.count("MapInArrow") >= 2 and "FlatMapGroupsInArrow" not in text
+
+
+def test_rolling_counts_do_not_visit_the_frame(spark):
+    df = spark.createDataFrame([("a", i, None if i == 7 else float(i)) for i in range(30)], "code string, day int, x double")
+    df = df.select("day", Roll().mean("x", 5).alias("m"))
+    assert not re.search(r"count\([^)]*\) windowspecdefinition\([^)]*RowFrame, -\d+, currentrow", plan(df))
+    got = {r.day: r.m for r in df.collect()}
+    assert got == {i: None if i < 4 or 7 <= i < 12 else i - 2.0 for i in range(30)}
