@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,8 @@ from barloom.operators.windows import Roll, average_rank, cumulative_counts
 LAYERS = ("bottom", "low", "middle", "high", "top")
 
 
-def observations(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
-    """Long form (factor, code, day, sector, x, y); y is the return `horizon` rows ahead.
-
-    Both closes must be positive; flow and volume factors drop zeros.
-    """
+def wide_observations(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
+    """(code, day, sector, y, one column a factor); y is the return `horizon` rows ahead, and both closes are positive."""
     r = Roll()
     f = features.withColumn("_future", r.lead("close", horizon)).filter((F.col("close") > 0) & (F.col("_future") > 0))
     f = f.withColumn("y", F.col("_future") / F.col("close") - lit(1))
@@ -30,14 +29,27 @@ def observations(features: DataFrame, sectors: DataFrame | None, factors: Sequen
     else:
         f = f.withColumn("sector", F.lit("unknown"))
     f = f.withColumn("sector", F.coalesce("sector", F.lit("unknown")))
-    wide = f.select("code", "day", "sector", "y", *[F.col(c).cast("double").alias(c) for c in factors])
-    long = wide.unpivot(["code", "day", "sector", "y"], list(factors), "factor", "x").filter("x IS NOT NULL")
-    sparse = [c for c in factors if "flow" in c or "volume" in c]
-    return long.filter(~(F.col("factor").isin(*sparse) & (F.col("x") == 0))) if sparse else long
+    # flow and volume factors drop zeros
+    values = [F.when(F.col(c) != 0, F.col(c)) if "flow" in c or "volume" in c else F.col(c) for c in factors]
+    return f.select("code", "day", "sector", "y", *[v.cast("double").alias(c) for c, v in zip(factors, values)])
 
 
-def external_observations(features: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
-    """Observations of `namespace.column` factors.
+def long_form(wide: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """(factor, code, day, sector, x, y) of wide observations; a missing value is no observation."""
+    keys = [c for c in ("code", "day", "sector", "y") if c in wide.columns]
+    return wide.unpivot(keys, list(factors), "factor", "x").filter("x IS NOT NULL")
+
+
+def observations(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
+    """Long form (factor, code, day, sector, x, y); y is the return `horizon` rows ahead.
+
+    Both closes must be positive; flow and volume factors drop zeros.
+    """
+    return long_form(wide_observations(features, sectors, factors, horizon), factors)
+
+
+def wide_external(features: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
+    """Wide observations of `namespace.column` factors.
 
     Facts with an `available_at` column count only as far as they are known at the decision time (the day's end unless
     given); facts without a code hold for the whole market of their day.
@@ -51,7 +63,12 @@ def external_observations(features: DataFrame, facts: Mapping[str, DataFrame], i
         if "available_at" in f.columns:
             f = point_in_time(base.select("code", "day", "decision_as_of"), f, columns).select("code", "day", *columns)
         known[space] = f
-    return observations(unified_view(base, known, ids), sectors, [column_of(i) for i in ids], horizon)
+    return wide_observations(unified_view(base, known, ids), sectors, [column_of(i) for i in ids], horizon)
+
+
+def external_observations(features: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
+    """`wide_external` in long form."""
+    return long_form(wide_external(features, facts, ids, sectors, horizon, decision), [column_of(i) for i in ids])
 
 
 def daily_ic(obs: DataFrame, min_rows: int = 3) -> DataFrame:
@@ -66,6 +83,69 @@ def daily_ic(obs: DataFrame, min_rows: int = 3) -> DataFrame:
     return g.filter(F.col("n") >= min_rows)
 
 
+def _places(x: np.ndarray) -> np.ndarray:
+    """1-based ranks with ties averaged; NaN is the largest value and equal to itself."""
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))]))
+    size = np.diff(np.append(first, len(s)))
+    out = np.empty(len(x))
+    out[order] = np.repeat(first + 1 + (size - 1) / 2, size)
+    return out
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """0 without variance."""
+    if a.min() == a.max() or b.min() == b.max():
+        return 0.0
+    a, b = a - a.mean(), b - b.mean()
+    spread = np.sqrt((a * a).mean()) * np.sqrt((b * b).mean())
+    return float((a * b).mean() / spread) if spread != 0 else 0.0
+
+
+def wide_daily_ic(wide: DataFrame, factors: Sequence[str], min_rows: int = 3) -> DataFrame:
+    """`daily_ic` of wide observations: a day's cross-section, one row per instrument, goes to one task once for all
+    factors, where the long form is exchanged and sorted factor by factor."""
+    names = list(factors)
+    schema = f"factor string, day {dict(wide.dtypes)['day']}, n bigint, ic double, rank_ic double"
+
+    def run(table: pa.Table) -> pa.Table:
+        y = table.column("y").to_numpy()
+        rows = []
+        with np.errstate(all="ignore"):
+            for c in names:
+                there = table.column(c).is_valid().to_numpy()
+                if there.sum() >= min_rows:
+                    x, z = table.column(c).to_numpy()[there], y[there]
+                    rows.append((c, len(x), _correlation(x, z), _correlation(_places(x), _places(z))))
+        day = table.column("day").combine_chunks().take(pa.array([0] * len(rows), pa.int64()))
+        made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.float64()))]
+        return pa.table({"factor": made[0], "day": day, "n": made[1], "ic": made[2], "rank_ic": made[3]})
+
+    return wide.select("day", "y", *names).groupBy("day").applyInArrow(run, schema)
+
+
+def wide_recent(wide: DataFrame, factors: Sequence[str], share: float = 0.30) -> DataFrame:
+    """`recent_share` of wide observations: values before each factor's cut are taken away.
+
+    The cut is the (day, code) of its first recent row. Counts by day name the day, and only that day's rows are ordered.
+    """
+    names = list(factors)
+    days = wide.groupBy("day").agg(*[F.count(c).alias(c) for c in names]).unpivot(["day"], names, "factor", "_n").filter("_n > 0")
+    w, whole = Window.partitionBy("factor").orderBy("day"), Window.partitionBy("factor")
+    days = days.withColumns({"_before": F.sum("_n").over(w) - F.col("_n"), "_total": F.sum("_n").over(whole)})
+    place = F.floor(F.col("_total") * lit(1 - share)) - F.col("_before")
+    cuts = days.withColumn("_place", place).filter("_place >= 0 AND _place < _n").select("factor", "day", "_place")
+    inside = Window.partitionBy("factor", "day").orderBy("code")
+    # one row per factor, and one row of all cuts
+    first = long_form(wide.select("code", "day", *names), names).join(F.broadcast(cuts), ["factor", "day"])
+    first = first.withColumn("_i", F.row_number().over(inside) - 1).filter("_i = _place")
+    cut = first.agg(*[F.max(F.when(F.col("factor") == c, F.struct("day", "code"))).alias(f"_{c}") for c in names])
+    at = F.struct("day", "code")
+    later = wide.join(F.broadcast(cut), F.lit(True)).filter(F.col("day") >= F.least(*[F.col(f"_{c}.day") for c in names], F.col(f"_{names[0]}.day")))
+    return later.withColumns({c: F.when(at >= F.col(f"_{c}"), F.col(c)) for c in names}).drop(*[f"_{c}" for c in names])
+
+
 def recent_share(obs: DataFrame, share: float = 0.30) -> DataFrame:
     """The last share of each factor's rows in (day, code) order.
 
@@ -90,8 +170,18 @@ def _mean_ic(daily: DataFrame, suffix: str = "") -> DataFrame:
     )
 
 
-def ic_summary(obs: DataFrame) -> DataFrame:
-    """Per factor: IC, rank IC, deviation over days, t, p, hit rate, recent IC, decay flag, sector IC."""
+def wide_ic_summary(wide: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """`ic_summary` of wide observations, which are read several times."""
+    return ic_summary(long_form(wide, factors), wide_daily_ic(wide, factors), wide_daily_ic(wide_recent(wide, factors), factors))
+
+
+def ic_summary(obs: DataFrame, daily: DataFrame | None = None, recent_daily: DataFrame | None = None) -> DataFrame:
+    """Per factor: IC, rank IC, deviation over days, t, p, hit rate, recent IC, decay flag, sector IC.
+
+    `daily` and `recent_daily` are the daily ICs of all and of the recent rows, made here unless given.
+    """
+    daily = daily_ic(obs) if daily is None else daily
+    recent_daily = daily_ic(recent_share(obs)) if recent_daily is None else recent_daily
     base = obs.groupBy("factor").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("_mx"), F.avg("y").alias("avg_return"))
     # one row per factor, so the small side of these joins is bounded by the factor list
     centred = obs.join(F.broadcast(base), "factor")
@@ -102,8 +192,8 @@ def ic_summary(obs: DataFrame) -> DataFrame:
     sector = sector.filter("_n >= 10").groupBy("factor").agg(
         F.avg("_ic").alias("sector_ic"), F.coalesce(F.stddev_samp("_ic"), lit(0)).alias("sector_ic_std")
     )
-    full = _mean_ic(daily_ic(obs))
-    recent = _mean_ic(daily_ic(recent_share(obs)), "_recent").select("factor", F.col("ic_recent").alias("recent_ic"))
+    full = _mean_ic(daily)
+    recent = _mean_ic(recent_daily, "_recent").select("factor", F.col("ic_recent").alias("recent_ic"))
     j = base.drop("_mx").join(full, "factor", "left").join(hits, "factor", "left").join(recent, "factor", "left").join(sector, "factor", "left")
     t = F.abs("ic") / (F.col("ic_std") / F.sqrt(F.col("ic_days").cast("double")))
     flat = (F.col("ic_days") < 2) | ((F.col("ic_std") == 0) & (F.col("ic") == 0))

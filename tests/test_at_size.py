@@ -97,3 +97,27 @@ def test_rolling_counts_do_not_visit_the_frame(spark):
     assert not re.search(r"count\([^)]*\) windowspecdefinition\([^)]*RowFrame, -\d+, currentrow", plan(df))
     got = {r.day: r.m for r in df.collect()}
     assert got == {i: None if i < 4 or 7 <= i < 12 else i - 2.0 for i in range(30)}
+
+
+def _wide(spark, n=900):
+    rng = random.Random(12)
+    rows = [(i % 45, DAY0 + dt.timedelta(days=i // 45), rng.choice(["s", "t"]), rng.choice([0.0, rng.gauss(0, 1)]), rng.choice([None, 1.0, rng.random()]), 2.0, None if i // 45 > 3 else rng.random()) for i in range(n)]
+    return spark.createDataFrame(rows, "code int, day date, sector string, y double, a double, b double, c double")
+
+
+def test_daily_ic_of_wide_rows(spark):
+    wide, names = _wide(spark), ["a", "b", "c"]
+    long = factors.long_form(wide, names)
+
+    def rows(df):
+        return {(r.factor, r.day): (r.n, pytest.approx(r.ic, abs=1e-12), pytest.approx(r.rank_ic, abs=1e-12)) for r in df.collect()}
+
+    got = {(r.factor, r.day): (r.n, r.ic, r.rank_ic) for r in factors.wide_daily_ic(wide, names).collect()}
+    assert got == rows(factors.daily_ic(long)) and len(got) == 44
+    recent = {(r.factor, r.day): (r.n, r.ic, r.rank_ic) for r in factors.wide_daily_ic(factors.wide_recent(wide, names), names).collect()}
+    assert recent == rows(factors.daily_ic(factors.recent_share(long)))
+
+
+@pytest.mark.parametrize("name", ["factor_daily_ic", "factor_external", "factor_external_ids"])
+def test_cross_sections_are_exchanged_once(name, spark, sf):
+    assert "windowspecdefinition(factor#" not in plan(load()[name].run(spark, sf))
