@@ -14,7 +14,7 @@ from barloom.functions.ranks import count_if
 from barloom.operators.aggregates import pearson
 from barloom.operators.features import column_of
 from barloom.operators.joins import point_in_time, unified_view
-from barloom.operators.windows import Roll, average_rank, cumulative_counts
+from barloom.operators.windows import Roll, average_rank, cumulative_counts, quantiles
 
 LAYERS = ("bottom", "low", "middle", "high", "top")
 
@@ -299,12 +299,34 @@ def pooled_rank(df: DataFrame, value: str, keys: Sequence[str], day: str = "day"
     return j.withColumn("rank", F.col("below") + F.col("_earlier") + F.row_number().over(inside) - 1).drop("below", "_earlier")
 
 
+def layer_cuts(obs: DataFrame, layers: int = 5) -> DataFrame:
+    """(factor, cut): where each layer but the first begins, as structs of x, day and code in order.
+
+    The rank of a cut names its value by counted buckets, counts by day of the rows with that value name its day, and
+    only the rows of that value and day are ordered. No other row is exchanged. Factors below 30 rows have no layers.
+    """
+    size = F.floor(F.col("total") / layers)
+    values = quantiles(obs, "x", {f"_v{k}": size * k for k in range(1, layers)}, ["factor"], few=True).filter("total >= 30")
+    # one row per factor and cut, so these small sides are bounded by the factor list
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (size * k).alias("rank"), F.col(f"_v{k}").alias("x")) for k in range(1, layers)]))
+    cuts = values.select("factor", each.alias("c")).select("factor", "c.*")
+    low = obs.join(F.broadcast(values), "factor").groupBy("factor").agg(*[count_if(F.col("x") < F.col(f"_v{k}")).alias(f"_{k}") for k in range(1, layers)])
+    low = low.unpivot(["factor"], [f"_{k}" for k in range(1, layers)], "k", "below").withColumn("k", F.substring("k", 2, 9).cast("int"))
+    cuts = cuts.join(low, ["factor", "k"]).select("factor", "k", "x", (F.col("rank") - F.col("below")).alias("rest"))
+    per_day = obs.join(F.broadcast(cuts), ["factor", "x"]).groupBy("factor", "k", "x", "rest", "day").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("factor", "k").orderBy("day")) - F.col("_n")
+    days = per_day.withColumn("place", F.col("rest") - earlier).filter("place >= 0 AND place < _n").select("factor", "k", "x", "day", "place")
+    inside = Window.partitionBy("factor", "k").orderBy("code")
+    rows = obs.select("factor", "x", "day", "code").join(F.broadcast(days), ["factor", "x", "day"]).withColumn("_i", F.row_number().over(inside) - 1)
+    first = rows.filter("_i = place").groupBy("factor").agg(F.array_sort(F.collect_list(F.struct("k", F.struct("x", "day", "code").alias("at")))).alias("cut"))
+    return first.select("factor", F.transform("cut", lambda c: c["at"]).alias("cut"))
+
+
 def layer_returns(obs: DataFrame, layers: int = 5) -> DataFrame:
-    """Five equal-count layers over pooled rows; the last one takes the remainder."""
-    total = obs.groupBy("factor").agg(F.count(F.lit(1)).alias("_total"))
-    ranked = pooled_rank(obs.select("factor", "code", "day", "x", "y"), "x", ["factor"]).join(F.broadcast(total), "factor")
-    size = F.floor(F.col("_total") / layers)
-    layer = F.least(F.floor(F.col("rank") / size), F.lit(layers - 1))
+    """Five equal-count layers over pooled rows in (value, day, code) order; the last one takes the remainder."""
+    cut = obs.join(F.broadcast(layer_cuts(obs, layers)), "factor")
+    at = F.struct("x", "day", "code")
+    layer = sum(((at >= F.col("cut")[k]).cast("int") for k in range(layers - 1)), F.lit(1))
     names = F.array(*[F.lit(n) for n in LAYERS])
-    g = ranked.filter(F.col("_total") >= 30).groupBy("factor", F.element_at(names, (layer + 1).cast("int")).alias("layer"))
+    g = cut.groupBy("factor", F.element_at(names, layer).alias("layer"))
     return g.agg(F.avg("y").alias("avg_return"), (count_if(F.col("y") > 0) / F.count(F.lit(1))).alias("hit_rate"), F.count(F.lit(1)).alias("n"))

@@ -121,3 +121,19 @@ def test_daily_ic_of_wide_rows(spark):
 @pytest.mark.parametrize("name", ["factor_daily_ic", "factor_external", "factor_external_ids"])
 def test_cross_sections_are_exchanged_once(name, spark, sf):
     assert "windowspecdefinition(factor#" not in plan(load()[name].run(spark, sf))
+
+
+def test_layers_exchange_no_rows(spark):
+    rng = random.Random(6)
+    rows = [(f, i % 40, DAY0 + dt.timedelta(days=i // 40), rng.choice([1.0, 1.0, 2.0, rng.random()]), rng.uniform(-1, 1)) for f, n in (("f", 2003), ("g", 31), ("h", 29)) for i in range(n)]
+    df = spark.createDataFrame(rows, "factor string, code int, day date, x double, y double")
+    out = factors.layer_returns(df)
+    want = {}
+    for f in "fg":
+        mine = sorted((r for r in rows if r[0] == f), key=lambda r: (r[3], r[2], r[1]))
+        size = len(mine) // 5
+        for k, name in enumerate(factors.LAYERS):
+            part = [r[4] for r in mine[k * size : (k + 1) * size if k < 4 else None]]
+            want[(f, name)] = (len(part), pytest.approx(np.mean(part)), pytest.approx(np.mean([y > 0 for y in part])))
+    assert {(r.factor, r.layer): (r.n, r.avg_return, r.hit_rate) for r in out.collect()} == want
+    assert not re.search(r"hashpartitioning\(factor#\d+, x#", plan(out))
