@@ -12,13 +12,11 @@ from barloom import schemas
 from barloom.functions.numeric import clamp, first_non_zero, lit
 from barloom.functions.ranks import all_of, any_of
 from barloom.indicators import recurrent as rc
-from barloom.indicators import rolling as ro
 from barloom.operators.joins import unified_view
-from barloom.operators.recurrence import by_instrument
+from barloom.operators.recurrence import by_instrument, scan_blocks
 from barloom.operators.windows import Roll
 
 WARM_UP = 60
-RECIPES = ("rsi6", "rsi12", "rsi14", "macd_x0", "kdj")
 RENAME = {
     "rsi6_wilder": "rsi6",
     "rsi12_wilder": "rsi12",
@@ -32,28 +30,17 @@ RENAME = {
 def feature_table(bars: DataFrame, source: str = "kline", warm_up: int = WARM_UP) -> DataFrame:
     """One row per (code, day) after the warm-up: prices, window and recurrent indicators, flow, as-of columns.
 
-    One exchange by code serves the windows, the Arrow pass and the grouping inside it.
+    One exchange by code and one sort serve the only pass, over blocks of instruments.
     """
-    parts = [
-        ro.moving_averages.levels(),
-        ro.bollinger_pop.levels(),
-        ro.volume_ratio.levels(),
-        ro.atr_simple.levels(),
-        ro.change_rates.levels(),
-        ro.log_volatility.levels(),
-        ro.amihud.levels(),
-        ro.high_low_ratio.levels(),
-        ro.obv_zero.levels(),
-        [{"bar_no": Roll().at()}],
-    ]
-    if "net_inflow" in bars.columns:
-        parts.append(ro.fund_flow.levels())
-    # windows first: the Arrow pass only carries their columns, and nothing after it needs an exchange
-    df = ro.together(by_instrument(bars), *parts)
-    carry = [c for c in df.columns if c not in ("code", "day", "turnover", "net_inflow")]
-    df = rc.run(rc.with_inputs(df), RECIPES, carry=carry, prepared=True).withColumnsRenamed(RENAME)
+    flows = ["net_inflow"] if "net_inflow" in bars.columns else []
+    carry = [c for c in bars.columns if c not in ("code", "day", "turnover", "net_inflow")]
+    first = ["ma5", "ma10", "ma20", "ma60", "boll_mid", "volume_ratio", "change_rate5", "change_rate20", "change_rate60", "change_rate120", "high_low_ratio", "bar_no"]
+    last = ["boll_upper", "boll_lower", "atr_sma", "volatility20", "volatility60", "amihud", "obv_zero", "rsi6_wilder", "rsi12_wilder", "rsi14_wilder", "macd_x0", "kdj_k"]
+    made = [*first, *(["fund_flow5", "fund_flow20"] if flows else []), *last]
+    df = scan_blocks(by_instrument(bars), rc.feature_recipe, [*rc.FEATURE_INPUTS, *flows], made, carry=carry)
+    df = df.withColumnsRenamed(RENAME).withColumn("bar_no", F.col("bar_no").cast("int"))
     as_of = F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(15), mins=F.lit(10))
-    return df.filter(F.col("bar_no") > warm_up).drop("kdj_d", "kdj_j").withColumns(
+    return df.filter(F.col("bar_no") > warm_up).withColumns(
         {
             "data_as_of": as_of,
             "source": F.lit(source),

@@ -225,3 +225,44 @@ def before(x: np.ndarray) -> np.ndarray:
     out = np.full_like(x, np.nan)
     out[1:] = x[:-1]
     return out
+
+
+def rolling(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the last n bars, oldest first; missing until n bars are there and where one of them has no value."""
+    out = np.full_like(x, np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = 0.0
+        for j in range(n):
+            out[n - 1 :] += x[j : len(x) - n + 1 + j]
+    return out
+
+
+def rolling_std(x: np.ndarray, n: int) -> np.ndarray:
+    """Population deviation of the last n bars."""
+    out, mean = np.full_like(x, np.nan), rolling(x, n)[n - 1 :] / n
+    if len(x) >= n:
+        total = np.zeros_like(mean)
+        for j in range(n):
+            total += (x[j : len(x) - n + 1 + j] - mean) ** 2
+        out[n - 1 :] = np.sqrt(total / n)
+    return out
+
+
+def extreme(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """np.maximum or np.minimum of the last n bars, missing as in `rolling`."""
+    out = np.full_like(x, np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = x[: len(x) - n + 1]
+        for j in range(1, n):
+            out[n - 1 :] = of(out[n - 1 :], x[j : len(x) - n + 1 + j])
+    return out
+
+
+def partial(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values among the last n bars, fewer at the start; missing without any."""
+    there, total, count = ~np.isnan(x), np.zeros_like(x), np.zeros(x.shape, dtype=int)
+    x = np.where(there, x, 0.0)
+    for j in range(min(n, len(x)) - 1, -1, -1):
+        total[j:] += x[: len(x) - j]
+        count[j:] += there[: len(x) - j]
+    return np.where(count > 0, total, np.nan)

@@ -137,3 +137,28 @@ def test_layers_exchange_no_rows(spark):
             want[(f, name)] = (len(part), pytest.approx(np.mean(part)), pytest.approx(np.mean([y > 0 for y in part])))
     assert {(r.factor, r.layer): (r.n, r.avg_return, r.hit_rate) for r in out.collect()} == want
     assert not re.search(r"hashpartitioning\(factor#\d+, x#", plan(out))
+
+
+def test_feature_row_is_its_windows(spark):
+    from barloom.indicators import rolling as ro
+    from barloom.operators import features as of
+
+    rng = random.Random(21)
+    rows = []
+    for code, n in ((1, 200), (2, 61), (3, 60), (4, 130)):
+        for i in range(n):
+            p = 10 + rng.uniform(-3, 3) if code != 4 else 5.0
+            rows.append((code, DAY0 + dt.timedelta(days=i), p, p + 1, p - 1, p, rng.choice([0.0, 100.0, rng.uniform(1, 500)]), 1.0, 0.1, rng.choice([None, rng.uniform(-9, 9)])))
+    bars = spark.createDataFrame(rows, "code int, day date, open double, high double, low double, close double, volume double, amount double, turnover double, net_inflow double")
+    table = of.feature_table(bars)
+    assert "Window" not in plan(table)
+    names = "moving_averages bollinger_pop volume_ratio atr_simple change_rates log_volatility amihud high_low_ratio obv_zero fund_flow".split()
+    windows = rc.with_inputs(ro.together(bars, *[getattr(ro, n).levels() for n in names])).withColumnsRenamed({"atr_sma": "atr", "obv_zero": "obv"})
+    same = [c for c in table.columns if c in windows.columns]
+    want = {(r.code, r.day): r for r in windows.collect()}
+    got = table.collect()
+    assert len(got) == 140 + 1 + 70 and len(same) == 28
+    for r in got:
+        for c in same:
+            w = want[(r.code, r.day)][c]
+            assert r[c] == (pytest.approx(w, rel=1e-9, abs=1e-12) if isinstance(w, float) else w), c
