@@ -11,10 +11,9 @@ the similarity: no alignment that reaches it can leave the band, so the band los
 
 Buckets are never expanded whole. In every round each bucket picks a few pivots, those that meet most other texts first,
 every member is aligned with the pivots of another component, and pivots retire. Members whose bucket has become one
-component need no further comparison. Buckets that stay large are split by a second sketch. Rounds end when no bucket
-has two components left to compare, so every pair of a bucket is compared, connected otherwise, or impossible by length.
-At similarity 0.8 two texts share no sketch with a probability of about 3e-6 (long) and 4e-7 (short), and fewer than two,
-as the split of a large bucket asks for, with one of 5e-5.
+component need no further comparison. Rounds end when no bucket has two components left to compare, so every pair of a
+bucket, whatever the bucket's size, is compared, connected otherwise, or impossible by length or by `could_reach`.
+At similarity 0.8 two texts share no sketch with a probability of about 3e-6 (long) and 4e-7 (short).
 
 Null and empty texts, and texts without words, are classes of their own unless the very same row is repeated. Rows that
 repeat an id are documents of their own. The class id is the smallest id in the class (null if all are null). Exactly
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +40,8 @@ from barloom.llm.suffix_dedup import packed
 K = 5
 #: (sketches, k-mers of a sketch, fewest and most k-mers of a text)
 LONG, SHORT = (32, 5, 20, 1 << 62), (16, 2, 2, 32)
-LARGE, DEPTH, FIRST_PIVOTS = 256, 2, 16
+MOST_PIVOTS, FIRST_PIVOTS = 256, 16  # of a bucket in one round; members that are left meet the next ones
+BITS = 512
 U = np.uint64
 
 
@@ -89,19 +89,37 @@ def sketches(h: np.ndarray, family: tuple[int, int, int, int], salt: int) -> np.
     return out
 
 
+def bitmap(h: np.ndarray) -> list[int]:
+    """The places of all k-mers among `BITS` bits, as longs."""
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[(h >> U(64 - 9)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def could_reach(similarity: float) -> Column:
+    """Whether (n, bits) and (pn, pbits) can be linked. Each bit that one text has alone stands for a k-mer the other lacks,
+    and a linked text has no more of these than its k-mers beyond the least number to match: no link is lost."""
+    least = F.ceil(F.lit(similarity) * (F.col("n") + F.col("pn")) / F.lit(1 + similarity) - F.lit(1e-9))
+
+    def alone(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(BITS // 64)), F.lit(0))
+
+    return (alone("bits", "pbits") <= F.col("n") - least) & (alone("pbits", "bits") <= F.col("pn") - least)
+
+
 def described(rows: DataFrame) -> DataFrame:
-    """(_id, _rk, node, rest, n, sketch): content hash, number of k-mers and sketches of every row of (_id, _rk, _text)."""
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("rest", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    """(_id, _rk, node, rest, n, sketch, bits): content hash, number of k-mers, sketches and bitmap of every row of (_id, _rk, _text)."""
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("rest", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
-    def one(text: str | None, identity: tuple) -> tuple[int, int, int, list[int]]:
+    def one(text: str | None, identity: tuple) -> tuple[int, int, int, list[int], list[int]]:
         w = words_of(text)
         if not w:  # without words only the very same row is equal
             d = hashlib.blake2b(repr(identity).encode(), digest_size=16, person=b"no words").digest()
-            return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), 0, []
+            return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), 0, [], []
         d = hashlib.blake2b(b" ".join(w), digest_size=16).digest()
         h = kmers(w)
         keys = np.concatenate([sketches(h, LONG, 0), sketches(h, SHORT, 1000)]).view(np.int64).tolist()
-        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(h), keys
+        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(h), keys, bitmap(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,7 +128,7 @@ def described(rows: DataFrame) -> DataFrame:
                 ids, rks, texts = (c.to_pylist() for c in batch.columns)
                 with np.errstate(over="ignore"):
                     done = [one(t, (i, r)) for i, r, t in zip(ids, rks, texts, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -200,40 +218,29 @@ def with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets that hold two components or more, with their component and the bucket's size."""
+    """Members of buckets that hold two components or more, with their component."""
     placed = with_component(members, labels)
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size"))
-    return placed.join(open_.filter("c1 < c2").select("bucket", "size"), "bucket").select("bucket", "own", "node", "n", "deg", "comp", "size")
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    return placed.join(open_.filter("c1 < c2").select("bucket"), "bucket").select("bucket", "node", "n", "bits", "deg", "comp")
 
 
 def round_of(members: DataFrame, similarity: float, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of one round over unsettled members (bucket, own, node, n, comp), and the members but the pivots."""
+    """Candidate pairs of one round over unsettled members (bucket, node, n, bits, deg, comp), and the members but the pivots."""
     # the text that meets most others comes first: the original of many copies shares more sketches with them than they
     # share with each other, so one round connects its copies. Spark keeps the first `pivots` of a bucket in every task
-    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("deg"), "node"))).filter(F.col("r") <= pivots)
-    heads = cut(ranked.select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")))
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("deg"), "node")))
+    heads = cut(ranked.filter(F.col("r") <= pivots).select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("comp").alias("pc")))
     met = members.join(heads, "bucket").filter("node <> p and comp <> pc")
     fits = F.least("n", "pn") >= F.lit(similarity) * F.greatest("n", "pn")
-    pairs = met.filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    rest = members.join(heads.select("bucket", F.col("p").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "own", "node", "n", "deg")
-    return pairs, rest
-
-
-def split_large(members: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Large buckets become one bucket for each further sketch that some of their members share; others stay."""
-    wide = (F.col("size") > LARGE) & (F.size("own") < DEPTH)
-    finer = members.filter(wide).join(sketch, "node").select("bucket", "own", "node", "n", "deg", F.explode(F.array_except("sketch", "own")).alias("s"))
-    finer = finer.select(F.xxhash64("bucket", "s").alias("bucket"), F.array_append("own", F.col("s")).alias("own"), "node", "n", "deg")
-    crowded = finer.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    return members.filter(~wide).select("bucket", "own", "node", "n", "deg").unionByName(finer.join(crowded, "bucket").select("bucket", "own", "node", "n", "deg"))
+    pairs = met.filter(fits & could_reach(similarity)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    return pairs, ranked.filter(F.col("r") > pivots).select("bucket", "node", "n", "bits", "deg")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(_id, _rk, class_id, class_size, first): one row per document row; first marks the rows of the class's first document."""
     rows = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("_text"))
     facts = stored(described(rows))
-    contents = stored(facts.groupBy("node", "rest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("_id", "_rk")).alias("one"), F.min("_id").alias("low"), F.count("*").alias("copies")))
-    sketch = contents.filter("n > 0").select("node", "sketch")
+    contents = stored(facts.groupBy("node", "rest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.min(F.struct("_id", "_rk")).alias("one"), F.min("_id").alias("low"), F.count("*").alias("copies")))
     spread = contents.select("node", "n", F.explode("sketch").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     members = stored(spread.join(crowded, "bucket").select("bucket", "node", "n"))
@@ -244,19 +251,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     labels: DataFrame | None = None
     pivots = 1
     mates = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").groupBy("node").agg(F.sum("size").alias("deg"))
-    members = cut(unsettled(members.join(mates, "node").withColumn("own", F.array("bucket")), None))
+    # contents are told apart by more than a node; any of a node's will do, as for its text
+    bits = contents.filter("n > 0").groupBy("node").agg(F.first("bits").alias("bits"))
+    members = cut(unsettled(members.join(mates, "node").join(bits, "node"), None))
     while True:
         pairs, rest = round_of(members, similarity, pivots)
         found = cut(verified(pairs, texts, similarity))
         links = found if links is None else links.unionByName(found)
         labels = components(links) if pivots == 1 or not found.isEmpty() else labels
         members = cut(unsettled(rest, labels))
-        left = members.agg(F.count("*").alias("n"), F.max((F.size("own") < DEPTH).cast("int") * F.col("size")).alias("large")).first()
-        if not left["n"]:
+        if members.isEmpty():
             break
-        if left["large"] > LARGE:
-            members = cut(unsettled(split_large(members, sketch), labels))
-        pivots = min(LARGE, max(FIRST_PIVOTS, 4 * pivots))
+        pivots = min(MOST_PIVOTS, max(FIRST_PIVOTS, 4 * pivots))
     comp = with_component(contents.select("node", "rest", "one", "low", "copies"), labels)
     per_class = comp.groupBy("comp").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"), F.min("one").alias("head"))
     named = comp.join(per_class, "comp").select("node", "rest", "class_id", "class_size", "head")

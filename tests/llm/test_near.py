@@ -134,3 +134,42 @@ def test_alignment():
 def test_sketches_of_repeated_words():
     h = nd.kmers(words_of("same " * 50))
     assert len(set(h.tolist())) == 46
+
+
+def test_a_pair_of_one_sketch_is_linked_in_a_bucket_of_any_size(spark, monkeypatch):
+    """Two texts share one sketch with hundreds of others that are unlike them, and no other sketch."""
+    rng = random.Random(77)
+
+    def one(sizes):
+        pair = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows = [" ".join(pair), " ".join([*pair[:58], "x", "y"])] + [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) for _ in range(sizes)]
+        return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+    from pyspark.sql import functions as F
+
+    found = nd.described
+
+    def few(rows):
+        # sketches of its own for every text, and one for all
+        return found(rows).withColumn("sketch", F.array(F.lit(5).cast("long"), F.col("node")))
+
+    monkeypatch.setattr(nd, "described", few)
+    for size in (3, 300):
+        got = {r.doc_id: r.class_id for r in nd.digest(one(size)).collect()}
+        assert got == {i: max(0, i - (i == 1)) for i in range(size + 2)}
+
+
+def test_could_reach_loses_no_link(spark):
+    rng = np.random.default_rng(5)
+    rows, linked = [], []
+    for n in (3, 20, 60, 300, 900):
+        for share in (0, 1, 2, 5, 9, 11, 13, 20, 50):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            k = n * share // 100
+            b[rng.choice(n, k, replace=False)] = rng.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2)
+            rows.append((len(rows), n, nd.bitmap(a * np.uint64(2)), n, nd.bitmap(b * np.uint64(2))))
+            linked.append(nd.aligned(a, b, 0.8) >= 0.8)
+    df = spark.createDataFrame(rows, "i int, n int, bits array<long>, pn int, pbits array<long>")
+    could = [r.c for r in df.select("i", nd.could_reach(0.8).alias("c")).orderBy("i").collect()]
+    assert all(c for c, l in zip(could, linked, strict=True) if l) and not all(could)
