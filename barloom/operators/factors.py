@@ -19,7 +19,7 @@ from barloom.operators.windows import Roll, average_rank, cumulative_counts, qua
 LAYERS = ("bottom", "low", "middle", "high", "top")
 
 
-def wide_observations(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
+def forward_returns(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
     """(code, day, sector, y, one column a factor); y is the return `horizon` rows ahead, and both closes are positive."""
     r = Roll()
     f = features.withColumn("_future", r.lead("close", horizon)).filter((F.col("close") > 0) & (F.col("_future") > 0))
@@ -29,9 +29,17 @@ def wide_observations(features: DataFrame, sectors: DataFrame | None, factors: S
     else:
         f = f.withColumn("sector", F.lit("unknown"))
     f = f.withColumn("sector", F.coalesce("sector", F.lit("unknown")))
-    # flow and volume factors drop zeros
-    values = [F.when(F.col(c) != 0, F.col(c)) if "flow" in c or "volume" in c else F.col(c) for c in factors]
-    return f.select("code", "day", "sector", "y", *[v.cast("double").alias(c) for c, v in zip(factors, values)])
+    return f.select("code", "day", "sector", "y", *[F.col(c).cast("double").alias(c) for c in factors])
+
+
+def without_zeros(wide: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Flow and volume factors drop zeros."""
+    return wide.withColumns({c: F.when(F.col(c) != 0, F.col(c)) if "flow" in c or "volume" in c else F.col(c) for c in factors})
+
+
+def wide_observations(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
+    """`forward_returns` as observations: a factor that drops zeros has no value there."""
+    return without_zeros(forward_returns(features, sectors, factors, horizon), factors)
 
 
 def long_form(wide: DataFrame, factors: Sequence[str]) -> DataFrame:

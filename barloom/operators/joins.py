@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,20 +161,64 @@ def range_stats(bars: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Moments (n, mean x, mean y, xx, yy, xy) of two sets of rows as one; equal means stay as they are."""
+    if not a[0] or not b[0]:
+        return b if b[0] else a
+    n = a[0] + b[0]
+    dx, dy, w = b[1] - a[1], b[2] - a[2], a[0] * b[0] / n
+    return n, a[1] + dx * b[0] / n, a[2] + dy * b[0] / n, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> tuple:
+    """Moments of one set of rows, taken from its first row, so a constant has no spread at all."""
+    if not len(x):
+        return 0, 0.0, 0.0, 0.0, 0.0, 0.0
+    mx, my = x[0] + (x - x[0]).mean(), y[0] + (y - y[0]).mean()
+    u, v = x - mx, y - my
+    return len(x), float(mx), float(my), float(u @ u), float(v @ v), float(u @ v)
+
+
 def pair_correlations(wide: DataFrame, columns: Sequence[str], min_rows: int = 3) -> DataFrame:
     """Correlation of every column pair over rows where both are present; 0 below min_rows or without variance.
 
-    The columns already meet on their keys, so all pairs come from one aggregation, not a self-join.
+    The columns already meet on their keys, so all pairs come from one pass, not a self-join: a task sums up its rows in
+    one row a pair, and only those meet. As one aggregation, dozens of moments a row outgrew compiled code.
     """
     pairs = list(combinations(columns, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), lit(0))
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.when(F.count(x) >= min_rows, F.coalesce(F.covar_pop(x, y) / spread, lit(0))).otherwise(lit(0)).alias("rho")).alias(f"p{i}"))
-    one = wide.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
+    names = ("n", "mx", "my", "xx", "yy", "xy")
+    schema = "a string, b string, n bigint, " + ", ".join(f"{c} double" for c in names[1:])
+
+    def rows(found: Mapping[tuple[str, str], tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(*k, *v) for k, v in found.items()], strict=True), kinds, strict=True)], names=["a", "b", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = dict.fromkeys(pairs, (0, 0.0, 0.0, 0.0, 0.0, 0.0))
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                there = [c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]
+                held = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                for (i, j), k in zip(combinations(range(len(held)), 2), pairs, strict=True):
+                    both = there[i] & there[j]
+                    found[k] = _merged(found[k], _moments(held[i][both], held[j][both]))
+        yield rows(found)
+
+    def correlation(table: pa.Table) -> pa.Table:
+        all_ = (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        with np.errstate(all="ignore"):
+            for part in sorted(zip(*[table.column(c).to_pylist() for c in names], strict=True)):
+                all_ = _merged(all_, part)
+            n, _, _, xx, yy, xy = all_
+            spread = np.sqrt(xx / max(n, 1)) * np.sqrt(yy / max(n, 1))
+            rho = float(xy / n / spread) if n >= min_rows and spread != 0 else 0.0
+        return pa.table({"a": table.column("a").slice(0, 1), "b": table.column("b").slice(0, 1), "n": pa.array([n], pa.int64()), "rho": pa.array([rho], pa.float64())})
+
+    parts = wide.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(run, schema)
+    # a frame without partitions still has its pairs
+    none = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    none = wide.sparkSession.range(1).select(F.explode(none).alias("p")).select("p.*", F.lit(0).cast("bigint").alias("n"), *[lit(0).cast("double").alias(c) for c in names[1:]])
+    return parts.unionByName(none).groupBy("a", "b").applyInArrow(correlation, "a string, b string, n bigint, rho double")
 
 
 def with_scenarios(df: DataFrame, name: str, scenarios: Sequence[tuple[str, float]]) -> DataFrame:

@@ -162,3 +162,22 @@ def test_feature_row_is_its_windows(spark):
         for c in same:
             w = want[(r.code, r.day)][c]
             assert r[c] == (pytest.approx(w, rel=1e-9, abs=1e-12) if isinstance(w, float) else w), c
+
+
+def test_pairs_are_summed_up_in_the_tasks(spark):
+    rng = random.Random(5)
+    rows = [(rng.gauss(1e6, 1), rng.choice([None, rng.gauss(0, 1)]), 0.1, None) for _ in range(3000)]
+    rows = [(a, None if b is None else b + a - 1e6, c, d) for a, b, c, d in rows]
+    wide = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    got = {(r.a, r.b): (r.n, r.rho) for r in oj.pair_correlations(wide, ["a", "b", "c", "d"]).collect()}
+    both = np.array([(a, b) for a, b, _, _ in rows if b is not None])
+    assert got["a", "b"] == (len(both), pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9))
+    assert got["a", "c"] == (3000, 0.0) and got["b", "c"] == (len(both), 0.0) and got["c", "d"] == (0, 0.0)
+    none = oj.pair_correlations(wide.filter("a < 0"), ["a", "b", "c"]).collect()
+    assert {(r.a, r.b, r.n, r.rho) for r in none} == {("a", "b", 0, 0.0), ("a", "c", 0, 0.0), ("b", "c", 0, 0.0)}
+    assert "covar" not in plan(oj.pair_correlations(wide, ["a", "b"]))  # no aggregation with a state of dozens of moments
+
+
+def test_selection_makes_its_summary_once(spark, sf):
+    text = plan(load()["factor_selection"].run(spark, sf))
+    assert "FlatMapGroupsInArrow" not in text and "MapInArrow" not in text and "Window" not in text
