@@ -182,27 +182,34 @@ def zone_step(state: tuple[float, float], seconds: float, price: float, bound: f
 
 
 def _zone_rows(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    now = state.get if state.exists else (0.0, 0.0)
+    # most keys have a few rows a trigger, where frames cost more than rows: they are sorted as tuples, and no empty one is made
+    rows = sorted(r for f in frames for r in zip(*(f[c] for c in ("ts", "event_id", "price", *ZONES))))
+    held = state.get if state.exists else (0.0, 0.0) * len(ZONES)
+    now = dict(zip(ZONES, zip(held[::2], held[1::2])))
     fired = []
-    for event_id, ts, price, bound in zip(rows["event_id"], rows["ts"], rows["price"], rows["bound"]):
-        now, hit = zone_step(now, ts.timestamp(), price, bound, key[2])
-        if hit:
-            fired.append((*key, event_id, ts, price))
-    state.update(now)
-    yield pd.DataFrame(fired, columns=["code", "rec", "zone", "event_id", "ts", "price"])
+    for ts, event_id, price, *bounds in rows:
+        seconds = ts.timestamp()
+        for zone, bound in zip(ZONES, bounds):
+            if bound > 0:
+                now[zone], hit = zone_step(now[zone], seconds, price, bound, zone)
+                if hit:
+                    fired.append((*key, zone, event_id, ts, price))
+    state.update(tuple(x for pair in now.values() for x in pair))
+    if fired:
+        yield pd.DataFrame(fired, columns=["code", "rec", "zone", "event_id", "ts", "price"])
 
 
 def zone_alerts(ticks: DataFrame, recommendations: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Alerts per (instrument, recommendation, zone) of a tick stream against static bounds; a bound of 0 is no zone.
 
-    The key is as fine as the state, so one trigger brings a key the ticks of one instrument only.
+    A key is one recommendation with the state of its zones. One trigger brings it the ticks of one instrument only, each
+    tick once for all zones: a group costs more than its few rows, so zones are no keys of their own.
     """
-    bounds = F.array(*[F.struct(F.lit(z).alias("zone"), F.col(z).cast("double").alias("bound")) for z in ZONES])
-    static = recommendations.select("code", "rec", F.explode(bounds).alias("b")).select("code", "rec", "b.*").filter("bound > 0")
-    rows = ticks.withWatermark("ts", delay).filter("price > 0").join(static, "code").select("code", "rec", "zone", "event_id", "ts", "price", "bound")
-    return rows.groupBy("code", "rec", "zone").applyInPandasWithState(
-        _zone_rows, "code long, rec long, zone string, event_id long, ts timestamp, price double", "last double, sent double", "append", GroupStateTimeout.NoTimeout
+    static = recommendations.select("code", "rec", *[F.col(z).cast("double").alias(z) for z in ZONES]).filter(F.greatest(*[F.coalesce(z, lit(0)) for z in ZONES]) > 0)
+    rows = ticks.withWatermark("ts", delay).filter("price > 0").join(static, "code").select("code", "rec", *ZONES, "event_id", "ts", "price")
+    held = ", ".join(f"{z}_last double, {z}_sent double" for z in ZONES)
+    return rows.groupBy("code", "rec").applyInPandasWithState(
+        _zone_rows, "code long, rec long, zone string, event_id long, ts timestamp, price double", held, "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -77,6 +77,23 @@ def test_zone_steps():
     assert run("cost", 5.0, [(1, 5.0), (2, 4.9)]) == [False, True]
 
 
+def test_a_tick_meets_a_recommendation_once(spark, folder):
+    """All zones of a recommendation are one group and get a tick as one row, a zone without a bound none at all."""
+    e = st.events_stream(spark, folder).select("event_id", "ts", F.col("user_id").alias("code"), F.col("value").alias("price"))
+    codes = spark.read.parquet(f"{folder}/events.parquet").select(F.col("user_id").alias("code")).distinct()
+    recs = codes.select("code", F.lit(7).cast("long").alias("rec"), F.lit(5).alias("buy"), F.lit(0).alias("profit"), F.lit(None).cast("int").alias("loss"), F.lit(20).alias("cost"))
+    alerts = st.zone_alerts(e, recs)
+    assert "explode" not in alerts._jdf.queryExecution().analyzed().toString()
+    got = {(r.code, r.rec, r.zone, r.event_id) for r in st.run_to_table(alerts, mode="append").collect()}
+    want, states = set(), {}
+    for r in spark.read.parquet(f"{folder}/events.parquet").orderBy("ts", "event_id").collect():
+        for zone, bound in (("buy", 5.0), ("cost", 20.0)) if r.value > 0 else ():
+            s, hit = st.zone_step(states.get((r.user_id, zone), (0.0, 0.0)), r.ts.timestamp(), r.value, bound, zone)
+            states[r.user_id, zone] = s
+            want |= {(r.user_id, 7, zone, r.event_id)} if hit else set()
+    assert got == want and want
+
+
 def test_advice_steps():
     assert st.advice_step("", "BUY", "hold") is None and st.advice_step("BUY", "BUY", "hold") is None
     assert st.advice_step("BUY", "SELL", "hold") == ("BUY", "SELL", "high")
