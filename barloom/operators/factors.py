@@ -254,6 +254,10 @@ def preprocess_stats(prepared: DataFrame) -> DataFrame:
         F.when(live, F.avg(z * z * z)).otherwise(lit(0)).alias("skewness"),
         F.when(live, F.avg(z * z * z * z) - lit(3)).otherwise(lit(0)).alias("kurtosis"),
     )
+    return _mean_stats(day)
+
+
+def _mean_stats(day: DataFrame) -> DataFrame:
     return day.groupBy("factor").agg(
         F.sum("n").alias("observations"),
         F.count(F.lit(1)).alias("days"),
@@ -261,6 +265,38 @@ def preprocess_stats(prepared: DataFrame) -> DataFrame:
     )
 
 
+def wide_preprocess_stats(wide: DataFrame, factors: Sequence[str], low: float = 0.01, high: float = 0.99, min_rows: int = 3) -> DataFrame:
+    """`preprocess_stats` of `preprocess` of wide observations: a day's cross-section goes to one task once for all
+    factors, and no row leaves it."""
+    names = list(factors)
+    measures = ("mean", "std", "skewness", "kurtosis")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        with np.errstate(all="ignore"):
+            for c in names:
+                x = table.column(c).drop_null().to_numpy()
+                n = len(x)
+                if n < min_rows:
+                    continue
+                if n >= 10:
+                    places = [int(np.floor((n - 1) * p)) for p in (low, high)]
+                    bounds = np.partition(x, places)[places]  # NaN is the largest value, as in greatest and least
+                    x = np.maximum(np.fmin(x, bounds[1]), bounds[0])
+                # from the first value, so a constant has no spread at all
+                mean = x[0] + (x - x[0]).mean()
+                off = x - mean
+                sd = float(np.sqrt((off * off).sum() / (n - 1))) if n > 1 else 0.0
+                z = off / sd if sd >= 1e-10 or sd != sd else np.zeros(n)
+                live = sd > 1e-10 or sd != sd
+                rows.append((c, n, float(mean), sd, float((z**3).mean()) if live else 0.0, float((z**4).mean() - 3) if live else 0.0))
+        kinds = [pa.string(), pa.int64(), *[pa.float64()] * 4]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["factor", "n", *measures])
+
+    schema = "factor string, n bigint, " + ", ".join(f"{m} double" for m in measures)
+    return _mean_stats(wide.select("day", *names).groupBy("day").applyInArrow(run, schema))
+
+
 def redundant_pairs(pairs: DataFrame, summary: DataFrame, limit: float = 0.70) -> DataFrame:
     """Strongly correlated factor pairs with the one to keep (larger absolute IC)."""
     ic = summary.select("factor", F.abs("ic").alias("_ic"))

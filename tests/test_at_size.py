@@ -8,6 +8,7 @@ import statistics
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.indicators import recurrent as rc
 from barloom.operators import factors
@@ -181,3 +182,14 @@ def test_pairs_are_summed_up_in_the_tasks(spark):
 def test_selection_makes_its_summary_once(spark, sf):
     text = plan(load()["factor_selection"].run(spark, sf))
     assert "FlatMapGroupsInArrow" not in text and "MapInArrow" not in text and "Window" not in text
+
+
+def test_preprocess_stats_of_wide_rows(spark):
+    wide, names = _wide(spark).withColumn("d", F.when(F.col("code") < 7, F.col("y"))).withColumn("e", F.when(F.col("code") == 1, F.lit(float("nan"))).otherwise(F.col("y"))), ["a", "b", "c", "d", "e"]
+    measures = ("mean", "std", "skewness", "kurtosis")
+    want = {r.factor: (r.observations, r.days, [pytest.approx(r[m], abs=1e-9, nan_ok=True) for m in measures]) for r in factors.preprocess_stats(factors.preprocess(factors.long_form(wide, names))).collect()}
+    assert {r.factor: (r.observations, r.days, [r[m] for m in measures]) for r in factors.wide_preprocess_stats(wide, names).collect()} == want
+
+
+def test_stats_exchange_a_day_once(spark, sf):
+    assert "windowspecdefinition(factor#" not in plan(load()["factor_stats"].run(spark, sf))
