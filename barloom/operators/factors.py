@@ -15,6 +15,7 @@ from barloom.operators.aggregates import pearson
 from barloom.operators.features import column_of
 from barloom.operators.joins import point_in_time, unified_view
 from barloom.operators.windows import Roll, average_rank, cumulative_counts, quantiles
+from barloom.sources.sinks import materialized
 
 LAYERS = ("bottom", "low", "middle", "high", "top")
 
@@ -133,10 +134,10 @@ def wide_daily_ic(wide: DataFrame, factors: Sequence[str], min_rows: int = 3) ->
     return wide.select("day", "y", *names).groupBy("day").applyInArrow(run, schema)
 
 
-def wide_recent(wide: DataFrame, factors: Sequence[str], share: float = 0.30) -> DataFrame:
-    """`recent_share` of wide observations: values before each factor's cut are taken away.
+def recent_cuts(wide: DataFrame, factors: Sequence[str], share: float = 0.30) -> DataFrame:
+    """(factor, day, code) of the first row of each factor's recent share in (day, code) order.
 
-    The cut is the (day, code) of its first recent row. Counts by day name the day, and only that day's rows are ordered.
+    Counts by day name the day, and only that day's rows are ordered.
     """
     names = list(factors)
     days = wide.groupBy("day").agg(*[F.count(c).alias(c) for c in names]).unpivot(["day"], names, "factor", "_n").filter("_n > 0")
@@ -145,10 +146,32 @@ def wide_recent(wide: DataFrame, factors: Sequence[str], share: float = 0.30) ->
     place = F.floor(F.col("_total") * lit(1 - share)) - F.col("_before")
     cuts = days.withColumn("_place", place).filter("_place >= 0 AND _place < _n").select("factor", "day", "_place")
     inside = Window.partitionBy("factor", "day").orderBy("code")
-    # one row per factor, and one row of all cuts
+    # one row per factor
     first = long_form(wide.select("code", "day", *names), names).join(F.broadcast(cuts), ["factor", "day"])
-    first = first.withColumn("_i", F.row_number().over(inside) - 1).filter("_i = _place")
-    cut = first.agg(*[F.max(F.when(F.col("factor") == c, F.struct("day", "code"))).alias(f"_{c}") for c in names])
+    return first.withColumn("_i", F.row_number().over(inside) - 1).filter("_i = _place").select("factor", "day", "code")
+
+
+def from_cuts(wide: DataFrame, factors: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """Wide observations of the days that hold a cut, without the values before it."""
+    names = list(factors)
+    # one row of all cuts
+    cut = cuts.agg(*[F.max(F.when(F.col("factor") == c, F.struct("day", "code"))).alias(f"_{c}") for c in names])
+    of = wide.join(F.broadcast(cuts.select("day").distinct()), "day").join(F.broadcast(cut), F.lit(True))
+    held = {c: F.when((F.col("day") == F.col(f"_{c}.day")) & (F.col("code") >= F.col(f"_{c}.code")), F.col(c)) for c in names}
+    return of.withColumns(held).drop(*[f"_{c}" for c in names])
+
+
+def wide_recent_daily_ic(wide: DataFrame, factors: Sequence[str], daily: DataFrame, share: float = 0.30) -> DataFrame:
+    """`wide_daily_ic` of `wide_recent` from the daily ICs of all rows: only days that hold a factor's cut are made again."""
+    cuts = materialized(recent_cuts(wide, factors, share))
+    after = daily.join(F.broadcast(cuts.select("factor", F.col("day").alias("_cut"))), "factor").filter("day > _cut").drop("_cut")
+    return after.unionByName(wide_daily_ic(from_cuts(wide, factors, cuts), factors))
+
+
+def wide_recent(wide: DataFrame, factors: Sequence[str], share: float = 0.30) -> DataFrame:
+    """`recent_share` of wide observations: values before each factor's cut are taken away."""
+    names = list(factors)
+    cut = recent_cuts(wide, names, share).agg(*[F.max(F.when(F.col("factor") == c, F.struct("day", "code"))).alias(f"_{c}") for c in names])
     at = F.struct("day", "code")
     later = wide.join(F.broadcast(cut), F.lit(True)).filter(F.col("day") >= F.least(*[F.col(f"_{c}.day") for c in names], F.col(f"_{names[0]}.day")))
     return later.withColumns({c: F.when(at >= F.col(f"_{c}"), F.col(c)) for c in names}).drop(*[f"_{c}" for c in names])
@@ -180,7 +203,8 @@ def _mean_ic(daily: DataFrame, suffix: str = "") -> DataFrame:
 
 def wide_ic_summary(wide: DataFrame, factors: Sequence[str]) -> DataFrame:
     """`ic_summary` of wide observations, which are read several times."""
-    return ic_summary(long_form(wide, factors), wide_daily_ic(wide, factors), wide_daily_ic(wide_recent(wide, factors), factors))
+    daily = materialized(wide_daily_ic(wide, factors))
+    return ic_summary(long_form(wide, factors), daily, wide_recent_daily_ic(wide, factors, daily))
 
 
 def ic_summary(obs: DataFrame, daily: DataFrame | None = None, recent_daily: DataFrame | None = None) -> DataFrame:

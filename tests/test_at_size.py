@@ -184,6 +184,16 @@ def test_selection_makes_its_summary_once(spark, sf):
     assert "FlatMapGroupsInArrow" not in text and "MapInArrow" not in text and "Window" not in text
 
 
+def test_recent_daily_ic_makes_cut_days_again_only(spark):
+    wide, names = _wide(spark), ["a", "b", "c"]
+    daily = factors.wide_daily_ic(wide, names)
+    want = {(r.factor, r.day): (r.n, pytest.approx(r.ic, abs=1e-12), pytest.approx(r.rank_ic, abs=1e-12)) for r in factors.daily_ic(factors.recent_share(factors.long_form(wide, names))).collect()}
+    assert {(r.factor, r.day): (r.n, r.ic, r.rank_ic) for r in factors.wide_recent_daily_ic(wide, names, daily).collect()} == want
+    cuts = factors.recent_cuts(wide, names)
+    held = factors.from_cuts(wide, names, cuts)
+    assert held.select("day").distinct().count() == cuts.select("day").distinct().count() < 20
+
+
 def test_preprocess_stats_of_wide_rows(spark):
     wide, names = _wide(spark).withColumn("d", F.when(F.col("code") < 7, F.col("y"))).withColumn("e", F.when(F.col("code") == 1, F.lit(float("nan"))).otherwise(F.col("y"))), ["a", "b", "c", "d", "e"]
     measures = ("mean", "std", "skewness", "kurtosis")
