@@ -297,7 +297,8 @@ def _scenarios(spark, sf, f):
 )
 def parameter_stability(spark, sf):
     """The rule over all instruments: its own run and both perturbed ones."""
-    rep = stb.stress_report(_scenarios(spark, sf, stored_features(spark, sf))).filter(F.col("scenario").isin(list(stb.THRESHOLDS)))
+    # the features are read once, by the trades, which are stored
+    rep = stb.stress_report(_scenarios(spark, sf, features(spark, sf))).filter(F.col("scenario").isin(list(stb.THRESHOLDS)))
     base = rep.filter("scenario = 'base'").select(F.col("avg_return").alias("_a"), F.col("max_drawdown").alias("_d"))
     ok = (F.col("avg_return") > 0) & (F.col("avg_return") >= F.col("_a") * 0.5) & (F.col("max_drawdown") <= F.greatest(lit(0.25), F.col("_d") * lit(1.5)))
     j = rep.crossJoin(F.broadcast(base))

@@ -203,3 +203,13 @@ def test_preprocess_stats_of_wide_rows(spark):
 
 def test_stats_exchange_a_day_once(spark, sf):
     assert "windowspecdefinition(factor#" not in plan(load()["factor_stats"].run(spark, sf))
+
+
+def test_stability_stores_the_trades_alone(spark, sf, monkeypatch):
+    from barloom.plans import backtest, features
+
+    stored = []
+    for plans in (backtest, features):
+        monkeypatch.setattr(plans, "materialized", lambda df: stored.append(df.columns) or df)
+    load()["parameter_stability"].run(spark, sf)
+    assert len(stored) == 1 and "net_return" in stored[0]
