@@ -6,15 +6,18 @@ run in parallel and the result does not depend on their order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.codes import pays_stamp_duty
 from barloom.functions.numeric import clamp, floor_lot, lit, safe_ratio
 from barloom.functions.ranks import count_if
+from barloom.operators.recurrence import BLOCK
 from barloom.operators.windows import Roll
 
 # fixed values: default cost model
@@ -27,56 +30,129 @@ def barrier_trades(df: DataFrame, stop_loss: float, stop_gain: float, max_hold:
     Entry is the next bar's open if that bar is tradable. From the bar after entry on: a stop
     before a gain on the same bar, gaps fill at the open, an exit condition fills at the next
     open, and the last allowed bar closes the trade. Needs entry_matched, exit_matched and
-    tradable columns. Only the next max_hold + 2 bars are looked at, held in a fixed-size
-    window array, so no signal-by-bar join is made.
+    tradable columns. Only the next max_hold + 2 bars are looked at, in the bars' own order,
+    so no signal-by-bar join is made and no bar is copied for a signal.
     """
-    stop, gain = min(max(stop_loss, 0.03), 0.15), min(max(stop_gain, 0.02), 0.30)
-    df = ahead(df, max_hold, "exit_matched").filter("entry_matched")
-    return closed(df, lit(1 - stop), lit(1 + gain), max_hold, lambda bar: bar["exit_matched"])
-
-
-def ahead(df: DataFrame, max_hold: int, exits: str) -> DataFrame:
-    """Adds _next: the next max_hold + 2 bars, each with its exit condition (or conditions)."""
-    bars = F.collect_list(F.struct("day", "open", "high", "low", "close", "volume", "tradable", exits))
-    return df.withColumn("_next", bars.over(Roll().base.rowsBetween(1, max_hold + 2)))
-
-
-def closed(df: DataFrame, stop: Column, gain: Column, max_hold: int, exits: Callable[[Column], Column], keep: Sequence[str] = ()) -> DataFrame:
-    """Trades of the signals in df, from the bars ahead; stop and gain are shares of the entry price."""
-    df = df.withColumn("_e", F.get("_next", F.lit(0))).filter(F.col("_e.tradable") & (F.col("_e.open") > 0))
-    price = F.col("_e.open")
-    stop_at, gain_at = price * stop, price * gain
-
-    def outcome(bar: Column, i: Column) -> Column:
-        """What bar i after entry does to the trade, or null."""
-        nxt = F.get("_next", i + 1)
-
-        def out(reason: str, day: Column, px: Column, held: Column) -> Column:
-            return F.struct(F.lit(reason).alias("reason"), day.alias("day"), px.alias("price"), held.cast("int").alias("held"))
-
-        by_rule = F.when(nxt.isNotNull(), out("exit_condition", nxt["day"], nxt["open"], i + 1))
-        return (
-            F.when(i == 0, None)
-            .when((bar["low"] > 0) & (bar["low"] <= stop_at), out("stop_loss", bar["day"], F.when((bar["open"] > 0) & (bar["open"] < stop_at), bar["open"]).otherwise(stop_at), i))
-            .when((bar["high"] > 0) & (bar["high"] >= gain_at), out("stop_gain", bar["day"], F.when(bar["open"] > gain_at, bar["open"]).otherwise(gain_at), i))
-            .when(exits(bar), by_rule)
-            .when(i >= max_hold, out("max_hold_days", bar["day"], bar["close"], i))
-        )
-
-    within = F.slice("_next", 1, max_hold + 1)
-    df = df.withColumn("_x", F.get(F.filter(F.transform(within, outcome), lambda o: o.isNotNull()), F.lit(0)))
-    return df.filter("_x IS NOT NULL").select(
-        *keep,
-        "code",
-        F.col("day").alias("signal_day"),
-        F.col("_e.day").alias("buy_day"),
-        F.col("_x.day").alias("sell_day"),
-        price.alias("buy_price"),
-        F.col("_x.price").alias("sell_price"),
-        F.col("_x.reason").alias("reason"),
-        F.col("_x.held").alias("hold_days"),
-        F.col("_e.volume").alias("buy_volume"),
-        (F.col("_x.price") / price - lit(1)).alias("return_rate"),
+    return walked(df, [F.col("entry_matched")], [F.col("exit_matched")], [limits(stop_loss, stop_gain)], max_hold).drop("at")
+
+
+def limits(stop_loss: float, stop_gain: float) -> tuple[float, float]:
+    """Stop and gain, held in the range of a trade, as shares of the entry price."""
+    return 1 - min(max(stop_loss, 0.03), 0.15), 1 + min(max(stop_gain, 0.02), 0.30)
+
+
+def walked(df: DataFrame, entries: Sequence[Column], exits: Sequence[Column], shares: Sequence[tuple[float, float]], max_hold: int) -> DataFrame:
+    """Trades of every variant, `at` being its place in the lists; shares are its stop and gain as those of the entry price.
+
+    The bar number is a window by code, so a task gets whole instruments in time order and steps all their signals on by
+    one bar at a time; it holds one block and the start of the next.
+    """
+    flags = {**{f"_in{k}": c for k, c in enumerate(entries)}, **{f"_out{k}": c for k, c in enumerate(exits)}}
+    prices = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]
+    bars = df.select("code", "day", *prices, "volume", "tradable", *[c.alias(n) for n, c in flags.items()], Roll().at().alias("_ix"))
+    kinds = dict(bars.dtypes)
+    schema = f"at int, code {kinds['code']}, signal_day {kinds['day']}, buy_day {kinds['day']}, sell_day {kinds['day']}, buy_price double, sell_price double, reason string, hold_days int, buy_volume {kinds['volume']}, return_rate double"
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for k, (stop, gain) in enumerate(shares):
+            yield from outcomes(table, k, stop, gain, max_hold).to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches):
+            yield from done(table)
+
+    return bars.mapInArrow(run, schema)
+
+
+def whole_series(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[pa.Table]:
+    """Tables of whole instruments, of some `rows` rows, from batches in which `_ix` starts again at 1 for each."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            whole = int(np.flatnonzero(table.column("_ix").to_numpy() == 1)[-1])
+            if whole:
+                yield table.slice(0, whole).combine_chunks()
+            held, n = table.slice(whole).to_batches(), n - whole
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+REASONS = pa.array(["stop_loss", "stop_gain", "exit_condition", "max_hold_days"])
+
+
+def outcomes(table: pa.Table, k: int, stop: float, gain: float, max_hold: int) -> pa.Table:
+    """Trades of variant k over whole instruments in time order; `_ix` numbers an instrument's bars from 1."""
+
+    def flag(name: str) -> np.ndarray:
+        return table.column(name).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+
+    def price(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, the same as they compare in Spark (missing below all, NaN above all), and which are there."""
+        c = table.column(name).combine_chunks()
+        x = c.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        return c.fill_null(np.nan).to_numpy(zero_copy_only=False), np.where(np.isnan(x), np.inf, x), c.is_valid().to_numpy(zero_copy_only=False)
+
+    ix, n, leave = table.column("_ix").to_numpy(), table.num_rows, flag(f"_out{k}")
+    (opens, open_, has_open), (_, high, _), (_, low, _), (closes, _, has_close) = (price(c) for c in ("open", "high", "low", "close"))
+    signal = np.flatnonzero(flag(f"_in{k}"))
+    signal = signal[signal + 1 < n]
+    # the row `i` further on belongs to the same instrument if its number is `i` higher
+    signal = signal[(ix[signal + 1] == ix[signal] + 1) & flag("tradable")[signal + 1] & (open_[signal + 1] > 0)]
+    reason, sell, held = np.full(len(signal), -1), np.zeros(len(signal), dtype=np.int64), np.zeros(len(signal), dtype=np.int32)
+    paid, there = np.zeros(len(signal)), np.ones(len(signal), dtype=bool)
+    left = np.arange(len(signal))
+    with np.errstate(all="ignore"):
+        for i in range(1, max_hold + 1):
+            entry = signal[left] + 1
+            inside = entry + i < n
+            left, entry = left[inside], entry[inside]
+            inside = ix[entry + i] == ix[entry] + i
+            left, entry = left[inside], entry[inside]
+            bar = entry + i
+            # the entry price may be NaN or infinite, and compares as such
+            stop_at, gain_at = open_[entry] * stop, open_[entry] * gain
+            down = (low[bar] > 0) & (low[bar] <= stop_at)
+            up = ~down & (high[bar] > 0) & (high[bar] >= gain_at)
+            rule = ~down & ~up & leave[bar]
+            later = np.minimum(bar + 1, n - 1)
+            sold = rule & (bar + 1 < n) & (ix[later] == ix[bar] + 1)
+            last = ~down & ~up & ~rule & (i >= max_hold)
+            for code, hit, at, px, ok, days in (
+                (0, down, bar, np.where((open_[bar] > 0) & (open_[bar] < stop_at), opens[bar], opens[entry] * stop), None, i),
+                (1, up, bar, np.where(open_[bar] > gain_at, opens[bar], opens[entry] * gain), None, i),
+                (2, sold, later, opens[later], has_open[later], i + 1),
+                (3, last, bar, closes[bar], has_close[bar], i),
+            ):
+                who = left[hit]
+                reason[who], sell[who], held[who], paid[who] = code, at[hit], days, px[hit]
+                if ok is not None:
+                    there[who] = ok[hit]
+            left = left[~(down | up | sold | last)]
+        closed = np.flatnonzero(reason >= 0)
+        s, to, px, known = signal[closed], sell[closed], paid[closed], there[closed]
+        bought = opens[s + 1]
+        rate = px / bought - 1.0
+
+    def rows(name: str, at: np.ndarray) -> pa.Array:
+        return table.column(name).combine_chunks().take(pa.array(at))
+
+    return pa.table(
+        {
+            "at": pa.array(np.full(len(s), k, dtype=np.int32)),
+            "code": rows("code", s),
+            "signal_day": rows("day", s),
+            "buy_day": rows("day", s + 1),
+            "sell_day": rows("day", to),
+            "buy_price": rows("open", s + 1),
+            "sell_price": pa.array(px, mask=~known),
+            "reason": REASONS.take(pa.array(reason[closed])),
+            "hold_days": pa.array(held[closed]),
+            "buy_volume": rows("volume", s + 1),
+            "return_rate": pa.array(rate, mask=~known),
+        }
     )
 
 

@@ -35,19 +35,17 @@ def exits_of(rule: Mapping, scale: float) -> tuple[float, float]:
 def lattice_trades(df: DataFrame, rule: Mapping, scales: Mapping[str, float] = THRESHOLDS) -> DataFrame:
     """`barrier_trades` of every variant of a rule, with a column `variant`. Needs tradable.
 
-    A threshold that is another indicator's value is not scaled. A bar's conditions are arrays with one element a
-    variant; only signals of a variant that matched are multiplied, never the bars.
+    A threshold that is another indicator's value is not scaled. A bar carries each variant's two conditions; only signals
+    of a variant that matched become rows, the bars are never multiplied.
     """
     if problems := validate_rule(rule):
         raise ValueError("; ".join(problems))
-    entries = F.array(*[all_of([condition(c, s) for c in rule["entry"]]) if rule["entry"] else F.lit(False) for s in scales.values()])
-    exits = F.array(*[any_of([condition(c, s) for c in rule.get("exit", ())]) if rule.get("exit") else F.lit(False) for s in scales.values()])
-    df = df.withColumns({"_entries": entries, "exits": exits})
-    limits = [exits_of(rule, s) for s in scales.values()]
-    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(k).alias("at"), lit(1 - stop).alias("stop"), lit(1 + gain).alias("gain")) for k, (n, (stop, gain)) in enumerate(zip(scales, limits, strict=True))])
-    df = bt.ahead(df, rule["max_hold"], "exits").filter(F.exists("_entries", lambda x: x))
-    df = df.withColumn("_v", F.explode(F.filter(each, lambda v: F.get("_entries", v["at"])))).withColumn("variant", F.col("_v.variant"))
-    return bt.closed(df, F.col("_v.stop"), F.col("_v.gain"), rule["max_hold"], lambda bar: F.get(bar["exits"], F.col("_v.at")), keep=("variant",))
+    entries = [all_of([condition(c, s) for c in rule["entry"]]) if rule["entry"] else F.lit(False) for s in scales.values()]
+    exits = [any_of([condition(c, s) for c in rule.get("exit", ())]) if rule.get("exit") else F.lit(False) for s in scales.values()]
+    limits = [(1 - stop, 1 + gain) for stop, gain in (exits_of(rule, s) for s in scales.values())]
+    names = F.array(*[F.lit(n) for n in scales])
+    trades = bt.walked(df, entries, exits, limits, rule["max_hold"])
+    return trades.select(F.get(names, F.col("at")).alias("variant"), *[c for c in trades.columns if c != "at"])
 
 
 def scenario_trades(df: DataFrame, rule: Mapping, cash: float, slippage: float = bt.COSTS["slippage"]) -> DataFrame:
