@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from barloom.functions.dates import day_text
@@ -14,7 +12,7 @@ from barloom.operators import extremes as ex
 from barloom.operators import features as of
 from barloom.operators import filters as fl
 from barloom.operators import stability as stb
-from barloom.plans.features import RULE, feature_sql, features, rule_sql, stored_features
+from barloom.plans.features import RULE, feature_sql, features, rule_sql, stored_features, traded_columns
 from barloom.plans.registry import query
 from barloom.plans.sqlkit import BARS, SECTORS, W, ctes, d, lag, r
 from barloom.sources import views
@@ -81,7 +79,7 @@ fd AS (SELECT fold, x.day AS sd, y.day AS ed FROM fp JOIN di x ON x.i = a JOIN d
 
 @query("walk_forward_folds", feature_sql(f"SELECT fold, {d('sd')} AS start_day, {d('ed')} AS end_day, count(code) AS trades, {r('coalesce(avg(return_rate), 0)', 6)} AS avg_return FROM fd LEFT JOIN trr ON buy_day BETWEEN sd AND ed GROUP BY fold, sd, ed", *TRADES_SQL, _FOLDS))
 def walk_forward_folds(spark, sf):
-    f = stored_features(spark, sf)
+    f = stored_features(spark, sf, traded_columns(RULE))
     out = bt.fold_trades(trades(spark, sf, f=f), bt.folds(f))
     return out.select("fold", day_text("start_day").alias("start_day"), day_text("end_day").alias("end_day"), "trades", rnd("avg_return", 6).alias("avg_return"))
 
@@ -123,7 +121,7 @@ _MAE = """xt AS (SELECT t.code, t.signal_day, greatest(0, (buy_price - min(CASE
 
 @query("stock_breakdown", feature_sql(f"SELECT code, {r('sum(s - b - fees - sc)', 0)} AS pnl, count(*) AS trades, {r('count(CASE WHEN return_rate > 0 THEN 1 END) / count(*)', 6)} AS win_rate, {r('avg(return_rate)', 6)} AS avg_return, {r('median(return_rate)', 6)} AS median_return, {r('avg(mae)', 6)} AS avg_mae, {r('avg(mfe)', 6)} AS avg_mfe, {r('avg(hold_days)', 4)} AS avg_hold_days FROM cs JOIN xt USING (code, signal_day) GROUP BY code ORDER BY sum(s - b - fees - sc) DESC, code", *TRADES_SQL, _cost_sql(), _MAE))
 def stock_breakdown(spark, sf):
-    f = stored_features(spark, sf)
+    f = stored_features(spark, sf, traded_columns(RULE))
     t = bt.trade_costs(trades(spark, sf, f=f), CASH)
     b = bt.stock_breakdown(ex.excursions(t, f, H))
     return b.select("code", rnd("pnl", 0).alias("pnl"), "trades", *[rnd(c, 6).alias(c) for c in ("win_rate", "avg_return", "median_return", "avg_mae", "avg_mfe")], rnd("avg_hold_days", 4).alias("avg_hold_days"))
@@ -307,7 +305,7 @@ def parameter_stability(spark, sf):
 
 @query("variant_folds", feature_sql(f"SELECT scenario, fold, count(*) AS trades, {r('avg(net)', 6)} AS avg_return FROM nt JOIN fd ON buy_day BETWEEN sd AND ed GROUP BY scenario, fold", *_SCENARIO_SQL, _FOLDS))
 def variant_folds(spark, sf):
-    f = stored_features(spark, sf)
+    f = stored_features(spark, sf, traded_columns(RULE))
     e = stb.fold_evidence(_scenarios(spark, sf, f), bt.folds(f))
     return e.select("scenario", "fold", "trades", rnd("avg_return", 6).alias("avg_return"))
 
@@ -338,7 +336,7 @@ def overfit_diagnostics(spark, sf):
 
 
 def _evidence(spark, sf):
-    f = stored_features(spark, sf)
+    f = stored_features(spark, sf, traded_columns(RULE))
     return stb.evidence(_scenarios(spark, sf, f), f, bt.folds(f), RULE)
 
 
@@ -390,13 +388,15 @@ _DEC_SQL = [
 
 
 def _decisions(spark, sf):
-    f = stored_features(spark, sf)
-    matched, trs = [], []
-    for name, rule in _RULES.items():
-        matched.append(of.match_rule(f, rule).select("code", "day", F.lit(name).alias("rule"), "entry_matched", "exit_matched"))
-        trs.append(trades(spark, sf, rule, f).select(F.lit(name).alias("rule"), "code", "return_rate"))
-    m = reduce(lambda a, b: a.unionByName(b), matched)
-    t = reduce(lambda a, b: a.unionByName(b), trs)
+    f = stored_features(spark, sf, list(dict.fromkeys([*traded_columns(*_RULES.values()), "ma20", "macd", "rsi6", "volume_ratio"])))
+    names, both = list(_RULES), f
+    for n, rule in _RULES.items():
+        both = of.match_rule(both, rule).withColumnsRenamed({"entry_matched": f"in_{n}", "exit_matched": f"out_{n}"})
+    m = both.select("code", "day", F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"in_{n}").alias("entry_matched"), F.col(f"out_{n}").alias("exit_matched")) for n in names])))
+    # one pass for both rules, stored because pool and stock read its trades; the rules hold equally long
+    limits = [bt.limits(rule["stop_loss"], rule["stop_gain"]) for rule in _RULES.values()]
+    t = bt.walked(fl.tradable(both, "buy"), [F.col(f"in_{n}") for n in names], [F.col(f"out_{n}") for n in names], limits, H)
+    t = materialized(t.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("at")).alias("rule"), "code", "return_rate"))
     win = F.count(F.when(F.col("return_rate") > 0, 1))
     pool = t.groupBy("rule").agg(F.count(F.lit(1)).alias("pool_trades"), (win / F.count(F.lit(1))).alias("win_rate"), F.avg("return_rate").alias("out_avg_return")).withColumns({"target_return": lit(0.2), "stop_loss": lit(0.08)})
     stock = t.groupBy("rule", "code").agg(F.count(F.lit(1)).alias("trades"), win.alias("wins"), F.avg("return_rate").alias("avg_return"))

@@ -26,9 +26,10 @@ def features(spark, sf):
     return of.feature_table(views.bars_flows(spark, sf))
 
 
-def stored_features(spark, sf):
-    """Features for queries that read them more than once."""
-    return materialized(features(spark, sf))
+def stored_features(spark, sf, columns=None):
+    """Features for queries that read them more than once; only the columns they read, if named, are stored."""
+    f = features(spark, sf)
+    return materialized(f if columns is None else f.select("code", "day", *columns))
 
 
 _PAST = qi._past5
@@ -104,6 +105,11 @@ RULE = {
 }
 
 
+def traded_columns(*rules):
+    """Columns that trades of the rules read: prices, volume and what the conditions mention."""
+    return list(dict.fromkeys(["open", "high", "low", "close", "volume", *[of.column_of(n) for r in rules for c in (*r["entry"], *r["exit"]) for n in (c["indicator"], c.get("ref")) if n]]))
+
+
 def rule_sql(scale: float = 1.0, name: str = "sig") -> str:
     return f"""{name} AS (SELECT *, coalesce({lag('close')} <= {lag('ma20')} AND close > ma20, false) AND coalesce(rsi6 < {70.0 * scale}::DOUBLE, false) AND coalesce({lag('volume_ratio')} > {0.5 * scale}::DOUBLE, false) AS entry_matched,
   coalesce({lag('close')} >= {lag('ma10')} AND close < ma10, false) OR coalesce(rsi6 > {85.0 * scale}::DOUBLE, false) AS exit_matched,
@@ -145,6 +151,9 @@ def _month_changes(spark, sf):
     return c.withColumn("day", F.to_date(F.concat(F.lit("2001-10-"), F.substring("change_date", 9, 2))))
 
 
+_CANDIDATE_COLUMNS = ("close", "amount", "volume_ratio", "rsi6", "macd", "ma5", "ma20", "ma60", "atr", "boll_upper")
+
+
 def candidate_sources(spark, sf, f):
     c = _month_changes(spark, sf)
     ev = oa.stock_day_events(c.withColumn("change_date", F.col("day"))).withColumnRenamed("change_date", "day")
@@ -157,7 +166,7 @@ def candidate_sources(spark, sf, f):
 def candidate_sources_query(spark, sf):
     from functools import reduce
 
-    parts = candidate_sources(spark, sf, stored_features(spark, sf))
+    parts = candidate_sources(spark, sf, stored_features(spark, sf, _CANDIDATE_COLUMNS))
     u = reduce(lambda a, b: a.unionByName(b), parts)
     return u.select("code", day_text("day").alias("day"), "source", rnd("score", 4).alias("score"))
 
@@ -170,7 +179,7 @@ def captured_candidates(spark, sf):
 
 @query("candidate_scores", feature_sql(f"SELECT code, {d()} AS day, k AS source_count, {r('ss', 4)} AS source_score, {r('short_score', 4)} AS short_score, {r('swing_score', 4)} AS swing_score, {r('trend_score', 4)} AS trend_score, best_scene FROM mg", SCREEN, CHANGES, _CANDS, _MERGE))
 def candidate_scores(spark, sf):
-    f = stored_features(spark, sf)
+    f = stored_features(spark, sf, _CANDIDATE_COLUMNS)
     m = of.merge_candidates(candidate_sources(spark, sf, f), f)
     return m.select("code", day_text("day").alias("day"), F.col("source_count").cast("long").alias("source_count"), *[rnd(c, 4).alias(c) for c in ("source_score", "short_score", "swing_score", "trend_score")], "best_scene")
 
@@ -191,7 +200,7 @@ _ADV = "CASE best_scene WHEN '短线爆发' THEN {} WHEN '波段反弹' THEN {}
     ),
 )
 def candidate_advice(spark, sf):
-    f = stored_features(spark, sf)
+    f = stored_features(spark, sf, _CANDIDATE_COLUMNS)
     a = of.advice_bands(of.merge_candidates(candidate_sources(spark, sf, f), f))
     return a.select("code", day_text("day").alias("day"), *[rnd(c, 3).alias(c) for c in ("buy_min", "buy_max", "no_chase", "stop_price", "target_price")], "max_hold_days", "position_cap", "status")
 

@@ -85,3 +85,15 @@ def test_blocks_hold_whole_instruments():
 def test_no_bar_is_copied_for_a_signal(spark, sf):
     text = plans.trades(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in text and "transform" not in text
+
+
+def test_decisions_read_the_trades_once(spark, sf):
+    text = plans._decisions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text
+    # both rules' conditions come from one exchange of the features, and their trades are a stored table
+    assert text.count("Union") == 0
+
+
+def test_only_read_features_are_stored(spark, sf):
+    f = plans.stored_features(spark, sf, plans.traded_columns(plans.RULE))
+    assert set(f.columns) == {"code", "day", "open", "high", "low", "close", "volume", "ma10", "ma20", "rsi6", "volume_ratio"}
