@@ -9,10 +9,14 @@ Texts with equal words are one content. Contents that share a sketch stand in a
 that a banded alignment matches in order make up at least `similarity` of all k-mers of the two. The band follows from
 the similarity: no alignment that reaches it can leave the band, so the band loses nothing.
 
-Buckets are never expanded whole. In every round each bucket picks a few pivots, those that meet most other texts first,
-every member is aligned with the pivots of another component, and pivots retire. Members whose bucket has become one
-component need no further comparison. Rounds end when no bucket has two components left to compare, so every pair of a
-bucket, whatever the bucket's size, is compared, connected otherwise, or impossible by length or by `could_reach`.
+Buckets are never expanded whole. The first round aligns every member with the one text of its bucket that meets most
+others. After it a k-mer that only one component has can match nothing outside of it: a text with too few others leaves
+(`reaching`), and bitmaps of the others tell most pairs that cannot be linked. In the rounds that follow each bucket
+picks pivots, every member is aligned with the pivots of another component that the bitmaps leave, and pivots retire.
+Members whose bucket has become one component need no further comparison. Rounds end when no bucket has two components
+left to compare, so every pair of a bucket, whatever the bucket's size, is compared, connected otherwise, or impossible
+by length, by `reaching` or by `could_reach`. Pairs that are aligned are few; those told apart by bitmaps can be as many
+as a bucket's texts that are almost linked times its members.
 At similarity 0.8 two texts share no sketch with a probability of about 3e-6 (long) and 4e-7 (short).
 
 Null and empty texts, and texts without words, are classes of their own unless the very same row is repeated. Rows that
@@ -40,8 +44,8 @@ from barloom.llm.suffix_dedup import packed
 K = 5
 #: (sketches, k-mers of a sketch, fewest and most k-mers of a text)
 LONG, SHORT = (32, 5, 20, 1 << 62), (16, 2, 2, 32)
-MOST_PIVOTS, FIRST_PIVOTS = 256, 16  # of a bucket in one round; members that are left meet the next ones
-BITS = 512
+PIVOTS = 16  # of a bucket in the second round, so many times more in each that follows
+BITS = 2048
 U = np.uint64
 
 
@@ -92,34 +96,35 @@ def sketches(h: np.ndarray, family: tuple[int, int, int, int], salt: int) -> np.
 def bitmap(h: np.ndarray) -> list[int]:
     """The places of all k-mers among `BITS` bits, as longs."""
     bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(h >> U(64 - 9)).astype(np.int64)] = 1
+    bits[(h >> U(65 - BITS.bit_length())).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def could_reach(similarity: float) -> Column:
-    """Whether (n, bits) and (pn, pbits) can be linked. Each bit that one text has alone stands for a k-mer the other lacks,
-    and a linked text has no more of these than its k-mers beyond the least number to match: no link is lost."""
+def could_reach(similarity: float, free: str = "n", pfree: str = "pn") -> Column:
+    """Whether (n, bits) and (pn, pbits) can be linked, by bitmaps of `free` and `pfree` k-mers that others may share. Each
+    bit that one text has alone stands for a k-mer the other lacks, and a linked text has no more of these than its free
+    k-mers beyond the least number to match: no link is lost."""
     least = F.ceil(F.lit(similarity) * (F.col("n") + F.col("pn")) / F.lit(1 + similarity) - F.lit(1e-9))
 
     def alone(a: str, b: str) -> Column:
         return sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(BITS // 64)), F.lit(0))
 
-    return (alone("bits", "pbits") <= F.col("n") - least) & (alone("pbits", "bits") <= F.col("pn") - least)
+    return (alone("bits", "pbits") <= F.col(free) - least) & (alone("pbits", "bits") <= F.col(pfree) - least)
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """(_id, _rk, node, rest, n, sketch, bits): content hash, number of k-mers, sketches and bitmap of every row of (_id, _rk, _text)."""
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("rest", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+    """(_id, _rk, node, rest, n, sketch): content hash, number of k-mers and sketches of every row of (_id, _rk, _text)."""
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("rest", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
-    def one(text: str | None, identity: tuple) -> tuple[int, int, int, list[int], list[int]]:
+    def one(text: str | None, identity: tuple) -> tuple[int, int, int, list[int]]:
         w = words_of(text)
         if not w:  # without words only the very same row is equal
             d = hashlib.blake2b(repr(identity).encode(), digest_size=16, person=b"no words").digest()
-            return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), 0, [], []
+            return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), 0, []
         d = hashlib.blake2b(b" ".join(w), digest_size=16).digest()
         h = kmers(w)
         keys = np.concatenate([sketches(h, LONG, 0), sketches(h, SHORT, 1000)]).view(np.int64).tolist()
-        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(h), keys, bitmap(h)
+        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(h), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,7 +133,7 @@ def described(rows: DataFrame) -> DataFrame:
                 ids, rks, texts = (c.to_pylist() for c in batch.columns)
                 with np.errstate(over="ignore"):
                     done = [one(t, (i, r)) for i, r, t in zip(ids, rks, texts, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -221,26 +226,73 @@ def unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of buckets that hold two components or more, with their component."""
     placed = with_component(members, labels)
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    return placed.join(open_.filter("c1 < c2").select("bucket"), "bucket").select("bucket", "node", "n", "bits", "deg", "comp")
+    return placed.join(open_.filter("c1 < c2").select("bucket"), "bucket")
+
+
+def ranked(members: DataFrame) -> DataFrame:
+    """Members with their place in the bucket, stored. The text that meets most others comes first: the original of many
+    copies shares more sketches with them than they share with each other, so one round connects its copies."""
+    return cut(members.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("deg"), "node"))))
+
+
+def shingled(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, comp, h): a row for every k-mer of the nodes (node, comp)."""
+    both = nodes.join(texts.groupBy("node").agg(F.first("z").alias("z")), "node").select("node", "comp", "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                for at in range(0, whole.num_rows, 64):
+                    batch = whole.slice(at, 64)
+                    hs = [kmers(zlib.decompress(z).translate(WORD_BYTES).split()) for z in batch.column(2).to_pylist()]
+                    owner = pa.array(np.repeat(np.arange(len(hs)), [len(h) for h in hs]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(hs).view(np.int64))], names=["node", "comp", "h"])
+
+    return both.mapInArrow(run, "node long, comp long, h long")
+
+
+def bitmaps(lists: DataFrame) -> DataFrame:
+    """(node, free, bits) of (node, hs): number and bitmap of the k-mers hs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs = [np.array(x, dtype=np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hs], pa.int32()), pa.array([bitmap(h) for h in hs], pa.list_(pa.int64()))], names=["node", "free", "bits"])
+
+    return lists.mapInArrow(run, "node long, free int, bits array<long>")
+
+
+def reaching(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The members (bucket, node, n, deg, comp) that may be linked with a text of another component, with free and bits.
+
+    free is the number of a text's k-mers that some other component has too; only these can match outside, now and after
+    components have joined. A text needs `least` matches with the shortest text that its length allows.
+    """
+    nodes = members.select("node", "comp").distinct()
+    rows = stored(shingled(nodes, texts))
+    common = rows.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("h")
+    known = bitmaps(rows.join(common, "h").groupBy("node").agg(F.collect_list("h").alias("hs")))
+    least = F.ceil(F.lit(similarity) * (F.col("n") + F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))) / F.lit(1 + similarity) - F.lit(1e-9))
+    return members.join(known, "node").filter(F.col("free") >= least)
 
 
 def round_of(members: DataFrame, similarity: float, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of one round over unsettled members (bucket, node, n, bits, deg, comp), and the members but the pivots."""
-    # the text that meets most others comes first: the original of many copies shares more sketches with them than they
-    # share with each other, so one round connects its copies. Spark keeps the first `pivots` of a bucket in every task
-    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("deg"), "node")))
-    heads = cut(ranked.filter(F.col("r") <= pivots).select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("comp").alias("pc")))
-    met = members.join(heads, "bucket").filter("node <> p and comp <> pc")
+    """Candidate pairs of one round over unsettled members (bucket, node, n, deg, comp, r, and free and bits after the
+    first round), and the members but the pivots."""
+    told = "bits" in members.columns
+    heads = members.filter(F.col("r") <= pivots).select("bucket", *[F.col(c).alias(f"p{c}") for c in members.columns if c not in ("bucket", "deg")])
+    met = members.join(heads, "bucket").filter("r > pr and comp <> pcomp")
     fits = F.least("n", "pn") >= F.lit(similarity) * F.greatest("n", "pn")
-    pairs = met.filter(fits & could_reach(similarity)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    return pairs, ranked.filter(F.col("r") > pivots).select("bucket", "node", "n", "bits", "deg")
+    close = met.filter(fits & could_reach(similarity, "free", "pfree") if told else fits)
+    pairs = close.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()
+    return pairs, members.filter(F.col("r") > pivots).drop("comp", "r")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(_id, _rk, class_id, class_size, first): one row per document row; first marks the rows of the class's first document."""
     rows = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("_text"))
     facts = stored(described(rows))
-    contents = stored(facts.groupBy("node", "rest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.min(F.struct("_id", "_rk")).alias("one"), F.min("_id").alias("low"), F.count("*").alias("copies")))
+    contents = stored(facts.groupBy("node", "rest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("_id", "_rk")).alias("one"), F.min("_id").alias("low"), F.count("*").alias("copies")))
     spread = contents.select("node", "n", F.explode("sketch").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     members = stored(spread.join(crowded, "bucket").select("bucket", "node", "n"))
@@ -251,18 +303,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     labels: DataFrame | None = None
     pivots = 1
     mates = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").groupBy("node").agg(F.sum("size").alias("deg"))
-    # contents are told apart by more than a node; any of a node's will do, as for its text
-    bits = contents.filter("n > 0").groupBy("node").agg(F.first("bits").alias("bits"))
-    members = cut(unsettled(members.join(mates, "node").join(bits, "node"), None))
+    members = ranked(unsettled(members.join(mates, "node"), None))
     while True:
         pairs, rest = round_of(members, similarity, pivots)
         found = cut(verified(pairs, texts, similarity))
         links = found if links is None else links.unionByName(found)
         labels = components(links) if pivots == 1 or not found.isEmpty() else labels
-        members = cut(unsettled(rest, labels))
+        left = unsettled(rest, labels)
+        if pivots == 1:
+            left = unsettled(reaching(cut(left), texts, similarity).drop("comp"), labels)
+        members = ranked(left)
         if members.isEmpty():
             break
-        pivots = min(MOST_PIVOTS, max(FIRST_PIVOTS, 4 * pivots))
+        pivots *= PIVOTS
     comp = with_component(contents.select("node", "rest", "one", "low", "copies"), labels)
     per_class = comp.groupBy("comp").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"), F.min("one").alias("head"))
     named = comp.join(per_class, "comp").select("node", "rest", "class_id", "class_size", "head")

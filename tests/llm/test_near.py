@@ -173,3 +173,34 @@ def test_could_reach_loses_no_link(spark):
     df = spark.createDataFrame(rows, "i int, n int, bits array<long>, pn int, pbits array<long>")
     could = [r.c for r in df.select("i", nd.could_reach(0.8).alias("c")).orderBy("i").collect()]
     assert all(c for c, l in zip(could, linked, strict=True) if l) and not all(could)
+
+
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    """Many near copies of one text, of which some are just beyond the similarity: the aligned pairs do not grow with the square."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(900):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], [f"x{rng.randrange(10**9)}"]))
+        rows.append((k, " ".join(w)))
+    made, verified = [], nd.verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(nd, "verified", counted)
+    got = {r.doc_id: r.class_id for r in nd.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    with np.errstate(over="ignore"):
+        hs = [nd.kmers(words_of(t)) for _, t in rows]
+    top = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if top[i] != top[j] and nd.aligned(hs[i], hs[j], 0.8) >= 0.8:
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    assert got == dict(enumerate(top)) and len(set(top)) > 20
+    assert sum(made[1:]) < len(rows) / 3, made
