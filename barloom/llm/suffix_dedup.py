@@ -16,7 +16,10 @@ look at its bytes. What is left is decided exactly:
   with a common extension of `size` are equal strings; their bytes are compared before that is believed, and a batch
   with a collision is sorted again by its bytes;
 * a hash with more than `group` different segments (a passage with many different surroundings) is never brought into
-  one task: its strings are counted by 128 bits of blake2b, with partial sums before the shuffle.
+  one task. Its segments are cut into pieces of `BLOCKS[0]` starts at most, at fixed distances from the smallest gram, so
+  equal strings stand in the same place of pieces that share the bytes common to all strings of a piece. Pieces that are
+  equal as a whole are repeated from end to end, pieces whose common bytes stand nowhere else are unique; one of each
+  other kind is cut into shorter pieces, down to single strings. All are told by 128 bits of blake2b.
 
 Null texts are empty; texts shorter than `size` lose nothing. Rows that repeat an id are texts of their own (equal rows
 repeat each other). An empty table gives an empty result. Other columns are not read, whatever their names.
@@ -39,6 +42,7 @@ from barloom.llm.common import row_key, stored
 GRAM = 32
 BLOCK = 1 << 19
 LONGEST_RUN = 4096
+BLOCKS = (32, 8, 2, 1)  # starts of a piece
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 U = np.uint64
 
@@ -390,23 +394,56 @@ def sorted_groups(content: DataFrame, size: int, batch_bytes: int = 1 << 20) ->
     return rows.mapInArrow(run, schema)
 
 
-def counted_strings(content: DataFrame, size: int) -> DataFrame:
-    """(_id, _rk, start, n) of the repeated strings of hot keys: counted by a strong hash, never brought together."""
-    rows = content.select("_id", "_rk", "start", "run", "bytes")
-    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("start", "h1", "h2")]])
+def pieces(content: DataFrame, size: int, block: int) -> DataFrame:
+    """(_id, _rk, key, start, run, bytes, c1, c2, w1, w2): segments (_id, _rk, key, start, run, bytes) cut into pieces.
+
+    A piece is consecutive starts whose strings have the same first smallest gram, at a distance of the same multiple of
+    `block`. c1 and c2 stand for the bytes that all strings at these distances share, w1 and w2 for all bytes of the piece.
+    """
+    rows = content.select("_id", "_rk", "key", "start", "run", "bytes")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in ("c1", "c2", "w1", "w2")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                data = np.frombuffer(batch.column(4)[k].as_py(), dtype=np.uint8)
-                n = len(data) - size + 1
-                marks = strong(data, np.arange(n), np.full(n, size))
-                owner = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(batch.column(2)[k].as_py() + np.arange(n)), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                take, starts, runs, raws, marks = [], [], [], [], []
+                for k, (key, start, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5)), strict=True)):
+                    data = np.frombuffer(raw, dtype=np.uint8)
+                    grams = np.flatnonzero(mixed(Rolling(data, BASES[0]).all(GRAM)).view(np.int64) == key)
+                    p = np.arange(len(data) - size + 1)
+                    anchor = grams[np.searchsorted(grams, p)]
+                    place = (anchor - p) // block
+                    first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+                    n = np.diff(np.append(first, len(p)))
+                    core = strong(data, (anchor - block * place)[first], np.full(len(first), size - block + 1))
+                    marks.append(np.hstack([core, strong(data, first, n + size - 1)]))
+                    take += [k] * len(first)
+                    starts.append(start + first)
+                    runs.append(n)
+                    raws += [raw[a : a + m + size - 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+                owner = pa.array(take)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(owner) for c in range(3)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(runs).astype(np.int32)), pa.array(raws, pa.binary()), *map(pa.array, np.vstack(marks).T)],
+                    names=schema.names,
+                )
+
+    return rows.mapInArrow(run, schema)
+
 
-    strings = stored(rows.mapInArrow(run, schema))
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-    return strings.join(twice, ["h1", "h2"]).select("_id", "_rk", "start", F.lit(1).cast("long").alias("n"))
+def refined_strings(content: DataFrame, size: int) -> list[DataFrame]:
+    """Frames (_id, _rk, start, n) of the repeated strings of hot keys: pieces told by strong hashes, never brought together."""
+    out: list[DataFrame] = []
+    for block in (min(b, size) for b in BLOCKS):
+        if content.isEmpty():
+            break
+        cut_up = stored(pieces(content, size, block))
+        marks = ["c1", "c2", "w1", "w2"]
+        kinds = stored(cut_up.groupBy(marks).agg(F.count("*").alias("c"), F.min(F.struct("_id", "_rk", "key", "start", "run", "bytes")).alias("one")))
+        out.append(cut_up.join(kinds.filter("c > 1").select(marks), marks).select("_id", "_rk", "start", F.col("run").cast("long").alias("n")))
+        shared = kinds.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("c1", "c2")
+        content = kinds.join(shared, ["c1", "c2"]).select("one.*")
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group: int = 512) -> tuple[DataFrame, DataFrame]:
@@ -425,7 +462,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     open_ = kinds.join(per_key, "key").filter("kinds > 1 or (tied and c = 1)").select("one.*", "key", (F.col("kinds") > group).alias("hot"))
     texts = packed(rows)
     content = stored(with_bytes(texts, open_, size))
-    return texts, plain.unionByName(sorted_groups(content.filter("not hot"), size)).unionByName(counted_strings(content.filter("hot"), size))
+    found = plain.unionByName(sorted_groups(content.filter("not hot"), size))
+    for part in refined_strings(content.filter("hot"), size):
+        found = found.unionByName(part)
+    return texts, found
 
 
 def cover(starts: list[int], counts: list[int], size: int) -> list[tuple[int, int]]:

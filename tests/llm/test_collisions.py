@@ -40,3 +40,29 @@ def test_colliding_texts_are_told_apart(spark):
     assert {r["n_removed"] for r in sd.remove_repeats(docs, group=1).collect()} == {0}
     again = spark.createDataFrame([(1, one.decode()), (2, two.decode()), (3, two.decode())], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in sd.digest(again).collect()} == {1: 0, 2: len(two), 3: len(two)}
+
+
+def test_a_passage_of_many_surroundings_makes_few_rows(spark):
+    """Equal strings of a hot key are found by pieces, not by a row for every byte; what is found is the same."""
+    pick = random.Random(9)
+
+    def word(n):
+        return "".join(chr(pick.randint(97, 122)) for _ in range(n))
+
+    passage = word(260)
+    rows = [(k, word(pick.randint(0, 90)) + passage + word(pick.randint(0, 90))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    for _, t in rows:
+        for k in range(len(t) - 199):
+            seen[t[k : k + 200]] = seen.get(t[k : k + 200], 0) + 1
+    want = {}
+    for i, t in rows:
+        gone = set()
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone.update(range(k, k + 200))
+        want[i] = len(gone)
+    found = sd.repeats(docs, group=1)[1]
+    assert found.count() < 60 * 61 / 3
+    assert {r["doc_id"]: r["n_removed"] for r in sd.remove_repeats(docs, group=1).withColumnRenamed("_id", "doc_id").collect()} == want
