@@ -317,10 +317,10 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def with_bytes(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (_id, _rk, key, start, run, hot) with the bytes of each segment."""
-    lists = wanted.groupBy("_id", "_rk").agg(F.collect_list(F.struct("key", "start", "run", "hot")).alias("want"))
+    """wanted (_id, _rk, key, start, run, hot, done) with the bytes of each segment."""
+    lists = wanted.groupBy("_id", "_rk").agg(F.collect_list(F.struct("key", "start", "run", "hot", "done")).alias("want"))
     both = texts.join(lists, texts["_id"].eqNullSafe(lists["_id"]) & (texts["_rk"] == lists["_rk"])).select(texts["_id"], texts["_rk"], "z", "want")
-    schema = T.StructType([*both.schema.fields[:2], T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("hot", T.BooleanType()), T.StructField("bytes", T.BinaryType())])
+    schema = T.StructType([*both.schema.fields[:2], T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("hot", T.BooleanType()), T.StructField("done", T.BooleanType()), T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -331,9 +331,9 @@ def with_bytes(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     raw = zlib.decompress(z)
                     for w in want:
                         take.append(k)
-                        out.append((w["key"], w["start"], w["run"], w["hot"], raw[w["start"] : w["start"] + w["run"] + size - 1]))
+                        out.append((w["key"], w["start"], w["run"], w["hot"], w["done"], raw[w["start"] : w["start"] + w["run"] + size - 1]))
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
                     rows = pa.array(take)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=schema.names)
 
@@ -395,12 +395,12 @@ def sorted_groups(content: DataFrame, size: int, batch_bytes: int = 1 << 20) ->
 
 
 def pieces(content: DataFrame, size: int, block: int) -> DataFrame:
-    """(_id, _rk, key, start, run, bytes, c1, c2, w1, w2): segments (_id, _rk, key, start, run, bytes) cut into pieces.
+    """(_id, _rk, key, start, run, bytes, done, c1, c2, w1, w2): segments (_id, _rk, key, start, run, bytes, done) cut into pieces.
 
     A piece is consecutive starts whose strings have the same first smallest gram, at a distance of the same multiple of
     `block`. c1 and c2 stand for the bytes that all strings at these distances share, w1 and w2 for all bytes of the piece.
     """
-    rows = content.select("_id", "_rk", "key", "start", "run", "bytes")
+    rows = content.select("_id", "_rk", "key", "start", "run", "bytes", "done")
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in ("c1", "c2", "w1", "w2")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +424,7 @@ def pieces(content: DataFrame, size: int, block: int) -> DataFrame:
                     raws += [raw[a : a + m + size - 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
                 owner = pa.array(take)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(owner) for c in range(3)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(runs).astype(np.int32)), pa.array(raws, pa.binary()), *map(pa.array, np.vstack(marks).T)],
+                    [*(batch.column(c).take(owner) for c in range(3)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(runs).astype(np.int32)), pa.array(raws, pa.binary()), batch.column(6).take(owner), *map(pa.array, np.vstack(marks).T)],
                     names=schema.names,
                 )
 
@@ -432,17 +432,20 @@ def pieces(content: DataFrame, size: int, block: int) -> DataFrame:
 
 
 def refined_strings(content: DataFrame, size: int) -> list[DataFrame]:
-    """Frames (_id, _rk, start, n) of the repeated strings of hot keys: pieces told by strong hashes, never brought together."""
+    """Frames (_id, _rk, start, n) of the repeated strings of hot keys: pieces told by strong hashes, never brought together.
+
+    Segments that are done have been found already; they are only compared with others.
+    """
     out: list[DataFrame] = []
     for block in (min(b, size) for b in BLOCKS):
         if content.isEmpty():
             break
         cut_up = stored(pieces(content, size, block))
         marks = ["c1", "c2", "w1", "w2"]
-        kinds = stored(cut_up.groupBy(marks).agg(F.count("*").alias("c"), F.min(F.struct("_id", "_rk", "key", "start", "run", "bytes")).alias("one")))
-        out.append(cut_up.join(kinds.filter("c > 1").select(marks), marks).select("_id", "_rk", "start", F.col("run").cast("long").alias("n")))
+        kinds = stored(cut_up.groupBy(marks).agg(F.count("*").alias("c"), F.max("done").alias("done"), F.min(F.struct("_id", "_rk", "key", "start", "run", "bytes")).alias("one")))
+        out.append(cut_up.filter("not done").join(kinds.filter("c > 1").select(marks), marks).select("_id", "_rk", "start", F.col("run").cast("long").alias("n")))
         shared = kinds.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("c1", "c2")
-        content = kinds.join(shared, ["c1", "c2"]).select("one.*")
+        content = kinds.join(shared, ["c1", "c2"]).select("one.*", (F.col("done") | (F.col("c") > 1)).alias("done"))
     return out
 
 
@@ -459,7 +462,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     twice = kinds.filter("c > 1").select("key", "whole", "more")
     plain = found.join(twice, ["key", "whole", "more"]).select("_id", "_rk", "start", F.col("run").cast("long").alias("n"))
     # different segments of one key, and periodic ones: one of each kind is compared by its bytes
-    open_ = kinds.join(per_key, "key").filter("kinds > 1 or (tied and c = 1)").select("one.*", "key", (F.col("kinds") > group).alias("hot"))
+    open_ = kinds.join(per_key, "key").filter("kinds > 1 or (tied and c = 1)").select("one.*", "key", (F.col("kinds") > group).alias("hot"), (F.col("c") > 1).alias("done"))
     texts = packed(rows)
     content = stored(with_bytes(texts, open_, size))
     found = plain.unionByName(sorted_groups(content.filter("not hot"), size))
