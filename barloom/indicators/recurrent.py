@@ -344,40 +344,44 @@ FEATURE_INPUTS = ("high", "low", "close", "volume")
 
 
 def feature_recipe(s):
-    """Every indicator of the feature row from its bars, as `rolling` defines them one by one.
+    """Every indicator of the feature row that its inputs allow, as `rolling` defines them one by one.
 
     A frame of n bars costs n additions of whole blocks here, and n visits a row and function in a window.
     """
-    h, l, c, v = (s[n] for n in FEATURE_INPUTS)
+    c = s["close"]
     past = before(c)
     d = c - past
     out = {f"ma{n}": rolling(c, n) / n for n in (5, 10, 20, 60)}
     sd = rolling_std(c, 20)
     out |= {"boll_mid": out["ma20"], "boll_upper": out["ma20"] + 2.0 * sd, "boll_lower": out["ma20"] + -2.0 * sd}
-    mean = before(rolling(v, 5) / 5)
-    out["volume_ratio"] = np.where(mean > 0, v / mean, 1.0)
-    tr = np.where(np.isnan(past), np.nan, np.fmax(np.fmax(h - l, np.abs(h - past)), np.abs(l - past)))
-    out["atr_sma"] = rolling(tr, 14) / 14
     for n in (5, 20, 60, 120):
         base = np.full_like(c, np.nan)
         base[n:] = c[: max(0, len(c) - n)]
         out[f"change_rate{n}"] = np.where(base == 0, 0.0, c / base - 1)
     change = np.where((past > 0) & (c > 0), np.log(c / past), np.nan)
     out |= {f"volatility{n}": rolling_std(change, n) * 252**0.5 for n in (20, 60)}
-    illiquid = np.where((past > 0) & (c > 0) & (v > 0), np.abs(c / past - 1) / (c * v * 100) * 1e10, np.nan)
-    out["amihud"] = np.nan_to_num(partial(illiquid, 5)) / 5
-    out["amihud"][:5] = np.nan
-    out["high_low_ratio"] = np.where(c > 0, (h - l) / c, 0.0)
-    flow = np.sign(d) * v
-    out["obv_zero"] = np.cumsum(np.where(np.isnan(flow), 0.0, flow), axis=0)
+    if "volume" in s:
+        v = s["volume"]
+        mean = before(rolling(v, 5) / 5)
+        out["volume_ratio"] = np.where(mean > 0, v / mean, 1.0)
+        illiquid = np.where((past > 0) & (c > 0) & (v > 0), np.abs(c / past - 1) / (c * v * 100) * 1e10, np.nan)
+        out["amihud"] = np.nan_to_num(partial(illiquid, 5)) / 5
+        out["amihud"][:5] = np.nan
+        flow = np.sign(d) * v
+        out["obv_zero"] = np.cumsum(np.where(np.isnan(flow), 0.0, flow), axis=0)
     out["bar_no"] = np.broadcast_to(np.arange(1.0, len(c) + 1)[:, None], c.shape)
     known = ~np.isnan(d)
     moves = {"gain": np.where(d > 0, d, np.where(known, 0.0, np.nan)), "loss": np.where(d < 0, -d, np.where(known, 0.0, np.nan))}
     for n in (6, 12, 14):
         out |= _rsi(n)(moves)
-    hi, lo = extreme(h, 9, np.maximum), extreme(l, 9, np.minimum)
-    rsv = np.where(hi == lo, 50.0, (c - lo) / (hi - lo) * 100)
-    out |= _macd_x0(s) | {"kdj_k": blend(rsv, 50.0)}
+    out |= _macd_x0(s)
+    if "high" in s and "low" in s:
+        h, l = s["high"], s["low"]
+        tr = np.where(np.isnan(past), np.nan, np.fmax(np.fmax(h - l, np.abs(h - past)), np.abs(l - past)))
+        out["atr_sma"] = rolling(tr, 14) / 14
+        out["high_low_ratio"] = np.where(c > 0, (h - l) / c, 0.0)
+        hi, lo = extreme(h, 9, np.maximum), extreme(l, 9, np.minimum)
+        out["kdj_k"] = blend(np.where(hi == lo, 50.0, (c - lo) / (hi - lo) * 100), 50.0)
     if "net_inflow" in s:
         out |= {f"fund_flow{n}": partial(s["net_inflow"], n) for n in (5, 20)}
     return out

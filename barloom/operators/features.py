@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import schemas
@@ -13,8 +14,9 @@ from barloom.functions.numeric import clamp, first_non_zero, lit
 from barloom.functions.ranks import all_of, any_of
 from barloom.indicators import recurrent as rc
 from barloom.operators.joins import unified_view
-from barloom.operators.recurrence import by_instrument, scan_blocks
+from barloom.operators.recurrence import before, by_instrument, scan_blocks
 from barloom.operators.windows import Roll
+from barloom.sources.sinks import materialized
 
 WARM_UP = 60
 RENAME = {
@@ -27,6 +29,14 @@ RENAME = {
 }
 
 
+_MADE = {
+    "close": ("ma5", "ma10", "ma20", "ma60", "boll_mid", "change_rate5", "change_rate20", "change_rate60", "change_rate120", "bar_no", "boll_upper", "boll_lower", "volatility20", "volatility60", "rsi6_wilder", "rsi12_wilder", "rsi14_wilder", "macd_x0"),
+    "volume": ("volume_ratio", "amihud", "obv_zero"),
+    "high": ("high_low_ratio", "atr_sma", "kdj_k"),
+    "net_inflow": ("fund_flow5", "fund_flow20"),
+}
+
+
 def feature_table(bars: DataFrame, source: str = "kline", warm_up: int = WARM_UP) -> DataFrame:
     """One row per (code, day) after the warm-up: prices, window and recurrent indicators, flow, as-of columns.
 
@@ -50,6 +60,50 @@ def feature_table(bars: DataFrame, source: str = "kline", warm_up: int = WARM_UP
     )
 
 
+def feature_columns(bars: DataFrame, columns: Sequence[str], master: DataFrame | None = None, warm_up: int = WARM_UP, horizon: int = 5) -> DataFrame:
+    """(code, day, columns) of `feature_table`; bars keep only the columns that these need before they are exchanged.
+
+    Besides feature and bar columns, `columns` may name `bar_no`, `previous_x` and `previous_day`, the value of x and the day on
+    the code's row before (null on the first row after the warm-up), and `future`, the close `horizon` rows ahead.
+    Columns of `master`, rows by code, are joined on the way, where bars already stand by code.
+    """
+    back = {v: k for k, v in RENAME.items()}
+    behind = {c: back.get(c.removeprefix("previous_"), c.removeprefix("previous_")) for c in columns if c.startswith("previous_")}
+    of_master = [c for c in columns if master is not None and c in master.columns]
+    plain = [back.get(c, c) for c in columns if c not in behind and c != "future" and c not in of_master]
+    asked = {*plain, *behind.values()}
+    inputs = ["close", *[c for c, made in _MADE.items() if c != "close" and asked & set(made)]]
+    inputs += ["low"] if "high" in inputs else []
+    inputs += [c for c in behind.values() if c in bars.columns and c not in inputs and c != "day"]
+    carry = [c for c in plain if c in bars.columns]
+    made = list(dict.fromkeys([*[c for c in plain if c not in carry], *behind, *(["future"] if "future" in columns else []), "bar_no"]))
+    df = by_instrument(bars.select("code", "day", *dict.fromkeys([*carry, *inputs])))
+    if of_master:
+        # a code's rows travel as one list, so bars stay one row per day
+        rows = by_instrument(master.select("code", *of_master)).groupBy("code").agg(F.collect_list(F.struct(*of_master)).alias("_master"))
+        df = df.join(rows, "code", "left")
+        carry = [*carry, "_master"]
+    if "day" in behind.values():
+        df = df.withColumn("_day", F.unix_date("day").cast("double"))
+        inputs = [*inputs, "_day"]
+
+    def recipe(s):
+        out = rc.feature_recipe(s)
+        for name, x in behind.items():
+            out[name] = before(s["_day"] if x == "day" else out[x] if x in out else s[x])
+            out[name][: warm_up + 1] = np.nan
+        out["future"] = np.full_like(s["close"], np.nan)
+        out["future"][: max(0, len(out["future"]) - horizon)] = s["close"][horizon:]
+        return out
+
+    df = scan_blocks(df, recipe, inputs, made, carry=carry).filter(F.col("bar_no") > warm_up)
+    if of_master:
+        df = df.withColumn("_m", F.explode_outer("_master")).withColumns({c: F.col(f"_m.{c}") for c in of_master})
+    if "previous_day" in made:
+        df = df.withColumn("previous_day", F.date_from_unix_date(F.col("previous_day").cast("int")))
+    return df.withColumnsRenamed(RENAME).withColumn("bar_no", F.col("bar_no").cast("int")).select("code", "day", *columns)
+
+
 # --- indicator registry and rules ---------------------------------------------------------------
 
 # name -> (unit, look-ahead); look-ahead columns and candidates are rejected in rules
@@ -205,43 +259,61 @@ def signal_score(df: DataFrame, n_conditions: int) -> DataFrame:
 SCREEN_NAMES = ("BOLL_BREAKOUT", "BREAK_MA20", "MACD_GOLDEN_FORK", "MA_BULLISH", "RSI_OVERSOLD", "VOLUME_BREAKOUT")
 
 
-def screening_facts(features: DataFrame) -> DataFrame:
-    """Named conditions per stock-day against the stock's row on the previous market date.
+SCREENED = ("close", "macd", "ma5", "ma20", "ma60", "boll_upper", "volume_ratio", "rsi6")
+BEFORE = ("previous_day", "previous_macd", "previous_close", "previous_ma20", "previous_boll_upper")
 
-    Coverage is 1 with such a row and 0.5 without.
-    """
-    dates = features.select("day").distinct()
-    # one row per trading day: a small ordered list
-    from pyspark.sql import Window
 
-    prev = dates.withColumn("_next", F.lead("day").over(Window.orderBy("day"))).filter("_next IS NOT NULL")
-    before = features.select("code", "day", "macd", "close", "ma20", "boll_upper").join(prev, "day").select(
-        "code", F.col("_next").alias("day"), *[F.col(c).alias(f"p_{c}") for c in ("macd", "close", "ma20", "boll_upper")], F.lit(True).alias("_has")
-    )
-    df = features.join(before, ["code", "day"], "left")
-    has = F.coalesce("_has", F.lit(False))
+def screening_conditions(features: DataFrame, *keep: str) -> DataFrame:
+    """What screening reads of a row and of the code's row before it, as flags: a few bytes a row, for `screened`.
+
+    Takes the row before from the columns `BEFORE`, where the features have them.
+    """
+    if "previous_day" not in features.columns:
+        w = Window.partitionBy("code").orderBy("day")
+        features = features.withColumns({c: F.lag(c.removeprefix("previous_")).over(w) for c in BEFORE})
     c = F.col
 
     def t(x: Column) -> Column:
         return F.coalesce(x, F.lit(False))
 
     flags = {
-        "macd_golden": t(has & (c("p_macd") <= 0) & (c("macd") > 0)),
+        "macd_golden": t((c("previous_macd") <= 0) & (c("macd") > 0)),
         "ma_bullish": t((c("ma5") > c("ma20")) & (c("ma20") > c("ma60")) & (c("ma60") > 0)),
         "ma_bearish": t((c("ma5") < c("ma20")) & (c("ma20") < c("ma60")) & (c("ma60") > 0)),
-        "break_ma20": t(has & (c("p_close") <= c("p_ma20")) & (c("close") > c("ma20")) & (c("ma20") > 0)),
-        "boll_breakout": t(has & (c("p_close") <= c("p_boll_upper")) & (c("close") > c("boll_upper")) & (c("boll_upper") > 0)),
+        "break_ma20": t((c("previous_close") <= c("previous_ma20")) & (c("close") > c("ma20")) & (c("ma20") > 0)),
+        "boll_breakout": t((c("previous_close") <= c("previous_boll_upper")) & (c("close") > c("boll_upper")) & (c("boll_upper") > 0)),
         "volume_breakout": t(c("volume_ratio") >= 1.5),
         "oversold": t((c("rsi6") > 0) & (c("rsi6") < 30)),
         "overbought": t(c("rsi6") > 70),
         "macd_above_zero": t(c("macd") > 0),
-        "coverage": F.when(has, lit(1)).otherwise(lit(0.5)),
     }
-    df = df.withColumns(flags)
+    return features.select("code", "day", *keep, F.when(c("code").isNotNull(), c("previous_day")).alias("_before"), *[x.alias(k) for k, x in flags.items()])
+
+
+def screened(conditions: DataFrame) -> DataFrame:
+    """`screening_conditions` against the market's calendar: the row before counts if its day is the previous market date.
+
+    Reads its rows twice, so they should be stored.
+    """
+    # one row per trading day: a small ordered list
+    dates = conditions.select("day").distinct()
+    dates = dates.select("day", F.lag("day").over(Window.orderBy("day")).alias("_prior"))
+    df = conditions.join(F.broadcast(dates), "day", "left")
+    has = F.coalesce(F.col("_before") == F.col("_prior"), F.lit(False))
+    df = df.withColumn("coverage", F.when(has, lit(1)).otherwise(lit(0.5)))
+    df = df.withColumns({f: F.col(f) & has for f in ("macd_golden", "break_ma20", "boll_breakout")})
     order = ("boll_breakout", "break_ma20", "macd_golden", "ma_bullish", "oversold", "volume_breakout")
-    named = F.array_compact(F.array(*[F.when(c(f), F.lit(n)) for f, n in zip(order, SCREEN_NAMES)]))
+    named = F.array_compact(F.array(*[F.when(F.col(f), F.lit(n)) for f, n in zip(order, SCREEN_NAMES)]))
     df = df.withColumn("conditions", F.array_sort(named))
-    return df.withColumn("pattern_count", F.size("conditions")).drop("_has", "p_macd", "p_close", "p_ma20", "p_boll_upper")
+    return df.withColumn("pattern_count", F.size("conditions")).drop("_before", "_prior")
+
+
+def screening_facts(features: DataFrame) -> DataFrame:
+    """Named conditions per stock-day against the stock's row on the previous market date.
+
+    Coverage is 1 with such a row and 0.5 without. Only the flags are stored, and only the calendar meets them.
+    """
+    return screened(materialized(screening_conditions(features)))
 
 
 SOURCE_COLUMNS = ("code", "day", "source", "score")

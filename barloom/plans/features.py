@@ -26,6 +26,11 @@ def features(spark, sf):
     return of.feature_table(views.bars_flows(spark, sf))
 
 
+def narrow_features(spark, sf, columns, **how):
+    """Only the named feature columns: bars carry nothing else to them (see `features.feature_columns`)."""
+    return of.feature_columns(views.bars_flows(spark, sf), columns, **how)
+
+
 def stored_features(spark, sf, columns=None):
     """Features for queries that read them more than once; only the columns they read, if named, are stored."""
     f = features(spark, sf)
@@ -88,7 +93,7 @@ sc AS MATERIALIZED (SELECT *, CASE WHEN has THEN 1 ELSE 0.5 END::DOUBLE AS cover
 
 @query("screening_facts", feature_sql(f"SELECT code, {d()} AS day, {', '.join(_FLAGS)}, coverage, coalesce(array_to_string(cs, '|'), '') AS conditions, CAST(len(cs) AS INTEGER) AS pattern_count FROM sc", SCREEN))
 def screening_facts(spark, sf):
-    s = of.screening_facts(stored_features(spark, sf))
+    s = of.screening_facts(narrow_features(spark, sf, [*of.SCREENED, *of.BEFORE]))
     return s.select("code", day_text("day").alias("day"), *_FLAGS, "coverage", F.array_join("conditions", "|").alias("conditions"), "pattern_count")
 
 

@@ -7,7 +7,7 @@ trading calendar, however skewed the raw ticks are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import events as ev
@@ -16,23 +16,34 @@ from barloom.functions.numeric import lit, rnd
 # fixed order of the 22 change codes, used to give the events table a code column
 CHANGE_CODE_ORDER = tuple(sorted(ev.CHANGE_NAMES))
 
-TICK_ORDER = (
-    "l_orderkey",
-    "l_linenumber",
-    "l_partkey",
-    "l_quantity",
-    "l_extendedprice",
-    "l_discount",
-    "l_tax",
-    "l_returnflag",
-    "l_linestatus",
-)
+# the total order of ticks, as far as it decides a price: ticks that are equal in all of this have one price
+TICK_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bars(ticks_: DataFrame, *more: Column) -> DataFrame:
+    """Bars of ticks with their price p and order k. A key's first and last tick travel, and their prices come from them."""
+
+    def price(k: str) -> Column:
+        return F.col(f"{k}.l_extendedprice") / F.col(f"{k}.l_quantity")
+
+    g = ticks_.groupBy("code", "day").agg(
+        F.min("k").alias("_first"),
+        F.max("p").alias("high"),
+        F.min("p").alias("low"),
+        F.max("k").alias("_last"),
+        F.sum("l_quantity").alias("volume"),
+        rnd(F.sum("l_extendedprice"), 2).alias("amount"),
+        rnd(F.avg("l_discount"), 6).alias("turnover"),
+        *more,
+    )
+    rest = [c for c in g.columns if c not in ("code", "day", "_first", "high", "low", "_last")]
+    return g.select("code", "day", price("_first").alias("open"), "high", "low", price("_last").alias("close"), *rest)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier: the line item is the tick, its unit price the tick price."""
     li = table(spark, sf_dir, "lineitem")
@@ -45,15 +56,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
         "l_discount",
     )
-    return ticks.groupBy("code", "day").agg(
-        F.min_by("p", "k").alias("open"),
-        F.max("p").alias("high"),
-        F.min("p").alias("low"),
-        F.max_by("p", "k").alias("close"),
-        F.sum("l_quantity").alias("volume"),
-        rnd(F.sum("l_extendedprice"), 2).alias("amount"),
-        rnd(F.avg("l_discount"), 6).alias("turnover"),
-    )
+    return _bars(ticks)
 
 
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +143,7 @@ def bars_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount",
         signed.alias("x"),
     )
-    return ticks_.groupBy("code", "day").agg(
-        F.min_by("p", "k").alias("open"),
-        F.max("p").alias("high"),
-        F.min("p").alias("low"),
-        F.max_by("p", "k").alias("close"),
-        F.sum("l_quantity").alias("volume"),
-        rnd(F.sum("l_extendedprice"), 2).alias("amount"),
-        rnd(F.avg("l_discount"), 6).alias("turnover"),
-        rnd(F.sum("x"), 2).alias("net_inflow"),
-    )
+    return _bars(ticks_, rnd(F.sum("x"), 2).alias("net_inflow"))
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
