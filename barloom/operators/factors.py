@@ -21,11 +21,16 @@ LAYERS = ("bottom", "low", "middle", "high", "top")
 
 
 def forward_returns(features: DataFrame, sectors: DataFrame | None, factors: Sequence[str], horizon: int = 5) -> DataFrame:
-    """(code, day, sector, y, one column a factor); y is the return `horizon` rows ahead, and both closes are positive."""
-    r = Roll()
-    f = features.withColumn("_future", r.lead("close", horizon)).filter((F.col("close") > 0) & (F.col("_future") > 0))
+    """(code, day, sector, y, one column a factor); y is the return `horizon` rows ahead, and both closes are positive.
+
+    Features may hold the later close already, as `future`, and their stock's `industry`.
+    """
+    ahead = F.col("future") if "future" in features.columns else Roll().lead("close", horizon)
+    f = features.withColumn("_future", ahead).filter((F.col("close") > 0) & (F.col("_future") > 0))
     f = f.withColumn("y", F.col("_future") / F.col("close") - lit(1))
-    if sectors is not None:
+    if "industry" in f.columns:
+        f = f.withColumn("sector", F.col("industry"))
+    elif sectors is not None:
         f = f.join(sectors.select("code", F.col("industry").alias("sector")), "code", "left")
     else:
         f = f.withColumn("sector", F.lit("unknown"))

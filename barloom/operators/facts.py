@@ -2,7 +2,8 @@
 
 A loader returns `Facts`: rows of (code, day, [available_at], values) and how the values of several rows combine. A
 fact holds from the moment it becomes available to the end of its day. Rows with a null `available_at` are never known;
-frames without that column hold all day. Frames without a code hold for the whole market.
+frames without that column hold all day. Frames without a code hold for the whole market, or for all rows of a sector.
+Facts that several loaders make of one frame travel in one row.
 """
 
 from __future__ import annotations
@@ -26,6 +27,14 @@ NEWEST, COUNT, ANY, KINDS = "newest", "count", "any", "kinds"
 class Facts:
     rows: DataFrame
     values: Mapping[str, str]
+    source: DataFrame | None = None  # the frame that the rows are made of, with the values as columns over it
+    made: Mapping[str, Column] | None = None
+    where: Column | None = None
+
+
+def _made(source: DataFrame, made: Mapping[str, Column], values: Mapping[str, str], where: Column | None = None) -> Facts:
+    rows = source if where is None else source.filter(where)
+    return Facts(rows.select("code", "day", "available_at", *[v.alias(k) for k, v in made.items()]), values, source, made, where)
 
 
 def _flag(hit: Column) -> Column:
@@ -56,40 +65,54 @@ def event_facts(changes: DataFrame) -> Facts:
     t = F.col("change_type")
     # fixed values: codes of large buys, rapid rises and closed upper limits
     kinds = {"has_large_buy": _flag(t == 8193), "has_rapid_rise": _flag(t.isin(8201, 8202)), "has_limit_up": _flag(t == 4)}
-    rows = changes.select("code", "day", "available_at", lit(1).alias("change_count"), *[v.alias(k) for k, v in kinds.items()])
-    return Facts(rows, {"change_count": COUNT, **{k: ANY for k in kinds}})
+    return _made(changes, {"change_count": lit(1), **kinds}, {"change_count": COUNT, **{k: ANY for k in kinds}})
 
 
 def limit_up_facts(rows: DataFrame) -> Facts:
     """The newest board row: streak, seal ratio, how often it opened (once at least if it broke), heat of its plate."""
     opened = F.when(F.coalesce("exploded", F.lit(False)) & (F.coalesce("explode_count", F.lit(0)) == 0), 1).otherwise(F.col("explode_count"))
     values = {"keep_times": F.col("keep_times"), "seal_ratio": F.col("seal_ratio"), "exploded_count": opened, "plate_heat": F.col("plate_heat")}
-    return Facts(rows.select("code", "day", "available_at", *[v.cast("double").alias(k) for k, v in values.items()]), {k: NEWEST for k in values})
+    return _made(rows, {k: v.cast("double") for k, v in values.items()}, {k: NEWEST for k in values})
+
+
+def screening_values() -> dict[str, Column]:
+    """Values over screening facts."""
+    return {"pattern_count": F.col("pattern_count").cast("double"), "macd_golden": _flag(F.col("macd_golden")), "ma_bullish": _flag(F.col("ma_bullish"))}
 
 
 def screening_fact_values(facts: DataFrame) -> Facts:
     """Named conditions of the screening facts."""
-    rows = facts.select("code", "day", F.col("pattern_count").cast("double").alias("pattern_count"), _flag(F.col("macd_golden")).alias("macd_golden"), _flag(F.col("ma_bullish")).alias("ma_bullish"))
-    return Facts(rows, {c: NEWEST for c in ("pattern_count", "macd_golden", "ma_bullish")})
+    values = screening_values()
+    return Facts(facts.select("code", "day", *[v.alias(k) for k, v in values.items()]), {c: NEWEST for c in values})
 
 
 def recommendation_facts(events: DataFrame) -> Facts:
     """Recommendations that count for research: how many, and from how many models."""
-    rows = events.filter(F.col("independent")).select("code", "day", "available_at", lit(1).alias("count"), F.col("model").cast("string").alias("model_count"))
-    return Facts(rows, {"count": COUNT, "model_count": KINDS})
+    made = {"count": lit(1), "model_count": F.col("model").cast("string")}
+    return _made(events, made, {"count": COUNT, "model_count": KINDS}, F.col("independent"))
 
 
 def candidate_facts(candidates: DataFrame) -> Facts:
     """The newest score among captured candidates."""
-    return Facts(candidates.select("code", "day", "available_at", F.col("score").cast("double").alias("score")), {"score": NEWEST})
+    return _made(candidates, {"score": F.col("score").cast("double")}, {"score": NEWEST})
+
 
+def shared(base: DataFrame, space: str, facts: Facts, names: Sequence[str] | None = None, by: Sequence[str] = ("day",)) -> DataFrame:
+    """Base rows with the values of facts without a code, which hold for all rows of a day, or of a day and sector.
 
-def known_facts(base: DataFrame, facts: Mapping[str, Facts], ids: Sequence[str] | None = None, decision: str = "decision_as_of") -> DataFrame:
+    These are one row per trading day and sector, and are broadcast.
+    """
+    values = [F.col(n).alias(f"{space}_{n}") for n in (facts.values if names is None else names)]
+    return base.join(F.broadcast(facts.rows.select(*by, *values)), list(by), "left")
+
+
+def known_facts(base: DataFrame, facts: Mapping[str, Facts], ids: Sequence[str] | None = None, decision: str = "decision_as_of", latest: Column | None = None) -> DataFrame:
     """Base rows with a column `namespace_name` for each id (all by default), as known at the row's decision time.
 
     Facts and base rows become one stream by (code, day), ordered by time, and every namespace is carried forward in
-    the same pass: one exchange, however many namespaces. A key's rows may have several decision times. Facts of the
-    whole market are one row a day and are broadcast. Equal times go to the larger values.
+    the same pass: one exchange, however many namespaces, and one row for all facts that are made of the same source row.
+    A key's rows may have several decision times. Facts of the whole market are one row a day and are broadcast. Equal
+    times go to the larger values. `latest` is a time over (code, day) that no decision comes after: later facts stay behind.
     """
     wanted: dict[str, list[str]] = {}
     for i in ids if ids is not None else [f"{s}.{c}" for s, f in facts.items() for c in f.values]:
@@ -97,16 +120,31 @@ def known_facts(base: DataFrame, facts: Mapping[str, Facts], ids: Sequence[str]
         if space not in facts or name not in facts[space].values:
             raise ValueError(f"unknown fact {i}")
         wanted.setdefault(space, []).append(name)
-    streams = [base.select("code", "day", F.col(decision).cast("timestamp").alias("_at"), F.lit(1).alias("_late"), F.struct(*[base[c] for c in base.columns]).alias("_base"))]
+    timed = dict(base.dtypes)[decision] == "timestamp"
+    kept = [c for c in base.columns if c not in ("code", "day") and not (timed and c == decision)]
+    streams = [base.select("code", "day", F.col(decision).cast("timestamp").alias("_at"), F.lit(1).alias("_late"), *[base[c].alias(f"_base_{c}") for c in kept])]
     carried, out = [], []
     w = Window.partitionBy("code", "day").orderBy("_at", "_late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for space, names in wanted.items():
-        rows, how = facts[space].rows, facts[space].values
-        if "code" not in rows.columns:
-            continue
+    together: dict[int, list[str]] = {}
+    for space in wanted:
+        if "code" in facts[space].rows.columns:
+            source = facts[space].source
+            together.setdefault(id(facts[space].rows if source is None else source), []).append(space)
+    for spaces in together.values():
+        one = facts[spaces[0]]
+        rows = one.rows if one.source is None else one.source
         at = F.col("available_at") if "available_at" in rows.columns else F.col("day").cast("timestamp")
-        own = rows.select("code", "day", at.alias("_at"), F.lit(0).alias("_late"), F.struct(*names).alias(f"_{space}"))
-        streams.append(own.filter("code IS NOT NULL AND day IS NOT NULL AND _at IS NOT NULL"))
+        values, held = [], []
+        for space in spaces:
+            f = facts[space]
+            value = F.struct(*[F.col(n) if f.made is None else f.made[n].alias(n) for n in wanted[space]])
+            values.append((value if f.where is None else F.when(f.where, value)).alias(f"_{space}"))
+            held.append(F.lit(True) if f.where is None else F.coalesce(f.where, F.lit(False)))
+        rows = rows.filter(reduce(lambda a, b: a | b, held)).select("code", "day", at.alias("_at"), F.lit(0).alias("_late"), *values)
+        rows = rows.filter("code IS NOT NULL AND day IS NOT NULL AND _at IS NOT NULL")
+        streams.append(rows if latest is None else rows.filter(F.col("_at") <= latest))
+    for space in [s for spaces in together.values() for s in spaces]:
+        names, how = wanted[space], facts[space].values
         here = F.col(f"_{space}").isNotNull()
         newest = [n for n in names if how[n] == NEWEST]
         if newest:
@@ -123,12 +161,12 @@ def known_facts(base: DataFrame, facts: Mapping[str, Facts], ids: Sequence[str]
             if how[n] != NEWEST:
                 out.append(F.col(f"{space}_{n}"))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
-    got = both.select("_base", *carried).filter("_base IS NOT NULL").select(*[F.col(f"_base.`{c}`").alias(c) for c in base.columns], *out)
+    got = both.select("code", "day", "_at", "_late", *[f"_base_{c}" for c in kept], *carried).filter("_late = 1")
+    own = [F.col(c) if c in ("code", "day") else F.col("_at").alias(c) if c not in kept else F.col(f"_base_{c}").alias(c) for c in base.columns]
+    got = got.select(*own, *out)
     for space, names in wanted.items():
-        rows = facts[space].rows
-        if "code" not in rows.columns:
-            # one row per trading day
-            got = got.join(F.broadcast(rows.select("day", *[F.col(n).alias(f"{space}_{n}") for n in names])), "day", "left")
+        if "code" not in facts[space].rows.columns:
+            got = shared(got, space, facts[space], names)
     return got.select(*base.columns, *[f"{s}_{n}" for s, names in wanted.items() for n in names])
 
 

@@ -67,7 +67,7 @@ def feature_columns(bars: DataFrame, columns: Sequence[str], master: DataFrame |
     the code's row before (null on the first row after the warm-up), and `future`, the close `horizon` rows ahead.
     Columns of `master`, rows by code, are joined on the way, where bars already stand by code.
     """
-    back = {v: k for k, v in RENAME.items()}
+    columns, back = list(dict.fromkeys(columns)), {v: k for k, v in RENAME.items()}
     behind = {c: back.get(c.removeprefix("previous_"), c.removeprefix("previous_")) for c in columns if c.startswith("previous_")}
     of_master = [c for c in columns if master is not None and c in master.columns]
     plain = [back.get(c, c) for c in columns if c not in behind and c != "future" and c not in of_master]
@@ -87,8 +87,10 @@ def feature_columns(bars: DataFrame, columns: Sequence[str], master: DataFrame |
         df = df.withColumn("_day", F.unix_date("day").cast("double"))
         inputs = [*inputs, "_day"]
 
+    made_of = rc.feature_recipe  # the function alone goes to the tasks
+
     def recipe(s):
-        out = rc.feature_recipe(s)
+        out = made_of(s)
         for name, x in behind.items():
             out[name] = before(s["_day"] if x == "day" else out[x] if x in out else s[x])
             out[name][: warm_up + 1] = np.nan

@@ -103,29 +103,38 @@ def median_by(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return q.select(*keys, ((F.col("_lo") + F.col("_hi")) / lit(2)).alias(f"median_{value}"))
 
 
-def sector_net(stocks: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per stock and day the median net inflow of its matching sectors: its industry, else its concepts.
-
-    `stocks` has code, industry and a concepts array; `flows` has sector_type, sector_name,
-    day, net_inflow, data_as_of, of which the newest snapshot per sector counts.
-    """
-    newest = flows.groupBy("sector_type", "sector_name", "day").agg(F.max_by("net_inflow", "data_as_of").alias("net"))
+def sector_sets(stocks: DataFrame) -> DataFrame:
+    """(code, _set): the sorted sectors of each stock, its industry and its concepts, without empty names."""
     names = F.concat(
         F.array(F.struct(F.lit("industry").alias("sector_type"), F.col("industry").alias("sector_name"))),
         F.transform("concepts", lambda c: F.struct(F.lit("concept").alias("sector_type"), c.alias("sector_name"))),
     )
     links = by_instrument(stocks.select("code", F.explode(names).alias("s")).filter("s.sector_name <> ''"))
-    # stocks of equal sectors share their medians: these are made once a set of sectors, and a set's days go to its stocks
-    stocks_sets = links.groupBy("code").agg(F.array_sort(F.collect_set("s")).alias("_set"))
-    sets = stocks_sets.select("_set").distinct()
-    matched = sets.select("_set", F.explode("_set").alias("s")).select("_set", "s.*").join(newest, ["sector_type", "sector_name"])
+    return links.groupBy("code").agg(F.array_sort(F.collect_set("s")).alias("_set"))
+
+
+def set_net(sets: DataFrame, flows: DataFrame) -> DataFrame:
+    """(_set, day, sector_net): per set of sectors and day the median net inflow of its industries, else of its concepts."""
+    newest = flows.groupBy("sector_type", "sector_name", "day").agg(F.max_by("net_inflow", "data_as_of").alias("net"))
+    matched = sets.select("_set").distinct().select("_set", F.explode("_set").alias("s")).select("_set", "s.*").join(newest, ["sector_type", "sector_name"])
     # a stock has few sectors, so the plain exact median of each tiny group is the cheapest
     wide = matched.groupBy("_set", "day").agg(
         F.median(F.when(F.col("sector_type") == "industry", F.col("net"))).alias("_i"),
         F.median(F.when(F.col("sector_type") == "concept", F.col("net"))).alias("_c"),
     )
-    series = wide.groupBy("_set").agg(F.collect_list(F.struct("day", F.coalesce("_i", "_c").alias("sector_net"))).alias("_days"))
-    return stocks_sets.join(series, "_set").select("code", F.explode("_days").alias("_d")).select("code", "_d.*")
+    return wide.select("_set", "day", F.coalesce("_i", "_c").alias("sector_net"))
+
+
+def sector_net(stocks: DataFrame, flows: DataFrame) -> DataFrame:
+    """Per stock and day the median net inflow of its matching sectors: its industry, else its concepts.
+
+    `stocks` has code, industry and a concepts array; `flows` has sector_type, sector_name,
+    day, net_inflow, data_as_of, of which the newest snapshot per sector counts.
+    """
+    # stocks of equal sectors share their medians: these are made once a set of sectors, and a set's days go to its stocks
+    sets = sector_sets(stocks)
+    series = set_net(sets, flows).groupBy("_set").agg(F.collect_list(F.struct("day", "sector_net")).alias("_days"))
+    return sets.join(series, "_set").select("code", F.explode("_days").alias("_d")).select("code", "_d.*")
 
 
 def lookback_counts(base: DataFrame, events: DataFrame, days: int, what: Sequence[Column]) -> DataFrame:

@@ -74,3 +74,38 @@ def test_screening_meets_the_calendar_alone(spark, monkeypatch):
     assert {t for df in stored for c, t in df.dtypes if c not in ("code", "day")} == {"boolean", "date"}
     rest = of.screened(of.screening_conditions(spark.range(0).select(F.col("id").alias("code"), F.current_date().alias("day"), *[F.lit(1.0).alias(c) for c in of.SCREENED], *[F.lit(None).cast("date" if c == "previous_day" else "double").alias(c) for c in of.BEFORE])))
     assert "SortMergeJoin" not in plan(rest) and exchanges(plan(rest)) <= 1  # the days of the calendar
+
+
+def test_facts_of_one_source_travel_in_one_row(spark, monkeypatch):
+    from barloom.operators import facts as ft
+
+    at = lambda h: dt.datetime.combine(DAY0, dt.time(h))
+    names = "code long, day date, available_at timestamp, change_type int, keep_times int, seal_ratio double, explode_count int, exploded boolean, plate_heat int, model string, independent boolean, score double"
+    rows = [(1, DAY0, at(2), 4, 1, 0.5, 0, True, 7, "a", True, 5.0), (1, DAY0, at(3), 8193, 2, 0.1, 1, False, 8, "b", False, 4.0), (1, DAY0, at(9), 99, 3, 0.2, 1, False, 9, "c", True, 9.0), (2, DAY0, None, 4, 1, 0.5, 0, True, 7, "a", None, 1.0)]
+    base = spark.createDataFrame([(1, DAY0, at(4), "x"), (2, DAY0, at(4), "y")], "code long, day date, decision_as_of timestamp, event string")
+
+    def loaders(*frames):
+        kinds = (ft.event_facts, ft.limit_up_facts, ft.recommendation_facts, ft.candidate_facts)
+        return {k: f(s) for k, f, s in zip(("event", "limitup", "recommendation", "candidate"), kinds, frames)}
+
+    li = spark.createDataFrame(rows, names)
+    apart = ft.known_facts(base, loaders(*[spark.createDataFrame(rows, names) for _ in range(4)]))
+    for latest in (None, F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(4))):
+        together = ft.known_facts(base, loaders(li, li, li, li), latest=latest)
+        # base and line rows: two streams meet, in one exchange
+        assert plan(together).count("Union") == 1 and plan(together).count("Scan ExistingRDD") == 2 and exchanges(plan(together)) == 1
+        assert sorted(together.collect()) == sorted(apart.collect())
+    got = {r.code: r for r in together.collect()}
+    assert (got[1].event_change_count, got[1].limitup_keep_times, got[1].recommendation_count, got[1].candidate_score) == (2.0, 2.0, 1.0, 4.0)
+    assert (got[2].event, got[2].event_change_count, got[2].recommendation_count) == ("y", None, None)
+
+
+@pytest.mark.parametrize("name", ["external_facts", "factor_external_ids"])
+def test_external_ids_store_one_narrow_row_a_bar(name, spark, sf, monkeypatch):
+    from barloom.plans import facts as plans
+
+    stored = []
+    monkeypatch.setattr(plans, "materialized", lambda df: stored.append(df) or df)
+    df = load()[name].run(spark, sf)
+    assert len(stored) == 1 and sum(t == "double" for _, t in stored[0].dtypes) <= 4
+    assert plan(df).count("FileScan parquet") <= 40 and not re.search(r"Window \[.*lead\(", plan(df))
