@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import lit, rnd
+from barloom.functions.numeric import lit
+from barloom.indicators import blocks as bl
 from barloom.indicators import recurrent as rc
-from barloom.indicators import rolling as ro
 from barloom.operators.recurrence import by_instrument, scan_blocks
 
 PRECISION = 6
@@ -198,50 +199,59 @@ RECIPES = (
 ).split()
 
 
+def _read() -> list[str]:
+    """The columns that rules read, without prices, previous values and what is made of others."""
+    names = re.findall(r"[a-z_][a-z0-9_]*", " ".join(re.sub(r"'[^']*'", "", x) for x in RULES.values()))
+    names = [*names, "keltner_lower", "keltner_upper", "boll_lower", "boll_upper"]
+    return [c for c in dict.fromkeys(names) if c not in ("close", "squeeze", "greatest", "least") and not c.startswith("p_")]
+
+
 def indicator_table(df: DataFrame) -> DataFrame:
-    """Every column the rules read. One exchange; two Arrow passes (the second for the self-adaptive trend)."""
-    base = ("open", "high", "low", "close", "volume")
-    df = by_instrument(df.select("code", "day", *base))
-    df = rc.run(rc.with_inputs(df), RECIPES, carry=base, prepared=True)
-    extra = [c for c in df.columns if c not in ("code", "day", *base)]
-    df = scan_blocks(rc.sats_inputs(df), rc.sats_recipe, rc.SATS_INPUTS, rc.SATS_OUTPUTS, carry=(*base, *extra))
-    steps = (
-        ro.moving_averages, ro.bollinger_pop, ro.vwap_bands, ro.hull, ro.ichimoku, ro.donchian, ro.alligator,
-        ro.pivot_points, ro.cci, ro.williams_r, ro.stoch_rsi, ro.rsi_cutler, ro.aroon, ro.cmo, ro.roc, ro.coppock,
-        ro.awesome, ro.obv_vol0, ro.mfi, ro.cmf, ro.accumulation, ro.choppiness, ro.ulcer,
-    )
-    mass = [{"mass_index": ro.R.sum("mass_ratio", 25)}]
-    df = ro.together(df, mass, *[s.levels() for s in steps])
-    return df
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Every number that a rule compares, at one precision: sums that differ only in the last bits are the same level."""
-    read = set(re.findall(r"[a-z_][a-z0-9_]*", " ".join(RULES.values()))) | {"keltner_lower", "keltner_upper", "boll_lower", "boll_upper"}
-    return df.withColumns({c: rnd(c, PRECISION) for c in df.columns if c in read})
+    """Every column the rules read. One exchange; two Arrow passes in the same order (the second for the self-adaptive trend)."""
+    base = ["high", "low", "close"]
+    fns = [rc.RECIPES[n][0] for n in RECIPES]
+    settings = dict(rc.SATS)
+    trend = [c for c in rc.SATS_INPUTS if c not in base]
+    made = [c for c in _read() if c not in rc.SATS_OUTPUTS]
+    inputs, window_columns, trend_inputs = bl.inputs, bl.window_columns, bl.trend_inputs  # functions alone go to the tasks
+
+    def recipe(s):
+        s = {**s, **inputs(s)}
+        for fn in fns:
+            s.update(fn(s))
+        return {**s, **window_columns(s), **trend_inputs(s, settings)}
+
+    df = scan_blocks(by_instrument(df.select("code", "day", *base, "volume")), recipe, [*base, "volume"], [*made, *trend], carry=base)
+    return scan_blocks(df, rc.sats_recipe, rc.SATS_INPUTS, ["sats_dir"], carry=["close", *made], ordered=True)
+
+
+def settled_table(df: DataFrame) -> DataFrame:
+    """The indicator table with every number that a rule compares at one precision (sums that differ only in the last bits
+    are the same level), gaps of `FILLED` closed by the newest value, and previous values; from the second bar on."""
+    table = indicator_table(df)
+    names = ["close", *[c for c in table.columns if c not in ("code", "day", "close")]]
+    level, fill, past, at = bl.settled, bl.filled, bl.lag, np.arange
+
+    def recipe(s):
+        out = {c: level(fill(s[c]) if c in FILLED else s[c], PRECISION) for c in names}
+        out |= {f"p_{c}": past(out[c], 1) for c in COMPARED}
+        return {**out, "_n": np.broadcast_to(at(1.0, len(out["close"]) + 1)[:, None], out["close"].shape)}
+
+    out = scan_blocks(table, recipe, names, [*names, *[f"p_{c}" for c in COMPARED], "_n"], ordered=True)
+    return out.filter(F.col("_n") >= 2).withColumn("squeeze", rc.squeeze_on())
 
 
 def vote(df: DataFrame) -> DataFrame:
     """code, day and an array of (name, side) for the indicators that vote on the bar."""
-    df = indicator_table(df)
-    back = Window.partitionBy("code").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({**{c: F.last(c, ignorenulls=True).over(back) for c in FILLED}, "_n": ro.R.at()})
-    df = _settled(df).withColumn("squeeze", rc.squeeze_on())
-    df = df.withColumns({f"p_{c}": ro.R.lag(c) for c in COMPARED})
-    votes = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(t).alias("side")) for n, t in RULES.items()])
-    return df.filter(F.col("_n") >= 2).select(
-        "code", "day", F.filter(votes, lambda v: v["side"].isNotNull()).alias("votes")
-    )
+    sides = settled_table(df).select("code", "day", *[F.expr(t).alias(f"_{i}") for i, t in enumerate(RULES.values())])
+    votes = [F.when(F.col(f"_{i}").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"_{i}").alias("side"))) for i, n in enumerate(RULES)]
+    return sides.select("code", "day", F.array_compact(F.array(*votes)).alias("votes"))
 
 
 def summary(voted: DataFrame) -> DataFrame:
     """Counts per side and whole-number percentages."""
-    n = F.size("votes")
-
-    def count(side: str):
-        return F.size(F.filter("votes", lambda v: v["side"] == side))
-
-    counts = {s: count(s) for s in SIDES}
+    sides, n = F.col("votes.side"), F.size("votes")
+    counts = {s: n - F.size(F.array_remove(sides, s)) for s in SIDES}
     df = voted.select("code", "day", n.cast("long").alias("total"), *[c.cast("long").alias(s) for s, c in counts.items()])
     pct = {f"{s}_pct": F.when(F.col("total") > 0, F.floor(F.col(s) * lit(100) / F.col("total") + lit(0.5))) for s in SIDES}
     return df.withColumns({k: F.coalesce(v, F.lit(0)).cast("long") for k, v in pct.items()})

@@ -99,9 +99,9 @@ def in_blocks(table: pa.Table, recipe: BlockRecipe, key: str, used: Sequence[str
     return [pa.array(out[n], mask=np.isnan(out[n])) for n in made]
 
 
-def scan_blocks(df: DataFrame, recipe: BlockRecipe, inputs: Sequence[str], outputs: Sequence[str], key: str = "code", order: str = "day", carry: Sequence[str] = ()) -> DataFrame:
+def scan_blocks(df: DataFrame, recipe: BlockRecipe, inputs: Sequence[str], outputs: Sequence[str], key: str = "code", order: str = "day", carry: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """`scan` for a recipe over blocks. All rows of an instrument must be in one partition, as after `by_instrument` or a
-    window by key; a task holds one block and the start of the next."""
+    window by key; a task holds one block and the start of the next. `ordered` rows stand as another such pass left them."""
     types = dict(df.dtypes)
     cols = list(dict.fromkeys([key, order, *carry, *inputs]))
     kept = [key, order, *carry]
@@ -127,7 +127,8 @@ def scan_blocks(df: DataFrame, recipe: BlockRecipe, inputs: Sequence[str], outpu
         if rows:
             yield from done(pa.Table.from_batches(held).combine_chunks())
 
-    return df.select(*cols).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    df = df.select(*cols)
+    return (df if ordered else df.sortWithinPartitions(key, order)).mapInArrow(run, schema)
 
 
 # --- building blocks: matrices of bars by instruments, NaN where a value is missing ------------------

@@ -109,3 +109,39 @@ def test_external_ids_store_one_narrow_row_a_bar(name, spark, sf, monkeypatch):
     df = load()[name].run(spark, sf)
     assert len(stored) == 1 and sum(t == "double" for _, t in stored[0].dtypes) <= 4
     assert plan(df).count("FileScan parquet") <= 40 and not re.search(r"Window \[.*lead\(", plan(df))
+
+
+def test_vote_columns_are_their_windows(spark):
+    from barloom.indicators import recurrent as rc
+    from barloom.indicators import rolling as ro
+    from barloom.indicators import vote
+    from barloom.operators.recurrence import by_instrument
+
+    b = bars(spark, ((1, 170), (2, 61), (3, 1), (4, 20)), seed=9).withColumn("volume", F.when(F.col("day") == DAY0 + dt.timedelta(days=30), 0.0).otherwise(F.col("volume")))
+    b = b.withColumns({c: F.when(F.col("code") == 4, F.lit(5.0)).otherwise(F.col(c)) for c in ("high", "low", "close")})
+    df = rc.run(rc.with_inputs(by_instrument(b.select("code", "day", "open", "high", "low", "close", "volume"))), vote.RECIPES, carry=("open", "high", "low", "close", "volume"), prepared=True)
+    steps = "moving_averages bollinger_pop vwap_bands hull ichimoku donchian alligator pivot_points cci williams_r stoch_rsi rsi_cutler aroon cmo roc coppock awesome obv_vol0 mfi cmf accumulation choppiness ulcer".split()
+    windows = ro.together(df, [{"mass_index": ro.R.sum("mass_ratio", 25)}], *[getattr(ro, n).levels() for n in steps])
+    trend = {(r.code, r.day): r.sats_dir for r in rc.sats(b).collect()}
+    want = {(r.code, r.day): r for r in windows.collect()}
+    table = vote.indicator_table(b)
+    got = table.collect()
+    assert len(got) == len(want) == 252 and len(table.columns) == 2 + 1 + 71
+    for r in got:
+        for c in table.columns[3:]:
+            w = trend[r.code, r.day] if c == "sats_dir" else want[r.code, r.day][c]
+            assert r[c] == (pytest.approx(w, rel=1e-7, abs=1e-6) if isinstance(w, float) else w), (c, r.code, r.day)
+    # bars meet by instrument once; no window, and no second exchange between the passes
+    text = plan(vote.summary(vote.vote(b)))
+    assert exchanges(text) == 1 and "Window" not in text and text.count("Sort [") == 1
+
+
+def test_settled_blocks_round_as_columns_do(spark):
+    from barloom.functions.numeric import rnd
+    from barloom.indicators.blocks import filled, settled
+
+    x = [0.0, -0.0, 0.5e-6, -0.5e-6, 1.4999999999e-6, 123456.7890125, -2.5, 1e12 + 0.1, 1e300]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(rnd("x", 6).alias("y")).collect()]
+    assert settled(np.array([x]), 6)[0].tolist() == want
+    gap = np.array([[np.nan, 1.0], [2.0, np.nan], [np.nan, np.nan]])
+    assert [[None if v != v else v for v in row] for row in filled(gap).tolist()] == [[None, 1.0], [2.0, 1.0], [2.0, 1.0]]
