@@ -186,14 +186,23 @@ def recommendation_candidates(recommendations: DataFrame, days: DataFrame, reach
 
     One row per (code, day): the best rating's score, and rating, reference price (the close, or the quoted price where
     there is no positive close) and stop of the newest recommendation; equal times go to the larger id. Recommendations
-    shrink to one row per code and own day before they are placed on the days that they reach.
+    shrink to one row per code and own day, and only these are exchanged: each is placed on the days on which it is the
+    newest, and holds those of the `reach` days before it.
     """
     price = F.when(F.col("close_price") > 0, F.col("close_price")).otherwise(F.coalesce("price", lit(0)))
     last = F.struct("data_time", "id", "rating", price.alias("reference_price"), "stop_loss")
     own = recommendations.filter("code IS NOT NULL AND data_time IS NOT NULL")
     own = own.groupBy("code", F.to_date("data_time").alias("_own")).agg(F.max(rating_points(F.col("rating"))).alias("score"), F.max(last).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    placed = own.withColumn("day", F.explode(F.sequence("_own", F.date_add("_own", reach))))
+    own = own.withColumn("_d", F.unix_date("_own"))
+    w = Window.partitionBy("code").orderBy("_d")
+    held = F.collect_list(F.struct("_d", "score", "_n")).over(w.rangeBetween(-reach, 0))
+    until = F.least(F.col("_d") + reach, F.lead("_d").over(w) - 1)
+    own = own.select("code", "_d", "score", "_n", "_last", held.alias("_held"), until.alias("_until"))
+    placed = own.withColumn("_day", F.explode(F.sequence("_d", "_until"))).withColumn("day", F.date_from_unix_date("_day"))
     # trade days are a calendar: one row a day
     placed = placed.join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
-    g = placed.groupBy("code", "day").agg(F.max("score").alias("score"), F.max("_last").alias("_last"), F.sum("_n").alias("recommendations"))
-    return g.select("code", "day", F.lit("recommendation").alias("source"), "score", "recommendations", "_last.rating", "_last.reference_price", "_last.stop_loss", F.col("_last.data_time").alias("available_at"))
+    near = F.filter("_held", lambda e: e["_d"] >= F.col("_day") - reach)
+    alone = F.size("_held") == 1
+    score = F.when(alone, F.col("score")).otherwise(F.array_max(F.transform(near, lambda e: e["score"])))
+    count = F.when(alone, F.col("_n")).otherwise(F.aggregate(near, F.lit(0).cast("long"), lambda s, e: s + e["_n"]))
+    return placed.select("code", "day", F.lit("recommendation").alias("source"), score.alias("score"), count.alias("recommendations"), "_last.rating", "_last.reference_price", "_last.stop_loss", F.col("_last.data_time").alias("available_at"))

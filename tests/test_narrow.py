@@ -145,3 +145,26 @@ def test_settled_blocks_round_as_columns_do(spark):
     assert settled(np.array([x]), 6)[0].tolist() == want
     gap = np.array([[np.nan, 1.0], [2.0, np.nan], [np.nan, np.nan]])
     assert [[None if v != v else v for v in row] for row in filled(gap).tolist()] == [[None, 1.0], [2.0, 1.0], [2.0, 1.0]]
+
+
+def test_recommendations_are_placed_after_the_exchange(spark):
+    from barloom.operators import facts as ft
+
+    rng = random.Random(11)
+    words = {"hold": 50, "strong": 75, "buy": 65, "?": 45}
+    rows = [(rng.randrange(4), dt.datetime.combine(DAY0 + dt.timedelta(days=rng.choice([rng.randrange(20), rng.randrange(400)])), dt.time(rng.randrange(3))), i, rng.choice(list(words)), float(i), 1.0, -float(i)) for i in range(160)]
+    days = {DAY0 + dt.timedelta(days=i) for i in range(-3, 460) if i % 7}
+    recs = spark.createDataFrame(rows, "code long, data_time timestamp, id long, rating string, close_price double, price double, stop_loss double")
+    out = ft.recommendation_candidates(recs, spark.createDataFrame([(d,) for d in days for _ in range(2)], "day date"))
+    want = {}
+    for code in range(4):
+        for day in days:
+            seen = [r for r in rows if r[0] == code and 0 <= (day - r[1].date()).days <= 30]
+            if seen:
+                top = max(seen, key=lambda r: (r[1], r[2]))
+                want[code, day] = (max(words[r[3]] for r in seen), len(seen), top[3], top[4] if top[4] > 0 else 1.0, top[6], top[1])
+    got = out.collect()
+    assert {(r.code, r.day): (r.score, r.recommendations, r.rating, r.reference_price, r.stop_loss, r.available_at) for r in got} == want and len(got) == len(want) > 300
+    # the days that a recommendation reaches are no rows of an exchange
+    text = plan(ft.recommendation_candidates(recs, spark.createDataFrame([(d,) for d in days], "day date")))
+    assert not re.search(r"Exchange hashpartitioning.*\n(.*\n){0,8}.*Generate explode", text)
