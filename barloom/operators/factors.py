@@ -326,6 +326,42 @@ def wide_preprocess_stats(wide: DataFrame, factors: Sequence[str], low: float =
     return _mean_stats(wide.select("day", *names).groupBy("day").applyInArrow(run, schema))
 
 
+def wide_preprocess(wide: DataFrame, factors: Sequence[str], low: float = 0.01, high: float = 0.99, min_rows: int = 3) -> DataFrame:
+    """(factor, code, day, winsorized, zscore, neutralized) as `preprocess` has them, of wide observations: a day's
+    cross-section is exchanged once for all factors, and rows become long only where nothing is exchanged any more."""
+    names, types = list(factors), dict(wide.dtypes)
+    schema = f"factor string, code {types['code']}, day {types['day']}, winsorized double, zscore double, neutralized double"
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        sector = table.column("sector").combine_chunks().dictionary_encode().indices.to_numpy()
+        with np.errstate(all="ignore"):
+            for c in names:
+                there = np.flatnonzero(table.column(c).is_valid().to_numpy())
+                n = len(there)
+                if n < min_rows:
+                    continue
+                x = table.column(c).drop_null().to_numpy()
+                if n >= 10:
+                    places = [int(np.floor((n - 1) * p)) for p in (low, high)]
+                    bounds = np.partition(x, places)[places]  # NaN is the largest value, as in greatest and least
+                    x = np.maximum(np.fmin(x, bounds[1]), bounds[0])
+                # from the first value, so a constant has no spread at all
+                mean = x[0] + (x - x[0]).mean()
+                off = x - mean
+                sd = float(np.sqrt((off * off).sum() / (n - 1))) if n > 1 else 0.0
+                z = off / sd if sd >= 1e-10 or sd != sd else np.zeros(n)
+                own = sector[there]
+                total, count = np.bincount(own, weights=x), np.bincount(own)
+                rows = table.select(["code", "day"]).take(pa.array(there))
+                values = [pa.array(v, pa.float64()) for v in (x, z, x - (total / count)[own])]
+                parts.append(pa.table([pa.array([c] * n, pa.string()), rows.column("code"), rows.column("day"), *values], names=["factor", "code", "day", "winsorized", "zscore", "neutralized"]))
+        empty = pa.table({"factor": pa.array([], pa.string()), "code": table.column("code").slice(0, 0), "day": table.column("day").slice(0, 0), **{k: pa.array([], pa.float64()) for k in ("winsorized", "zscore", "neutralized")}})
+        return pa.concat_tables(parts) if parts else empty
+
+    return wide.select("code", "day", "sector", *names).groupBy("day").applyInArrow(run, schema)
+
+
 def redundant_pairs(pairs: DataFrame, summary: DataFrame, limit: float = 0.70) -> DataFrame:
     """Strongly correlated factor pairs with the one to keep (larger absolute IC)."""
     ic = summary.select("factor", F.abs("ic").alias("_ic"))

@@ -168,3 +168,28 @@ def test_recommendations_are_placed_after_the_exchange(spark):
     # the days that a recommendation reaches are no rows of an exchange
     text = plan(ft.recommendation_candidates(recs, spark.createDataFrame([(d,) for d in days], "day date")))
     assert not re.search(r"Exchange hashpartitioning.*\n(.*\n){0,8}.*Generate explode", text)
+
+
+def test_preprocess_of_wide_rows(spark, sf):
+    from barloom.operators import factors
+
+    rng = random.Random(12)
+    names = ["a", "b", "c", "d", "e"]
+    rows = [(i % 45, DAY0 + dt.timedelta(days=i // 45), rng.choice(["s", "t"]), rng.gauss(0, 1), rng.choice([None, 1.0, rng.random()]), 2.0, None if i // 45 > 3 else rng.random(), rng.gauss(0, 9) if i % 45 < 7 else None, float("nan") if i % 45 == 1 else rng.random()) for i in range(900)]
+    wide = spark.createDataFrame(rows, "code int, day date, sector string, y double, a double, b double, c double, d double, e double")
+
+    def values(df):
+        return {(r.factor, r.code, r.day): [pytest.approx(v, abs=1e-9, nan_ok=True) for v in (r.winsorized, r.zscore, r.neutralized)] for r in df.collect()}
+
+    want = values(factors.preprocess(factors.long_form(wide, names)))
+    out = factors.wide_preprocess(wide, names)
+    got = {(r.factor, r.code, r.day): [r.winsorized, r.zscore, r.neutralized] for r in out.collect()}
+    assert got == want and len({k[0] for k in got}) == 5
+    assert factors.wide_preprocess(wide.filter("code < 2"), names).count() == 0
+    text = plan(load()["factor_preprocess"].run(spark, sf))
+    assert "Window" not in text and not re.search(r"hashpartitioning\(factor#", text)
+
+
+@pytest.mark.parametrize("name", ["factor_observations", "factor_daily_ic", "factor_stats"])
+def test_observations_need_no_window(name, spark, sf):
+    assert not re.search(r"Window \[.*lead\(", plan(load()[name].run(spark, sf)))
