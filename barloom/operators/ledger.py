@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import lit
 from barloom.functions.ranks import count_if
 from barloom.operators.joins import asof_latest
+from barloom.sources.sinks import materialized
 
 _UPTO = (Window.unboundedPreceding, 0)
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -29,18 +30,20 @@ def _two_level(df: DataFrame, value: Column, name: str, keys: Sequence[str] = ("
     return df.join(totals, [*keys, bucket]).withColumn(name, F.col("_base") + F.col("_in")).drop("_in", "_base")
 
 
-def consume(trades: DataFrame) -> DataFrame:
+def consume(trades: DataFrame, dealt: bool = False) -> DataFrame:
     """Adds cumulative purchases (bought_to), what a sell consumes, and cumulative consumption (used_to).
 
     With the running signed volume S and its floor M = min(0, running minimum of S), the
     inventory is S - M, a sell consumes its volume less the drop of M, and total consumption is
     total sales + M. Running sums and minima are taken inside a (code, day) and carried over
-    days from one row per day, so a code that holds a third of all rows is spread over its days.
+    days from one row per day, so a code that holds a third of all rows is spread over its days. `dealt` trades already
+    stand together by code and day.
     """
     buy = F.when(F.col("side") == "buy", F.col("volume")).otherwise(lit(0))
     width = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = trades.withColumns({"_b": buy, "_s": F.when(F.col("side") == "buy", F.col("volume")).otherwise(-F.col("volume"))})
-    df = df.repartition(width, "code", "day")
+    # rows without a key meet no day below; without them here, days and rows read one and the same exchange
+    df = trades.filter("code IS NOT NULL AND day IS NOT NULL").withColumns({"_b": buy, "_s": F.when(F.col("side") == "buy", F.col("volume")).otherwise(-F.col("volume"))})
+    df = df if dealt else df.repartition(width, "code", "day")
     inside = Window.partitionBy("code", "day").orderBy("k")
     upto, before = inside.rowsBetween(*_UPTO), inside.rowsBetween(*_BEFORE)
     df = df.withColumns({"_rs": F.sum("_s").over(upto), "_rb": F.sum("_b").over(upto)})
@@ -64,12 +67,16 @@ def consume(trades: DataFrame) -> DataFrame:
     )
 
 
-def lots(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buy lots with their range of cumulative purchases, sells with their range of cumulative consumption."""
-    df = consume(trades)
-    b = df.filter("side = 'buy'").select("code", "day", "k", "price", "volume", (F.col("bought_to") - F.col("volume")).alias("lo"), F.col("bought_to").alias("hi"))
-    s = df.filter("side = 'sell'").select("code", "day", "k", "price", "volume", "consumed", (F.col("used_to") - F.col("consumed")).alias("lo"), F.col("used_to").alias("hi"))
-    return b, s
+def lots(trades: DataFrame, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Buy lots with their range of cumulative purchases, sells with their range of cumulative consumption.
+
+    Trades are exchanged once and stored with their ranges, since lots and sells are read several times.
+    """
+    buy, used = F.col("side") == "buy", F.col("used_to")
+    lo = F.when(buy, F.col("bought_to") - F.col("volume")).otherwise(used - F.col("consumed"))
+    df = consume(trades, dealt).filter("side IN ('buy', 'sell')")
+    df = materialized(df.select("code", "day", "side", "price", "volume", F.when(~buy, F.col("consumed")).alias("consumed"), lo.alias("lo"), F.when(buy, F.col("bought_to")).otherwise(used).alias("hi")))
+    return df.filter("side = 'buy'").drop("side", "consumed"), df.filter("side = 'sell'").drop("side")
 
 
 def sell_costs(b: DataFrame, s: DataFrame, bucket: float = 1024.0) -> DataFrame:
@@ -95,12 +102,12 @@ def sell_costs(b: DataFrame, s: DataFrame, bucket: float = 1024.0) -> DataFrame:
     return out.withColumns({"covered": full, "profit": F.when(full, F.col("price") * F.col("volume") - F.col("cost"))})
 
 
-def fifo_positions(trades: DataFrame) -> DataFrame:
+def fifo_positions(trades: DataFrame, dealt: bool = False) -> DataFrame:
     """Per code: open volume and cost from the unconsumed lots, and realised profit.
 
     A sell beyond the inventory consumes what is there and adds no realised profit.
     """
-    b, s = lots(trades)
+    b, s = lots(trades, dealt)
     used = s.groupBy("code").agg(F.max("hi").alias("_used"))
     left = b.join(used, "code", "left").withColumn("_rest", F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce("_used", lit(0))), lit(0)))
     pos = left.groupBy("code").agg(F.sum("_rest").alias("open_volume"), F.sum(F.col("_rest") * F.col("price")).alias("open_cost"), F.sum(F.col("volume") * F.col("price")).alias("bought"))

@@ -26,19 +26,19 @@ fp AS MATERIALIZED (SELECT coalesce(ps.code, sd.code) AS code, coalesce(ov, 0) A
 
 @query("fifo_positions", ctes(TRADES, FIFO) + f"SELECT code, {r('ov', 2)} AS open_volume, {r('oc', 1)} AS open_cost, {r('CASE WHEN ov > 0 THEN oc / ov ELSE 0 END', 3)} AS avg_cost, {r('rl', 1)} AS realized, {r('mc', 1)} AS matched_cost, uc AS uncovered_sells FROM fp")
 def fifo_positions(spark, sf):
-    p = ol.fifo_positions(views.trades(spark, sf))
+    p = ol.fifo_positions(views.trades(spark, sf, dealt=True), dealt=True)
     return p.select("code", rnd("open_volume", 2).alias("open_volume"), rnd("open_cost", 1).alias("open_cost"), rnd("avg_cost", 3).alias("avg_cost"), rnd("realized", 1).alias("realized"), rnd("matched_cost", 1).alias("matched_cost"), "uncovered_sells")
 
 
 @query("fifo_rows", ctes(TRADES, FIFO) + f"SELECT code, {d()} AS day, {r('price', 3)} AS price, {r('volume', 2)} AS volume, {r('consumed', 2)} AS consumed, {r('cost', 1)} AS cost, CASE WHEN consumed >= volume THEN {r('price * volume - cost', 1)} END AS profit FROM sl")
 def fifo_rows(spark, sf):
-    s = ol.sell_costs(*ol.lots(views.trades(spark, sf)))
+    s = ol.sell_costs(*ol.lots(views.trades(spark, sf, dealt=True), dealt=True))
     return s.select("code", day_text("day").alias("day"), rnd("price", 3).alias("price"), rnd("volume", 2).alias("volume"), rnd("consumed", 2).alias("consumed"), rnd("cost", 1).alias("cost"), rnd("profit", 1).alias("profit"))
 
 
 @query("ledger_totals", ctes(TRADES, FIFO) + f"SELECT {r('sum(bought)', 0)} AS bought, {r('sum(sold)', 0)} AS sold, {r('sum(rl)', 0)} AS realized, {r('sum(sold) - sum(mc)', 0)} AS net_of_matched_cost, {r('sum(oc)', 0)} AS open_cost, count(CASE WHEN ov > 0 THEN 1 END) AS open_positions FROM fp")
 def ledger_totals(spark, sf):
-    t = ol.ledger_totals(ol.fifo_positions(views.trades(spark, sf)))
+    t = ol.ledger_totals(ol.fifo_positions(views.trades(spark, sf, dealt=True), dealt=True))
     return t.select(*[rnd(c, 0).alias(c) for c in ("bought", "sold", "realized", "net_of_matched_cost", "open_cost")], "open_positions")
 
 

@@ -163,26 +163,23 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade ledger per part: returned items are sells. `k` is the total order within a day."""
+def trades(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Trade ledger per part: returned items are sells. `k` is the total order within a day, as far as it decides a trade.
+
+    `dealt` rows stand together by code and day; only code, day and order are exchanged for it, the rest comes from the order.
+    """
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
-        F.col("l_partkey").alias("code"),
-        F.col("l_shipdate").cast("date").alias("day"),
-        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.col("l_quantity").alias("volume"),
-        F.struct(
-            "l_orderkey",
-            "l_linenumber",
-            "l_suppkey",
-            "l_quantity",
-            "l_extendedprice",
-            "l_discount",
-            "l_tax",
-            "l_returnflag",
-            "l_linestatus",
-        ).alias("k"),
+    k = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    rows = li.select(F.col("l_partkey").alias("code"), F.col("l_shipdate").cast("date").alias("day"), k.alias("k"))
+    if dealt:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "code", "day")
+    return rows.select(
+        "code",
+        "day",
+        F.when(F.col("k.l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
+        (F.col("k.l_extendedprice") / F.col("k.l_quantity")).alias("price"),
+        F.col("k.l_quantity").alias("volume"),
+        "k",
     )
 
 

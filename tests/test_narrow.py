@@ -193,3 +193,32 @@ def test_preprocess_of_wide_rows(spark, sf):
 @pytest.mark.parametrize("name", ["factor_observations", "factor_daily_ic", "factor_stats"])
 def test_observations_need_no_window(name, spark, sf):
     assert not re.search(r"Window \[.*lead\(", plan(load()[name].run(spark, sf)))
+
+
+@pytest.mark.parametrize("name", ["fifo_positions", "ledger_totals", "fifo_rows"])
+def test_trades_are_exchanged_once(name, spark, sf, monkeypatch):
+    from barloom.operators import ledger
+
+    stored = []
+    store = ledger.materialized
+    monkeypatch.setattr(ledger, "materialized", lambda df: stored.append(df) or store(df))
+    load()[name].run(spark, sf).collect()
+    assert len(stored) == 1 and not {"k", "struct"} & {*stored[0].columns, *[t[:6] for _, t in stored[0].dtypes]}
+    # days and their trades ask for the trades by code and day, and read one exchange
+    text = plan(stored[0])
+    assert len(re.findall(r"hashpartitioning\(code#\d+L, day#\d+, 8\), REPARTITION_BY_NUM", text)) == 2
+    text = stored[0]._jdf.queryExecution()
+    stored[0].collect()
+    final = text.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 1 and len(re.findall(r"[+:]- Exchange hashpartitioning\(code#\d+L, day#\d+, 8\), REPARTITION_BY_NUM", final)) == 1
+
+
+def test_ledger_of_dealt_trades(spark, sf):
+    from barloom.operators import ledger
+    from barloom.sources import views
+
+    plain, dealt = views.trades(spark, sf), views.trades(spark, sf, dealt=True)
+    assert sorted(plain.collect()) == sorted(dealt.collect()) and plain.dtypes == dealt.dtypes
+    rows = lambda df: {r.code: (r.open_volume, r.uncovered_sells, pytest.approx(r.realized), pytest.approx(r.open_cost)) for r in df.collect()}
+    got = {r.code: (r.open_volume, r.uncovered_sells, r.realized, r.open_cost) for r in ledger.fifo_positions(dealt, dealt=True).collect()}
+    assert got == rows(ledger.fifo_positions(plain))
