@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import lit, two_sided_p
 from barloom.functions.ranks import count_if
 from barloom.operators.aggregates import pearson
+from barloom.operators.facts import NEWEST, Facts, known_facts
 from barloom.operators.features import column_of
-from barloom.operators.joins import point_in_time, unified_view
+from barloom.operators.joins import unified_view
 from barloom.operators.windows import Roll, average_rank, cumulative_counts, quantiles
 from barloom.sources.sinks import materialized
 
@@ -62,25 +63,28 @@ def observations(features: DataFrame, sectors: DataFrame | None, factors: Sequen
     return long_form(wide_observations(features, sectors, factors, horizon), factors)
 
 
-def wide_external(features: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
+def wide_external(features: DataFrame, facts: Mapping[str, DataFrame | Facts], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
     """Wide observations of `namespace.column` factors.
 
     Facts with an `available_at` column count only as far as they are known at the decision time (the day's end unless
-    given); facts without a code hold for the whole market of their day.
+    given, a column over the day); facts without a code hold for the whole market of their day, or for an industry. All
+    facts of a code meet the features in one exchange. What the features hold already is not looked up.
     """
     at = decision if decision is not None else F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(24))
     base = features.withColumn("decision_as_of", at)
-    known = {}
-    for space in {i.partition(".")[0] for i in ids} - {"stock_feature"}:
-        columns = list(dict.fromkeys(i.partition(".")[2] for i in ids if i.startswith(f"{space}.")))
+    open_ = [i for i in ids if not i.startswith("stock_feature.") and column_of(i) not in features.columns]
+    held = {}
+    for space in dict.fromkeys(i.partition(".")[0] for i in open_):
         f = facts[space]
-        if "available_at" in f.columns:
-            f = point_in_time(base.select("code", "day", "decision_as_of"), f, columns).select("code", "day", *columns)
-        known[space] = f
-    return wide_observations(unified_view(base, known, ids), sectors, [column_of(i) for i in ids], horizon)
+        names = [i.partition(".")[2] for i in open_ if i.startswith(f"{space}.")]
+        held[space] = f if isinstance(f, Facts) else Facts(f, dict.fromkeys(names, NEWEST))
+    of_code = [i for i in open_ if "code" in held[i.partition(".")[0]].rows.columns]
+    base = unified_view(base, {s: f.rows for s, f in held.items()}, [i for i in open_ if i not in of_code])
+    known = known_facts(base, held, of_code, latest=at) if of_code else base
+    return wide_observations(known, sectors, [column_of(i) for i in ids], horizon)
 
 
-def external_observations(features: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
+def external_observations(features: DataFrame, facts: Mapping[str, DataFrame | Facts], ids: Sequence[str], sectors: DataFrame | None, horizon: int = 5, decision: Column | None = None) -> DataFrame:
     """`wide_external` in long form."""
     return long_form(wide_external(features, facts, ids, sectors, horizon, decision), [column_of(i) for i in ids])
 

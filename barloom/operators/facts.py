@@ -19,8 +19,9 @@ from barloom.functions.numeric import lit
 from barloom.functions.ranks import count_if
 from barloom.operators.joins import sector_net
 
-# how rows of one code and day combine: the newest row's value, the rows with a value, the largest, the distinct ones
-NEWEST, COUNT, ANY, KINDS = "newest", "count", "any", "kinds"
+# how rows of one code and day combine: the newest row's value, the rows with a value, the largest, the distinct ones (null
+# where there are none), the distinct ones among rows that may hold none
+NEWEST, COUNT, ANY, KINDS, DISTINCT = "newest", "count", "any", "kinds", "distinct"
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,11 @@ class Facts:
     where: Column | None = None
 
 
-def _made(source: DataFrame, made: Mapping[str, Column], values: Mapping[str, str], where: Column | None = None) -> Facts:
+def made_of(source: DataFrame, made: Mapping[str, Column], values: Mapping[str, str], where: Column | None = None) -> Facts:
+    """Facts with the values `made` as columns over the rows of a frame that satisfy `where`."""
     rows = source if where is None else source.filter(where)
-    return Facts(rows.select("code", "day", "available_at", *[v.alias(k) for k, v in made.items()]), values, source, made, where)
+    at = [c for c in source.columns if c == "available_at"]
+    return Facts(rows.select("code", "day", *at, *[v.alias(k) for k, v in made.items()]), values, source, made, where)
 
 
 def _flag(hit: Column) -> Column:
@@ -65,14 +68,14 @@ def event_facts(changes: DataFrame) -> Facts:
     t = F.col("change_type")
     # fixed values: codes of large buys, rapid rises and closed upper limits
     kinds = {"has_large_buy": _flag(t == 8193), "has_rapid_rise": _flag(t.isin(8201, 8202)), "has_limit_up": _flag(t == 4)}
-    return _made(changes, {"change_count": lit(1), **kinds}, {"change_count": COUNT, **{k: ANY for k in kinds}})
+    return made_of(changes, {"change_count": lit(1), **kinds}, {"change_count": COUNT, **{k: ANY for k in kinds}})
 
 
 def limit_up_facts(rows: DataFrame) -> Facts:
     """The newest board row: streak, seal ratio, how often it opened (once at least if it broke), heat of its plate."""
     opened = F.when(F.coalesce("exploded", F.lit(False)) & (F.coalesce("explode_count", F.lit(0)) == 0), 1).otherwise(F.col("explode_count"))
     values = {"keep_times": F.col("keep_times"), "seal_ratio": F.col("seal_ratio"), "exploded_count": opened, "plate_heat": F.col("plate_heat")}
-    return _made(rows, {k: v.cast("double") for k, v in values.items()}, {k: NEWEST for k in values})
+    return made_of(rows, {k: v.cast("double") for k, v in values.items()}, {k: NEWEST for k in values})
 
 
 def screening_values() -> dict[str, Column]:
@@ -89,12 +92,12 @@ def screening_fact_values(facts: DataFrame) -> Facts:
 def recommendation_facts(events: DataFrame) -> Facts:
     """Recommendations that count for research: how many, and from how many models."""
     made = {"count": lit(1), "model_count": F.col("model").cast("string")}
-    return _made(events, made, {"count": COUNT, "model_count": KINDS}, F.col("independent"))
+    return made_of(events, made, {"count": COUNT, "model_count": KINDS}, F.col("independent"))
 
 
 def candidate_facts(candidates: DataFrame) -> Facts:
     """The newest score among captured candidates."""
-    return _made(candidates, {"score": F.col("score").cast("double")}, {"score": NEWEST})
+    return made_of(candidates, {"score": F.col("score").cast("double")}, {"score": NEWEST})
 
 
 def shared(base: DataFrame, space: str, facts: Facts, names: Sequence[str] | None = None, by: Sequence[str] = ("day",)) -> DataFrame:
@@ -158,6 +161,8 @@ def known_facts(base: DataFrame, facts: Mapping[str, Facts], ids: Sequence[str]
                 carried.append(F.max(value).over(w).alias(f"{space}_{n}"))
             elif how[n] == KINDS:
                 carried.append(F.nullif(F.size(F.collect_set(value).over(w)), F.lit(0)).cast("double").alias(f"{space}_{n}"))
+            elif how[n] == DISTINCT:
+                carried.append(F.when(F.max(here).over(w), F.size(F.collect_set(value).over(w)).cast("double")).alias(f"{space}_{n}"))
             if how[n] != NEWEST:
                 out.append(F.col(f"{space}_{n}"))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)

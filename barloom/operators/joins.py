@@ -72,21 +72,25 @@ def point_in_time(base: DataFrame, facts: DataFrame, columns: Sequence[str], key
     return out.select(*base.columns, *[F.col(f"_f.{c}").alias(c) for c in columns], F.col("_f.available_at").alias("available_at"))
 
 
-def unified_view(base: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], keys: Sequence[str] = ("code", "day")) -> DataFrame:
-    """Base plus the requested `namespace.column` ids; only namespaces that are mentioned are joined."""
+def unified_view(base: DataFrame, facts: Mapping[str, DataFrame], ids: Sequence[str], keys: Sequence[str] = ("code", "day", "industry")) -> DataFrame:
+    """Base plus the requested `namespace.column` ids; only namespaces that are mentioned and not in the base are joined.
+
+    Facts without a code are one row a trading day, or a day and industry, and are broadcast.
+    """
     wanted: dict[str, list[str]] = {}
     for i in ids:
         space, _, column = i.partition(".")
-        wanted.setdefault(space, []).append(column)
+        if f"{space}_{column}" not in base.columns:
+            wanted.setdefault(space, []).append(column)
     out = base
     for space, columns in wanted.items():
         if space == "stock_feature":
             continue
         if space not in facts:
             raise ValueError(f"unknown namespace {space}")
-        by = [k for k in keys if k in facts[space].columns]  # market facts have a day and no code
+        by = [k for k in keys if k in facts[space].columns and k in base.columns]  # market facts have a day and no code
         f = facts[space].select(*by, *[F.col(c).alias(f"{space}_{c}") for c in columns])
-        out = out.join(f, by, "left")
+        out = out.join(f if "code" in by else F.broadcast(f), by, "left")
     return out
 
 

@@ -31,10 +31,12 @@ def narrow_features(spark, sf, columns, **how):
     return of.feature_columns(views.bars_flows(spark, sf), columns, **how)
 
 
-def stored_features(spark, sf, columns=None):
-    """Features for queries that read them more than once; only the columns they read, if named, are stored."""
-    f = features(spark, sf)
-    return materialized(f if columns is None else f.select("code", "day", *columns))
+def stored_features(spark, sf, columns=None, rows=None):
+    """Features for queries that read them more than once; only the columns they read, if named, are stored, and nothing
+    if `rows`, stored bars with their `bar_no`, hold them already."""
+    if rows is not None:
+        return rows.filter(F.col("bar_no") > of.WARM_UP).select("code", "day", *columns)
+    return materialized(features(spark, sf) if columns is None else narrow_features(spark, sf, columns))
 
 
 _PAST = qi._past5

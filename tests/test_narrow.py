@@ -222,3 +222,48 @@ def test_ledger_of_dealt_trades(spark, sf):
     rows = lambda df: {r.code: (r.open_volume, r.uncovered_sells, pytest.approx(r.realized), pytest.approx(r.open_cost)) for r in df.collect()}
     got = {r.code: (r.open_volume, r.uncovered_sells, r.realized, r.open_cost) for r in ledger.fifo_positions(dealt, dealt=True).collect()}
     assert got == rows(ledger.fifo_positions(plain))
+
+
+def test_external_factors_meet_in_one_exchange(spark):
+    from barloom.operators import facts as ft
+    from barloom.operators import factors
+
+    rng = random.Random(2)
+    days = [DAY0 + dt.timedelta(days=i) for i in range(12)]
+    f = spark.createDataFrame([(c, d, 10.0 + rng.random(), 10.0 + rng.random(), f"i{c % 2}", float(c)) for c in range(6) for d in days], "code long, day date, close double, future double, industry string, candidate_score double")
+    lines = [(rng.randrange(7), rng.choice(days), rng.randrange(1, 8), rng.choice([None, 0.1, 0.2]), rng.choice([None, "A", "R"])) for _ in range(90)]
+    li = spark.createDataFrame(lines, "code long, day date, hour int, tax double, flag string")
+    at = F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(4))
+    facts = {
+        "event": li.select("code", "day", (F.col("day").cast("timestamp") + F.make_interval(hours=F.col("hour"))).alias("available_at"), F.col("hour").cast("double").alias("change_count")),
+        "limitup": ft.made_of(li, {"keep_times": F.col("tax")}, {"keep_times": ft.NEWEST}),
+        "recommendation": ft.made_of(li, {"count": F.col("flag")}, {"count": ft.DISTINCT}),
+        "sector": spark.createDataFrame([("i0", days[0], 5.0), ("i1", days[1], 6.0)], "industry string, day date, net_inflow double"),
+        "market": spark.createDataFrame([(days[2], 7.0)], "day date, up_count double"),
+    }
+    ids = ["event.change_count", "limitup.keep_times", "recommendation.count", "sector.net_inflow", "market.up_count", "candidate.score"]
+    out = factors.wide_external(f, facts, ids, None, decision=at)
+    got = {(r.code, r.day): r for r in out.collect()}
+    assert len(got) == 72 == out.count()
+    for (code, day), r in got.items():
+        mine = [x for x in lines if x[:2] == (code, day)]
+        assert r.event_change_count == max((float(x[2]) for x in mine if x[2] <= 4), default=None)
+        assert r.limitup_keep_times == max((x[3] for x in mine if x[3] is not None), default=None)
+        assert r.recommendation_count == (float(len({x[4] for x in mine} - {None})) if mine else None)
+        assert r.sector_net_inflow == {("i0", days[0]): 5.0, ("i1", days[1]): 6.0}.get((r.sector, day))
+        assert (r.market_up_count, r.candidate_score) == (7.0 if day == days[2] else None, float(code))
+    assert any(r.recommendation_count == 0.0 for r in got.values())
+    text = plan(factors.wide_external(f, facts, ids, None, decision=at))
+    assert exchanges(text) == 1 and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("name, most", [("factor_external", 7), ("rule_namespaced", 5)])
+def test_external_rows_are_stored_once(name, most, spark, sf, monkeypatch):
+    from barloom.plans import factors, features
+
+    stored = []
+    for plans in (factors, features):
+        monkeypatch.setattr(plans, "materialized", lambda df: stored.append(df) or df)
+    load()[name].run(spark, sf)
+    assert len(stored) == 1 and len(set(stored[0].columns) - {"code", "day", "bar_no", "move"}) <= most
+    assert "data_as_of" not in stored[0].columns and "ma60" not in stored[0].columns
